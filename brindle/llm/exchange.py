@@ -132,7 +132,7 @@ def by_doc(doc: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
     if not len(doc):
         return
     order = np.lexsort((pos, doc))
-    doc, pos = doc[order], pos[order].astype(np.int32)
+    doc, pos = doc[order], pos[order]
     which, counts = np.unique(doc, return_counts=True)
     for a in range(0, len(which), 50_000):
         lo, hi = int(counts[:a].sum()), int(counts[: a + 50_000].sum())
@@ -144,9 +144,9 @@ def by_document(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id").agg(F.collect_list("pos").alias("found"))
 
 
-def positions(lists: pa.Array) -> list[np.ndarray | None]:
+def positions(lists: pa.Array, dtype=np.int32) -> list[np.ndarray | None]:
     """Per row the sorted distinct positions of a collected list; None where there is none."""
-    return [None if x is None else np.unique(np.frombuffer(b"".join(x), np.int32)) for x in lists.to_pylist()]
+    return [None if x is None else np.unique(np.frombuffer(b"".join(x), dtype)) for x in lists.to_pylist()]
 
 
 def keyed(docs: DataFrame) -> DataFrame:

@@ -7,12 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm.substring_dedup import substring_dedup
+from brindle.llm.suffix_dedup import suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OP3_SQL = r"""
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+starts AS (SELECT doc_id, x, unnest(range(0, greatest(length(x) // 2 - 99, 0))) AS i FROM bytes),
+win AS (SELECT doc_id, i, substr(x, 2 * i + 1, 200) AS k FROM starts),
+ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM win),
+hit AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM ranked WHERE r > 1),
+runs AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hit),
+spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM runs GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, coalesce(lag(b) OVER w, 0) AS a, a AS b FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+  UNION ALL SELECT doc_id, max(b), NULL FROM spans GROUP BY doc_id
+  UNION ALL SELECT doc_id, 0, NULL FROM bytes ANTI JOIN spans USING (doc_id)),
+kept AS (SELECT doc_id, string_agg(substr(x, 2 * a + 1, 2 * (coalesce(b, length(x) // 2) - a)), '' ORDER BY a) AS t FROM gaps JOIN bytes USING (doc_id) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM spans GROUP BY doc_id)
+SELECT bytes.doc_id, (length(x) // 2)::BIGINT AS n_bytes, ((length(x) - length(t)) // 2)::BIGINT AS n_removed, coalesce(n.n, 0)::BIGINT AS n_spans, sha256(unhex(t)) AS kept_sha256
+FROM bytes JOIN kept USING (doc_id) LEFT JOIN n ON n.doc_id = bytes.doc_id
+"""
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -31,9 +54,11 @@ FROM words LEFT JOIN kept USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op6_substring_dedup": op6_substring_dedup,
 }
 
 SQL: dict[str, str] = {
+    "op3_suffix_array_dedup": OP3_SQL,
     "op6_substring_dedup": OP6_SQL,
 }
