@@ -4,7 +4,8 @@ A task hashes what it looks for (anchors, windows, prefix tokens) and sends each
 its hash, many probes packed in one row. Within its own flush a task settles what it can: when a key
 occurs several times there, one representative goes on and the others are answered at once. So a key
 that a third of all rows share reaches its bucket once per flush, not once per row, and no bucket grows
-with the frequency of a key. Answers return as (doc_id, packed positions), to be joined to the texts.
+with the frequency of a key. Answers return packed by bucket of documents and end as one row per document,
+to be joined to the texts.
 """
 
 from __future__ import annotations
@@ -16,14 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.blocks import U64, packed_strings, unpacked
+from brindle.llm.blocks import U64, mix, packed_strings, unpacked
 
 PROBES = "bucket int, settled boolean, h binary, doc binary, pos binary"
-ANSWERS = "doc_id long, pos binary"
+RETURNS = "doc_bucket int, doc binary, pos binary"
+ANSWERS = "doc_id long, found binary"
 FLUSH = 1_000_000
+#: Answers found in a flush go on in rows of this size, each to the next bucket.
+SPREAD = 20_000
 
 _PROBES = pa.schema([("bucket", pa.int32()), ("settled", pa.bool_()), ("h", pa.binary()), ("doc", pa.binary()), ("pos", pa.binary())])
-_ANSWERS = pa.schema([("doc_id", pa.int64()), ("pos", pa.binary())])
+_RETURNS = pa.schema([("doc_bucket", pa.int32()), ("doc", pa.binary()), ("pos", pa.binary())])
+_ANSWERS = pa.schema([("doc_id", pa.int64()), ("found", pa.binary())])
 
 
 def buckets(spark: SparkSession) -> int:
@@ -53,20 +58,27 @@ class Packer:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.size:
             return
-        h, doc, pos = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        h_in, doc_in, pos_in = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts, self.size = [], 0
-        order = np.argsort(h, kind="stable")
-        h, doc, pos = h[order], doc[order], pos[order]
+        order = np.argsort(h_in, kind="stable")
+        h, doc = h_in[order], doc_in[order]
         answered, forward = settle(h, doc, self.rule)
         if answered.any():
-            self.turn += 1
-            yield from _answer_rows(doc[answered], pos[answered], self.turn % self.n)
-        # a representative of a settled key is marked in the sign of its position
-        keep = forward > 0
-        h, doc, pos = h[keep], doc[keep], np.where(forward[keep] == 2, -1 - pos[keep], pos[keep]).astype(np.int32)
-        b = bucket_of(h, self.n)  # h is sorted, so b is too
+            yes = np.sort(order[answered])
+            for some in np.array_split(yes, -(-len(yes) // SPREAD)):
+                self.turn += 1
+                yield from _answer_rows(doc_in[some], pos_in[some], self.turn * 7919 % self.n)
+        # back to the order of the texts, where documents and positions compress well; a representative of a
+        # settled key is marked in the sign of its position
+        mark = np.empty(len(h), np.int8)
+        mark[order] = forward
+        keep = np.flatnonzero(mark)
+        h, doc, pos = h_in[keep], doc_in[keep], np.where(mark[keep] == 2, -1 - pos_in[keep], pos_in[keep]).astype(np.int32)
+        b = bucket_of(h, self.n)
+        order = np.argsort(b.astype(np.uint16) if self.n < 1 << 16 else b, kind="stable")
+        h, doc, pos = h[order], doc[order], pos[order]
         which, counts = np.unique(b, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(np.zeros(len(which), bool)), packed_strings((h & U64(0xFFFFFFFF)).astype(self.dtype) if self.dtype == np.uint32 else h, counts), packed_strings(doc, counts), packed_strings(pos, counts)], schema=_PROBES)
+        yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(np.zeros(len(which), bool)), packed_strings(h.astype(self.dtype), counts), packed_strings(doc, counts), packed_strings(pos, counts)], schema=_PROBES)
 
 
 def settle(h: np.ndarray, doc: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +104,7 @@ def _answer_rows(doc: np.ndarray, pos: np.ndarray, bucket: int) -> Iterator[pa.R
 
 
 def answers(probes: DataFrame, n_buckets: int, rule: str, key_bytes: int = 4) -> DataFrame:
-    """(doc_id, pos): a row for each bucket and document, pos int32 packed, ascending."""
+    """(doc_id, found): a row for each document with answers, its positions packed as int32, ascending."""
     dtype = {4: np.uint32, 8: np.uint64}[key_bytes]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,30 +135,49 @@ def answers(probes: DataFrame, n_buckets: int, rule: str, key_bytes: int = 4) ->
         del hs, docs, poss
         if ready:
             doc, pos = (np.concatenate(x) for x in zip(*ready, strict=True))
-            yield from by_doc(doc, pos)
+            yield from by_doc(doc, pos, n_buckets)
 
-    return probes.repartition(n_buckets, "bucket").mapInArrow(run, ANSWERS)
+    return by_document(probes.repartition(n_buckets, "bucket").mapInArrow(run, RETURNS), n_buckets)
 
 
-def by_doc(doc: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+def by_doc(doc: np.ndarray, pos: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Answers on their way back, a packed row for each bucket of documents."""
     if not len(doc):
         return
-    order = np.lexsort((pos, doc))
-    doc, pos = doc[order], pos[order]
-    which, counts = np.unique(doc, return_counts=True)
-    for a in range(0, len(which), 50_000):
-        lo, hi = int(counts[:a].sum()), int(counts[: a + 50_000].sum())
-        yield pa.RecordBatch.from_arrays([pa.array(which[a : a + 50_000], pa.int64()), packed_strings(pos[lo:hi], counts[a : a + 50_000])], schema=_ANSWERS)
-
+    b = (mix(doc.astype(U64)) >> U64(32)).astype(np.int64) * n_buckets >> 32
+    order = np.argsort(b, kind="stable")
+    which, counts = np.unique(b, return_counts=True)
+    yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), packed_strings(doc[order], counts), packed_strings(pos[order], counts)], schema=_RETURNS)
 
-def by_document(found: DataFrame) -> DataFrame:
-    """One row for each document that has answers."""
-    return found.groupBy("doc_id").agg(F.collect_list("pos").alias("found"))
 
+def by_document(returns: DataFrame, n_buckets: int, dtype=np.int32) -> DataFrame:
+    """(doc_id, found): one row for each document that has answers, its distinct positions ascending."""
 
-def positions(lists: pa.Array, dtype=np.int32) -> list[np.ndarray | None]:
-    """Per row the sorted distinct positions of a collected list; None where there is none."""
-    return [None if x is None else np.unique(np.frombuffer(b"".join(x), dtype)) for x in lists.to_pylist()]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, poss = [], []
+        for batch in batches:
+            docs.append(unpacked(batch.column("doc"), np.int64)[0])
+            poss.append(unpacked(batch.column("pos"), dtype)[0])
+        if not docs:
+            return
+        doc, pos = np.concatenate(docs), np.concatenate(poss)
+        order = np.lexsort((pos, doc))
+        doc, pos = doc[order], pos[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])
+        doc, pos = doc[new], pos[new]
+        which, counts = np.unique(doc, return_counts=True)
+        ends = np.append(0, np.cumsum(counts))
+        for a in range(0, len(which), 20_000):
+            some = counts[a : a + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array(which[a : a + 20_000], pa.int64()), packed_strings(pos[ends[a] : ends[a] + some.sum()], some)], schema=_ANSWERS)
+
+    return returns.repartition(n_buckets, "doc_bucket").mapInArrow(run, ANSWERS)
+
+
+def positions(found: pa.Array, dtype=np.int32) -> list[np.ndarray | None]:
+    """Per row the packed positions; None where there are none."""
+    return [None if x is None else np.frombuffer(x, dtype) for x in found.to_pylist()]
 
 
 def keyed(docs: DataFrame) -> DataFrame:

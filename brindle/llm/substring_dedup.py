@@ -120,7 +120,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     n = exchange.buckets(spark)
     texts = exchange.keyed(docs).repartition(n, "doc_id")
     anchors = exchange.answers(exchange.keyed(docs).mapInArrow(_anchors(n), exchange.PROBES), n, "shared")
-    near = texts.join(exchange.by_document(anchors).hint("shuffle_hash"), "doc_id")
+    near = texts.join(anchors.hint("shuffle_hash"), "doc_id")
     windows = exchange.answers(near.mapInArrow(_windows(n), exchange.PROBES), n, "later", 8)
-    both = texts.join(exchange.by_document(windows).hint("shuffle_hash"), "doc_id", "left")
+    both = texts.join(windows.hint("shuffle_hash"), "doc_id", "left")
     return both.mapInArrow(_removed, RESULT)

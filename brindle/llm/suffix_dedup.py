@@ -147,44 +147,48 @@ def _send(parts: list, n_buckets: int, turn: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(np.zeros(len(which), bool)), *(packed_strings(x, counts) for x in (h, content, doc, pos, n, owner)), packed_strings(body, sizes)], schema=_SEGMENTS)
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, packed spans) of the windows of one bucket that start earlier elsewhere."""
-    parts, ready = [], []
-    for batch in batches:
-        settled = batch.column("settled").to_numpy(zero_copy_only=False)
-        for mask, into in ((settled, ready), (~settled, parts)):
-            rows = batch.filter(pa.array(mask))
-            if not rows.num_rows:
-                continue
-            get = lambda k, dtype: unpacked(rows.column(k), dtype)[0]  # noqa: B023, E731
-            if into is ready:
-                into.append(np.stack([get("doc", np.int64), get("pos", np.int64)]))
-            else:
-                into.append((get("h", U64), get("content", U64), get("doc", np.int64), get("pos", np.int32), get("n", np.uint8), get("owner", np.uint8), text_bytes(rows.column("body"))[0]))
-    if parts:
-        (h, _, doc, pos, n, owner), body, spans = _firsts(parts)
-        del parts
-        ready.append(spans)
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        group = np.cumsum(new) - 1
-        rival = np.bincount(group)[group] > 1
-        size = n.astype(np.int64) + LENGTH - 1
-        offset = np.cumsum(size) - size
-        for lo, hi in _blocks(group, n, rival):
-            take = np.flatnonzero(rival[lo:hi]) + lo
-            count = n[take].astype(np.int64)
-            begin = offset[take]
-            first, last = int(begin[0]), int(begin[-1] + size[take[-1]])
-            starts = ragged(begin, count) - first
-            place = ragged(np.zeros(len(take), np.int64), count)
-            family = np.repeat(group[take], count) * 256 + (np.repeat(owner[take].astype(np.int64), count) - place)
-            where = np.repeat(pos[take].astype(np.int64), count) + place
-            late = later_windows(body[first:last], starts, family, np.repeat(doc[take], count), where)
-            ready.append(np.stack([np.repeat(doc[take], count)[late], span(where[late], np.ones(int(late.sum()), np.int64))]))
-    if ready:
-        both = np.concatenate(ready, axis=1)
-        yield from exchange.by_doc(both[0], both[1])
+def _repeats(n_buckets: int):
+    """Packed spans of the windows of one bucket that start earlier elsewhere."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, ready = [], []
+        for batch in batches:
+            settled = batch.column("settled").to_numpy(zero_copy_only=False)
+            for mask, into in ((settled, ready), (~settled, parts)):
+                rows = batch.filter(pa.array(mask))
+                if not rows.num_rows:
+                    continue
+                get = lambda k, dtype: unpacked(rows.column(k), dtype)[0]  # noqa: B023, E731
+                if into is ready:
+                    into.append(np.stack([get("doc", np.int64), get("pos", np.int64)]))
+                else:
+                    into.append((get("h", U64), get("content", U64), get("doc", np.int64), get("pos", np.int32), get("n", np.uint8), get("owner", np.uint8), text_bytes(rows.column("body"))[0]))
+        if parts:
+            (h, _, doc, pos, n, owner), body, spans = _firsts(parts)
+            del parts
+            ready.append(spans)
+            new = np.ones(len(h), bool)
+            new[1:] = h[1:] != h[:-1]
+            group = np.cumsum(new) - 1
+            rival = np.bincount(group)[group] > 1
+            size = n.astype(np.int64) + LENGTH - 1
+            offset = np.cumsum(size) - size
+            for lo, hi in _blocks(group, n, rival):
+                take = np.flatnonzero(rival[lo:hi]) + lo
+                count = n[take].astype(np.int64)
+                begin = offset[take]
+                first, last = int(begin[0]), int(begin[-1] + size[take[-1]])
+                starts = ragged(begin, count) - first
+                place = ragged(np.zeros(len(take), np.int64), count)
+                family = np.repeat(group[take], count) * 256 + (np.repeat(owner[take].astype(np.int64), count) - place)
+                where = np.repeat(pos[take].astype(np.int64), count) + place
+                late = later_windows(body[first:last], starts, family, np.repeat(doc[take], count), where)
+                ready.append(np.stack([np.repeat(doc[take], count)[late], span(where[late], np.ones(int(late.sum()), np.int64))]))
+        if ready:
+            both = np.concatenate(ready, axis=1)
+            yield from exchange.by_doc(both[0], both[1], n_buckets)
+
+    return run
 
 
 def _blocks(group: np.ndarray, n: np.ndarray, rival: np.ndarray, windows: int = 1_000_000) -> Iterator[tuple[int, int]]:
@@ -319,7 +323,8 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     keyed = exchange.keyed(docs)
     texts = keyed.repartition(n, "doc_id")
     owners = exchange.answers(keyed.mapInArrow(_owners(n), exchange.PROBES), n, "repeated")
-    near = texts.join(exchange.by_document(owners).hint("shuffle_hash"), "doc_id")
-    repeats = near.mapInArrow(_segments(n), SEGMENTS).repartition(n, "bucket").mapInArrow(_repeats, exchange.ANSWERS)
-    both = texts.join(exchange.by_document(repeats).hint("shuffle_hash"), "doc_id", "left")
+    near = texts.join(owners.hint("shuffle_hash"), "doc_id")
+    repeats = near.mapInArrow(_segments(n), SEGMENTS).repartition(n, "bucket").mapInArrow(_repeats(n), exchange.RETURNS)
+    repeats = exchange.by_document(repeats, n, np.int64)
+    both = texts.join(repeats.hint("shuffle_hash"), "doc_id", "left")
     return both.mapInArrow(_removed, RESULT)
