@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from brindle.llm.packing import pack_documents
 from brindle.llm.substring_dedup import substring_dedup
 from brindle.llm.suffix_dedup import suffix_dedup
 from brindle.llm.token_counts import token_counts
@@ -54,6 +55,10 @@ SELECT words.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGIN
 FROM words LEFT JOIN kept USING (doc_id)
 """
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_packing": op7_packing,
     "op10_token_counts": op10_token_counts,
 }
 
