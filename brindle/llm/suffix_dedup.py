@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from brindle.llm import exchange
@@ -89,7 +90,7 @@ def _owners(n_buckets: int):
 
 def _segments(n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size, turn = [], 0, 0
+        parts, size, turn = [], 0, 31 * TaskContext.get().partitionId()
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             found = exchange.positions(batch.column("found"))
