@@ -110,12 +110,17 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text index of each run of bytes outside ``SPACE``; words end with their text."""
+#: Bytes outside words of letters: ASCII that is no letter.
+NO_LETTER = np.arange(256) < 128
+NO_LETTER[[*range(65, 91), *range(97, 123)]] = False
+
+
+def word_bounds(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text index of each run of bytes not in ``outside``; words end with their text."""
     n = len(data)
     if not n:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    solid = ~SPACE[data]
+    solid = ~outside[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     last = np.empty(n + 1, bool)
