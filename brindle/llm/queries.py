@@ -13,6 +13,7 @@ from brindle.llm.substring_dedup import substring_dedup
 from brindle.llm.suffix_dedup import suffix_dedup
 from brindle.llm.token_counts import token_counts
 from brindle.llm.toxicity import toxicity
+from brindle.llm.vector_search import vector_search
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +60,10 @@ FROM bytes JOIN kept USING (doc_id) LEFT JOIN n ON n.doc_id = bytes.doc_id
 """
 
 
+def op5_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search(table(spark, sf_dir, "embeddings"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op5_vector_search": op5_vector_search,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_packing": op7_packing,
     "op9_ngram_join": op9_ngram_join,
