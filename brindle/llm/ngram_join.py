@@ -12,9 +12,9 @@ passages out of prefixes.
    bucket of many groups gives a star around one of them instead of all pairs.
 3. Pairs of groups are expanded to pairs of sets and filtered by parity bitmaps: the bits in which two
    differ are at most the shingles in which the sets differ.
-4. Pairs are verified by their sets, one for each set at first; a pair within a component needs no more
-   verification. Large buckets go on with another star until their members are in one component or every
-   pair has been tried. The result is exact.
+4. Pairs are verified by their sets, the nearest few of each set at first; a pair within a component needs
+   no more verification. Large buckets are compared around one member, then around some, then around all,
+   as long as their members are in different components. The result is exact.
 """
 
 from __future__ import annotations
@@ -23,11 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm import exchange
-from brindle.llm.blocks import LOWER, U64, gram_hashes, mix, packed_strings, text_bytes, text_words, unpacked, whole_texts
+from brindle.llm.blocks import LOWER, U64, gram_hashes, mix, packed_strings, ragged, text_bytes, text_words, unpacked, whole_texts
 from brindle.llm.components import components
 from brindle.llm.saved import saved
 
@@ -57,12 +57,17 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, share: int = SHARE) -> t
         first = np.searchsorted(text, short)
         whole = np.array([gram_hashes(words[a : a + n], n)[0] ^ U64(n) for a, n in zip(first.tolist(), n_words[short].tolist(), strict=True)], U64)
         h, owner = np.append(h, whole), np.append(owner, short)
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
+    if len(short):
+        order = np.argsort(owner, kind="stable")
+        h, owner = h[order], owner[order]
+    else:
+        h = h.copy()
+    edges = np.searchsorted(owner, np.arange(n_texts + 1)).tolist()
+    for a, b in zip(edges, edges[1:], strict=False):  # many short sorts are faster than one long one
+        h[a:b].sort()
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    h, owner = h[new], owner[new]
-    return h, np.bincount(owner, minlength=n_texts)
+    return h[new], np.bincount(owner[new], minlength=n_texts)
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
@@ -110,12 +115,15 @@ def levels(texts: DataFrame) -> np.ndarray:
 
 def prefixes(h: np.ndarray, n: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The prefix of each set under the order, and its size."""
-    owner = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((h, level[cell_of(h)], owner))
-    place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+    order = np.arange(len(h))
+    common = level[cell_of(h)]
+    ends = np.append(0, np.cumsum(n))
+    some = np.add.reduceat(np.append(common, 0) > 0, np.minimum(ends[:-1], len(h))) if len(n) else np.empty(0)
+    for k in np.flatnonzero((some > 0) & (n > 0)).tolist():
+        a, b = ends[k], ends[k + 1]
+        order[a:b] = a + np.argsort(common[a:b], kind="stable")
     size = prefix_size(n)
-    on = place < np.repeat(size, n)
-    return h[order][on], size
+    return h[order[ragged(ends[:-1], size)]], size
 
 
 def _sum_by(values: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -259,27 +267,53 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(on, pa.bool_())), batch.column("b").filter(pa.array(on, pa.bool_()))], names=["a", "b"])
 
 
+def bits_apart(bits: list[bytes], one: int, others: np.ndarray) -> np.ndarray:
+    """differing_bits of one bitmap and others."""
+    out = np.empty(len(others), np.int64)
+    lengths = np.array([len(bits[k]) for k in others.tolist()], np.int64)
+    for n in np.unique(lengths).tolist():
+        on = np.flatnonzero(lengths == n)
+        x = np.frombuffer(bits[one], np.uint64)[None, :]
+        y = np.frombuffer(b"".join([bits[k] for k in others[on].tolist()]), np.uint64).reshape(len(on), -1)
+        while x.shape[1] > y.shape[1]:
+            x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+        while y.shape[1] > x.shape[1]:
+            y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+        out[on] = np.bitwise_count(x ^ y).sum(axis=1)
+    return out
+
+
+#: Members around which a large bucket has been compared after each turn; at last, all of them.
+TURNS = (1, 32, 1 << 62)
+
+
 def _stars(turn: int):
-    """From each large bucket: pairs around its member number ``turn`` with members in other components."""
+    """From each large bucket: pairs that pass the filters, of the members of this turn with later ones in other components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[np.ndarray, np.ndarray]] = []
-            for members, labels, sizes in zip(batch.column("members").to_pylist(), batch.column("labels").to_pylist(), batch.column("sizes").to_pylist(), strict=True):
-                g, label, n = np.array(members, np.int64), np.array(labels, np.int64), np.array(sizes, np.int64)
-                if turn >= len(g):
-                    continue
-                pick = np.lexsort((g, n))[turn]
-                on = (label != label[pick]) & size_fits(n, n[pick])
-                out.append((np.full(int(on.sum()), g[pick]), g[on]))
-            if out:
-                a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            for row in batch.column("m").to_pylist():
+                row.sort(key=lambda x: (x["n"], x["skey"]))
+                g, label, n = (np.array([x[k] for x in row], np.int64) for k in ("skey", "label", "n"))
+                bits = [x["bits"] for x in row]
+                for i in range(TURNS[turn - 1] if turn else 0, min(TURNS[turn], len(g))):
+                    others = np.flatnonzero(label != label[i])
+                    others = others[others > i]
+                    others = others[size_fits(n[others], n[i])]
+                    gap = bits_apart(bits, i, others)
+                    on = gap * (100 + SHARE) <= (n[others] + n[i]) * (100 - SHARE)
+                    if on.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(int(on.sum()), g[i])), pa.array(g[others[on]]), pa.array(gap[on])], names=["a", "b", "gap"])
 
     return run
 
 
+#: Pairs of a set that are verified in the first round; each round takes 16 times as many.
+AT_ONCE = 4
+#: Sets whose ids are broadcast to find their texts; more are joined by a shuffle.
+FEW = 100_000
+
+
 def ngram_join(docs: DataFrame) -> DataFrame:
     """Components of documents whose sets of 5-word shingles have a Jaccard similarity of at least 0.75.
 
@@ -298,9 +332,9 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     bucketed = saved(probes.repartition(n, "bucket").mapInArrow(_group_pairs, BUCKETED))
 
     per_group = sets.groupBy("gkey").agg(F.count("*").alias("sets_in_group"))
-    crowded = sets.join(per_group.where(F.col("sets_in_group") > ALL_PAIRS), "gkey").select(F.col("gkey").alias("k"), "skey", "n")
+    crowded = sets.join(per_group.where(F.col("sets_in_group") > ALL_PAIRS), "gkey").select(F.col("gkey").alias("k"), "skey", "n", "bits")
     big = _unpack(bucketed.where("bucket IS NOT NULL").select("bucket").distinct())
-    large = saved(big.join(sets.select("gkey", "skey", "n"), "gkey").select("k", "skey", "n").unionByName(crowded))
+    large = saved(big.join(sets.select("gkey", "skey", "n", "bits"), "gkey").select("k", "skey", "n", "bits").unionByName(crowded))
 
     between = bucketed.where("a IS NOT NULL").select("a", "b").distinct()
     by = lambda s, key, name: sets.select(F.col(key).alias(name), *(F.col(c).alias(f"{c}_{s}") for c in ("skey", "n", "bits") if c != key))
@@ -311,28 +345,33 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     within = left.join(right, "gkey").where("skey_a > skey_b").select(F.col("skey_a").alias("a"), F.col("skey_b").alias("b"), *columns)
     near = lambda p: p.mapInArrow(_near, "a long, b long, gap long")
 
-    links, labels, turn, tried = None, sets.select("skey", F.col("skey").alias("label")), 0, None
-    open_pairs = saved(near(expanded.unionByName(within)))
-    held = None
+    found, labels, turn, tried, most = None, sets.select("skey", F.col("skey").alias("label")), 0, None, AT_ONCE
+    open_pairs = near(expanded.unionByName(within))
+    held: list[DataFrame] = []
     while True:
-        stars = _star_pairs(large, labels, turn)
-        stars = saved(near(stars.join(by("a", "skey", "a"), "a").join(by("b", "skey", "b"), "b").select("a", "b", *columns))) if stars is not None else None
-        now = open_pairs if stars is None else open_pairs.unionByName(stars)
-        now = saved(_crossing(now, labels, tried))
+        stars = _star_pairs(large, labels, turn) if turn < len(TURNS) else None
+        turn += 1
+        now = saved(_crossing(open_pairs if stars is None else open_pairs.unionByName(stars), labels, tried))
         if now.isEmpty():
-            if stars is None or not _unsettled(large, labels, turn + 1):
+            if stars is None:
                 break
-            turn += 1
+            open_pairs = now
             continue
-        first = now.groupBy("a").agg(F.min_by("b", F.struct("gap", "b")).alias("b"))
+        rank = F.row_number().over(Window.partitionBy("a").orderBy("gap", "b"))
+        first = saved(now.withColumn("rank", rank).where(F.col("rank") <= most).select("a", "b"))
+        most *= 16
         held = _with_sets(held, now, texts, sets, n)
-        linked = saved(first.join(held.select(F.col("skey").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("skey").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"))
-        links = linked if links is None else saved(links.unionByName(linked))
-        tried = saved(first.select("a", "b") if tried is None else tried.unionByName(first.select("a", "b")))
-        found = components(links)
-        labels = saved(sets.select("skey").join(found.withColumnRenamed("node", "skey"), "skey", "left").select("skey", F.coalesce("component", "skey").alias("label")))
+        shingles = held[0]
+        for more in held[1:]:
+            shingles = shingles.unionByName(more)
+        x, y = (shingles.select(F.col("skey").alias(s), F.col("shingles").alias(c)) for s, c in (("a", "x"), ("b", "y")))
+        linked = saved(first.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"))
+        tried = first if tried is None else tried.unionByName(first)
         open_pairs = now
-        turn += 1
+        if not linked.isEmpty():
+            edges = linked if found is None else found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(linked)
+            found = components(edges)
+            labels = saved(sets.select("skey").join(found.withColumnRenamed("node", "skey"), "skey", "left").select("skey", F.coalesce("component", "skey").alias("label")))
     return _result(members, sets, labels)
 
 
@@ -347,16 +386,13 @@ def _unpack(big: DataFrame) -> DataFrame:
     return big.select(F.xxhash64("bucket").alias("k"), "bucket").mapInArrow(run, "k long, gkey long")
 
 
-def _unsettled(large: DataFrame, labels: DataFrame, turn: int) -> bool:
-    spread = large.join(labels, "skey").groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
-    return not spread.where((F.col("low") != F.col("high")) & (F.col("size") > turn)).isEmpty()
-
-
 def _star_pairs(large: DataFrame, labels: DataFrame, turn: int) -> DataFrame | None:
-    if large.isEmpty():
+    rows = large.join(labels, "skey")
+    mixed = rows.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("k")
+    packed = saved(rows.join(mixed, "k").groupBy("k").agg(F.collect_list(F.struct("skey", "label", "n", "bits")).alias("m")))
+    if packed.isEmpty():
         return None
-    rows = large.join(labels, "skey").groupBy("k").agg(F.collect_list(F.struct("skey", "label", "n")).alias("m"))
-    return rows.select(F.col("m.skey").alias("members"), F.col("m.label").alias("labels"), F.col("m.n").alias("sizes")).mapInArrow(_stars(turn), "a long, b long").distinct()
+    return packed.select("m").mapInArrow(_stars(turn), "a long, b long, gap long")
 
 
 def _crossing(pairs: DataFrame, labels: DataFrame, tried: DataFrame | None) -> DataFrame:
@@ -368,16 +404,18 @@ def _crossing(pairs: DataFrame, labels: DataFrame, tried: DataFrame | None) -> D
     return pairs.join(of("a"), "a").join(of("b"), "b").where("label_a <> label_b").select("a", "b", "gap")
 
 
-def _with_sets(held: DataFrame | None, pairs: DataFrame, texts: DataFrame, sets: DataFrame, n: int) -> DataFrame:
-    """The shingles of the sets in pairs, added to those held already; kept dealt by skey for the joins."""
+def _with_sets(held: list[DataFrame], pairs: DataFrame, texts: DataFrame, sets: DataFrame, n: int) -> list[DataFrame]:
+    """The shingles of the sets in pairs, in one table more than before; each is dealt by skey."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("skey")).distinct()
-    if held is not None:
-        wanted = wanted.join(held.select("skey"), "skey", "left_anti")
-        if wanted.isEmpty():
-            return held
-    wanted = wanted.join(sets.select("skey", "doc_id"), "skey")
-    new = texts.join(wanted.hint("shuffle_hash"), "doc_id").select("skey", "text").mapInArrow(_sets, "skey long, shingles binary")
-    return saved((new if held is None else held.unionByName(new)).repartition(n, "skey"))
+    for some in held:
+        wanted = wanted.join(some.select("skey"), "skey", "left_anti")
+    wanted = saved(wanted.join(sets.select("skey", "doc_id"), "skey"))
+    count = wanted.count()
+    if not count:
+        return held
+    wanted = F.broadcast(wanted) if count <= FEW else wanted.hint("shuffle_hash")
+    new = texts.join(wanted, "doc_id").select("skey", "text").mapInArrow(_sets, "skey long, shingles binary")
+    return [*held, saved(new.repartition(n, "skey"))]
 
 
 def _result(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
