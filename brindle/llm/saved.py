@@ -3,16 +3,25 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The rows of df, written once to the folder that spark.checkpoint.dir names and read from there.
-
-    Only where the session names none (a test, a notebook on one machine) a folder is made for it.
-    """
-    context = df.sparkSession.sparkContext
+def shared(spark: SparkSession) -> str:
+    """The folder of this session below spark.checkpoint.dir; only where the session names none (a test, a notebook on one machine) one is made."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path for a table in the shared folder."""
+    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The rows of df, written once to the shared folder and read from there."""
+    shared(df.sparkSession)
     return df.checkpoint()

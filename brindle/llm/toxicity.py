@@ -19,16 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.blocks import BYTE_BASE, LOWER, NO_LETTER, U64, mix, prefix_hash, span_hash, text_bytes, whole_texts, word_bounds
+from brindle.llm.blocks import BYTE_BASE, LOWER, NO_LETTER, U64, mix, prefix_hash, ragged, span_hash, text_bytes, whole_texts, word_bounds
+from brindle.llm.saved import saved
 
 EXAMPLES = 3000
 TERMS = 4096
 BEGINNINGS = (4, 5, 6)
 NEIGHBOURS = 15
 BLOCK = 64
-#: Least number of examples with a term, and least chi-square of its classes.
+#: Least number of examples with a term. A term is kept if the chi-square of its classes exceeds 2 log(number
+#: of terms), which few terms reach by chance.
 MIN_EXAMPLES = 3
-MIN_CHI_SQUARE = 11.0
 #: Weight of the share of toxic examples among the votes.
 PRIOR_WEIGHT = 0.05
 FOLDS = 5
@@ -140,28 +141,34 @@ class Index:
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k most similar examples, ties to the earlier one, and their similarity; only those above 0."""
-        bound = np.zeros(self.blocks)
-        for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-            a, b = self.lists[t], self.lists[t + 1]
-            bound[self.block[a:b]] += w * self.most[a:b]
-        score: dict[int, float] = {}
-        best: list[float] = []
-        for blk in np.argsort(-bound, kind="stable").tolist():
-            if bound[blk] <= 0 or len(best) == k and bound[blk] < best[-1] - 1e-12:
-                break
-            local = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                a, b = self.lists[t], self.lists[t + 1]
-                at = a + np.searchsorted(self.block[a:b], blk)
-                if at < b and self.block[at] == blk:
-                    some = slice(self.start[at], self.stop[at])
-                    local[self.example[some] - blk * BLOCK] += w * self.weight[some]
-            for i in np.flatnonzero(local > 0).tolist():
-                if without is None or self.ids[blk * BLOCK + i] != without:
-                    score[blk * BLOCK + i] = local[i]
-            best = sorted(score.values(), reverse=True)[:k]
-        top = sorted(score, key=lambda i: (-score[i], self.ids[i]))[:k]
-        return np.array(top, np.int64), np.array([score[i] for i in top])
+        if not len(terms):
+            return np.empty(0, np.int64), np.empty(0)
+        size = self.lists[terms + 1] - self.lists[terms]
+        entry = ragged(self.lists[terms], size)  # (term, block) pairs of the query's posting lists
+        weight, block = np.repeat(weights, size), self.block[entry]
+        bound = np.bincount(block, weights=weight * self.most[entry], minlength=self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        first = np.zeros(self.blocks, bool)
+        first[order[: -(-k // BLOCK) + 1]] = True
+        found, score = self._scored(first, entry, weight, block, without)
+        floor = np.partition(score, len(score) - k)[len(score) - k] if len(score) >= k else 0.0
+        rest = ~first & (bound > 0) & (bound >= floor - 1e-12)
+        if rest.any():
+            more, other = self._scored(rest, entry, weight, block, without)
+            found, score = np.append(found, more), np.append(score, other)
+        best = np.lexsort((self.ids[found], -score))[:k]
+        return found[best], score[best]
+
+    def _scored(self, blocks: np.ndarray, entry: np.ndarray, weight: np.ndarray, block: np.ndarray, without: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Examples with similarity above 0 in some blocks."""
+        on = blocks[block]
+        some, n = entry[on], (self.stop - self.start)[entry[on]]
+        at = ragged(self.start[some], n)
+        total = np.bincount(self.example[at], weights=self.weight[at] * np.repeat(weight[on], n), minlength=len(self.ids))
+        if without is not None:
+            total[self.ids == without] = 0
+        found = np.flatnonzero(total > 0)
+        return found, total[found]
 
 
 class Model:
@@ -214,12 +221,13 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     bounded = spark.createDataFrame([(r.doc_id, r.toxic) for r in rows], "doc_id long, toxic int")
     sample = docs.join(F.broadcast(bounded), "doc_id").select("doc_id", "toxic", "text")  # 2 * examples rows
     counts = sample.mapInArrow(_sample_terms, "term long, bad long, total long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("total").alias("total")).where(F.col("total") >= MIN_EXAMPLES)
+    counts = saved(counts)
     n_bad = float(sum(r.toxic for r in rows))
     n_all = float(max(1, len(rows)))
     a, t = F.col("bad").cast("double"), F.col("total").cast("double")
     expected = t * n_bad * (n_all - n_bad) * (n_all - t)
     chi = F.when(expected > 0, n_all * F.pow(a * (n_all - n_bad) - (t - a) * n_bad, 2) / expected).otherwise(0.0)
-    chosen = counts.select("term", chi.alias("chi")).where(F.col("chi") >= MIN_CHI_SQUARE).orderBy(F.desc("chi"), "term").limit(TERMS).collect()
+    chosen = counts.select("term", chi.alias("chi")).where(F.col("chi") >= 2 * float(np.log(max(2, counts.count())))).orderBy(F.desc("chi"), "term").limit(TERMS).collect()
     terms = Terms(np.array([r.term for r in chosen], np.int64).view(U64))
     df = np.zeros(len(terms.hashes) + 1, np.int64)
     for r in docs.select("text").mapInArrow(_document_counts(terms), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
