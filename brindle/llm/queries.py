@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from brindle.llm.embedding_dedup import embedding_dedup
+from brindle.llm import licenses
 from brindle.llm.ngram_join import ngram_join
 from brindle.llm.packing import pack_documents
 from brindle.llm.substring_dedup import substring_dedup
@@ -85,6 +87,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages are files: the address without scheme and query is the path."""
+    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    return licenses.license_scan(table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_id"), path.alias("path"), F.col("html").alias("text")))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
@@ -113,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_vector_search": op5_vector_search,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_packing": op7_packing,
+    "op8_license_scan": op8_license_scan,
     "op9_ngram_join": op9_ngram_join,
     "op10_token_counts": op10_token_counts,
 }
@@ -121,5 +130,6 @@ SQL: dict[str, str] = {
     "op2_embedding_dedup": OP2_SQL,
     "op3_suffix_array_dedup": OP3_SQL,
     "op6_substring_dedup": OP6_SQL,
+    "op8_license_scan": licenses.sql(),
     "op9_ngram_join": OP9_SQL,
 }
