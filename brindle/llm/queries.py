@@ -11,6 +11,7 @@ from brindle.llm.embedding_dedup import embedding_dedup
 from brindle.llm import licenses
 from brindle.llm.ngram_join import ngram_join
 from brindle.llm.packing import pack_documents
+from brindle.llm.piece_sampling import sample_segmentations
 from brindle.llm.substring_dedup import substring_dedup
 from brindle.llm.suffix_dedup import suffix_dedup
 from brindle.llm.token_counts import token_counts
@@ -62,6 +63,11 @@ FROM bytes JOIN kept USING (doc_id) LEFT JOIN n ON n.doc_id = bytes.doc_id
 """
 
 
+def op4_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sample_segmentations(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "sample", "n_pieces", F.crc32("ids").alias("ids_crc32"), "log_prob", "perturbed", "log_inclusion")
+
+
 def op5_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search(table(spark, sf_dir, "embeddings"))
 
@@ -118,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op4_piece_sampling": op4_piece_sampling,
     "op5_vector_search": op5_vector_search,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_packing": op7_packing,
