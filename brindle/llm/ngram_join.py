@@ -283,12 +283,15 @@ def bits_apart(bits: list[bytes], one: int, others: np.ndarray) -> np.ndarray:
     return out
 
 
-#: Members around which a large bucket has been compared after each turn; at last, all of them.
-TURNS = (1, 32, 1 << 62)
+#: Turns over large buckets: members around which all others are compared, and whether a member is paired
+#: with its nearest of them only. In the first two turns a set is compared in the largest of its buckets.
+TURNS = ((1, True), (32, True), (1 << 62, True), (1 << 62, False))
+ONE_BUCKET = 2
 
 
 def _stars(turn: int):
-    """From each large bucket: pairs that pass the filters, of the members of this turn with later ones in other components."""
+    """From each large bucket: pairs, between components, that pass the filters."""
+    most, nearest = TURNS[turn]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,18 +299,30 @@ def _stars(turn: int):
                 row.sort(key=lambda x: (x["n"], x["skey"]))
                 g, label, n = (np.array([x[k] for x in row], np.int64) for k in ("skey", "label", "n"))
                 bits = [x["bits"] for x in row]
-                for i in range(TURNS[turn - 1] if turn else 0, min(TURNS[turn], len(g))):
+                best, center = np.full(len(g), 1 << 62), np.zeros(len(g), np.int64)
+                for i in range(min(most, len(g))):
                     others = np.flatnonzero(label != label[i])
                     others = others[others > i]
                     others = others[size_fits(n[others], n[i])]
                     gap = bits_apart(bits, i, others)
                     on = gap * (100 + SHARE) <= (n[others] + n[i]) * (100 - SHARE)
-                    if on.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(int(on.sum()), g[i])), pa.array(g[others[on]]), pa.array(gap[on])], names=["a", "b", "gap"])
+                    others, gap = others[on], gap[on]
+                    if nearest:
+                        closer = gap < best[others]
+                        best[others[closer]], center[others[closer]] = gap[closer], i
+                    elif len(others):
+                        yield _pairs(np.full(len(others), g[i]), g[others], gap)
+                found = np.flatnonzero(best < 1 << 62)
+                if len(found):
+                    yield _pairs(g[center[found]], g[found], best[found])
 
     return run
 
 
+def _pairs(a: np.ndarray, b: np.ndarray, gap: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(gap)], names=["a", "b", "gap"])
+
+
 #: Pairs of a set that are verified in the first round; each round takes 16 times as many.
 AT_ONCE = 4
 #: Sets whose ids are broadcast to find their texts; more are joined by a shuffle.
@@ -388,8 +403,11 @@ def _unpack(big: DataFrame) -> DataFrame:
 
 def _star_pairs(large: DataFrame, labels: DataFrame, turn: int) -> DataFrame | None:
     rows = large.join(labels, "skey")
-    mixed = rows.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("k")
-    packed = saved(rows.join(mixed, "k").groupBy("k").agg(F.collect_list(F.struct("skey", "label", "n", "bits")).alias("m")))
+    mixed = rows.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low <> high").select("k", "size")
+    rows = rows.join(mixed, "k")
+    if turn < ONE_BUCKET:
+        rows = rows.join(rows.groupBy("skey").agg(F.max_by("k", F.struct("size", "k")).alias("k")), ["skey", "k"])
+    packed = saved(rows.groupBy("k").agg(F.collect_list(F.struct("skey", "label", "n", "bits")).alias("m")))
     if packed.isEmpty():
         return None
     return packed.select("m").mapInArrow(_stars(turn), "a long, b long, gap long")
