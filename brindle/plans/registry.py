@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from brindle.plans import state_queries
+from brindle.plans import raster_queries, state_queries, workflow_queries
 
-MODULES = (state_queries,)
+MODULES = (state_queries, raster_queries, workflow_queries)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
 FLAGSHIP = "list_projects_page"
