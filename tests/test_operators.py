@@ -1,5 +1,4 @@
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from brindle.functions import colour
