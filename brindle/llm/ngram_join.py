@@ -34,10 +34,10 @@ from brindle.llm.saved import saved
 SHINGLE = 5
 #: Similarity of a link: intersection / union >= SHARE / 100.
 SHARE = 75
-CELLS = 1 << 21
+CELLS = 1 << 22
 SEGMENTS = 16
-#: A cell that counts fewer documents than this has the lowest level.
-COMMON = 64
+#: A cell has the lowest level while it counts no more than the mean cell, its noise and this.
+COMMON = 16
 ALL_PAIRS = 32
 
 MEMBERS = "doc_id long, n long, skey long, gkey long, bits binary"
@@ -104,12 +104,12 @@ def _add_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def levels(texts: DataFrame) -> np.ndarray:
-    """Level of frequency of each cell, from the shingles of all documents; 2 MB, whatever the input."""
+    """Level of frequency of each cell, from the shingles of all documents; 4 MB, whatever the input."""
     summed = texts.mapInArrow(_count_cells, "segment int, counts binary").repartition(SEGMENTS, "segment").mapInArrow(_add_cells, "segment int, total long, levels binary")
     counts = np.zeros(CELLS, np.int64)
     for row in summed.select("segment", "levels").toLocalIterator():
         counts.reshape(SEGMENTS, -1)[row.segment] = np.frombuffer(row.levels, np.int64)
-    base = max(COMMON, 4 * int(counts.mean()))
+    base = counts.mean() + 8 * np.sqrt(counts.mean()) + COMMON
     return np.ceil(np.log2(np.maximum(counts / base, 1))).astype(np.uint8)
 
 
@@ -347,9 +347,9 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     bucketed = saved(probes.repartition(n, "bucket").mapInArrow(_group_pairs, BUCKETED))
 
     per_group = sets.groupBy("gkey").agg(F.count("*").alias("sets_in_group"))
-    crowded = sets.join(per_group.where(F.col("sets_in_group") > ALL_PAIRS), "gkey").select(F.col("gkey").alias("k"), "skey", "n", "bits")
+    crowded = sets.join(per_group.where(F.col("sets_in_group") > ALL_PAIRS), "gkey").select(F.col("gkey").alias("k"), "skey")
     big = _unpack(bucketed.where("bucket IS NOT NULL").select("bucket").distinct())
-    large = saved(big.join(sets.select("gkey", "skey", "n", "bits"), "gkey").select("k", "skey", "n", "bits").unionByName(crowded))
+    large = saved(big.join(sets.select("gkey", "skey"), "gkey").select("k", "skey").unionByName(crowded))
 
     between = bucketed.where("a IS NOT NULL").select("a", "b").distinct()
     by = lambda s, key, name: sets.select(F.col(key).alias(name), *(F.col(c).alias(f"{c}_{s}") for c in ("skey", "n", "bits") if c != key))
@@ -364,7 +364,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     open_pairs = near(expanded.unionByName(within))
     held: list[DataFrame] = []
     while True:
-        stars = _star_pairs(large, labels, turn) if turn < len(TURNS) else None
+        stars = _star_pairs(large, labels, sets, turn) if turn < len(TURNS) else None
         turn += 1
         now = saved(_crossing(open_pairs if stars is None else open_pairs.unionByName(stars), labels, tried))
         if now.isEmpty():
@@ -401,12 +401,13 @@ def _unpack(big: DataFrame) -> DataFrame:
     return big.select(F.xxhash64("bucket").alias("k"), "bucket").mapInArrow(run, "k long, gkey long")
 
 
-def _star_pairs(large: DataFrame, labels: DataFrame, turn: int) -> DataFrame | None:
+def _star_pairs(large: DataFrame, labels: DataFrame, sets: DataFrame, turn: int) -> DataFrame | None:
     rows = large.join(labels, "skey")
     mixed = rows.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low <> high").select("k", "size")
     rows = rows.join(mixed, "k")
     if turn < ONE_BUCKET:
         rows = rows.join(rows.groupBy("skey").agg(F.max_by("k", F.struct("size", "k")).alias("k")), ["skey", "k"])
+    rows = rows.join(sets.select("skey", "n", "bits"), "skey")
     packed = saved(rows.groupBy("k").agg(F.collect_list(F.struct("skey", "label", "n", "bits")).alias("m")))
     if packed.isEmpty():
         return None
