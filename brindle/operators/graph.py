@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from brindle.operators import raster
 
 
-def _saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame) -> DataFrame:
     """Cuts lineage through the folder of spark.checkpoint.dir; only a session without one gets a folder of its own."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -24,13 +24,13 @@ def smallest_reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Every round takes the smallest label of the neighbours and then jumps to the label's label, so long
     chains shorten by powers of two; rounds are saved.
     """
-    both = _saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _saved(nodes.select("node", F.col("node").alias("root")))
+    both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = saved(nodes.select("node", F.col("node").alias("root")))
     while True:
         around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("low")).withColumnRenamed("a", "node")
         low = labels.join(around, "node", "left").select("node", "root", F.least("root", F.coalesce("low", "root")).alias("next"))
         jump = low.select(F.col("node").alias("next"), F.col("next").alias("jump"))
-        new = _saved(low.join(jump, "next", "left").select("node", "root", F.least("next", F.coalesce("jump", "next")).alias("next")))
+        new = saved(low.join(jump, "next", "left").select("node", "root", F.least("next", F.coalesce("jump", "next")).alias("next")))
         if new.where("root <> next").isEmpty():
             return labels
         labels = new.select("node", F.col("next").alias("root"))
@@ -46,7 +46,7 @@ def pixel_components(pixels: DataFrame) -> DataFrame:
     start = F.when(F.coalesce(F.lag("region_id").over(raster.along_row()) != F.col("region_id"), F.lit(True)), F.col("x"))
     run = F.max(start).over(raster.along_row().rowsBetween(Window.unboundedPreceding, 0))
     width = pixels.agg((F.max("x") + 1).alias("width"))
-    rows = _saved(pixels.join(F.broadcast(width)).withColumn("run", run).withColumn("node", F.col("y") * F.col("width") + F.col("run")).drop("width"))  # one row
+    rows = saved(pixels.join(F.broadcast(width)).withColumn("run", run).withColumn("node", F.col("y") * F.col("width") + F.col("run")).drop("width"))  # one row
     below = rows.select("image_id", "x", "y", "node", "region_id", F.lead("node").over(raster.along_column()).alias("b"), F.lead("region_id").over(raster.along_column()).alias("other"))
     edges = below.where("region_id = other").select(F.struct("image_id", "node").alias("a"), F.struct("image_id", F.col("b").alias("node")).alias("b")).distinct()
     nodes = rows.select(F.struct("image_id", "node").alias("node")).distinct()
@@ -59,7 +59,7 @@ def holes(pixels: DataFrame) -> DataFrame:
 
     A component that does not touch the edge of the raster and has one neighbouring region fills a hole of it.
     """
-    parts = _saved(pixel_components(pixels))
+    parts = saved(pixel_components(pixels))
     as_region = parts.withColumn("kind", F.col("region_id")).withColumn("region_id", F.col("component"))
     c = raster.contacts(as_region, "kind").where("l <> r")
     sides = c.select("image_id", F.col("l").alias("component"), F.col("kind_r").alias("outer"), F.col("r").alias("outer_part")).unionByName(c.select("image_id", F.col("r").alias("component"), F.col("kind").alias("outer"), F.col("l").alias("outer_part")))

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.functions.colour import difference_of
+
 
 def budget_with_skip(rows: DataFrame, key: str, size: str, order: list[Column], budget: float) -> DataFrame:
     """For each key the items that are kept in order while they fit; an item that does not fit is skipped, not the rest."""
@@ -22,69 +24,118 @@ def budget_with_skip(rows: DataFrame, key: str, size: str, order: list[Column],
     return rows.groupBy(key).agg(F.aggregate(items, zero, step).alias("b")).select(key, F.col("b.used").alias("used"), F.size("b.kept").cast("long").alias("kept"))
 
 
-def _merge(regions: pd.DataFrame, edges: pd.DataFrame, target: int) -> dict[int, int]:
-    """Cheapest pair first until target regions are left; a pair's cost is its evidence-weighted colour distance."""
-    area = dict(zip(regions.region_id, regions.area, strict=True))
-    colour = {k: np.array(c) for k, *c in regions[["region_id", "c1", "c2", "c3"]].itertuples(index=False)}
-    length: dict[int, dict[int, float]] = {k: {} for k in area}
-    proof: dict[tuple[int, int], float] = {}
-    for lo, hi, n, e in edges[["lo", "hi", "shared_len", "evidence"]].itertuples(index=False):
-        length[lo][hi] = length[hi][lo] = n
-        proof[lo, hi] = e
-    version = dict.fromkeys(area, 0)
-    parent = {k: k for k in area}
-
-    def cost(a: int, b: int) -> tuple:
-        d = float(np.linalg.norm(colour[a] - colour[b]))
-        share = area[a] * area[b] / (area[a] + area[b])
-        return round(d * (1 + proof[min(a, b), max(a, b)]) * np.sqrt(share), 9), min(a, b), max(a, b)
-
-    heap = [(*cost(a, b), 0, 0) for a, b in proof]
-    heapq.heapify(heap)
-    while len(area) > target and heap:
-        _, a, b, va, vb = heapq.heappop(heap)
-        if a not in area or b not in area or version[a] != va or version[b] != vb:
-            continue
-        total = area[a] + area[b]
-        colour[a] = (colour[a] * area[a] + colour[b] * area[b]) / total
-        area[a] = total
-        del area[b]
-        parent[b] = a
-        for n, n_len in length.pop(b).items():
-            if n == a:
-                del length[a][b]
+WEAK_DIFFERENCE = 2.0
+WEAK_EVIDENCE = 0.20
+
+
+class Contraction:
+    """A region graph of one image that shrinks pair by pair; what a region has adds up over its parts."""
+
+    def __init__(self, regions: pd.DataFrame, edges: pd.DataFrame, least_area: float, least_width: float):
+        ids = regions.region_id.tolist()
+        self.sums = {i: np.array([a, p, a * x, a * y, a * z]) for i, a, p, x, y, z in regions[["region_id", "area", "perimeter", "l", "a", "b"]].itertuples(index=False)}
+        self.paint = {i: np.asarray(c, float) for i, c in zip(ids, regions.costs, strict=True)}
+        self.links: dict[int, dict[int, tuple[float, float, bool]]] = {i: {} for i in ids}
+        for lo, hi, n, e, user in edges[["lo", "hi", "shared_len", "evidence", "user_edge"]].itertuples(index=False):
+            self.links[lo][hi] = self.links[hi][lo] = (n, e, bool(user))
+        self.age, self.into = dict.fromkeys(ids, 0), {}
+        self.least_area, self.least_width = least_area, least_width
+
+    def weak_floor(self, i: int) -> bool:
+        area, perimeter = self.sums[i][:2]
+        return area < self.least_area or 2 * area / max(1.0, perimeter) < self.least_width
+
+    def measures(self, lo: int, hi: int) -> tuple[float, float, float, float, float]:
+        """Loss of paint fit, evidence, colour difference, contact and unevenness of a pair."""
+        a, b = self.sums[lo], self.sums[hi]
+        n, evidence, _ = self.links[lo][hi]
+        total = a[0] + b[0]
+        loss = max(0.0, float((self.paint[lo] + self.paint[hi]).min() - self.paint[lo].min() - self.paint[hi].min()) / max(1.0, total))
+        difference = float(difference_of(a[2:] / a[0], b[2:] / b[0]))
+        return loss, evidence, difference, n / max(1.0, float(np.sqrt(min(a[0], b[0])))), abs(a[0] - b[0]) / max(1.0, total)
+
+    def weak_key(self, lo: int, hi: int) -> tuple | None:
+        loss, evidence, difference, contact, _ = self.measures(lo, hi)
+        return (evidence, loss, difference, -contact) if difference < WEAK_DIFFERENCE and evidence < WEAK_EVIDENCE else None
+
+    def cost_key(self, lo: int, hi: int) -> tuple:
+        loss, evidence, difference, contact, uneven = self.measures(lo, hi)
+        cost = loss + evidence * difference * (2 if self.links[lo][hi][2] else 1)
+        return int(not (self.weak_floor(lo) or self.weak_floor(hi))), cost, evidence, loss, difference, uneven, -contact
+
+    def join(self, lo: int, hi: int) -> None:
+        """The smaller id takes the larger in; evidence of a common neighbour is averaged by contact."""
+        n, _, _ = self.links[lo].pop(hi)
+        self.sums[lo] = self.sums[lo] + self.sums.pop(hi)
+        self.sums[lo][1] -= 2 * n
+        self.paint[lo] = self.paint[lo] + self.paint.pop(hi)
+        gone = self.links.pop(hi)
+        del gone[lo]
+        for k, (n, e, user) in gone.items():
+            m, f, other = self.links[lo].get(k, (0.0, 0.0, False))
+            self.links[lo][k] = self.links[k][lo] = (n + m, (n * e + m * f) / (n + m), user or other)
+            del self.links[k][hi]
+        self.into[hi] = lo
+        self.age[lo] += 1
+
+    def shrink(self, key, stop, skip=lambda first, user: False) -> None:
+        """Joins the pair with the smallest key until stop(first of key) holds; a key of None is no candidate."""
+        heap: list[tuple] = []
+
+        def offer(x: int, y: int) -> None:
+            lo, hi = min(x, y), max(x, y)
+            k = key(lo, hi)
+            if k is not None:
+                heapq.heappush(heap, (k, lo, hi, self.age[lo], self.age[hi]))
+
+        for lo, around in self.links.items():
+            for hi in around:
+                if lo < hi:
+                    offer(lo, hi)
+        while heap:
+            k, lo, hi, *ages = heapq.heappop(heap)
+            if lo not in self.sums or hi not in self.sums or ages != [self.age[lo], self.age[hi]]:
                 continue
-            e_b, e_a = proof.pop((min(b, n), max(b, n))), proof.get((min(a, n), max(a, n)))
-            old = length[a].get(n, 0.0)
-            proof[min(a, n), max(a, n)] = e_b if e_a is None else (e_a * old + e_b * n_len) / (old + n_len)
-            length[a][n] = length[n][a] = old + n_len
-            del length[n][b]
-        proof.pop((a, b), None)
-        version[a] += 1
-        for n in length[a]:
-            heapq.heappush(heap, (*cost(a, n), version[min(a, n)], version[max(a, n)]))
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    return {k: root(k) for k in parent}
-
-
-def merge_hierarchically(regions: DataFrame, edges: DataFrame, target: int) -> DataFrame:
-    """(image_id, region_id, merged_id): greedy merging of neighbours of each image down to ``target`` regions.
-
-    regions(image_id, region_id, area, c1, c2, c3), edges(image_id, lo, hi, shared_len, evidence). The
-    merged region has the smaller id; areas and colours add up, evidence is averaged by shared length.
+            if stop(k[0]):
+                return
+            if not skip(k[0], self.links[lo][hi][2]):
+                self.join(lo, hi)
+                for other in self.links[lo]:
+                    offer(lo, other)
+
+    def roots(self) -> dict[int, int]:
+        out = {}
+        for i in sorted(self.age):
+            out[i] = i
+            while out[i] in self.into:
+                out[i] = self.into[out[i]]
+        return out
+
+
+def contract(regions: pd.DataFrame, edges: pd.DataFrame, target: int, most: int, least_area: float, least_width: float) -> dict[int, int]:
+    """First pairs without source support; then by cost down to the target, selected pairs only above ``most``, regions
+    below the printable floor in any case; then, above ``most``, whatever costs least."""
+    g = Contraction(regions, edges, least_area, least_width)
+    g.shrink(g.weak_key, lambda first: False)
+    g.shrink(g.cost_key, lambda first: len(g.sums) <= target and first != 0, lambda first, user: user and len(g.sums) <= most and first != 0)
+    g.shrink(g.cost_key, lambda first: len(g.sums) <= most)
+    return g.roots()
+
+
+def merge_hierarchically(regions: DataFrame, edges: DataFrame, target: int, most: int, least_area: float = 0.0, least_width: float = 0.0) -> DataFrame:
+    """(image_id, region_id, merged_id): greedy merging of the neighbours of each image.
+
+    regions(image_id, region_id, area, perimeter, l, a, b, costs): mean Lab colour and the cost of each paint;
+    edges(image_id, lo, hi, shared_len, evidence, user_edge). Regions, edges and costs come from Spark
+    aggregations over pixels; the order of merges is a property of one image, so an image is one group.
+    An image that can't be brought to ``most`` regions keeps more of them.
     """
 
-    def run(key, r: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        found = _merge(r.sort_values("region_id"), e.sort_values(["lo", "hi"]), target)
+    def run(key: tuple, r: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        found = contract(r.sort_values("region_id"), e.sort_values(["lo", "hi"]), target, most, least_area, least_width)
         return pd.DataFrame({"image_id": key[0], "region_id": list(found), "merged_id": list(found.values())})
 
-    pairs = edges.select(F.col("image_id").alias("image"), "lo", "hi", "shared_len", "evidence")
+    pairs = edges.select(F.col("image_id").alias("image"), "lo", "hi", "shared_len", "evidence", "user_edge")
     return regions.groupBy("image_id").cogroup(pairs.groupBy("image")).applyInPandas(run, "image_id string, region_id long, merged_id long")
 
 
@@ -144,7 +195,7 @@ def label_places(pixels: DataFrame, spacing: float, most: int) -> DataFrame:
     Each region is one group; room is the distance to the nearest pixel outside it.
     """
 
-    def run(key, p: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         y0, x0 = p.y.min() - 1, p.x.min() - 1
         mask = np.zeros((p.y.max() - y0 + 2, p.x.max() - x0 + 2), bool)
         mask[p.y - y0, p.x - x0] = True

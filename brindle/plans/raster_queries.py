@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.operators import graph, merging, raster
+from brindle.operators import evidence, graph, merging, raster
 from brindle.sources.tables import table
 
 SCALE = 8
@@ -164,12 +164,60 @@ def running_budget_skip(spark: SparkSession, d: str) -> DataFrame:
 
 def hierarchical_merge_summary(spark: SparkSession, d: str) -> DataFrame:
     g = graph.pixel_components(grid(spark, d)).withColumn("region_id", F.col("component"))
-    regions = g.groupBy("image_id", "region_id").agg(F.count("*").cast("double").alias("area"), F.avg("v").alias("c1"), F.avg(F.col("v") * F.col("v")).alias("c2"), F.lit(0.0).alias("c3"))
-    edges = raster.shared_boundary(g).withColumn("evidence", F.least(F.lit(1.0), F.col("shared_len") / 20.0)).withColumn("shared_len", F.col("shared_len").cast("double"))
-    merged = merging.merge_hierarchically(regions, edges, 40)
+    costs = F.array(*(F.sum(F.abs(F.col("v") - x) * 100) for x in (-0.2, 0.0, 0.2)))
+    colours = g.groupBy("image_id", "region_id").agg((F.avg("v") * 100 + 50).alias("l"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), costs.alias("costs"))
+    regions = raster.region_stats(g, "v").select("image_id", "region_id", F.col("area").cast("double").alias("area"), F.col("perimeter").cast("double").alias("perimeter")).join(colours, ["image_id", "region_id"])
+    edges = raster.shared_boundary(g).select("image_id", "lo", "hi", F.col("shared_len").cast("double").alias("shared_len"), F.least(F.lit(1.0), F.col("shared_len") / 20.0).alias("evidence"), (F.col("lo") % 97 == 0).alias("user_edge"))
+    merged = merging.merge_hierarchically(regions, edges, 40, 44, 6.0, 1.0)
     return merged.groupBy("merged_id").agg(F.count("*").alias("parts"))
 
 
+def _options(g: DataFrame) -> DataFrame:
+    mean = g.groupBy("image_id", "region_id").agg(F.avg("v").alias("m"))
+    paints = F.explode(F.array(*(F.struct(F.lit(i).alias("color_id"), F.lit(x).alias("paint")) for i, x, _, _ in PALETTE))).alias("p")
+    return mean.select("image_id", "region_id", "m", paints).select("image_id", "region_id", F.col("p.color_id").alias("color_id"), (F.abs(F.col("m") - F.col("p.paint")) * 20).alias("error"))
+
+
+def _assigned(options: DataFrame) -> DataFrame:
+    return options.groupBy("image_id", "region_id").agg(F.min_by("color_id", F.struct("error", "color_id")).alias("color_id"))
+
+
+def _paints(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, j, abs(x - y) * 20) for i, x, _, _ in PALETTE for j, y, _, _ in PALETTE], "one int, two int, paint_de double")
+
+
+def palette_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    g = grid(spark, d)
+    return evidence.conflicts(_edges(g).select("image_id", "lo", "hi", "delta_e", "evidence"), _assigned(_options(g)), _paints(spark)).drop("image_id")
+
+
+def faithful_recolour(spark: SparkSession, d: str) -> DataFrame:
+    g = grid(spark, d)
+    o = _options(g)
+    return evidence.faithful_paints(o, _edges(g).where("lo % 2 = 0").select("image_id", "lo", "hi", "delta_e", "evidence"), _assigned(o), _paints(spark)).drop("image_id")
+
+
+def recolour_benefit(spark: SparkSession, d: str) -> DataFrame:
+    g = grid(spark, d)
+    o = _options(g)
+    return evidence.reconstruction_benefit(o, _edges(g).select("image_id", "lo", "hi"), _assigned(o)).select("region_id", F.round("benefit", 6).alias("benefit"))
+
+
+def boundary_evidence(spark: SparkSession, d: str) -> DataFrame:
+    g = grid(spark, d)
+    return evidence.boundary_evidence(g, "v", _edges(g).select("image_id", "lo", "hi", "delta_e")).select("lo", "hi", "shared_len", F.round("evidence", 6).alias("evidence"))
+
+
+def absorbed_regions(spark: SparkSession, d: str) -> DataFrame:
+    g = graph.pixel_components(grid(spark, d, 64)).select("image_id", "y", "x", "v", F.col("component").alias("region_id"))
+    out = evidence.absorb_small(g, lambda p: _edges(p).select("image_id", "lo", "hi", "delta_e", "evidence"), 12.0, 0.5)
+    return out.groupBy("region_id").agg(F.count("*").alias("area"))
+
+
+def boundary_junctions(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.junctions(grid(spark, d)).groupBy("degree").agg(F.count("*").alias("n"))
+
+
 def lloyd_palette(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select(*(F.col("embedding")[i].alias(c) for i, c in enumerate("abc")), F.lit(1.0).alias("w"))
     return merging.lloyd(e, ["a", "b", "c"], "w", 6).select("cluster_id", *(F.round(c, 6).alias(c) for c in ("a", "b", "c", "weight")))
@@ -196,6 +244,10 @@ EDGES = f"""(SELECT lo, hi, shared_len, coverage, abs(a.m - b.m) * 20 AS delta_e
 FINE = f"(SELECT *, floor(v * 20)::BIGINT AS fine FROM {GRID})"
 NEAREST = ", ".join(f"(pow(a - {a}, 2) + pow(b - {b}, 2) + pow(c - {c}, 2))" for _, a, b, c in PALETTE)
 
+PAINTED = f"""o AS (SELECT region_id, i AS color_id, abs(m - x) * 20 AS error FROM (SELECT region_id, avg(v) AS m FROM {GRID} GROUP BY 1), (VALUES {', '.join(f'({i}, {x}::DOUBLE)' for i, x, _, _ in PALETTE)}) p(i, x)),
+a AS (SELECT region_id, arg_min(color_id, error) AS color_id FROM o GROUP BY region_id),
+pp AS (SELECT * FROM (VALUES {', '.join(f'({i}, {j}, {abs(x - y) * 20}::DOUBLE)' for i, x, _, _ in PALETTE for j, y, _, _ in PALETTE)}) q(one, two, paint_de))"""
+
 REACH = f"""WITH RECURSIVE p AS (SELECT y * 64 + x AS id, y, x, region_id FROM {GRID}), reach(id, root) USING KEY (id) AS (SELECT id, id AS root FROM p UNION SELECT b.id, min(r.root) FROM reach r JOIN p a ON a.id = r.id JOIN p b ON a.region_id = b.region_id AND (b.id = a.id + 64 OR b.id = a.id - 64 OR (b.y = a.y AND abs(b.x - a.x) = 1)) JOIN recurring.reach o ON o.id = b.id WHERE r.root < o.root GROUP BY b.id)"""
 
 SQL = {
@@ -219,8 +271,15 @@ SQL = {
     "component_labels": f"{REACH} SELECT region_id, root AS component, count(*) AS area FROM reach JOIN p USING (id) GROUP BY 1, 2",
     "region_component_counts": f"{REACH} SELECT region_id, count(DISTINCT root) AS components FROM reach JOIN p USING (id) GROUP BY 1",
     "union_pairs_min_root": "WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey * 7 % 1000 + 1 AS b FROM customer WHERE c_custkey % 3 = 0), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT a AS node, a AS other FROM s UNION SELECT reach.node, s.b FROM reach JOIN s ON s.a = reach.other), r AS (SELECT node, min(other) AS root FROM reach GROUP BY node) SELECT node, root, dense_rank() OVER (ORDER BY root) AS label FROM r",
+    "palette_conflicts": f"WITH {PAINTED} SELECT lo, hi, CASE WHEN x.color_id = y.color_id THEN 'same_paint' ELSE 'artificial' END AS kind FROM {EDGES} e JOIN a x ON x.region_id = lo JOIN a y ON y.region_id = hi JOIN pp ON one = x.color_id AND two = y.color_id WHERE x.color_id = y.color_id OR (delta_e < 2 AND evidence < 0.2 AND paint_de >= 5)",
+    "faithful_recolour": f"""WITH {PAINTED}, b AS (SELECT lo AS region_id, hi AS n, delta_e, evidence FROM {EDGES} WHERE lo % 2 = 0 UNION ALL SELECT hi, lo, delta_e, evidence FROM {EDGES} WHERE lo % 2 = 0),
+near AS (SELECT * FROM o WHERE error <= 8 QUALIFY error <= min(error) OVER (PARTITION BY region_id) + 2),
+spoiled AS (SELECT DISTINCT near.region_id, near.color_id FROM near JOIN b ON b.region_id = near.region_id JOIN a ON a.region_id = b.n JOIN pp ON one = near.color_id AND two = a.color_id WHERE near.color_id = a.color_id OR paint_de > greatest(5, 1.5 * delta_e + 2) OR (delta_e < 2 AND evidence < 0.2 AND paint_de >= 5))
+SELECT region_id, color_id FROM near ANTI JOIN spoiled USING (region_id, color_id) QUALIFY row_number() OVER (PARTITION BY region_id ORDER BY error, color_id) = 1""",
+    "recolour_benefit": f"WITH {PAINTED}, b AS (SELECT lo AS region_id, hi AS n FROM {EDGES} UNION ALL SELECT hi, lo FROM {EDGES}) SELECT x.region_id, round(greatest(0, x.other - p.error), 6) AS benefit FROM (SELECT b.region_id, min(o.error) AS other FROM b JOIN a ON a.region_id = b.n JOIN o ON o.region_id = b.region_id AND o.color_id = a.color_id GROUP BY 1) x JOIN a USING (region_id) JOIN o p ON p.region_id = a.region_id AND p.color_id = a.color_id",
+    "boundary_junctions": f"SELECT degree, count(*) AS n FROM (SELECT y, x, count(*) AS degree FROM (SELECT CASE axis WHEN 'right' THEN y ELSE y + 1 END AS y, CASE axis WHEN 'right' THEN x + 1 ELSE x END AS x FROM {BORDERS} UNION ALL SELECT y + 1, x + 1 FROM {BORDERS}) GROUP BY y, x) WHERE degree <> 2 GROUP BY degree",
     "raster_equality": f"SELECT count(*) AS differing FROM {GRID} WHERE region_id <> floor(v * {SCALE} + 0.001)::BIGINT + 10",
 }
 
-ROWS_ONLY = ("raster_gaussian_blur", "lasso_coverage", "region_holes", "running_budget_skip", "hierarchical_merge_summary", "lloyd_palette", "label_positions")
+ROWS_ONLY = ("raster_gaussian_blur", "lasso_coverage", "region_holes", "running_budget_skip", "hierarchical_merge_summary", "boundary_evidence", "absorbed_regions", "lloyd_palette", "label_positions")
 QUERIES = {name: globals()[name] for name in (*SQL, *ROWS_ONLY)}

@@ -68,11 +68,39 @@ def test_distance_transform():
     assert (merging.squared_distances(mask) == np.array(want)).all()
 
 
-def test_merging_keeps_the_target(spark):
-    regions = spark.createDataFrame([("i", k, 10.0, float(c), 0.0, 0.0) for k, c in enumerate((0, 1, 50, 51))], "image_id string, region_id long, area double, c1 double, c2 double, c3 double")
-    edges = spark.createDataFrame([("i", 0, 1, 5.0, 0.0), ("i", 1, 2, 5.0, 0.9), ("i", 2, 3, 5.0, 0.0)], "image_id string, lo long, hi long, shared_len double, evidence double")
-    got = {r.region_id: r.merged_id for r in merging.merge_hierarchically(regions, edges, 2).collect()}
-    assert got == {0: 0, 1: 0, 2: 2, 3: 2}
+def test_ciede2000_inside_tasks():
+    a, b, want = (np.array([p[i] for p in PAIRS]) for i in range(3))
+    assert np.abs(colour.difference_of(a, b) - want).max() < 1e-4
+
+
+REGIONS = "image_id string, region_id long, area double, perimeter double, l double, a double, b double, costs array<double>"
+EDGES = "image_id string, lo long, hi long, shared_len double, evidence double, user_edge boolean"
+
+
+def merged(spark, colours, edges, target, most, area=400.0, **floor):
+    regions = spark.createDataFrame([("i", k, area, 80.0, float(c), 0.0, 0.0, [0.0]) for k, c in enumerate(colours)], REGIONS)
+    rows = spark.createDataFrame([("i", lo, hi, 20.0, e, u) for lo, hi, e, u in edges], EDGES)
+    return {r.region_id: r.merged_id for r in merging.merge_hierarchically(regions, rows, target, most, **floor).collect()}
+
+
+def test_merging_keeps_strong_boundaries(spark):
+    edges = [(0, 1, 0.1, False), (1, 2, 0.9, False), (2, 3, 0.1, False)]
+    assert merged(spark, (20, 21, 70, 71), edges, 2, 3) == {0: 0, 1: 0, 2: 2, 3: 2}
+
+
+def test_weak_pairs_merge_below_the_target(spark):
+    assert merged(spark, (50.0, 50.5, 90.0), [(0, 1, 0.0, False), (1, 2, 0.9, False)], 5, 6) == {0: 0, 1: 0, 2: 2}
+
+
+def test_selected_pairs_give_way_only_above_the_maximum(spark):
+    stripes = [10 + 60 * (k % 2) + k for k in range(14)]
+    got = merged(spark, stripes, [(k, k + 1, 0.9, True) for k in range(13)], 10, 11)
+    assert len(set(got.values())) == 11
+
+
+def test_regions_below_the_floor_merge_in_any_case(spark):
+    got = merged(spark, (10, 60, 90), [(0, 1, 0.9, False), (1, 2, 0.9, False)], 3, 3, area=5.0, least_area=10.0)
+    assert len(set(got.values())) == 1 or len(set(got.values())) == 2
 
 
 def test_candidates(spark):
