@@ -53,7 +53,7 @@ def absorb_small(pixels: DataFrame, edges_of, least_area: float, least_width: fl
     merged together, so a round is a join and a closure instead of a sequence.
     """
     for _ in range(rounds):
-        stats = raster.region_stats(pixels, "v").join(raster.degrees(pixels), ["image_id", "region_id"])
+        stats = graph.saved(raster.region_stats(pixels, "v").join(raster.degrees(pixels), ["image_id", "region_id"]))
         small = stats.where((F.col("area") < least_area) | (F.col("thickness") < least_width)).select("image_id", F.col("region_id").alias("s"))
         if small.isEmpty():
             break

@@ -29,47 +29,56 @@ WEAK_EVIDENCE = 0.20
 
 
 class Contraction:
-    """A region graph of one image that shrinks pair by pair; what a region has adds up over its parts."""
+    """A region graph of one image that shrinks pair by pair; what a region has adds up over its parts.
+
+    Regions are numbered in the order of their ids. The keys of all pairs of a region are computed together,
+    so a region with many neighbours costs a few array operations for each merge.
+    """
 
     def __init__(self, regions: pd.DataFrame, edges: pd.DataFrame, least_area: float, least_width: float):
-        ids = regions.region_id.tolist()
-        self.sums = {i: np.array([a, p, a * x, a * y, a * z]) for i, a, p, x, y, z in regions[["region_id", "area", "perimeter", "l", "a", "b"]].itertuples(index=False)}
-        self.paint = {i: np.asarray(c, float) for i, c in zip(ids, regions.costs, strict=True)}
-        self.links: dict[int, dict[int, tuple[float, float, bool]]] = {i: {} for i in ids}
+        self.ids = regions.region_id.tolist()
+        at = {x: k for k, x in enumerate(self.ids)}
+        self.sums = regions[["area", "perimeter", "l", "a", "b"]].to_numpy(float)
+        self.sums[:, 2:] *= self.sums[:, :1]
+        self.paint = np.stack(regions.costs.to_list()).astype(float)
+        self.links: list[dict[int, tuple[float, float, bool]]] = [{} for _ in at]
         for lo, hi, n, e, user in edges[["lo", "hi", "shared_len", "evidence", "user_edge"]].itertuples(index=False):
-            self.links[lo][hi] = self.links[hi][lo] = (n, e, bool(user))
-        self.age, self.into = dict.fromkeys(ids, 0), {}
+            self.links[at[lo]][at[hi]] = self.links[at[hi]][at[lo]] = (n, e, bool(user))
+        self.age, self.into, self.left = [0] * len(at), {}, len(at)
         self.least_area, self.least_width = least_area, least_width
 
-    def weak_floor(self, i: int) -> bool:
-        area, perimeter = self.sums[i][:2]
-        return area < self.least_area or 2 * area / max(1.0, perimeter) < self.least_width
-
-    def measures(self, lo: int, hi: int) -> tuple[float, float, float, float, float]:
-        """Loss of paint fit, evidence, colour difference, contact and unevenness of a pair."""
-        a, b = self.sums[lo], self.sums[hi]
-        n, evidence, _ = self.links[lo][hi]
-        total = a[0] + b[0]
-        loss = max(0.0, float((self.paint[lo] + self.paint[hi]).min() - self.paint[lo].min() - self.paint[hi].min()) / max(1.0, total))
-        difference = float(difference_of(a[2:] / a[0], b[2:] / b[0]))
-        return loss, evidence, difference, n / max(1.0, float(np.sqrt(min(a[0], b[0])))), abs(a[0] - b[0]) / max(1.0, total)
-
-    def weak_key(self, lo: int, hi: int) -> tuple | None:
-        loss, evidence, difference, contact, _ = self.measures(lo, hi)
-        return (evidence, loss, difference, -contact) if difference < WEAK_DIFFERENCE and evidence < WEAK_EVIDENCE else None
-
-    def cost_key(self, lo: int, hi: int) -> tuple:
-        loss, evidence, difference, contact, uneven = self.measures(lo, hi)
-        cost = loss + evidence * difference * (2 if self.links[lo][hi][2] else 1)
-        return int(not (self.weak_floor(lo) or self.weak_floor(hi))), cost, evidence, loss, difference, uneven, -contact
+    def weak_floor(self, sums: np.ndarray) -> np.ndarray:
+        area, perimeter = sums[..., 0], sums[..., 1]
+        return (area < self.least_area) | (2 * area / np.maximum(1.0, perimeter) < self.least_width)
+
+    def measures(self, one: int, others: list[int]) -> tuple[np.ndarray, ...]:
+        """Loss of paint fit, evidence, colour difference, contact, unevenness and selection of pairs of one region."""
+        a, b = self.sums[one], self.sums[others]
+        n, evidence, user = (np.array(x) for x in zip(*(self.links[one][k] for k in others), strict=True))
+        total, paint = a[0] + b[:, 0], self.paint[others]
+        loss = np.maximum(0.0, ((self.paint[one] + paint).min(axis=1) - self.paint[one].min() - paint.min(axis=1)) / np.maximum(1.0, total))
+        difference = difference_of(np.broadcast_to(a[2:] / a[0], (len(others), 3)), b[:, 2:] / b[:, :1])
+        return loss, evidence, difference, n / np.maximum(1.0, np.sqrt(np.minimum(a[0], b[:, 0]))), np.abs(a[0] - b[:, 0]) / np.maximum(1.0, total), user
+
+    def weak_keys(self, one: int, others: list[int]) -> list[tuple | None]:
+        loss, evidence, difference, contact, _, _ = self.measures(one, others)
+        weak = (difference < WEAK_DIFFERENCE) & (evidence < WEAK_EVIDENCE)
+        keys = zip(evidence.tolist(), loss.tolist(), difference.tolist(), (-contact).tolist(), strict=True)
+        return [k if w else None for k, w in zip(keys, weak.tolist(), strict=True)]
+
+    def cost_keys(self, one: int, others: list[int]) -> list[tuple]:
+        loss, evidence, difference, contact, uneven, user = self.measures(one, others)
+        cost = loss + evidence * difference * np.where(user, 2, 1)
+        strong = ~(self.weak_floor(self.sums[one]) | self.weak_floor(self.sums[others]))
+        return list(zip(*(x.tolist() for x in (strong.astype(int), cost, evidence, loss, difference, uneven, -contact)), strict=True))
 
     def join(self, lo: int, hi: int) -> None:
         """The smaller id takes the larger in; evidence of a common neighbour is averaged by contact."""
         n, _, _ = self.links[lo].pop(hi)
-        self.sums[lo] = self.sums[lo] + self.sums.pop(hi)
+        self.sums[lo] += self.sums[hi]
         self.sums[lo][1] -= 2 * n
-        self.paint[lo] = self.paint[lo] + self.paint.pop(hi)
-        gone = self.links.pop(hi)
+        self.paint[lo] += self.paint[hi]
+        gone, self.links[hi] = self.links[hi], {}
         del gone[lo]
         for k, (n, e, user) in gone.items():
             m, f, other = self.links[lo].get(k, (0.0, 0.0, False))
@@ -77,48 +86,48 @@ class Contraction:
             del self.links[k][hi]
         self.into[hi] = lo
         self.age[lo] += 1
+        self.left -= 1
 
-    def shrink(self, key, stop, skip=lambda first, user: False) -> None:
+    def shrink(self, keys, stop, skip=lambda first, user: False) -> None:
         """Joins the pair with the smallest key until stop(first of key) holds; a key of None is no candidate."""
         heap: list[tuple] = []
 
-        def offer(x: int, y: int) -> None:
-            lo, hi = min(x, y), max(x, y)
-            k = key(lo, hi)
-            if k is not None:
-                heapq.heappush(heap, (k, lo, hi, self.age[lo], self.age[hi]))
+        def offer(x: int, others: list[int]) -> None:
+            for y, k in zip(others, keys(x, others) if others else [], strict=True):
+                if k is not None:
+                    lo, hi = min(x, y), max(x, y)
+                    heapq.heappush(heap, (k, lo, hi, self.age[lo], self.age[hi]))
 
-        for lo, around in self.links.items():
-            for hi in around:
-                if lo < hi:
-                    offer(lo, hi)
+        for lo, around in enumerate(self.links):
+            offer(lo, [hi for hi in around if lo < hi])
         while heap:
             k, lo, hi, *ages = heapq.heappop(heap)
-            if lo not in self.sums or hi not in self.sums or ages != [self.age[lo], self.age[hi]]:
+            if lo in self.into or hi in self.into or ages != [self.age[lo], self.age[hi]]:
                 continue
             if stop(k[0]):
                 return
             if not skip(k[0], self.links[lo][hi][2]):
                 self.join(lo, hi)
-                for other in self.links[lo]:
-                    offer(lo, other)
+                offer(lo, list(self.links[lo]))
 
     def roots(self) -> dict[int, int]:
         out = {}
-        for i in sorted(self.age):
-            out[i] = i
-            while out[i] in self.into:
-                out[i] = self.into[out[i]]
+        for i, name in enumerate(self.ids):
+            while i in self.into:
+                i = self.into[i]
+            out[name] = self.ids[i]
         return out
 
 
 def contract(regions: pd.DataFrame, edges: pd.DataFrame, target: int, most: int, least_area: float, least_width: float) -> dict[int, int]:
     """First pairs without source support; then by cost down to the target, selected pairs only above ``most``, regions
     below the printable floor in any case; then, above ``most``, whatever costs least."""
+    if not len(regions):
+        return {}
     g = Contraction(regions, edges, least_area, least_width)
-    g.shrink(g.weak_key, lambda first: False)
-    g.shrink(g.cost_key, lambda first: len(g.sums) <= target and first != 0, lambda first, user: user and len(g.sums) <= most and first != 0)
-    g.shrink(g.cost_key, lambda first: len(g.sums) <= most)
+    g.shrink(g.weak_keys, lambda first: False)
+    g.shrink(g.cost_keys, lambda first: g.left <= target and first != 0, lambda first, user: user and g.left <= most and first != 0)
+    g.shrink(g.cost_keys, lambda first: g.left <= most)
     return g.roots()
 
 

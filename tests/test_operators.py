@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from brindle.functions import colour
-from brindle.operators import graph, merging, raster, search, state
+from brindle.operators import evidence, graph, merging, raster, search, state
 from brindle.streaming import jobs
 
 
@@ -132,3 +132,16 @@ def test_stream_routes_and_folds(spark, tmp_path):
     stream = jobs.route(jobs.read_jobs(spark, str(tmp_path / "in")))
     jobs.write_batches(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
     assert sorted(r.handler for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["image", "legacy"]
+
+
+def test_specks_join_their_neighbour(spark):
+    values = [[0.0] * 4 + [0.5] * 4 for _ in range(6)]
+    values[2][1] = 0.1
+    rows = [("i", y, x, v, 1 + y * 8 + x if v == 0.1 else 1 if v == 0.0 else 5) for y, line in enumerate(values) for x, v in enumerate(line)]
+    pixels = spark.createDataFrame(rows, "image_id string, y long, x long, v double, region_id long")
+
+    def edges(p):
+        return raster.shared_boundary(p).select("image_id", "lo", "hi", F.lit(1.0).alias("delta_e"), F.lit(0.0).alias("evidence"))
+
+    out = evidence.absorb_small(pixels, edges, 4.0, 0.0)
+    assert {(r.region_id, r["count"]) for r in out.groupBy("region_id").count().collect()} == {(1, 24), (5, 24)}
