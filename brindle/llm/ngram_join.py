@@ -29,16 +29,18 @@ from pyspark.sql import functions as F
 from brindle.llm import exchange
 from brindle.llm.blocks import LOWER, U64, gram_hashes, mix, packed_strings, ragged, text_bytes, text_words, unpacked, whole_texts
 from brindle.llm.components import components
-from brindle.llm.saved import saved
+from brindle.llm.saved import release, saved
 
 SHINGLE = 5
 #: Similarity of a link: intersection / union >= SHARE / 100.
 SHARE = 75
 CELLS = 1 << 22
 SEGMENTS = 16
-#: A cell has the lowest level while it counts no more than the mean cell, its noise and this.
-COMMON = 16
-ALL_PAIRS = 32
+#: A cell has the lowest level while it counts no more than the mean cell, three times its noise and this. A rare
+#: shingle that shares a cell with others may get a higher level: that moves it in the order and loses nothing.
+COMMON = 4
+#: Buckets and groups of at most so many give all pairs; larger ones are compared in turns.
+ALL_PAIRS = 12
 
 MEMBERS = "doc_id long, n long, skey long, gkey long, bits binary"
 _MEMBERS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("skey", pa.int64()), ("gkey", pa.int64()), ("bits", pa.binary())])
@@ -109,7 +111,7 @@ def levels(texts: DataFrame) -> np.ndarray:
     counts = np.zeros(CELLS, np.int64)
     for row in summed.select("segment", "levels").toLocalIterator():
         counts.reshape(SEGMENTS, -1)[row.segment] = np.frombuffer(row.levels, np.int64)
-    base = counts.mean() + 8 * np.sqrt(counts.mean()) + COMMON
+    base = counts.mean() + 3 * np.sqrt(counts.mean()) + COMMON
     return np.ceil(np.log2(np.maximum(counts / base, 1))).astype(np.uint8)
 
 
@@ -364,6 +366,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     open_pairs = near(expanded.unionByName(within))
     held: list[DataFrame] = []
     while True:
+        release(docs.sparkSession)
         stars = _star_pairs(large, labels, sets, turn) if turn < len(TURNS) else None
         turn += 1
         now = saved(_crossing(open_pairs if stars is None else open_pairs.unionByName(stars), labels, tried))
@@ -404,13 +407,14 @@ def _unpack(big: DataFrame) -> DataFrame:
 def _star_pairs(large: DataFrame, labels: DataFrame, sets: DataFrame, turn: int) -> DataFrame | None:
     rows = large.join(labels, "skey")
     mixed = rows.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low <> high").select("k", "size")
+    mixed = saved(mixed)
+    if mixed.isEmpty():
+        return None
     rows = rows.join(mixed, "k")
     if turn < ONE_BUCKET:
         rows = rows.join(rows.groupBy("skey").agg(F.max_by("k", F.struct("size", "k")).alias("k")), ["skey", "k"])
     rows = rows.join(sets.select("skey", "n", "bits"), "skey")
-    packed = saved(rows.groupBy("k").agg(F.collect_list(F.struct("skey", "label", "n", "bits")).alias("m")))
-    if packed.isEmpty():
-        return None
+    packed = rows.groupBy("k").agg(F.collect_list(F.struct("skey", "label", "n", "bits")).alias("m"))
     return packed.select("m").mapInArrow(_stars(turn), "a long, b long, gap long")
 
 

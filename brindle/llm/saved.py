@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -25,3 +26,9 @@ def saved(df: DataFrame) -> DataFrame:
     """The rows of df, written once to the shared folder and read from there."""
     shared(df.sparkSession)
     return df.checkpoint()
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of rounds that are over: it does so when the driver's garbage is collected, which a small driver program may not do for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
