@@ -15,10 +15,9 @@ from brindle.sources.tables import table
 SCALE = 8
 
 
-def grid(spark: SparkSession, d: str, rows: int | None = None) -> DataFrame:
-    """(image_id, y, x, v, region_id); rows bounds the raster where an operator is checked on a window of it."""
+def grid(spark: SparkSession, d: str) -> DataFrame:
+    """(image_id, y, x, v, region_id) of every pixel."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("y"), F.posexplode("embedding").alias("x", "v"))
-    e = e.where(F.col("y") < rows) if rows else e
     return e.select(F.lit("e").alias("image_id"), "y", F.col("x").cast("long").alias("x"), F.col("v").cast("double").alias("v"), (F.floor(F.col("v") * SCALE) + 10).cast("long").alias("region_id"))
 
 
@@ -134,7 +133,7 @@ POLYGON = [(4.0, 3.0), (50.0, 10.0), (40.0, 60.0), (10.0, 45.0)]
 
 
 def lasso_coverage(spark: SparkSession, d: str) -> DataFrame:
-    g = raster.inside_polygon(grid(spark, d, 64), POLYGON)
+    g = raster.inside_polygon(grid(spark, d), POLYGON)
     g = raster.brushed(g, [(5.0, 5.0, 60.0, 60.0, 6.0, True), (30.0, 0.0, 30.0, 63.0, 4.0, False)], "selected")
     return g.groupBy("y").agg(F.count_if("selected").alias("selected"), F.round(100 * F.avg(F.col("selected").cast("double")), 6).alias("coverage"))
 
