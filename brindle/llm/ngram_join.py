@@ -214,10 +214,10 @@ def _group_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for lo in range(0, len(kept), 1000):
         some = kept[lo : lo + 1000]
         yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64())] * 2 + [pa.array([x[i] for x in some], pa.binary()) for i in (0, 1)], schema=_BUCKETED)
-    left, right = [], []
+    left, right = [g[:0]], [g[:0]]
     small = np.repeat(size * ~big, size)
     index = np.arange(len(h))
-    for step in range(1, ALL_PAIRS):
+    for step in range(1, min(ALL_PAIRS, len(h))):
         i = index[: len(h) - step]
         i = i[(small[: len(h) - step] > step) & (h[: len(h) - step] == h[step:])]
         i = i[size_fits(n[i], n[i + step])]

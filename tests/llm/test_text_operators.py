@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from brindle.llm import ngram_join, packing, piece_sampling, suffix_dedup, token_counts
@@ -164,6 +165,40 @@ def test_ngram_join_of_crowded_buckets(spark, monkeypatch):
     check_join(spark, rows)
 
 
+@pytest.mark.parametrize("size", range(31))
+def test_group_pairs_of_few_probes(size):
+    """A partition with any number of probes, none included."""
+    rng = np.random.default_rng(size)
+    h, g, n = rng.integers(1, 6, size).astype(np.uint64), rng.permutation(size).astype(np.int64), rng.integers(6, 12, size).astype(np.int32)
+    batch = pa.RecordBatch.from_pydict({k: pa.array([v.tobytes()], pa.binary()) for k, v in (("h", h), ("doc", g), ("pos", n))})
+    got = [x for b in ngram_join._group_pairs(iter([batch])) for x in b.to_pylist()]
+    want = {(min(g[i], g[j]), max(g[i], g[j])) for i in range(size) for j in range(i) if h[i] == h[j] and 100 * min(n[i], n[j]) >= 75 * max(n[i], n[j])}
+    crowded = {k for k in h.tolist() if (h == k).sum() > ngram_join.ALL_PAIRS}
+    want = {(a, b) for a, b in want if h[g.tolist().index(a)] not in crowded}
+    assert [(x["a"], x["b"]) for x in got if x["bucket"] is None] == sorted(want)
+    assert sum(x["bucket"] is not None for x in got) == len(crowded)
+
+
+@pytest.mark.parametrize("n_texts", [1, 2, 3])
+def test_ngram_join_of_tiny_tables(spark, n_texts):
+    words = [f"w{i}" for i in range(40)]
+    check_join(spark, list(enumerate([" ".join(words), " ".join(words[:-1] + ["other"]), " ".join(reversed(words))][:n_texts])))
+
+
+def test_ngram_join_of_many_copies(spark):
+    """Copies collapse to a few groups, whose probes are dealt over many partitions."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(200)) for _ in range(20)]
+    rows = [(i, texts[i % 20]) for i in range(4000)]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        got = {r.doc_id: r.component_id for r in join(frame(spark, rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got == {i: i % 20 for i, _ in rows}
+
+
 def test_token_counts(spark, rows):
     library = token_counts.library(token_counts.VOCABULARY)
     want = {i: (len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False))) for i, t in rows}
