@@ -9,12 +9,13 @@ passages out of prefixes.
 1. Documents with equal sets count once. Sets with the same prefix and size form a group, and a group
    sends its prefix once from a task.
 2. Groups that share a prefix shingle meet in its bucket; size bounds filter the pairs of groups. A
-   bucket of many groups gives a star around one of them instead of all pairs.
+   bucket of many groups, a group of many sets and a pair of groups with such a one go on whole, as large buckets.
 3. Pairs of groups are expanded to pairs of sets and filtered by parity bitmaps: the bits in which two
    differ are at most the shingles in which the sets differ.
 4. Pairs are verified by their sets, the nearest few of each set at first; a pair within a component needs
-   no more verification. Large buckets are compared around one member, then around some, then around all,
-   as long as their members are in different components. The result is exact.
+   no more verification. The members of a large bucket are dealt in blocks, and blocks are compared with one
+   member, then with some, then in pairs of blocks, as long as the members are in different components. The
+   result is exact.
 """
 
 from __future__ import annotations
@@ -285,44 +286,45 @@ def bits_apart(bits: list[bytes], one: int, others: np.ndarray) -> np.ndarray:
     return out
 
 
-#: Turns over large buckets: members around which all others are compared, and whether a member is paired
-#: with its nearest of them only. In the first two turns a set is compared in the largest of its buckets.
-TURNS = ((1, True), (32, True), (1 << 62, True), (1 << 62, False))
+#: Turns over large buckets: the members of a bucket with which all others are compared, or None for all, and whether
+#: a member is paired with its nearest of them only. In the first two turns a set is compared in the largest of its
+#: buckets.
+TURNS = ((1, True), (32, True), (None, True), (None, False))
 ONE_BUCKET = 2
+#: Members of a bucket are dealt in blocks of about so many; no row holds more than two blocks.
+BLOCK = 512
 
 
-def _stars(turn: int):
-    """From each large bucket: pairs, between components, that pass the filters."""
-    most, nearest = TURNS[turn]
+def _stars(nearest: bool):
+    """From rows of members m and others c of one bucket: pairs, between components, that pass the filters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.column("m").to_pylist():
-                row.sort(key=lambda x: (x["n"], x["skey"]))
-                g, label, n = (np.array([x[k] for x in row], np.int64) for k in ("skey", "label", "n"))
-                bits = [x["bits"] for x in row]
+            for k, m, c in zip(batch.column("k").to_pylist(), batch.column("m"), batch.column("c"), strict=True):
+                m, c = m.as_py(), c.as_py()
+                g, label, n = (np.array([x[name] for x in m], np.int64) for name in ("skey", "label", "n"))
+                bits = [x["bits"] for x in m] + [x["bits"] for x in c]
                 best, center = np.full(len(g), 1 << 62), np.zeros(len(g), np.int64)
-                for i in range(min(most, len(g))):
-                    others = np.flatnonzero(label != label[i])
-                    others = others[others > i]
-                    others = others[size_fits(n[others], n[i])]
-                    gap = bits_apart(bits, i, others)
-                    on = gap * (100 + SHARE) <= (n[others] + n[i]) * (100 - SHARE)
+                for i, one in enumerate(c):
+                    others = np.flatnonzero(label != one["label"])
+                    others = others[size_fits(n[others], one["n"])]
+                    gap = bits_apart(bits, len(g) + i, others)
+                    on = gap * (100 + SHARE) <= (n[others] + one["n"]) * (100 - SHARE)
                     others, gap = others[on], gap[on]
                     if nearest:
                         closer = gap < best[others]
-                        best[others[closer]], center[others[closer]] = gap[closer], i
+                        best[others[closer]], center[others[closer]] = gap[closer], one["skey"]
                     elif len(others):
-                        yield _pairs(np.full(len(others), g[i]), g[others], gap)
+                        yield _pairs(k, np.full(len(others), one["skey"]), g[others], gap)
                 found = np.flatnonzero(best < 1 << 62)
                 if len(found):
-                    yield _pairs(g[center[found]], g[found], best[found])
+                    yield _pairs(k, center[found], g[found], best[found])
 
     return run
 
 
-def _pairs(a: np.ndarray, b: np.ndarray, gap: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(gap)], names=["a", "b", "gap"])
+def _pairs(k: int, a: np.ndarray, b: np.ndarray, gap: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), k)), pa.array(a), pa.array(b), pa.array(gap)], names=["k", "a", "b", "gap"])
 
 
 #: Pairs of a set that are verified in the first round; each round takes 16 times as many.
@@ -351,9 +353,13 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     per_group = sets.groupBy("gkey").agg(F.count("*").alias("sets_in_group"))
     crowded = sets.join(per_group.where(F.col("sets_in_group") > ALL_PAIRS), "gkey").select(F.col("gkey").alias("k"), "skey")
     big = _unpack(bucketed.where("bucket IS NOT NULL").select("bucket").distinct())
-    large = saved(big.join(sets.select("gkey", "skey"), "gkey").select("k", "skey").unionByName(crowded))
-
     between = bucketed.where("a IS NOT NULL").select("a", "b").distinct()
+    many = per_group.where(F.col("sets_in_group") > ALL_PAIRS)
+    of_many = lambda s: between.join(many.select(F.col("gkey").alias(s)), s, "left_semi")
+    with_crowd = of_many("a").unionByName(of_many("b")).distinct().select(F.xxhash64("a", "b").alias("k"), F.explode(F.array("a", "b")).alias("gkey"))
+    between = between.join(many.select(F.col("gkey").alias("a")), "a", "left_anti").join(many.select(F.col("gkey").alias("b")), "b", "left_anti")
+    large = saved(big.unionByName(with_crowd).join(sets.select("gkey", "skey"), "gkey").select("k", "skey").unionByName(crowded).distinct())
+
     by = lambda s, key, name: sets.select(F.col(key).alias(name), *(F.col(c).alias(f"{c}_{s}") for c in ("skey", "n", "bits") if c != key))
     columns = ["n_a", "n_b", "bits_a", "bits_b"]
     expanded = between.join(by("a", "gkey", "a"), "a").join(by("b", "gkey", "b"), "b").select(F.col("skey_a").alias("a"), F.col("skey_b").alias("b"), *columns)
@@ -405,6 +411,7 @@ def _unpack(big: DataFrame) -> DataFrame:
 
 
 def _star_pairs(large: DataFrame, labels: DataFrame, sets: DataFrame, turn: int) -> DataFrame | None:
+    """Pairs from the large buckets whose members are in different components; the others have nothing left to compare."""
     rows = large.join(labels, "skey")
     mixed = rows.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low <> high").select("k", "size")
     mixed = saved(mixed)
@@ -413,9 +420,43 @@ def _star_pairs(large: DataFrame, labels: DataFrame, sets: DataFrame, turn: int)
     rows = rows.join(mixed, "k")
     if turn < ONE_BUCKET:
         rows = rows.join(rows.groupBy("skey").agg(F.max_by("k", F.struct("size", "k")).alias("k")), ["skey", "k"])
-    rows = rows.join(sets.select("skey", "n", "bits"), "skey")
-    packed = rows.groupBy("k").agg(F.collect_list(F.struct("skey", "label", "n", "bits")).alias("m"))
-    return packed.select("m").mapInArrow(_stars(turn), "a long, b long, gap long")
+    rows = rows.select("k", "skey", "label", "size")
+    most, nearest = TURNS[turn]
+    compared = (_around_centers(rows, sets, most, turn) if most else _between_blocks(rows, sets)).mapInArrow(_stars(nearest), "k long, a long, b long, gap long")
+    if nearest and not most:  # of all blocks that a member is compared with
+        compared = compared.groupBy("k", "b").agg(F.min(F.struct("gap", "a")).alias("low")).select("low.a", "b", "low.gap")
+    return compared.select("a", "b", "gap")
+
+
+def _packed(rows: DataFrame, sets: DataFrame, keys: list[str], name: str) -> DataFrame:
+    return rows.join(sets.select("skey", "n", "bits"), "skey").groupBy(*keys).agg(F.collect_list(F.struct("skey", "label", "n", "bits")).alias(name))
+
+
+def _around_centers(rows: DataFrame, sets: DataFrame, most: int, turn: int) -> DataFrame:
+    """(k, m, c): each block of a bucket with the bucket's centers, the smallest key of each of so many slots."""
+    slot = F.pmod(F.xxhash64("skey", F.lit(turn)), F.lit(most))
+    centers = rows.groupBy("k", slot.alias("slot")).agg(F.min("skey").alias("skey")).select("k", "skey").join(rows, ["k", "skey"])
+    n_blocks = F.ceil(F.col("size") / BLOCK).cast("long")
+    members = _packed(rows.withColumn("block", F.pmod(F.xxhash64("skey"), n_blocks)), sets, ["k", "block"], "m")
+    of_bucket = _packed(centers, sets, ["k", "size"], "c").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
+    return members.join(of_bucket.select("k", "block", "c"), ["k", "block"]).select("k", "m", "c")
+
+
+def _between_blocks(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(k, m, c): pairs of blocks of a bucket. A component of many members has blocks of its own, which are not paired with each other."""
+    of_label = rows.groupBy("k", "label").agg(F.count("*").alias("alike"))
+    small = of_label.where(F.col("alike") <= BLOCK).groupBy("k").agg(F.sum("alike").alias("rest"))
+    dealt = of_label.join(small, "k", "left").select("k", "label", "alike", F.when(F.col("alike") > BLOCK, F.col("label")).alias("sole"), F.ceil(F.col("rest") / BLOCK).cast("long").alias("n_rest"))
+    part = F.when(F.col("sole").isNull(), F.pmod(F.xxhash64("label"), "n_rest")).otherwise(F.pmod(F.xxhash64("skey"), F.ceil(F.col("alike") / BLOCK).cast("long")))
+    dealt = saved(rows.join(dealt, ["k", "label"]).select("k", "skey", "label", "sole", F.xxhash64(F.col("sole").isNull(), F.coalesce("sole", F.lit(0)), part).alias("block")))
+    blocks = saved(dealt.join(sets.select("skey", "n"), "skey").groupBy("k", "block", "sole").agg(F.min("n").alias("low"), F.max("n").alias("high")))
+    left, right = (blocks.select("k", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "sole", "low", "high"))) for s in "ab")
+    apart = ~F.coalesce(F.col("sole_a") == F.col("sole_b"), F.lit(False))
+    fits = (F.col("high_a") * 100 >= F.col("low_b") * SHARE) & (F.col("high_b") * 100 >= F.col("low_a") * SHARE)
+    pairs = left.join(right, "k").where((F.col("block_a") <= F.col("block_b")) & apart & fits).select("k", "block_a", "block_b")
+    packed = saved(_packed(dealt, sets, ["k", "block"], "m"))
+    m, c = packed.withColumnRenamed("block", "block_a"), packed.select("k", F.col("block").alias("block_b"), F.col("m").alias("c"))
+    return pairs.join(m, ["k", "block_a"]).join(c, ["k", "block_b"]).select("k", "m", "c")
 
 
 def _crossing(pairs: DataFrame, labels: DataFrame, tried: DataFrame | None) -> DataFrame:

@@ -199,6 +199,39 @@ def test_ngram_join_of_many_copies(spark):
     assert got == {i: i % 20 for i, _ in rows}
 
 
+def test_ngram_join_deals_large_buckets_in_blocks(spark, monkeypatch):
+    """No row is longer than blocks of few members make it, links between crowded groups count, and the result is exact."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for p in rng.sample(range(0, 100, 10), i % 4):
+            w[p] = f"z{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(w[: 100 - i % 2])))
+    sizes = spark.sparkContext.accumulator(0)
+    stars = ngram_join._stars
+
+    def watched(nearest):
+        run = stars(nearest)
+
+        def count(batches):
+            for batch in batches:
+                for m, c in zip(batch.column("m"), batch.column("c"), strict=True):
+                    sizes.add(max(len(m), len(c)) > 60)
+                yield from run(iter([batch]))
+
+        return count
+
+    monkeypatch.setattr(ngram_join, "_stars", watched)
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "ALL_PAIRS", 3)
+    check_join(spark, rows)
+    monkeypatch.setattr(ngram_join, "TURNS", ((None, True), (None, False)))
+    check_join(spark, rows)
+    assert sizes.value == 0
+
+
 def test_token_counts(spark, rows):
     library = token_counts.library(token_counts.VOCABULARY)
     want = {i: (len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False))) for i, t in rows}
