@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from brindle.functions import colour
-from brindle.operators import evidence, graph, merging, raster, search, state
+from brindle.operators import evidence, graph, merging, raster, search, state, validation
 from brindle.streaming import jobs
 
 
@@ -145,3 +145,39 @@ def test_specks_join_their_neighbour(spark):
 
     out = evidence.absorb_small(pixels, edges, 4.0, 0.0)
     assert {(r.region_id, r["count"]) for r in out.groupBy("region_id").count().collect()} == {(1, 24), (5, 24)}
+
+
+def test_further_rules_of_validation(spark):
+    """A sound input breaks no rule; each change breaks just its own."""
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "region_id long")
+    areas = lambda **changed: spark.createDataFrame([(i, *changed.get(f"r{i}", (10.0, 2.0)), 1) for i in (1, 2, 3)] + [(4, 1000.0, 20.0, 1)], "region_id long, area double, thickness double, components int")
+    paints = {1: 1, 2: 2, 3: 1, 4: 2}
+    colours = {1: (200, 10, 10), 2: (10, 10, 200)}
+    assigned = spark.createDataFrame(list(paints.items()), "region_id long, color_id long")
+    palette = spark.createDataFrame([(k, *v) for k, v in colours.items()], "color_id long, r int, g int, b int")
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "lo long, hi long")
+    labels = spark.createDataFrame([(0, x, x) for x in range(5)], "y int, x int, region_id long")
+    pixels = lambda last: spark.createDataFrame([(0, 0, 255, 255, 255)] + [(0, x, *colours[paints[x]]) for x in (1, 2, 3)] + last, "y int, x int, r int, g int, b int")
+    labelled = lambda *x: spark.createDataFrame([x, (9.0, 9.0)], "font_pt double, height_mm double")
+    good = {
+        "protected": ids(1, 2), "prefilled": ids(1), "same_ids": True, "region_budget": 4, "least_regions": 4, "placements": labelled(3.0, 1.0), "artificial": 0, "loss": 6.0, "protected_recall": 0.9,
+        "protected_mean": 8.0, "protected_p90": 15.0, "painted": (labels, pixels([(0, 4, *colours[2])])), "page_sizes": ((10, 20), (10, 20)),
+    }
+
+    def codes(regions=None, **changed):
+        rows = validation.validate(areas() if regions is None else regions, edges, assigned, palette, ids(1), ids(), 1.0, 1.0, 2, 0.03, good | changed).collect()
+        return sorted(r.code for r in rows)
+
+    assert codes() == []
+    assert codes(prefilled=ids(1, 3)) == ["ordinary_region_prefilled"]
+    assert codes(areas(r2=(0.4, 2.0))) == ["protected_detail_too_small"]
+    assert codes(areas(r2=(10.0, 0.4))) == ["protected_detail_too_thin"]
+    assert codes(areas(r1=(0.4, 0.4))) == ["prefilled_detail_too_small", "prefilled_detail_too_thin", "protected_detail_too_small", "protected_detail_too_thin"]
+    assert codes(areas().where("region_id < 5").unionByName(areas().where("region_id = 4").withColumn("region_id", F.lit(5).cast("long")))) == ["region_mapping_mismatch", "unmapped_region"]
+    for name, value, code in [
+        ("region_budget", 3, None), ("region_budget", 2, "protected_budget_exceeded"), ("least_regions", 5, "region_count_below_difficulty"), ("placements", labelled(3.0, 0.9), "label_height_too_small"),
+        ("placements", labelled(2.0, 1.0), "label_font_too_small"), ("artificial", 1, "artificial_boundary"), ("loss", 6.1, "global_reconstruction_loss"), ("protected_recall", 0.89, "protected_boundary_loss"),
+        ("protected_mean", 8.1, "protected_colour_mean_loss"), ("protected_p90", 15.1, "protected_colour_p90_loss"), ("painted", (labels, pixels([(0, 4, 0, 0, 0)])), "painted_reference_mismatch"),
+        ("painted", (labels, pixels([])), "painted_reference_mismatch"), ("page_sizes", ((10, 20), (20, 10)), "page_size_mismatch"),
+    ]:
+        assert codes(**{name: value}) == ([code] if code else []), name
