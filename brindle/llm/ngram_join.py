@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from brindle.llm import exchange
 from brindle.llm.blocks import LOWER, U64, gram_hashes, mix, packed_strings, ragged, text_bytes, text_words, unpacked, whole_texts
 from brindle.llm.components import components
-from brindle.llm.saved import release, saved
+from brindle.llm.saved import FEW, bounded, counted, saved
 
 SHINGLE = 5
 #: Similarity of a link: intersection / union >= SHARE / 100.
@@ -90,27 +90,34 @@ def cell_of(h: np.ndarray) -> np.ndarray:
 
 
 def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(CELLS, np.int64)
+    """The cells that a task has seen and how often, packed by segment: never more than the whole sketch, and little from a small task."""
+    total = np.zeros(CELLS, np.int32)
     for _, h, _ in _each(batches):
-        total += np.bincount(cell_of(h), minlength=CELLS)
-    parts = np.minimum(total, 65535).astype(np.uint16).reshape(SEGMENTS, -1)
-    yield pa.RecordBatch.from_pydict({"segment": pa.array(range(SEGMENTS), pa.int32()), "counts": pa.array([x.tobytes() for x in parts], pa.binary())})
+        total += np.bincount(cell_of(h), minlength=CELLS).astype(np.int32)
+    seen = np.flatnonzero(total)
+    edges = np.searchsorted(seen, np.arange(SEGMENTS + 1) * (CELLS // SEGMENTS))
+    for k in range(SEGMENTS):
+        at = seen[edges[k] : edges[k + 1]]
+        if len(at):
+            gaps = np.diff(at, prepend=k * (CELLS // SEGMENTS)).astype(np.uint32)
+            yield pa.RecordBatch.from_pydict({"segment": pa.array([k], pa.int32()), "gaps": pa.array([gaps.tobytes()], pa.binary()), "counts": pa.array([np.minimum(total[at], 65535).astype(np.uint16).tobytes()], pa.binary())})
 
 
 def _add_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
-        for k, x in zip(batch.column("segment").to_pylist(), batch.column("counts"), strict=True):
-            total[k] = total.get(k, 0) + np.frombuffer(x.as_buffer(), np.uint16).astype(np.int64)
+        for k, gaps, counts in zip(batch.column("segment").to_pylist(), batch.column("gaps"), batch.column("counts"), strict=True):
+            of = total.setdefault(k, np.zeros(CELLS // SEGMENTS, np.int64))
+            of[np.cumsum(np.frombuffer(gaps.as_buffer(), np.uint32))] += np.frombuffer(counts.as_buffer(), np.uint16)
     if total:
-        yield pa.RecordBatch.from_pydict({"segment": pa.array(list(total), pa.int32()), "total": pa.array([int(x.sum()) for x in total.values()]), "levels": pa.array([x.tobytes() for x in total.values()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"segment": pa.array(list(total), pa.int32()), "levels": pa.array([x.tobytes() for x in total.values()], pa.binary())})
 
 
 def levels(texts: DataFrame) -> np.ndarray:
     """Level of frequency of each cell, from the shingles of all documents; 4 MB, whatever the input."""
-    summed = texts.mapInArrow(_count_cells, "segment int, counts binary").repartition(SEGMENTS, "segment").mapInArrow(_add_cells, "segment int, total long, levels binary")
+    summed = texts.mapInArrow(_count_cells, "segment int, gaps binary, counts binary").repartition(SEGMENTS, "segment").mapInArrow(_add_cells, "segment int, levels binary")
     counts = np.zeros(CELLS, np.int64)
-    for row in summed.select("segment", "levels").toLocalIterator():
+    for row in summed.collect():
         counts.reshape(SEGMENTS, -1)[row.segment] = np.frombuffer(row.levels, np.int64)
     base = counts.mean() + 3 * np.sqrt(counts.mean()) + COMMON
     return np.ceil(np.log2(np.maximum(counts / base, 1))).astype(np.uint8)
@@ -181,8 +188,8 @@ def size_fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 100 * np.minimum(a, b) >= SHARE * np.maximum(a, b)
 
 
-BUCKETED = "a long, b long, bucket binary, sizes binary"
-_BUCKETED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.binary()), ("sizes", pa.binary())])
+BUCKETED = "a long, b long, bucket binary"
+_BUCKETED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.binary())])
 
 
 def _group_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,10 +218,10 @@ def _group_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark = g[a : a + k].tobytes()
         if mark not in seen:  # many shingles of a passage have the same groups
             seen.add(mark)
-            kept.append((mark, n[a : a + k].tobytes()))
+            kept.append(mark)
     for lo in range(0, len(kept), 1000):
         some = kept[lo : lo + 1000]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64())] * 2 + [pa.array([x[i] for x in some], pa.binary()) for i in (0, 1)], schema=_BUCKETED)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(len(some), pa.int64())] * 2, pa.array(some, pa.binary())], schema=_BUCKETED)
     left, right = [g[:0]], [g[:0]]
     small = np.repeat(size * ~big, size)
     index = np.arange(len(h))
@@ -227,8 +234,7 @@ def _group_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
     for lo in range(0, pairs.shape[1], 100_000):
         some = pairs[:, lo : lo + 100_000]
-        none = pa.nulls(some.shape[1], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(some[0]), pa.array(some[1]), none, none], schema=_BUCKETED)
+        yield pa.RecordBatch.from_arrays([pa.array(some[0]), pa.array(some[1]), pa.nulls(some.shape[1], pa.binary())], schema=_BUCKETED)
 
 
 def differing_bits(a: bytes, b: bytes) -> int:
@@ -286,21 +292,19 @@ def bits_apart(bits: list[bytes], one: int, others: np.ndarray) -> np.ndarray:
     return out
 
 
-#: Turns over large buckets: the members of a bucket with which all others are compared, or None for all, and whether
-#: a member is paired with its nearest of them only. In the first two turns a set is compared in the largest of its
-#: buckets.
-TURNS = ((1, True), (32, True), (None, True), (None, False))
-ONE_BUCKET = 2
+#: Members of a large bucket with which all others are compared first, each set in the largest of its buckets.
+CENTERS = 32
 #: Members of a bucket are dealt in blocks of about so many; no row holds more than two blocks.
 BLOCK = 512
+STARS = "a long, b long, gap long"
 
 
 def _stars(nearest: bool):
-    """From rows of members m and others c of one bucket: pairs, between components, that pass the filters."""
+    """From rows of members m and others c of one bucket: pairs, between components, that pass the filters; of each member all, or the nearest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, m, c in zip(batch.column("k").to_pylist(), batch.column("m"), batch.column("c"), strict=True):
+            for m, c in zip(batch.column("m"), batch.column("c"), strict=True):
                 m, c = m.as_py(), c.as_py()
                 g, label, n = (np.array([x[name] for x in m], np.int64) for name in ("skey", "label", "n"))
                 bits = [x["bits"] for x in m] + [x["bits"] for x in c]
@@ -315,22 +319,20 @@ def _stars(nearest: bool):
                         closer = gap < best[others]
                         best[others[closer]], center[others[closer]] = gap[closer], one["skey"]
                     elif len(others):
-                        yield _pairs(k, np.full(len(others), one["skey"]), g[others], gap)
+                        yield _pairs(np.full(len(others), one["skey"]), g[others], gap)
                 found = np.flatnonzero(best < 1 << 62)
                 if len(found):
-                    yield _pairs(k, center[found], g[found], best[found])
+                    yield _pairs(center[found], g[found], best[found])
 
     return run
 
 
-def _pairs(k: int, a: np.ndarray, b: np.ndarray, gap: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), k)), pa.array(a), pa.array(b), pa.array(gap)], names=["k", "a", "b", "gap"])
+def _pairs(a: np.ndarray, b: np.ndarray, gap: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(gap)], names=["a", "b", "gap"])
 
 
-#: Pairs of a set that are verified in the first round; each round takes 16 times as many.
+#: Pairs of a set that are verified in the first round, its nearest.
 AT_ONCE = 4
-#: Sets whose ids are broadcast to find their texts; more are joined by a shuffle.
-FEW = 100_000
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
@@ -342,108 +344,133 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     or null, has the empty set and links with nothing. Rows without doc_id are left out; rows that repeat
     one count as one document. Further columns of ``docs`` are ignored, whatever their names.
     """
-    n = exchange.buckets(docs.sparkSession)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = exchange.keyed(docs)
     level = levels(texts)
     members = saved(texts.mapInArrow(_members(level), MEMBERS))
-    sets = saved(members.where("n > 0").groupBy("skey", "gkey", "n").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits")))
+    sets, _ = counted(members.where("n > 0").groupBy("skey", "gkey", "n").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits")))
     probes = texts.mapInArrow(_tokens(level, n), exchange.PROBES)
     bucketed = saved(probes.repartition(n, "bucket").mapInArrow(_group_pairs, BUCKETED))
-
-    per_group = sets.groupBy("gkey").agg(F.count("*").alias("sets_in_group"))
-    crowded = sets.join(per_group.where(F.col("sets_in_group") > ALL_PAIRS), "gkey").select(F.col("gkey").alias("k"), "skey")
-    big = _unpack(bucketed.where("bucket IS NOT NULL").select("bucket").distinct())
-    between = bucketed.where("a IS NOT NULL").select("a", "b").distinct()
-    many = per_group.where(F.col("sets_in_group") > ALL_PAIRS)
-    of_many = lambda s: between.join(many.select(F.col("gkey").alias(s)), s, "left_semi")
-    with_crowd = of_many("a").unionByName(of_many("b")).distinct().select(F.xxhash64("a", "b").alias("k"), F.explode(F.array("a", "b")).alias("gkey"))
-    between = between.join(many.select(F.col("gkey").alias("a")), "a", "left_anti").join(many.select(F.col("gkey").alias("b")), "b", "left_anti")
-    large = saved(big.unionByName(with_crowd).join(sets.select("gkey", "skey"), "gkey").select("k", "skey").unionByName(crowded).distinct())
-
+    groups, n_groups = counted(sets.groupBy("gkey").agg(F.count("*").alias("sets_in_group")).where("sets_in_group > 1"))
+    of_group = lambda s: bounded(groups.select(F.col("gkey").alias(s), F.col("sets_in_group").alias(f"n_{s}")), n_groups)
+    between = bucketed.where("a IS NOT NULL").select("a", "b").distinct().join(of_group("a"), "a", "left").join(of_group("b"), "b", "left")
+    between, _ = counted(between.withColumn("crowded", F.coalesce(F.greatest("n_a", "n_b") > ALL_PAIRS, F.lit(False))))
+
+    ranked, _ = counted(_small_pairs(between, sets, of_group("gkey")))
+    places, n_places = counted(_places(bucketed, between, groups))
+    first = ranked.where(F.col("rank") <= AT_ONCE).select("a", "b")
+    if n_places:
+        first = first.unionByName(_around_centers(places, sets).mapInArrow(_stars(True), STARS).select("a", "b"))
+    found, n_found = counted(components(_linked(first, texts, sets, n)))
+
+    rest = ranked.where(F.col("rank") > AT_ONCE).select("a", "b")
+    for nearest in (True, False):
+        rows, n_stars, now = _mixed(places, sets, found, n_found) if n_places else None, 0, rest
+        if rows is not None:
+            stars = _between_blocks(rows, sets).mapInArrow(_stars(nearest), STARS)
+            if nearest:  # of all blocks that a member is compared with
+                stars = stars.groupBy("b").agg(F.min(F.struct("gap", "a")).alias("low")).select("low.a", "b")
+            stars, n_stars = counted(stars.select("a", "b"))
+            now = rest.unionByName(stars) if nearest else stars
+        now, n_now = counted(_crossing(now, found, n_found))
+        if n_now:
+            linked, n_linked = counted(_linked(now, texts, sets, n))
+            if n_linked:
+                known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+                found, n_found = counted(components(known.unionByName(linked)))
+        if not n_stars:
+            break
+    return _result(members, sets, found)
+
+
+def _small_pairs(between: DataFrame, sets: DataFrame, of_group: DataFrame) -> DataFrame:
+    """Pairs of sets from small buckets and small groups that pass the filters, ranked by the bits that differ."""
     by = lambda s, key, name: sets.select(F.col(key).alias(name), *(F.col(c).alias(f"{c}_{s}") for c in ("skey", "n", "bits") if c != key))
     columns = ["n_a", "n_b", "bits_a", "bits_b"]
-    expanded = between.join(by("a", "gkey", "a"), "a").join(by("b", "gkey", "b"), "b").select(F.col("skey_a").alias("a"), F.col("skey_b").alias("b"), *columns)
-    few = sets.join(per_group.where(F.col("sets_in_group").between(2, ALL_PAIRS)), "gkey").select("gkey", "skey", "n", "bits")
+    plain = between.where("NOT crowded").select("a", "b")
+    expanded = plain.join(by("a", "gkey", "a"), "a").join(by("b", "gkey", "b"), "b").select(F.col("skey_a").alias("a"), F.col("skey_b").alias("b"), *columns)
+    few = sets.join(of_group.where(F.col("n_gkey") <= ALL_PAIRS), "gkey").select("gkey", "skey", "n", "bits")
     left, right = (few.select("gkey", *(F.col(c).alias(f"{c}_{s}") for c in ("skey", "n", "bits"))) for s in "ab")
     within = left.join(right, "gkey").where("skey_a > skey_b").select(F.col("skey_a").alias("a"), F.col("skey_b").alias("b"), *columns)
-    near = lambda p: p.mapInArrow(_near, "a long, b long, gap long")
-
-    found, labels, turn, tried, most = None, sets.select("skey", F.col("skey").alias("label")), 0, None, AT_ONCE
-    open_pairs = near(expanded.unionByName(within))
-    held: list[DataFrame] = []
-    while True:
-        release(docs.sparkSession)
-        stars = _star_pairs(large, labels, sets, turn) if turn < len(TURNS) else None
-        turn += 1
-        now = saved(_crossing(open_pairs if stars is None else open_pairs.unionByName(stars), labels, tried))
-        if now.isEmpty():
-            if stars is None:
-                break
-            open_pairs = now
-            continue
-        rank = F.row_number().over(Window.partitionBy("a").orderBy("gap", "b"))
-        first = saved(now.withColumn("rank", rank).where(F.col("rank") <= most).select("a", "b"))
-        most *= 16
-        held = _with_sets(held, now, texts, sets, n)
-        shingles = held[0]
-        for more in held[1:]:
-            shingles = shingles.unionByName(more)
-        x, y = (shingles.select(F.col("skey").alias(s), F.col("shingles").alias(c)) for s, c in (("a", "x"), ("b", "y")))
-        linked = saved(first.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"))
-        tried = first if tried is None else tried.unionByName(first)
-        open_pairs = now
-        if not linked.isEmpty():
-            edges = linked if found is None else found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(linked)
-            found = components(edges)
-            labels = saved(sets.select("skey").join(found.withColumnRenamed("node", "skey"), "skey", "left").select("skey", F.coalesce("component", "skey").alias("label")))
-    return _result(members, sets, labels)
+    near = expanded.unionByName(within).mapInArrow(_near, "a long, b long, gap long")
+    near = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "gap")
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("gap", "b")))
+
+
+def _places(bucketed: DataFrame, between: DataFrame, groups: DataFrame) -> DataFrame:
+    """(k, size, gkey) of large buckets: buckets of many groups, groups of many sets, and pairs of groups with such a one."""
+    big = bucketed.where("bucket IS NOT NULL").select(F.xxhash64("bucket").alias("k"), "bucket").dropDuplicates(["k"])
+    crowds = groups.where(F.col("sets_in_group") > ALL_PAIRS).select(F.col("gkey").alias("k"), F.col("sets_in_group").alias("size"), "gkey")
+    size = F.coalesce("n_a", F.lit(1)) + F.coalesce("n_b", F.lit(1))
+    beside = between.where("crowded").select(F.xxhash64("a", "b").alias("k"), size.alias("size"), F.explode(F.array("a", "b")).alias("gkey"))
+    return _unpack(big).unionByName(crowds).unionByName(beside)
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    """The pairs (a, b) of sets that are links, verified by their shingles."""
+    pairs, n_pairs = counted(pairs.select("a", "b"))
+    wanted, n_wanted = counted(pairs.select(F.explode(F.array("a", "b")).alias("skey")).distinct())
+    wanted, n_wanted = counted(sets.select("skey", "doc_id").join(bounded(wanted, n_wanted), "skey"))
+    wanted = F.broadcast(wanted) if n_wanted <= FEW else wanted.hint("shuffle_hash")
+    shingles = saved(texts.join(wanted, "doc_id").select("skey", "text").mapInArrow(_sets, "skey long, shingles binary").repartition(n, "skey"))
+    x, y = (shingles.select(F.col("skey").alias(s), F.col("shingles").alias(c)) for s, c in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
+
+
+def _labels(found: DataFrame, n_found: int, s: str) -> DataFrame:
+    return bounded(found.select(F.col("node").alias(s), F.col("component").alias(f"label_{s}")), n_found)
+
+
+def _crossing(pairs: DataFrame, found: DataFrame, n_found: int) -> DataFrame:
+    """Distinct pairs between components."""
+    pairs = pairs.join(_labels(found, n_found, "a"), "a", "left").join(_labels(found, n_found, "b"), "b", "left")
+    pairs = pairs.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b"))
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _mixed(places: DataFrame, sets: DataFrame, found: DataFrame, n_found: int) -> DataFrame | None:
+    """(k, skey, label) of the large buckets whose members are in different components; the others have nothing left to compare."""
+    labelled = sets.select("gkey", "skey").join(_labels(found, n_found, "skey"), "skey", "left").select("gkey", "skey", F.coalesce("label_skey", "skey").alias("label"))
+    of_group = labelled.groupBy("gkey").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    mixed, n_mixed = counted(places.join(of_group, "gkey").groupBy("k").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("k"))
+    if not n_mixed:
+        return None
+    rows, _ = counted(places.select("k", "gkey").join(bounded(mixed, n_mixed), "k").join(labelled, "gkey").select("k", "skey", "label"))
+    return rows
 
 
 def _unpack(big: DataFrame) -> DataFrame:
-    """(bucket number, gkey) of large buckets."""
+    """(k, size, gkey): bucket number, number of groups in it, group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             g, counts = unpacked(batch.column("bucket"), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("k").to_numpy(), counts)), pa.array(g)], names=["k", "gkey"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("k").to_numpy(), counts)), pa.array(np.repeat(counts, counts).astype(np.int64)), pa.array(g)], names=["k", "size", "gkey"])
 
-    return big.select(F.xxhash64("bucket").alias("k"), "bucket").mapInArrow(run, "k long, gkey long")
-
-
-def _star_pairs(large: DataFrame, labels: DataFrame, sets: DataFrame, turn: int) -> DataFrame | None:
-    """Pairs from the large buckets whose members are in different components; the others have nothing left to compare."""
-    rows = large.join(labels, "skey")
-    mixed = rows.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low <> high").select("k", "size")
-    mixed = saved(mixed)
-    if mixed.isEmpty():
-        return None
-    rows = rows.join(mixed, "k")
-    if turn < ONE_BUCKET:
-        rows = rows.join(rows.groupBy("skey").agg(F.max_by("k", F.struct("size", "k")).alias("k")), ["skey", "k"])
-    rows = rows.select("k", "skey", "label", "size")
-    most, nearest = TURNS[turn]
-    compared = (_around_centers(rows, sets, most, turn) if most else _between_blocks(rows, sets)).mapInArrow(_stars(nearest), "k long, a long, b long, gap long")
-    if nearest and not most:  # of all blocks that a member is compared with
-        compared = compared.groupBy("k", "b").agg(F.min(F.struct("gap", "a")).alias("low")).select("low.a", "b", "low.gap")
-    return compared.select("a", "b", "gap")
+    return big.select("k", "bucket").mapInArrow(run, "k long, size long, gkey long")
 
 
 def _packed(rows: DataFrame, sets: DataFrame, keys: list[str], name: str) -> DataFrame:
     return rows.join(sets.select("skey", "n", "bits"), "skey").groupBy(*keys).agg(F.collect_list(F.struct("skey", "label", "n", "bits")).alias(name))
 
 
-def _around_centers(rows: DataFrame, sets: DataFrame, most: int, turn: int) -> DataFrame:
-    """(k, m, c): each block of a bucket with the bucket's centers, the smallest key of each of so many slots."""
-    slot = F.pmod(F.xxhash64("skey", F.lit(turn)), F.lit(most))
-    centers = rows.groupBy("k", slot.alias("slot")).agg(F.min("skey").alias("skey")).select("k", "skey").join(rows, ["k", "skey"])
-    n_blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    members = _packed(rows.withColumn("block", F.pmod(F.xxhash64("skey"), n_blocks)), sets, ["k", "block"], "m")
-    of_bucket = _packed(centers, sets, ["k", "size"], "c").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
-    return members.join(of_bucket.select("k", "block", "c"), ["k", "block"]).select("k", "m", "c")
+def _around_centers(places: DataFrame, sets: DataFrame) -> DataFrame:
+    """(m, c): each block of a large bucket with the bucket's centers, the smallest key of each of some slots. A set goes to the largest of its buckets."""
+    home = places.groupBy("gkey").agg(F.max_by("k", F.struct("size", "k")).alias("k"))
+    member = F.struct("skey", F.col("skey").alias("label"), "n", "bits").alias("one")
+    rows = saved(sets.join(home, "gkey").select("k", member))
+    centers = rows.groupBy("k", F.pmod(F.xxhash64("one.skey"), F.lit(CENTERS)).alias("slot")).agg(F.min_by("one", "one.skey").alias("one"), F.count("*").alias("size"))
+    centers = saved(centers.groupBy("k").agg(F.collect_list("one").alias("c"), F.ceil(F.sum("size") / BLOCK).cast("long").alias("n_blocks")))
+    many, n_many = counted(centers.where("n_blocks > 1").select("k", "n_blocks"))
+    block = F.pmod(F.xxhash64("one.skey"), F.coalesce("n_blocks", F.lit(1)))
+    members = rows.join(bounded(many, n_many), "k", "left").select("k", block.alias("block"), "one")
+    members = members.groupBy("k", "block").agg(F.collect_list("one").alias("m"))
+    each = centers.select("k", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
+    return members.join(each, ["k", "block"]).select("m", "c")
 
 
 def _between_blocks(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """(k, m, c): pairs of blocks of a bucket. A component of many members has blocks of its own, which are not paired with each other."""
+    """(m, c): pairs of blocks of a bucket. A component of many members has blocks of its own, which are not paired with each other."""
     of_label = rows.groupBy("k", "label").agg(F.count("*").alias("alike"))
     small = of_label.where(F.col("alike") <= BLOCK).groupBy("k").agg(F.sum("alike").alias("rest"))
     dealt = of_label.join(small, "k", "left").select("k", "label", "alike", F.when(F.col("alike") > BLOCK, F.col("label")).alias("sole"), F.ceil(F.col("rest") / BLOCK).cast("long").alias("n_rest"))
@@ -456,35 +483,12 @@ def _between_blocks(rows: DataFrame, sets: DataFrame) -> DataFrame:
     pairs = left.join(right, "k").where((F.col("block_a") <= F.col("block_b")) & apart & fits).select("k", "block_a", "block_b")
     packed = saved(_packed(dealt, sets, ["k", "block"], "m"))
     m, c = packed.withColumnRenamed("block", "block_a"), packed.select("k", F.col("block").alias("block_b"), F.col("m").alias("c"))
-    return pairs.join(m, ["k", "block_a"]).join(c, ["k", "block_b"]).select("k", "m", "c")
-
-
-def _crossing(pairs: DataFrame, labels: DataFrame, tried: DataFrame | None) -> DataFrame:
-    """Pairs between components that are not verified yet."""
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "gap").distinct()
-    if tried is not None:
-        pairs = pairs.join(tried, ["a", "b"], "left_anti")
-    of = lambda s: labels.select(F.col("skey").alias(s), F.col("label").alias(f"label_{s}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").where("label_a <> label_b").select("a", "b", "gap")
-
-
-def _with_sets(held: list[DataFrame], pairs: DataFrame, texts: DataFrame, sets: DataFrame, n: int) -> list[DataFrame]:
-    """The shingles of the sets in pairs, in one table more than before; each is dealt by skey."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("skey")).distinct()
-    for some in held:
-        wanted = wanted.join(some.select("skey"), "skey", "left_anti")
-    wanted = saved(wanted.join(sets.select("skey", "doc_id"), "skey"))
-    count = wanted.count()
-    if not count:
-        return held
-    wanted = F.broadcast(wanted) if count <= FEW else wanted.hint("shuffle_hash")
-    new = texts.join(wanted, "doc_id").select("skey", "text").mapInArrow(_sets, "skey long, shingles binary")
-    return [*held, saved(new.repartition(n, "skey"))]
-
-
-def _result(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    per_set = sets.select("skey", "doc_id").join(labels, "skey")
-    low = per_set.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_set = per_set.join(low, "label").select("skey", "component_id")
+    return pairs.join(m, ["k", "block_a"]).join(c, ["k", "block_b"]).select("m", "c")
+
+
+def _result(members: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
+    linked = sets.select("skey", "doc_id").join(found.withColumnRenamed("node", "skey"), "skey", "left").select("skey", "doc_id", F.coalesce("component", "skey").alias("label"))
+    low = linked.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    of_set = linked.join(low, "label").select("skey", "component_id")
     out = members.select("doc_id", "n", "skey").join(of_set, "skey", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
