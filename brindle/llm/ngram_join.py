@@ -35,6 +35,8 @@ from brindle.llm.saved import FEW, bounded, counted, saved
 SHINGLE = 5
 #: Similarity of a link: intersection / union >= SHARE / 100.
 SHARE = 75
+#: Texts whose arrays a task holds at a time; a longer text comes alone.
+TEXT_BYTES = 400_000
 CELLS = 1 << 22
 SEGMENTS = 16
 #: A cell has the lowest level while it counts no more than the mean cell, three times its noise and this. A rare
@@ -81,7 +83,7 @@ def _each(batches: Iterator[pa.RecordBatch]):
     """doc_ids, set hashes and sizes of some texts at a time."""
     for batch in batches:
         ids = batch.column("doc_id").to_numpy()
-        for rows, data, offsets in whole_texts(*text_bytes(batch.column("text"))):
+        for rows, data, offsets in whole_texts(*text_bytes(batch.column("text")), TEXT_BYTES):
             yield ids[rows], *shingle_sets(data, offsets)
 
 
@@ -93,7 +95,7 @@ def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The cells that a task has seen and how often, packed by segment: never more than the whole sketch, and little from a small task."""
     total = np.zeros(CELLS, np.int32)
     for _, h, _ in _each(batches):
-        total += np.bincount(cell_of(h), minlength=CELLS).astype(np.int32)
+        np.add.at(total, cell_of(h), 1)
     seen = np.flatnonzero(total)
     edges = np.searchsorted(seen, np.arange(SEGMENTS + 1) * (CELLS // SEGMENTS))
     for k in range(SEGMENTS):
@@ -260,7 +262,7 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = batch.column("skey").to_numpy()
-        for rows, data, offsets in whole_texts(*text_bytes(batch.column("text"))):
+        for rows, data, offsets in whole_texts(*text_bytes(batch.column("text")), TEXT_BYTES):
             h, n = shingle_sets(data, offsets)
             yield pa.RecordBatch.from_arrays([pa.array(keys[rows]), packed_strings(h, n)], names=["skey", "shingles"])
 
@@ -361,7 +363,8 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     first = ranked.where(F.col("rank") <= AT_ONCE).select("a", "b")
     if n_places:
         first = first.unionByName(_around_centers(places, sets).mapInArrow(_stars(True), STARS).select("a", "b"))
-    found, n_found = counted(components(_linked(first, texts, sets, n)))
+    linked, _ = counted(_linked(first, texts, sets, n))
+    found, n_found = counted(components(linked))
 
     rest = ranked.where(F.col("rank") > AT_ONCE).select("a", "b")
     for nearest in (True, False):
