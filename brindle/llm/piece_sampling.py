@@ -22,16 +22,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.blocks import BYTE_BASE, U64, mix, packed_strings, prefix_hash, ragged, span_hash
+from brindle.llm.blocks import BYTE_BASE, U64, mix, packed_strings, powers, prefix_hash, ragged, span_hash, text_bytes, unpacked
 
 VOCABULARY = "piece_bpe_32k.model"
 SAMPLES = 2
 #: Log weight of a piece: minus SHARPNESS times the log of its rank, after Zipf's law.
 SHARPNESS = 1.0
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_500_000
 #: Draws at a branch before the draw among all other segmentations.
 TRIES = 64
 MARK = 0x2581
+#: Parts of one in which log probabilities of words are added.
+UNIT = float(1 << 32)
+#: The same for the probabilities of arcs.
+PARTS = float(1 << 52)
+#: Characters of words whose lattices a worker keeps.
+KNOWN_CHARS = 1_500_000
 ESCAPE = 1 << 24
 
 RESULT = "doc_id long, sample int, ids binary, n_pieces long, log_prob double, perturbed double, log_inclusion double"
@@ -50,11 +56,11 @@ class Pieces:
         text = [(i, x) for i, x in text if chr(MARK) not in x.lstrip(chr(MARK))]
         joined = np.frombuffer("".join(x for _, x in text).encode("utf-32-le"), np.uint32)
         ends = np.cumsum([len(x) for _, x in text])
-        h = mix(span_hash(prefix_hash(joined, BYTE_BASE), np.append(0, ends[:-1]), ends, BYTE_BASE))
+        h = span_hash(prefix_hash(joined, BYTE_BASE), np.append(0, ends[:-1]), ends, BYTE_BASE)
         order = np.argsort(h)
         self.hashes, self.ids = h[order], np.array([i for i, _ in text])[order]
         self.seen = np.zeros(1 << 20, bool)
-        self.seen[(self.hashes >> U64(44)).astype(np.int64)] = True
+        self.seen[(self.hashes * U64(BYTE_BASE)) >> U64(44)] = True
         self.longest = max(len(x) for _, x in text)
         self.bytes = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
         self.known = np.zeros(0x110000, bool)
@@ -62,14 +68,14 @@ class Pieces:
         self.weight = -SHARPNESS * np.log(np.arange(n) + 2.0)
         self.byte_weight = -SHARPNESS * float(np.log(n + 2.0))
 
+    def maybe(self, h: np.ndarray) -> np.ndarray:
+        """Whether a piece may have each hash; few others pass."""
+        return self.seen[(h * U64(BYTE_BASE)) >> U64(44)]
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """Id of each piece hash, -1 where there is none."""
-        out = np.full(len(h), -1)
-        on = np.flatnonzero(self.seen[(h >> U64(44)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.hashes, h[on]), len(self.hashes) - 1)
-        hit = self.hashes[at] == h[on]
-        out[on[hit]] = self.ids[at[hit]]
-        return out
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.ids[at], -1)
 
 
 @cache
@@ -78,54 +84,98 @@ def vocabulary(name: str) -> Pieces:
 
 
 class Lattices:
-    """The lattices of distinct words: for each node the arcs that leave it, likeliest first, with cumulative probabilities."""
+    """The lattices of distinct words: for each node the arcs that leave it, longest piece first, with cumulative probabilities.
+
+    Nodes are the characters, in the order of the characters that follow in their words, so backward sums
+    take one run of nodes after another; node 0 is the end of every word.
+    """
 
     def __init__(self, points: np.ndarray, start: np.ndarray, stop: np.ndarray, pieces: Pieces):
         size = stop - start
-        base = np.cumsum(size + 1) - (size + 1)  # a node before each character and one at the end
-        total = int((size + 1).sum())
-        self.first, self.last = base, base + size
-        prefix = prefix_hash(points, BYTE_BASE)
-        char = ragged(start, size)
-        node = ragged(base, size)
-        left = np.repeat(stop, size) - char  # characters up to the end of the word
-        src, dst, ids, w = [], [], [], []
-        for n in range(1, pieces.longest + 1):
-            on = np.flatnonzero(left >= n)
-            if not len(on):
-                break
-            found = pieces.find(mix(span_hash(prefix, char[on], char[on] + n, BYTE_BASE)))
-            hit = found >= 0
-            src.append(node[on[hit]]), dst.append(node[on[hit]] + n), ids.append(found[hit]), w.append(pieces.weight[found[hit]])
-        odd = np.flatnonzero(~pieces.known[points[char]])  # characters without a piece become bytes
-        code = points[char[odd]].astype(np.int64)
+        base = np.cumsum(size) - size
+        points = points[ragged(start, size)]  # the words, one after another
+        n_chars, most = len(points), min(pieces.longest, int(size.max(initial=0)))
+        left = np.repeat(base + size, size) - np.arange(n_chars)  # characters up to the end of the word
+        prefix, scale = prefix_hash(points, BYTE_BASE), powers(BYTE_BASE, n_chars + 1)[1]
+        ids = np.full((n_chars, most), -1, np.int32)  # column j: pieces of most - j characters
+        for n in range(1, most + 1):
+            h = (prefix[n:] - prefix[:-n]) * scale[: n_chars - n + 1]
+            on = np.flatnonzero(pieces.maybe(h) & (left[: n_chars - n + 1] >= n))
+            ids[on, most - n] = pieces.find(h[on])
+        odd = np.flatnonzero(~pieces.known[points])  # characters without a piece become bytes
+        if len(odd):
+            ids[odd, most - 1] = ESCAPE + points[odd].astype(np.int64)
+        order = np.argsort(left.astype(np.uint16) if n_chars and left.max() < 1 << 16 else left, kind="stable")
+        node = np.empty(n_chars, np.int64)
+        node[order] = np.arange(1, n_chars + 1)
+        self.first = node[base]
+        hit = ids[order] >= 0
+        row, column = np.nonzero(hit)
+        char, n = order[row], most - column
+        self.ids = ids[char, column]
+        code = self.ids - ESCAPE
         n_bytes = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
-        src.append(node[odd]), dst.append(node[odd] + 1), ids.append(ESCAPE + code), w.append(n_bytes * pieces.byte_weight)
-        src, dst, ids, w = (np.concatenate(x) for x in (src, dst, ids, w))
+        value = np.where(code < 0, pieces.weight[np.minimum(self.ids, len(pieces.weight) - 1)], n_bytes * pieces.byte_weight)
+        self.dst = np.where(left[char] == n, 0, node[np.minimum(char + n, max(n_chars - 1, 0))])
+        self.arcs = np.zeros(n_chars + 2, np.int64)
+        np.cumsum(np.count_nonzero(hit, axis=1), out=self.arcs[2:])
         # backward sums, from the last nodes of words to the first, all words at once
-        mass = np.full(total, -np.inf)
-        mass[self.last] = 0.0
-        to_end = np.zeros(total, np.int64)
-        to_end[node] = left
-        by = np.argsort(to_end[src], kind="stable")
-        src, dst, ids, w = src[by], dst[by], ids[by], w[by]
-        step = to_end[src]
-        edges = np.searchsorted(step, np.arange(1, int(step.max(initial=0)) + 2)).tolist()
+        mass = np.zeros(n_chars + 1)
+        edges = np.append(1, 1 + np.cumsum(np.bincount(left, minlength=1)[1:])).tolist()
         for a, b in zip(edges, edges[1:], strict=False):
-            if b > a:
-                value = w[a:b] + mass[dst[a:b]]
-                order = np.argsort(src[a:b], kind="stable")
-                s, v = src[a:b][order], value[order]
-                new = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-                mass[s[new]] = np.logaddexp.reduceat(v, new)
-        log_p = w + mass[dst] - mass[src]
-        by = np.lexsort((-log_p, src))
-        src, self.dst, self.ids, self.log_p = src[by], dst[by], ids[by], log_p[by]
-        self.arcs = np.searchsorted(src, np.arange(total + 1))
-        p = np.exp(self.log_p)
-        ends = np.append(0, np.cumsum(p))
-        self.upto = ends[1:] - ends[self.arcs[src]]
-        self.upto[self.arcs[1:][self.arcs[1:] > self.arcs[:-1]] - 1] = 2.0  # the last arc takes what rounding leaves
+            if a == b:
+                continue
+            lo, hi = int(self.arcs[a]), int(self.arcs[b])
+            value[lo:hi] += mass[self.dst[lo:hi]]
+            at, per = self.arcs[a:b] - lo, np.diff(self.arcs[a : b + 1])
+            top = np.maximum.reduceat(value[lo:hi], at)
+            mass[a:b] = top + np.log(np.add.reduceat(np.exp(value[lo:hi] - np.repeat(top, per)), at))
+            value[lo:hi] -= np.repeat(mass[a:b], per)
+        self.log_p = value
+        whole = np.append(0, np.cumsum(np.rint(np.exp(value) * PARTS).astype(np.int64)))
+        self.upto = (whole[1:] - np.repeat(whole[self.arcs[1:-1]], np.diff(self.arcs[1:]))) / PARTS
+        self.upto[self.arcs[2:] - 1] = 2.0  # the last arc takes what rounding leaves
+
+
+class Known:
+    """Lattices of the words that a worker has met first, up to a bound; those of other words are made for each batch."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces, self.hashes, self.words = pieces, np.empty(0, U64), np.empty(0, np.int64)
+        self.lattices = Lattices(np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64), pieces)
+
+    def of(self, points: np.ndarray, start: np.ndarray, stop: np.ndarray, h: np.ndarray) -> tuple[Lattices, np.ndarray]:
+        """Lattices that hold all words of a batch, and the number of each word in them."""
+        distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
+        known = self.hashes[at] == distinct if len(self.hashes) else np.zeros(len(distinct), bool)
+        number = np.empty(len(distinct), np.int64)
+        number[known] = self.words[at[known]]
+        new = np.flatnonzero(~known)
+        number[new] = len(self.lattices.first) + np.arange(len(new))
+        both = joined(self.lattices, Lattices(points, start[first[new]], stop[first[new]], self.pieces)) if len(new) else self.lattices
+        if len(both.arcs) <= KNOWN_CHARS:
+            self.lattices = both
+            h, words = np.append(self.hashes, distinct[new]), np.append(self.words, number[new])
+            order = np.argsort(h, kind="stable")
+            self.hashes, self.words = h[order], words[order]
+        return both, number[back]
+
+
+def joined(x: Lattices, y: Lattices) -> Lattices:
+    out = object.__new__(Lattices)
+    shift = len(x.arcs) - 2  # of y's nodes, besides node 0
+    out.first = np.append(x.first, y.first + shift)
+    out.dst = np.append(x.dst, np.where(y.dst > 0, y.dst + shift, 0))
+    out.arcs = np.append(x.arcs, y.arcs[2:] + x.arcs[-1])
+    for name in ("ids", "log_p", "upto"):
+        setattr(out, name, np.append(getattr(x, name), getattr(y, name)))
+    return out
+
+
+def sums(log_p: np.ndarray) -> np.ndarray:
+    """Sums of log probabilities up to each word, in whole units: what lies between two places does not depend on what is before."""
+    return np.append(0, np.cumsum(np.rint(log_p * UNIT).astype(np.int64)))
 
 
 def uniform(key: np.ndarray) -> np.ndarray:
@@ -152,7 +202,7 @@ def walk(lattices: Lattices, word: np.ndarray, key: np.ndarray) -> tuple[np.ndar
         count[at] += 1
         steps.append((at, arc))
         node = lattices.dst[arc]
-        more = node != lattices.last[word[at]]
+        more = node != 0
         at, node = at[more], node[more]
     offset = np.cumsum(count) - count
     arcs = np.empty(int(count.sum()), np.int64)
@@ -195,8 +245,8 @@ class Search:
 
     def _open(self, path: Path, since: np.ndarray) -> None:
         """Draws the maxima of the groups from each text's word number ``since`` on."""
-        before = np.append(0.0, np.cumsum(path.log_p))
-        lead = before[:-1] - before[self.edges[self.text]]
+        before = sums(path.log_p)
+        lead = (before[:-1] - before[self.edges[self.text]]) / UNIT
         with np.errstate(divide="ignore"):
             mass = lead + np.log(np.where(path.used > 1 - 1e-12, 0.0, 1 - path.used))
         path.group = truncated(mass, path.value[self.text], self.key ^ mix(np.array([0xA5 + len(self.found)], U64)))
@@ -297,7 +347,7 @@ class Search:
             u = uniform(np.array([k], U64))[0] * weight.sum()
             value, i, a = choices[min(len(choices) - 1, int(np.searchsorted(np.cumsum(weight), u)))]
             mine, node, turn = [*old[:i].tolist(), a], lat.dst[a], 0
-            while node != lat.last[self.word[w]]:
+            while node:
                 turn += 1
                 u = uniform(mix(np.array([k + turn & (1 << 64) - 1], U64)))[0]
                 a = lat.arcs[node] + int(np.argmax(lat.upto[lat.arcs[node] : lat.arcs[node + 1]] >= u))
@@ -321,27 +371,25 @@ def words(points: np.ndarray, known: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return start[stay], stop[stay]
 
 
-def sample_texts(keys: np.ndarray, texts: list[str], pieces: Pieces, k: int) -> Iterator[dict]:
+def sample_texts(keys: np.ndarray, texts: list[str], store: Known, k: int) -> Iterator[dict]:
     """For each of k samples: ids and scores of all texts; a text has a sample where its value is finite."""
     marked = [(" " + x).replace(" ", chr(MARK)) if x else "" for x in texts]
     sizes = np.fromiter((len(x) for x in marked), np.int64, len(marked)) + 1
     points = np.frombuffer("\x00".join([*marked, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum(sizes) - 1
+    pieces = store.pieces
     known = pieces.known.copy()
     known[0] = False
     start, stop = words(points, known, ends)
     text = np.searchsorted(ends, start)
-    h = span_hash(prefix_hash(points, BYTE_BASE), start, stop, BYTE_BASE)
-    _, first, word = np.unique(h, return_index=True, return_inverse=True)
-    lattices = Lattices(points, start[first], stop[first], pieces)
+    lattices, word = store.of(points, start, stop, span_hash(prefix_hash(points, BYTE_BASE), start, stop, BYTE_BASE))
     search = Search(lattices, word, text, len(texts), mix(keys.astype(U64)))
     paths = [search.first()]
     for _ in range(k - 1):
         paths.append(search.next())
     threshold = search.threshold()
     for path in paths:
-        total = np.append(0.0, np.cumsum(path.log_p))[search.edges]
-        log_prob = np.diff(total)
+        log_prob = np.diff(sums(path.log_p)[search.edges]) / UNIT
         with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
             gap = log_prob - threshold
             inclusion = np.where(gap > -30, np.log(-np.expm1(-np.exp(np.minimum(gap, 700)))), gap)
@@ -367,7 +415,7 @@ def _bytes_out(ids: np.ndarray, per_text: np.ndarray, pieces: Pieces) -> tuple[n
 
 def _sample(name: str, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = vocabulary(name)
+        store = Known(vocabulary(name))
         for batch in batches:
             ids, keys = batch.column("doc_id"), batch.column("key").to_numpy()
             texts = [x or "" for x in batch.column("text").to_pylist()]
@@ -375,7 +423,7 @@ def _sample(name: str, k: int):
             for i in [*range(len(texts)), None]:
                 if some and (i is None or size >= BATCH_CHARS):
                     take = np.array(some)
-                    for n, x in enumerate(sample_texts(keys[take], [texts[j] for j in some], pieces, k)):
+                    for n, x in enumerate(sample_texts(keys[take], [texts[j] for j in some], store, k)):
                         on = ~np.isneginf(x["perturbed"])
                         owner = np.repeat(on, x["n"])
                         yield pa.RecordBatch.from_arrays([ids.take(pa.array(take[on])), pa.array(np.full(int(on.sum()), n + 1, np.int32)), packed_strings(x["ids"][owner], x["n"][on]), pa.array(x["n"][on]), *(pa.array(x[c][on]) for c in ("log_prob", "perturbed", "log_inclusion"))], schema=_RESULT)
@@ -394,7 +442,9 @@ def sample_segmentations(docs: DataFrame, k: int = SAMPLES, vocabulary_name: str
     little-endian; log_inclusion is the log of the probability of being above the threshold, minus infinity
     never, 0 where a text has no further segmentation. A text with fewer segmentations has fewer rows; a
     null or empty text has the empty one. The row key is doc_id, so repeated rows have equal samples; a
-    null doc_id has a key of its own. Other columns are ignored.
+    null doc_id has a key of its own, and no sample depends on the other rows. Where a word has one
+    segmentation that all others together come to less than 1e-12 of, it counts as its only one. A text is
+    searched whole, with about 60 bytes of arrays for each character. Other columns are ignored.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("long")).alias("key"))
     return keyed.mapInArrow(_sample(vocabulary_name, k), RESULT)
@@ -402,21 +452,46 @@ def sample_segmentations(docs: DataFrame, k: int = SAMPLES, vocabulary_name: str
 
 def _decode(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
-        size = model.get_piece_size()
-        table = [bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace(chr(MARK), " ").encode() for i in range(size)]
+        table, lengths = piece_bytes(name)
+        starts = np.cumsum(lengths) - lengths
         for batch in batches:
+            column = batch.column("ids")
+            ids, per_row = unpacked(whole_ids(column), np.uint32)
+            ids = np.minimum(ids, len(lengths) - 1).astype(np.int64)  # the last entry stands for all ids that are none
+            n_bytes = lengths[ids]
+            raw = table[ragged(starts[ids], n_bytes)]
+            ends = np.append(0, np.cumsum(n_bytes))[np.append(0, np.cumsum(per_row))]
             out = []
-            for ids in batch.column("ids").to_pylist():
-                raw = None if ids is None else b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()])
-                out.append(None if raw is None else raw[1:].decode("utf-8", "replace"))
+            for null, a, b in zip(column.is_null().to_pylist(), ends.tolist(), ends[1:].tolist(), strict=False):
+                out.append(None if null else raw[a + 1 : b].tobytes().decode("utf-8", "replace"))  # without the leading space
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "text"])
 
     return run
 
 
-def decode(samples: DataFrame, vocabulary_name: str = VOCABULARY) -> DataFrame:
-    """(doc_id, sample, ids, text): the text of each row of ids; null ids give a null text."""
-    return samples.select("doc_id", "sample", "ids").mapInArrow(_decode(vocabulary_name), "doc_id long, sample int, ids binary, text string")
+def whole_ids(column: pa.Array) -> pa.Array:
+    """Rows cut to a multiple of four bytes."""
+    if not np.any(np.diff(text_bytes(column)[1]) % 4):
+        return column
+    return pa.array([None if x is None else x[: len(x) // 4 * 4] for x in column.to_pylist()], pa.binary())
+
+
+@cache
+def piece_bytes(name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all pieces, one after another, and their lengths; U+FFFD at the end."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
+    table = [bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace(chr(MARK), " ").encode() for i in range(model.get_piece_size())]
+    table.append("\ufffd".encode())
+    return np.frombuffer(b"".join(table), np.uint8), np.array([len(x) for x in table])
+
+
+def decode(samples: DataFrame, vocabulary_name: str = VOCABULARY, kept: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, sample, ids, the columns kept, text): the text of each row of ids.
+
+    Null ids give a null text, an id outside the vocabulary gives U+FFFD, bytes after the last whole id nothing.
+    """
+    rows = samples.select("doc_id", "sample", "ids", *kept)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(_decode(vocabulary_name), f"{schema}, text string")

@@ -296,7 +296,7 @@ def test_sampling_follows_the_distribution():
     """First and second samples of a short text come as often as Gumbel top-k says."""
     n = 3000
     pieces = piece_sampling.vocabulary(piece_sampling.VOCABULARY)
-    out = list(piece_sampling.sample_texts(np.arange(n) * 31 + 7, ["abcd"] * n, pieces, 2))
+    out = list(piece_sampling.sample_texts(np.arange(n) * 31 + 7, ["abcd"] * n, piece_sampling.Known(pieces), 2))
     p, seen = {}, [{}, {}]
     for k, x in enumerate(out):
         ends = np.append(0, np.cumsum(x["n"]))
@@ -310,6 +310,28 @@ def test_sampling_follows_the_distribution():
             assert abs(seen[k].get(key, 0) / n - want) < 4 * np.sqrt(want * (1 - want) / n) + 0.01
 
 
+def test_samples_do_not_depend_on_other_rows(rows):
+    """A text alone and among others, before and after its words are known: equal ids and equal doubles."""
+    texts = [t or "" for _, t in rows]
+    keys = np.arange(len(texts)) * 31 + 7
+    store = piece_sampling.Known(piece_sampling.vocabulary(piece_sampling.VOCABULARY))
+    together = list(piece_sampling.sample_texts(keys, texts, store, 2))
+    for i in range(0, len(texts), 7):
+        for own in (store, piece_sampling.Known(store.pieces)):
+            alone = list(piece_sampling.sample_texts(keys[i : i + 1], texts[i : i + 1], own, 2))
+            for x, y in zip(together, alone, strict=True):
+                at = int(x["n"][:i].sum())
+                if np.isfinite(x["perturbed"][i]):
+                    assert x["ids"][at : at + x["n"][i]].tolist() == y["ids"].tolist()
+                assert all(x[c][i] == y[c][0] for c in ("log_prob", "perturbed", "log_inclusion"))
+
+
+def test_decode_of_odd_ids(spark):
+    rows = [(1, 1, np.array([99_999, 1 << 31], "<u4").tobytes()), (2, 1, None), (3, 1, b"\x05"), (4, 1, b"")]
+    got = {r.doc_id: r.text for r in decode(spark.createDataFrame(rows, "doc_id long, sample int, ids binary")).collect()}
+    assert got[2] is None and got[3] == got[4] == "" and got[1].endswith("\ufffd")
+
+
 EMPTY = {
     "suffix": lambda d: suffix_dedup.suffix_dedup(d),
     "substring": substring_dedup,
