@@ -1,11 +1,13 @@
 """Licence scan: sparse TF-IDF cosine to templates and inheritance from directories (operator 8).
 
-DataFrame functions only. Every line of every file is a sparse vector over the templates' words, weighed
-by their inverse document frequency in all lines. By the Cauchy-Schwarz inequality a line without any of
-the key words of a template, those whose rest has a norm below the threshold, cannot reach it; so lines
-are filtered by one set lookup before anything is exploded. A file named like a licence file licenses its
-directory; a file without a licence of its own takes that of its nearest ancestor directory, found by an
-equality join of the file's ancestors with the licensed directories.
+DataFrame functions only. The vectors of a file are its blocks (runs of lines without a blank line or a tag
+between), the lines of each block, and, of a file named like a licence file, the whole text. A vector has
+all words, weighed by their inverse frequency over all files; templates are notices, heads of licences and
+whole short licences. By the Cauchy-Schwarz inequality a vector without any of the key words of a template,
+those whose rest has a norm below the threshold, cannot reach it; so vectors are filtered by one set lookup
+before their words are joined with their frequencies. A licence file licenses its directory; a file without
+a licence of its own takes that of its nearest ancestor directory, found by an equality join of the file's
+ancestors with the licensed directories.
 """
 
 from __future__ import annotations
@@ -18,40 +20,55 @@ from pyspark.sql import functions as F
 
 from brindle.llm.saved import saved
 
-# The notices by which these licences are given.
+# The words by which these licences are given, and the short ones whole.
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"""
+_MIT_REST = """The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"""
+_BSD_1_2 = """Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_3 = """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+_BSD_REST = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."""
+_ISC_REST = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_GNU = "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version."
 TEMPLATES = {
-    "agpl-3.0": "This program is licensed under the GNU Affero General Public License, version 3",
-    "apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "cc-by-4.0": "Licensed under CC BY 4.0",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
-    "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0",
-    "cc0-1.0": "Dedicated to the public domain under CC0 1.0",
-    "epl-2.0": "This program is made available under the terms of the Eclipse Public License 2.0",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
-    "lgpl-2.1": "This library is licensed under the GNU Lesser General Public License, version 2.1",
-    "mit": "Released under the MIT License",
-    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-    "unlicense": "This is free and unencumbered software released into the public domain",
+    "agpl-3.0": ["This program is licensed under the GNU Affero General Public License, version 3", "GNU Affero General Public License Version 3, 19 November 2007", _GNU.format("program", "Affero General Public License", 3)],
+    "apache-2.0": ["Licensed under the Apache License, Version 2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'],
+    "bsd": [_BSD],
+    "bsd-2-clause": [f"BSD 2-Clause License {_BSD} {_BSD_1_2} {_BSD_REST}"],
+    "bsd-3-clause": [f"BSD 3-Clause License {_BSD} {_BSD_1_2} {_BSD_3} {_BSD_REST}", _BSD_3],
+    "cc-by-4.0": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
+    "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "cc-by-sa-4.0": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "cc0-1.0": ["Dedicated to the public domain under CC0 1.0", "CC0 1.0 Universal"],
+    "epl-2.0": ["This program is made available under the terms of the Eclipse Public License 2.0", "Eclipse Public License - v 2.0"],
+    "gpl-2.0": ["GNU General Public License Version 2, June 1991", _GNU.format("program", "General Public License", 2)],
+    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3", "GNU General Public License Version 3, 29 June 2007", _GNU.format("program", "General Public License", 3)],
+    "isc": [_ISC, f"ISC License {_ISC} {_ISC_REST}"],
+    "lgpl-2.1": ["This library is licensed under the GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License Version 2.1, February 1999", _GNU.format("library", "Lesser General Public License", 2.1)],
+    "lgpl-3.0": ["GNU Lesser General Public License Version 3, 29 June 2007"],
+    "mit": ["Released under the MIT License", _MIT, f"MIT License {_MIT} {_MIT_REST}"],
+    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/", "Mozilla Public License Version 2.0"],
+    "unlicense": ["This is free and unencumbered software released into the public domain", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
 }
-NAMES = {"mit-text": "mit"}
-LINE_END = r"[\r\n]+|<[^>]*>"
-WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+TAG = "<[^>]*>"
+#: Between blocks: a tag, or a line without a word.
+BLOCK_END = r"<[^>]*>|\n[^\p{L}\p{N}\n]*\n"
+WORD = r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)[^/]*$"
 THRESHOLD = 0.8
 
 
-def template_counts() -> dict[str, dict[str, int]]:
-    out: dict[str, dict[str, int]] = {}
-    for name, text in TEMPLATES.items():
-        words = re.findall(WORD, text.lower())
-        out[name] = {w: words.count(w) for w in words}
+def template_counts() -> dict[tuple[str, int], dict[str, int]]:
+    """Words of each template, by licence and number."""
+    out: dict[tuple[str, int], dict[str, int]] = {}
+    for name, texts in TEMPLATES.items():
+        for k, text in enumerate(texts):
+            words = re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", text.lower())
+            out[name, k] = {w: words.count(w) for w in words}
     return out
 
 
-def weights(idf: dict[str, float]) -> dict[str, dict[str, float]]:
+def weights(idf: dict[str, float]) -> dict[tuple[str, int], dict[str, float]]:
     """Unit TF-IDF vector of each template."""
     out = {}
     for name, counts in template_counts().items():
@@ -60,12 +77,12 @@ def weights(idf: dict[str, float]) -> dict[str, dict[str, float]]:
     return out
 
 
-def key_words(vectors: dict[str, dict[str, float]], threshold: float) -> set[str]:
-    """Words of which a line needs at least one to reach the threshold with any template."""
+def key_words(vectors: dict[tuple[str, int], dict[str, float]], df: dict[str, int], threshold: float) -> set[str]:
+    """Words of which a vector needs at least one to reach the threshold with any template: of each, the rarest that leave a rest below it."""
     keys = set()
     for vector in vectors.values():
         left = 1.0
-        for word, w in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
+        for word, w in sorted(vector.items(), key=lambda x: (df.get(x[0], 0), x[0])):
             if math.sqrt(max(0.0, left)) < threshold - 1e-9:
                 break
             keys.add(word)
@@ -76,35 +93,39 @@ def key_words(vectors: dict[str, dict[str, float]], threshold: float) -> set[str
 def license_scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Licences of files(file_id, path, text).
 
-    Returns a row for each file: file_id, path, own_license and own_similarity (of its best line, rounded
-    to 6 places; null where no line reaches the threshold), licensed_by (the nearest ancestor directory
-    with a licence file, for files without their own) and license. Ties go to the template that sorts
-    first. A null text or path has no lines or no directories; rows may repeat, and each gives a row.
-    A table without lines gives rows without licences. Further columns are ignored.
+    Returns a row for each file: file_id, path, own_license and own_similarity (of its best line, block or
+    whole licence file, rounded to 6 places; null where none reaches the threshold), licensed_by (the nearest
+    ancestor directory with a licence file, for files without their own) and license. Ties go to the licence
+    that sorts first. A null text or path has no lines or no directories; rows may repeat, and each gives a
+    row. A table without words gives rows without licences. Further columns are ignored.
     """
     spark = files.sparkSession
-    files = files.select(F.col("file_id").cast("long").alias("file_id"), F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("file_id", "path", "text"))
+    files = files.select(F.col("file_id").cast("long").alias("file_id"), F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
+    files = files.withColumn("row", F.sha2(F.to_json(F.struct("file_id", "path", "text")), 256))
+    words_of = lambda text: F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    plain = F.regexp_replace(F.lower("text"), TAG, " ")
+    each = F.concat(F.array(F.lit("")), F.array_distinct(words_of(plain)))
+    seen = files.where("text IS NOT NULL").select(F.explode(each).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    seen = saved(seen)
     vocabulary = sorted({w for counts in template_counts().values() for w in counts})
-    line = F.explode(F.split(F.lower("text"), LINE_END)).alias("line")
-    lines = files.select("row", line).select("row", F.regexp_extract_all("line", F.lit(WORD), F.lit(0)).alias("words")).where(F.size("words") > 0)
-    lines = lines.select("row", F.filter("words", lambda w: w.isin(vocabulary)).alias("words"))
-    total = F.count("*").alias("n")
-    seen = lines.select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct("words"))).alias("word")).groupBy("word").agg(total)
-    df = {r.word: r.n for r in seen.collect()}  # a row for each word of the templates, and "" for the lines
-    idf = {w: math.log((df.get("", 0) + 1) / (df.get(w, 0) + 1)) + 1 for w in vocabulary}
-    vectors = weights(idf)
-    keys = sorted(key_words(vectors, threshold))
-
-    hits = saved(lines.where(F.exists("words", lambda w: w.isin(keys))).distinct().select("row", "words", F.xxhash64("words").alias("line")).distinct())
-    terms = spark.createDataFrame([(t, w, x, idf[w]) for t, v in vectors.items() for w, x in v.items()], "template string, word string, weight double, idf double")
-    counted = hits.select("row", "line", F.explode("words").alias("word")).groupBy("row", "line", "word").agg(F.count("*").alias("tf"))
-    priced = counted.join(F.broadcast(terms.select("word", "idf").distinct()), "word")  # a row for each word of the templates
-    norm = priced.groupBy("row", "line").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm"))
-    dot = priced.join(F.broadcast(terms.select("word", "template", "weight")), "word").groupBy("row", "line", "template").agg(F.sum(F.col("tf") * F.col("idf") * F.col("weight")).alias("dot"))
-    near = dot.join(norm, ["row", "line"]).select("row", "template", F.round(F.col("dot") / F.col("norm"), 6).alias("similarity")).where(F.col("similarity") >= threshold)
-    best = near.groupBy("row").agg(F.max_by("template", F.struct("similarity", F.translate("template", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba"))).alias("template"), F.max("similarity").alias("own_similarity"))
-    named = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
-    best = saved(best.select("row", F.coalesce(named[F.col("template")], "template").alias("own_license"), "own_similarity"))
+    df = {r.word: r.n for r in seen.where(F.col("word").isin(["", *vocabulary])).collect()}  # a row for each word of the templates, and "" for the files
+    n_files = df.get("", 0)
+    vectors = weights({w: math.log((n_files + 1) / (df.get(w, 0) + 1)) + 1 for w in vocabulary})
+    keys = sorted(key_words(vectors, df, threshold))
+
+    blocks = F.split(F.lower("text"), BLOCK_END, -1)
+    units = F.flatten(F.transform(blocks, lambda b: F.when(F.contains(b, F.lit("\n")), F.concat(F.array(b), F.split(b, "\n", -1))).otherwise(F.array(b))))
+    units = F.when(F.col("path").rlike(LICENCE_FILE), F.concat(units, F.array(plain))).otherwise(units)
+    units = files.select("row", F.explode(units).alias("unit")).select("row", words_of(F.col("unit")).alias("words"))
+    hits = saved(units.where(F.exists("words", lambda w: w.isin(keys))).distinct().withColumn("unit", F.sha2(F.array_join("words", " "), 256)))
+    counted = hits.select("row", "unit", F.explode("words").alias("word")).groupBy("row", "unit", "word").agg(F.count("*").alias("tf"))
+    priced = counted.join(seen, "word").select("row", "unit", "word", (F.col("tf") * (F.log((F.lit(n_files) + 1) / (F.col("n") + 1)) + 1)).alias("x"))
+    norm = priced.groupBy("row", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    terms = spark.createDataFrame([(name, k, w, x) for (name, k), v in vectors.items() for w, x in v.items()], "template string, part int, word string, weight double")
+    dot = priced.join(F.broadcast(terms), "word").groupBy("row", "unit", "template", "part").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))  # terms: a row for each word of a template
+    near = dot.join(norm, ["row", "unit"]).select("row", "template", F.round(F.col("dot") / F.col("norm"), 6).alias("similarity")).where(F.col("similarity") >= threshold)
+    best = near.groupBy("row", "template").agg(F.max("similarity").alias("similarity")).groupBy("row").agg(F.min(F.struct((-F.col("similarity")).alias("less"), "template")).alias("best"))
+    best = saved(best.select("row", F.col("best.template").alias("own_license"), (-F.col("best.less")).alias("own_similarity")))
 
     out = files.drop("text").join(best, "row", "left")
     parts = F.split(F.regexp_replace("path", "/[^/]*$", ""), "/")
@@ -120,22 +141,24 @@ def license_scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def sql(threshold: float = THRESHOLD) -> str:
     """The same over the table pages, whose addresses are paths, for DuckDB."""
-    rows = ", ".join(f"('{t}', '{w}', {n})" for t, counts in template_counts().items() for w, n in counts.items())
+    rows = ", ".join(f"('{t}', {k}, '{w}', {n})" for (t, k), counts in template_counts().items() for w, n in counts.items())
     return rf"""
-WITH files AS (SELECT page_id AS file_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path, html AS text FROM pages),
-lines AS (SELECT file_id, unnest(regexp_split_to_array(lower(text), '{LINE_END}')) AS line FROM files),
-numbered AS (SELECT file_id, row_number() OVER () AS line, regexp_extract_all(line, '{WORD}') AS words FROM lines),
-known AS (SELECT * FROM numbered WHERE len(words) > 0),
-t(template, word, n) AS (VALUES {rows}),
-vocabulary AS (SELECT DISTINCT word FROM t),
-counted AS (SELECT file_id, line, word, count(*) AS tf FROM (SELECT file_id, line, unnest(words) AS word FROM known) SEMI JOIN vocabulary USING (word) GROUP BY ALL),
-idf AS (SELECT word, ln(((SELECT count(*) FROM known) + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM vocabulary LEFT JOIN (SELECT word, count(*) AS df FROM counted GROUP BY word) USING (word)),
-unit AS (SELECT template, word, n * idf / sqrt(sum(pow(n * idf, 2)) OVER (PARTITION BY template)) AS w FROM t JOIN idf USING (word)),
-norms AS (SELECT line, sqrt(sum(pow(tf * idf, 2))) AS norm FROM counted JOIN idf USING (word) GROUP BY line),
-dots AS (SELECT file_id, line, template, sum(tf * idf * w) AS dot FROM counted JOIN idf USING (word) JOIN unit USING (word) GROUP BY ALL),
-near AS (SELECT file_id, template, round(dot / norm, 6) AS s FROM dots JOIN norms USING (line) WHERE round(dot / norm, 6) >= {threshold}),
+WITH files AS (SELECT page_id AS file_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path, lower(html) AS text FROM pages),
+blocks AS (SELECT file_id, unnest(regexp_split_to_array(text, '{BLOCK_END}')) AS block FROM files),
+parts AS (SELECT file_id, block AS part FROM blocks UNION SELECT file_id, unnest(string_split(block, chr(10))) FROM blocks UNION SELECT file_id, regexp_replace(text, '{TAG}', ' ', 'g') FROM files WHERE regexp_matches(path, '{LICENCE_FILE}')),
+units AS (SELECT file_id, unit, words FROM (SELECT file_id, row_number() OVER () AS unit, regexp_extract_all(part, '{WORD}') AS words FROM parts) WHERE len(words) > 0),
+df AS (SELECT word, count(*) AS df FROM (SELECT DISTINCT file_id, unnest(regexp_extract_all(regexp_replace(text, '{TAG}', ' ', 'g'), '{WORD}')) AS word FROM files) GROUP BY word),
+idf AS (SELECT word, ln(((SELECT count(text) FROM files) + 1) / (df + 1)) + 1 AS idf FROM df),
+t(template, part, word, n) AS (VALUES {rows}),
+t_idf AS (SELECT t.*, coalesce(idf, ln((SELECT count(text) FROM files) + 1) + 1) AS idf FROM t LEFT JOIN idf USING (word)),
+unit AS (SELECT template, part, word, n * idf / sqrt(sum(pow(n * idf, 2)) OVER (PARTITION BY template, part)) AS w FROM t_idf),
+counted AS (SELECT file_id, unit, word, count(*) AS tf FROM (SELECT file_id, unit, unnest(words) AS word FROM units) GROUP BY ALL),
+priced AS (SELECT file_id, unit, word, tf * idf AS x FROM counted JOIN idf USING (word)),
+norms AS (SELECT unit, sqrt(sum(x * x)) AS norm FROM priced GROUP BY unit),
+dots AS (SELECT file_id, priced.unit, template, part, sum(x * w) AS dot FROM priced JOIN unit USING (word) GROUP BY ALL),
+near AS (SELECT file_id, template, round(dot / norm, 6) AS s FROM dots JOIN norms USING (unit) WHERE round(dot / norm, 6) >= {threshold}),
 best AS (SELECT file_id, template, s FROM near QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY s DESC, template) = 1),
-own AS (SELECT files.file_id, path, CASE WHEN template = 'mit-text' THEN 'mit' ELSE template END AS own_license, s FROM files LEFT JOIN best USING (file_id)),
+own AS (SELECT files.file_id, path, template AS own_license, s FROM files LEFT JOIN best USING (file_id)),
 granted AS (SELECT CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS folder, min(own_license) AS granted FROM own WHERE own_license IS NOT NULL AND regexp_matches(path, '{LICENCE_FILE}') GROUP BY 1),
 taken AS (SELECT file_id, folder, granted FROM own JOIN granted ON folder = '' OR starts_with(path, folder || '/') WHERE own_license IS NULL QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY length(folder) DESC) = 1)
 SELECT file_id, path, own_license, s AS own_similarity, folder AS licensed_by, coalesce(own_license, granted) AS license FROM own LEFT JOIN taken USING (file_id)

@@ -1,7 +1,10 @@
 """Vectors, licences, toxicity and the pipeline against brute force on small tables."""
 
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,6 +13,7 @@ import corpus_pipeline
 from brindle.llm import embedding_dedup, vector_search
 from brindle.llm.components import components
 from brindle.llm.embedding_dedup import embedding_dedup as dedup
+from brindle.llm import licenses
 from brindle.llm.licenses import license_scan
 from brindle.llm.toxicity import toxicity
 from brindle.llm.vector_search import vector_search as search
@@ -117,6 +121,62 @@ def test_licences(spark):
     assert license_scan(spark.createDataFrame([], "file_id long, path string, text string")).count() == 0
 
 
+def wrapped(text, prefix="", width=60):
+    out, line = [], ""
+    for word in text.split():
+        if len(line) + len(word) > width:
+            out.append(prefix + line)
+            line = ""
+        line += word + " "
+    return "\n".join([*out, prefix + line])
+
+
+def test_licences_of_wrapped_and_diluted_texts(spark):
+    """Notices over several lines, heads and whole files; against plain vectors of lines and blocks."""
+    whole = licenses.TEMPLATES
+    rng = random.Random(1)
+    noise = lambda n: " ".join(f"w{rng.randint(0, 300)}" for _ in range(n))
+    rows = [
+        (1, "a/LICENSE", "Copyright (c) 2020 Someone\n\n" + wrapped(whole["mit"][2])), (2, "a/x.c", noise(50)),
+        (3, "b/x.c", "/*\n" + wrapped(whole["bsd"][0], " * ") + "\n */\nint x;\n" + noise(80)),
+        (4, "c/x.py", "# Copyright 2020\n#\n" + wrapped(whole["apache-2.0"][2], "# ") + "\n#\n# http://www.apache.org/licenses/LICENSE-2.0\n\n" + noise(90)),
+        (5, "d/COPYING", "            GNU GENERAL PUBLIC LICENSE\n               Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation\n\n" + "\n\n".join(noise(40) for _ in range(20))),
+        (6, "d/e/f.c", ""), (7, "g/x", "released under mit " + noise(2000)), (8, "g/y", noise(300) + "\nReleased under the MIT License.\n" + noise(3)),
+        (9, "h/COPYING.txt", wrapped(whole["bsd-3-clause"][0], width=72)), (10, "h/i/j", None),
+    ]
+    got = {r.file_id: (r.own_license, r.license) for r in license_scan(spark.createDataFrame(rows, "file_id long, path string, text string")).collect()}
+    assert {k: v[1] for k, v in got.items()} == {1: "mit", 2: "mit", 3: "bsd", 4: "apache-2.0", 5: "gpl-3.0", 6: "gpl-3.0", 7: None, 8: "mit", 9: "bsd-3-clause", 10: "bsd-3-clause"}
+    assert got == {i: (own, got[i][1]) for i, own in plain_licences(rows).items()}
+
+
+def plain_licences(rows):
+    words = lambda t: re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", t.lower())
+    texts = [set(words(t)) for _, _, t in rows if t is not None]
+    idf = lambda w: math.log((len(texts) + 1) / (sum(w in t for t in texts) + 1)) + 1
+
+    def vector(t):
+        v = {w: n * idf(w) for w, n in Counter(words(t)).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    models = [(name, vector(t)) for name, texts in licenses.TEMPLATES.items() for t in texts]
+    out = {}
+    for i, path, text in rows:
+        block, parts = [], list((text or "").split("\n"))
+        for line in [*parts, ""]:
+            if words(line):
+                block.append(line)
+            else:
+                parts.append("\n".join(block))
+                block = []
+        if path.split("/")[-1].startswith(("LICENSE", "COPYING")):
+            parts.append(text)
+        best = [(round(sum(x * m.get(w, 0) for w, x in v.items()), 6), name) for v in [vector(p) for p in parts if words(p)] for name, m in models]
+        best = [(-s, name) for s, name in best if s >= licenses.THRESHOLD]
+        out[i] = min(best)[1] if best else None
+    return out
+
+
 def labelled(n=400):
     rng = random.Random(8)
     words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
