@@ -23,11 +23,13 @@ from pyspark.sql import functions as F
 from brindle.llm.blocks import packed_strings, unpacked
 from brindle.llm.components import components
 from brindle.llm.saved import saved
-from brindle.llm.vectors import matrix, usable, vectors
+from brindle.llm.vectors import matrix, scaled, usable, vectors
 
 THRESHOLD = 0.98
 BLOCK = 512
 STEPS = (8, 16, 32)
+#: Axes are fitted for the most frequent lengths of vectors, so many at most, and up to this length; others keep the order of their dimensions.
+FITTED, WIDEST = 8, 1024
 SLACK = 1e-9
 
 BLOCKS = "block long, label long, dim int, low double, high double, ids binary, copies binary, data binary"
@@ -35,20 +37,22 @@ _BLOCKS = pa.schema([("block", pa.int64()), ("label", pa.int64()), ("dim", pa.in
 
 
 def axes(units: DataFrame) -> dict[int, np.ndarray]:
-    """For each dimension of vectors the principal axes as columns, from sums over all rows; what reaches the driver is one matrix of moments for each dimension."""
+    """For each dimension of vectors the principal axes as columns, from sums over all rows; what reaches the driver is a matrix of moments for a bounded number of bounded dimensions."""
+    common = units.where(F.col("dim") <= WIDEST).groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(FITTED)
+    fitted = [r.dim for r in common.collect()]
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for d in np.unique(dims).tolist():
-                x = matrix(batch.column("embedding").filter(pa.array(dims == d)))
+                x = scaled(matrix(batch.column("embedding").filter(pa.array(dims == d))))
                 x = x / np.linalg.norm(x, axis=1)[:, None]
                 total[d] = total.get(d, 0) + x.T @ x
         for d, m in total.items():
             yield pa.RecordBatch.from_pydict({"dim": pa.array([d] * d * d, pa.int32()), "at": pa.array(np.arange(d * d)), "x": pa.array(m.ravel())})
 
-    moments = units.select("dim", "embedding").mapInArrow(sums, "dim int, at long, x double").groupBy("dim", "at").agg(F.sum("x").alias("x"))
+    moments = units.where(F.col("dim").isin(fitted)).select("dim", "embedding").mapInArrow(sums, "dim int, at long, x double").groupBy("dim", "at").agg(F.sum("x").alias("x"))
     by: dict[int, list] = {}
     for r in moments.orderBy("dim", "at").collect():
         by.setdefault(r.dim, []).append(r.x)
@@ -61,8 +65,8 @@ def _project(rotations: dict[int, np.ndarray]):
             dims, lead = batch.column("dim").to_numpy(), np.zeros(batch.num_rows)
             for d in np.unique(dims).tolist():
                 on = dims == d
-                x = matrix(batch.column("embedding").filter(pa.array(on)))
-                lead[on] = x @ rotations[d][:, 0] / np.linalg.norm(x, axis=1)
+                x = scaled(matrix(batch.column("embedding").filter(pa.array(on))))
+                lead[on] = (x @ rotations[d][:, 0] if d in rotations else x[:, 0]) / np.linalg.norm(x, axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lead)], names=[*batch.schema.names, "lead"])
 
     return run
@@ -96,11 +100,13 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def linked_pairs(a: np.ndarray, b: np.ndarray, rotation: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+def linked_pairs(a: np.ndarray, b: np.ndarray, rotation: np.ndarray | None, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Rows of a and of b with cosine of at least the threshold; of one block, each pair once."""
-    dim = a.shape[1]
+    a, b, dim = scaled(a), scaled(b), a.shape[1]
     norm_a, norm_b = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-    u, v = a / norm_a[:, None] @ rotation, b / norm_b[:, None] @ rotation
+    u, v = a / norm_a[:, None], b / norm_b[:, None]
+    if rotation is not None:
+        u, v = u @ rotation, v @ rotation
     left = [np.sqrt(np.maximum(0, 1 - np.cumsum(x * x, axis=1))) for x in (u, v)]  # suffix norms after each dimension
     steps = [s for s in STEPS if s < dim] + [dim]
     k = steps[0]
@@ -138,7 +144,7 @@ def _compare(rotations: dict[int, np.ndarray], threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                rotation = rotations[row["dim"]]
+                rotation = rotations.get(row["dim"])
                 side = [(np.frombuffer(row[f"ids_{s}"], np.int64), np.frombuffer(row[f"copies_{s}"], np.int64), np.frombuffer(row[f"data_{s}"], np.float64).reshape(-1, row["dim"])) for s in "ab"]
                 same = row["a"] == row["b"]
                 i, j = linked_pairs(side[0][2], side[1][2], rotation, threshold, same)
@@ -162,7 +168,7 @@ def embedding_dedup(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     Returns a row for each vector: vec_id, n_links (other vectors linked directly), component_id (smallest
     vec_id reachable) and kept (vec_id = component_id). Vectors that are null, empty, zero or hold null or
     non-finite components, and those without a label, link with nothing; vectors of different length do not
-    link. Rows without vec_id are left out; rows that repeat one count once. Other columns are ignored.
+    link. Components of any finite size count: cosines are taken after an exact scaling. Rows without vec_id are left out; rows that repeat one count once. Other columns are ignored.
     """
     spark = table.sparkSession
     n = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm.blocks import packed_strings, unpacked
 from brindle.llm.saved import saved
-from brindle.llm.vectors import matrix, usable, vectors
+from brindle.llm.vectors import matrix, scaled, usable, vectors
 
 NEIGHBOURS = 20
 EVERY = 20
@@ -28,7 +28,11 @@ SAMPLE = 16_384
 #: Rows of the sample that give each query its first bound.
 SEEDS = 512
 LIST_ROWS = 512
-MOST_LISTS = 256
+MOST_LISTS = SAMPLE // 8
+#: Vectors with a larger component are compared with every query of their length, by the product alone: their squares may overflow.
+WILD = 2.0**250
+#: Longer vectors are not rotated.
+WIDEST = 2048
 BLOCK = 1024
 QUERIES = 256
 STEP = 16
@@ -47,8 +51,10 @@ RESULT = "query_id long, rank int, vec_id long, score double"
 
 
 @cache
-def rotation(dim: int) -> np.ndarray:
-    """A fixed random orthogonal matrix."""
+def rotation(dim: int) -> np.ndarray | None:
+    """A fixed random orthogonal matrix; none beyond a bounded length."""
+    if dim > WIDEST:
+        return None
     q, r = np.linalg.qr(np.random.default_rng(dim).standard_normal((dim, dim)))
     return q * np.sign(np.diag(r))
 
@@ -83,6 +89,9 @@ class Lists:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, n_rows: int, k: int):
         self.ids, self.x, self.k = ids, x, k
+        if not len(x):
+            self.c, self.probes = np.zeros((1, x.shape[1])), 1
+            return
         self.c = centroids(x, min(len(x), max(1, min(MOST_LISTS, n_rows // LIST_ROWS))))
         self.probes = self._probes()
         seeds = min(SEEDS, n_rows // 8)
@@ -99,7 +108,20 @@ class Lists:
         return int(needed[min(len(needed) - 1, int(TARGET * len(needed)))]) + 1
 
     def asked(self, q: np.ndarray) -> np.ndarray:
-        return np.argsort(-(q @ self.c.T), axis=1, kind="stable")[:, : self.probes]
+        """The lists that each query probes, and that of the wild rows."""
+        near = np.argsort(-(scaled(q) @ self.c.T), axis=1, kind="stable")[:, : self.probes]
+        return np.concatenate([near, np.full((len(q), 1), MOST_LISTS)], axis=1)
+
+
+def wild(x: np.ndarray) -> np.ndarray:
+    return np.abs(x).max(axis=1, initial=0.0) > WILD
+
+
+def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of x with y; a sum that is no number counts as minus infinity."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        score = np.einsum("ij,j->i", x, y)
+    return np.where(np.isnan(score), -np.inf, score)
 
 
 def _blocks(lists: dict[int, Lists]):
@@ -127,7 +149,9 @@ def _number(lists: dict[int, Lists]):
             dims, out = batch.column("dim").to_numpy(), np.zeros(batch.num_rows, np.int32)
             for d in np.unique(dims).tolist():
                 on = dims == d
-                out[on] = nearest_list(matrix(batch.column("embedding").filter(pa.array(on))), lists[d].c) + d * MOST_LISTS
+                x = matrix(batch.column("embedding").filter(pa.array(on)))
+                odd = wild(x)
+                out[on] = np.where(odd, MOST_LISTS, nearest_list(np.where(odd[:, None], 0, x), lists[d].c)) + d * (MOST_LISTS + 1)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(out)], names=["vec_id", "embedding", "list"])
 
     return run
@@ -144,10 +168,11 @@ def _ask(lists: dict[int, Lists]):
                 ids, q = every[on], matrix(batch.column("embedding").filter(pa.array(on)))
                 known = lists[d]
                 bounds = np.full(len(ids), -np.inf)
-                products = q @ known.x.T
-                products[ids[:, None] == known.ids[None, :]] = -np.inf
-                if products.shape[1] >= known.k:
-                    bounds = np.partition(products, products.shape[1] - known.k, axis=1)[:, products.shape[1] - known.k]
+                first = np.where(wild(q)[:, None], 0, q) @ known.x.T
+                first[ids[:, None] == known.ids[None, :]] = -np.inf
+                if first.shape[1] >= known.k:
+                    bounds = np.partition(first, first.shape[1] - known.k, axis=1)[:, first.shape[1] - known.k]
+                bounds[wild(q)] = -np.inf
                 wanted = known.asked(q)
                 query, which = np.repeat(np.arange(len(ids)), wanted.shape[1]), wanted.ravel()
                 order = np.argsort(which, kind="stable")
@@ -157,7 +182,7 @@ def _ask(lists: dict[int, Lists]):
                     for lo in range(a, b, QUERIES):
                         some = query[lo : min(b, lo + QUERIES)]
                         n = np.array([len(some)])
-                        yield pa.RecordBatch.from_arrays([pa.array([int(which[a]) + d * MOST_LISTS], pa.int32()), packed_strings(ids[some], n), packed_strings(q[some].ravel(), n * d), packed_strings(bounds[some], n)], schema=_ASKED)
+                        yield pa.RecordBatch.from_arrays([pa.array([int(which[a]) + d * (MOST_LISTS + 1)], pa.int32()), packed_strings(ids[some], n), packed_strings(q[some].ravel(), n * d), packed_strings(bounds[some], n)], schema=_ASKED)
 
     return run
 
@@ -165,28 +190,36 @@ def _ask(lists: dict[int, Lists]):
 def scan(qids: np.ndarray, q: np.ndarray, bounds: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query_id, ids, scores) of the best of one block that reach each query's bound."""
     dim = x.shape[1]
-    turn = rotation(dim)
-    u, v = q @ turn, x @ turn
-    norms = (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :]
+    turn, free = rotation(dim), wild(q)[:, None] | wild(x)[None, :]
+    u, v = (np.where(wild(y)[:, None], 0, y) for y in (q, x))
+    norms = (u * u).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None, :]
+    if turn is not None:
+        u, v = u @ turn, v @ turn
     limit = norms - 2 * (bounds[:, None] - 1e-9)  # squared distance at which the bound is reached
     steps = [*range(STEP, dim, STEP), dim]
     d = steps[0]
     partial = (u[:, :d] ** 2).sum(axis=1)[:, None] + (v[:, :d] ** 2).sum(axis=1)[None, :] - 2 * u[:, :d] @ v[:, :d].T
     test = partial * (dim / d) <= limit * (1 + STRICT / np.sqrt(d)) ** 2 if d < dim else partial <= limit + 1e-9
-    test &= qids[:, None] != ids[None, :]
+    other = qids[:, None] != ids[None, :]
+    test &= other & ~free
     i, j = np.nonzero(test)
     part = partial[i, j]
     for to in steps[1:]:
         if not len(i):
-            return
+            break
         part = part + ((u[i, d:to] - v[j, d:to]) ** 2).sum(axis=1)
         d = to
         stay = part * (dim / d) <= limit[i, j] * (1 + (STRICT / np.sqrt(d) if d < dim else 0)) ** 2 + 1e-9
         i, j, part = i[stay], j[stay], part[stay]
+    if free.any():
+        more = np.nonzero(free & other)
+        i, j = np.append(i, more[0]), np.append(j, more[1])
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
     edges = np.searchsorted(i, np.arange(len(qids) + 1)).tolist()
     for n, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
         if b > a:
-            score = np.einsum("ij,j->i", x[j[a:b]], q[n])
+            score = products(x[j[a:b]], q[n])
             best = top(score, ids[j[a:b]], k)
             yield int(qids[n]), ids[j[a:b]][best], score[best]
 
@@ -200,7 +233,7 @@ def _scan(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                d = row["list"] // MOST_LISTS
+                d = row["list"] // (MOST_LISTS + 1)
                 found = list(scan(np.frombuffer(row["qids"], np.int64), np.frombuffer(row["qdata"], np.float64).reshape(-1, d), np.frombuffer(row["bounds"], np.float64), np.frombuffer(row["ids"], np.int64), np.frombuffer(row["data"], np.float64).reshape(-1, d), k))
                 if found:
                     yield _hits(found)
@@ -218,7 +251,7 @@ def _sample_hits(lists: dict[int, Lists], k: int):
                 on, known = dims == d, lists[d]
                 ids, q = every[on], matrix(batch.column("embedding").filter(pa.array(on)))
                 for n, query in enumerate(ids.tolist()):
-                    score = np.einsum("ij,j->i", known.x, q[n])
+                    score = products(known.x, q[n])
                     score[known.ids == query] = -np.inf
                     best = top(score, known.ids, k)
                     best = best[score[best] > -np.inf]
@@ -259,7 +292,7 @@ def vector_search(table: DataFrame, every: int = EVERY, k: int = NEIGHBOURS) ->
     Returns (query_id, rank, vec_id, score); score is the inner product of the original vectors in double
     precision, ties go to the smaller vec_id, and a query gets all candidates where they are fewer than k.
     Vectors that are null, empty, zero or hold null or non-finite components take no part, and vectors meet
-    only those of their own length. Rows without vec_id are left out; rows that repeat one count once.
+    only those of their own length. Products may be infinite; one that is no number counts as minus infinity. Rows without vec_id are left out; rows that repeat one count once.
     Other columns are ignored.
     """
     spark = table.sparkSession
@@ -268,8 +301,8 @@ def vector_search(table: DataFrame, every: int = EVERY, k: int = NEIGHBOURS) ->
     sizes = {r.dim: r.n for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     lists = {}
     for d, size in sizes.items():
-        some = rows.where(F.col("dim") == d).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec_id", "embedding").toArrow()
-        lists[d] = Lists(some.column("vec_id").to_numpy(), matrix(some.column("embedding")), size, k)
+        some = rows.where((F.col("dim") == d) & ~F.exists("embedding", lambda x: F.abs(x) > WILD)).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec_id", "embedding").toArrow()
+        lists[d] = Lists(some.column("vec_id").to_numpy(), matrix(some.column("embedding")) if some.num_rows else np.empty((0, d)), size, k)
     numbered = saved(rows.mapInArrow(_number(lists), "vec_id long, embedding array<double>, list int"))
     blocks = numbered.repartitionByRange(n, "list", "vec_id").sortWithinPartitions("list", "vec_id").mapInArrow(_blocks(lists), BLOCKS)
     queries = rows.where(F.col("vec_id") % every == 0)

@@ -56,6 +56,33 @@ def test_embedding_dedup(spark, monkeypatch):
     assert got == want and links
 
 
+def extreme():
+    """Components of any size, repeated keys, and one row of 50,000 numbers."""
+    rng = np.random.default_rng(9)
+    rows = [(i, (rng.standard_normal(4) * 10.0 ** int(rng.integers(-1, 2))).tolist()) for i in range(80)]
+    rows += [(100, [1e-200] * 4), (101, [2e-200] * 4), (102, [1e170, 1e170, 1e170, 1.1e170]), (103, [-1e300, 1e300, 1e300, 0.0]), (104, [5e-324, 0.0, 0.0, 0.0]), (120, [1e170, -1e170, 0.0, 1.0])]
+    return [(i, v, 0, "e") for i, v in [*rows, (5, rows[5][1]), (5, rows[5][1]), (106, [1.0] * 50_000), (140, [1.0] * 50_000)]]
+
+
+def test_vectors_of_extreme_size(spark):
+    """Cosines after scaling, products as doubles give them, infinite ones included."""
+    rows = extreme()
+    got = {r.vec_id: (r.n_links, r.component_id) for r in dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    good = {i: np.array(v) / max(map(abs, v)) for i, v, *_ in rows}
+    unit = {i: v / np.linalg.norm(v) for i, v in good.items()}
+    links = {i: [j for j in unit if j != i and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.98] for i in unit}
+    assert {i: n for i, (n, _) in got.items()} == {i: len(x) for i, x in links.items()}
+    assert got[101][1] == got[102][1] == got[100][1] and got[140] == (1, 106)
+    found = {}
+    for r in search(spark.createDataFrame(rows, SCHEMA)).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    with np.errstate(over="ignore", invalid="ignore"):
+        for q in (i for i in good if i % 20 == 0):
+            y = {i: float(np.einsum("ij,j->i", np.array([v]), np.array(dict((i, v) for i, v, *_ in rows)[q]))[0]) for i, v, *_ in rows if i != q and len(v) == len(good[q])}
+            want = sorted((-(-np.inf if np.isnan(s) else s), i) for i, s in y.items())[:20]
+            assert [(m[1], m[2]) for m in sorted(found[q])] == [(i, -s) for s, i in want]
+
+
 @pytest.mark.parametrize("block", [1024, 16])
 def test_vector_search(spark, monkeypatch, block):
     monkeypatch.setattr(vector_search, "BLOCK", block)
