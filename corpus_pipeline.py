@@ -1,7 +1,8 @@
 """The corpus pipeline: four stages over documents, each written as Parquet and read again by the next.
 
 Each stage works on all that its predecessor kept. The first three keep the columns of documents; the
-last returns the packed pieces.
+last returns the packed pieces. doc_id is the key: the first stage leaves out rows without one, and of rows
+that repeat one it keeps the one with the smallest text (a null text last), so later stages meet each key once.
 """
 
 from __future__ import annotations
@@ -18,8 +19,19 @@ from brindle.llm.substring_dedup import substring_dedup
 from brindle.llm.toxicity import toxicity
 
 
+def one_row_per_id(docs: DataFrame) -> DataFrame:
+    """docs with doc_id as key."""
+    known = docs.where("doc_id IS NOT NULL")
+    if known.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return known
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    low = F.min(F.struct(F.col("text").isNull().alias("none"), "text", *rest)).alias("row")
+    return known.groupBy("doc_id").agg(low).select("doc_id", "row.*").select(docs.columns)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity score rejects go."""
+    docs = one_row_per_id(docs)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     bad = toxicity(docs, labels).where("predicted = 1").select("doc_id")
     return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
