@@ -11,7 +11,8 @@ words by a regular expression, and each word is encoded by itself. Both levels a
   the word emits. Its states are prefix polynomial hashes; a path is compiled when a word is first met, by
   encoding that word once with the tokenizer library.
 
-Texts that hold one of the tokenizer's added strings ("<|...|>") go to the library whole.
+Texts that hold one of the tokenizer's added strings ("<|...|>"), or a character that Python's tables don't
+know (the tokenizer's may be newer), go to the library whole, so counts don't depend on Python's version.
 """
 
 from __future__ import annotations
@@ -76,6 +77,19 @@ def classes() -> np.ndarray:
     return out
 
 
+@cache
+def unsure() -> np.ndarray:
+    """Code points that this Python's character tables do not know: newer ones of the tokenizer may."""
+    return np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
+def plain(text: str) -> bool:
+    """Whether the compiled tokenizer covers a text: no added string in it, and no character outside the tables."""
+    if text.isascii():
+        return "<|" not in text
+    return "<|" not in text and not unsure()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any()
+
+
 @cache
 def library(vocabulary: str):
     import os
@@ -138,6 +152,8 @@ class WordCounts:
 
     def __init__(self, vocabulary: str):
         self.library = library(vocabulary)
+        self.of_words = library(vocabulary).from_str(self.library.to_str())
+        self.of_words.normalizer = None  # words are normalised already, as parts of their texts
         self.hashes, self.counts = np.empty(0, U64), np.empty(0, np.int32)
 
     def of(self, hashes: np.ndarray, word_at) -> np.ndarray:
@@ -149,7 +165,7 @@ class WordCounts:
         out[known] = self.counts[at[known]]
         new = np.flatnonzero(~known)
         if len(new):
-            found = np.fromiter((len(x) for x in self.library.encode_batch_fast([word_at(i) for i in new.tolist()], add_special_tokens=False)), np.int32, len(new))
+            found = np.fromiter((len(x) for x in self.of_words.encode_batch_fast([word_at(i) for i in new.tolist()], add_special_tokens=False)), np.int32, len(new))
             out[new] = found
             if len(self.hashes) + len(new) > COMPILED_WORDS:
                 self.hashes, self.counts = np.empty(0, U64), np.empty(0, np.int32)
@@ -191,14 +207,14 @@ def _counts(vocabulary: str, limit: int):
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]
             total = np.zeros(len(texts), np.int64)
-            plain = []
+            compiled = []
             for i, x in enumerate(texts):
-                if "<|" in x:
-                    total[i] = len(words.library.encode(x, add_special_tokens=False))
+                if plain(x):
+                    compiled.append(i)
                 else:
-                    plain.append(i)
+                    total[i] = len(words.library.encode(x, add_special_tokens=False))
             some, size = [], 0
-            for i in [*plain, None]:
+            for i in [*compiled, None]:
                 if i is None or size >= BATCH_CHARS:
                     total[some] = count_tokens([texts[k] for k in some], words)
                     some, size = [], 0

@@ -359,3 +359,13 @@ def test_row_operators_keep_every_row(spark, name):
     rows = [(1, "a"), (1, "a"), (None, "a"), (2, None)]
     got = [r.doc_id for r in EMPTY[name](frame(spark, rows)).collect()]
     assert got.count(1) >= 2 and got.count(None) >= 1 and got.count(2) >= 1
+
+
+def test_token_counts_of_odd_characters(spark):
+    """Newer characters than Python's tables, and lower-casing that leaves marks out of canonical order."""
+    rng = random.Random(8)
+    ranges = [(0x20, 0x7E), (0x20, 0x250), (0x370, 0x6FF), (0x900, 0xDFF), (0x13460, 0x143FA), (0x10D50, 0x10D85), (0x1F300, 0x1FAFF)]
+    texts = ["".join(rng.choice([chr(rng.randint(*rng.choice(ranges[: 4 + i % 4]))), *"'́Σİ "]) for _ in range(rng.randint(1, 40))) for i in range(1500)]
+    library = token_counts.library(token_counts.VOCABULARY)
+    got = {r.doc_id: r.n_tokens for r in count(frame(spark, list(enumerate(texts)))).collect()}
+    assert got == {i: len(library.encode(t, add_special_tokens=False)) for i, t in enumerate(texts)}
