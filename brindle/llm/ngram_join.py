@@ -299,15 +299,23 @@ CENTERS = 32
 #: Members of a bucket are dealt in blocks of about so many; no row holds more than two blocks.
 BLOCK = 512
 STARS = "a long, b long, gap long"
+#: Bucket numbers that a member carries, its smallest, so that a pair comes from one of the buckets that it shares.
+CARRIED = 64
 
 
 def _stars(nearest: bool):
-    """From rows of members m and others c of one bucket: pairs, between components, that pass the filters; of each member all, or the nearest."""
+    """From rows of members m and others c of one bucket k: pairs, between components, that pass the filters; of each member all, or the nearest.
+
+    All pairs: one whose carried bucket numbers meet comes only from the smallest bucket in which they do,
+    one whose numbers do not meet from every bucket that it shares.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for m, c in zip(batch.column("m"), batch.column("c"), strict=True):
+            for k, m, c in zip(batch.column("k").to_pylist(), batch.column("m"), batch.column("c"), strict=True):
                 m, c = m.as_py(), c.as_py()
+                one_block = not nearest and {x["skey"] for x in m} == {x["skey"] for x in c}
+                carried = [] if nearest else [frozenset(x["ks"]) for x in m]
                 g, label, n = (np.array([x[name] for x in m], np.int64) for name in ("skey", "label", "n"))
                 bits = [x["bits"] for x in m] + [x["bits"] for x in c]
                 best, center = np.full(len(g), 1 << 62), np.zeros(len(g), np.int64)
@@ -321,7 +329,9 @@ def _stars(nearest: bool):
                         closer = gap < best[others]
                         best[others[closer]], center[others[closer]] = gap[closer], one["skey"]
                     elif len(others):
-                        yield _pairs(np.full(len(others), one["skey"]), g[others], gap)
+                        mine = frozenset(one["ks"])
+                        on = np.array([min(carried[x] & mine, default=k) == k and not (one_block and g[x] > one["skey"]) for x in others.tolist()])
+                        yield _pairs(np.full(int(on.sum()), one["skey"]), g[others[on]], gap[on])
                 found = np.flatnonzero(best < 1 << 62)
                 if len(found):
                     yield _pairs(center[found], g[found], best[found])
@@ -370,7 +380,9 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     for nearest in (True, False):
         rows, n_stars, now = _mixed(places, sets, found, n_found) if n_places else None, 0, rest
         if rows is not None:
-            stars = _between_blocks(rows, sets).mapInArrow(_stars(nearest), STARS)
+            carried = F.slice(F.array_sort(F.collect_set("k")), 1, CARRIED).alias("ks")  # of a set's own shingles
+            having = sets if nearest else sets.join(rows.groupBy("skey").agg(carried), "skey")
+            stars = _between_blocks(rows, having).mapInArrow(_stars(nearest), STARS)
             if nearest:  # of all blocks that a member is compared with
                 stars = stars.groupBy("b").agg(F.min(F.struct("gap", "a")).alias("low")).select("low.a", "b")
             stars, n_stars = counted(stars.select("a", "b"))
@@ -454,11 +466,12 @@ def _unpack(big: DataFrame) -> DataFrame:
 
 
 def _packed(rows: DataFrame, sets: DataFrame, keys: list[str], name: str) -> DataFrame:
-    return rows.join(sets.select("skey", "n", "bits"), "skey").groupBy(*keys).agg(F.collect_list(F.struct("skey", "label", "n", "bits")).alias(name))
+    own = [c for c in ("n", "bits", "ks") if c in sets.columns]
+    return rows.join(sets.select("skey", *own), "skey").groupBy(*keys).agg(F.collect_list(F.struct("skey", "label", *own)).alias(name))
 
 
 def _around_centers(places: DataFrame, sets: DataFrame) -> DataFrame:
-    """(m, c): each block of a large bucket with the bucket's centers, the smallest key of each of some slots. A set goes to the largest of its buckets."""
+    """(k, m, c): each block of a large bucket with the bucket's centers, the smallest key of each of some slots. A set goes to the largest of its buckets."""
     home = places.groupBy("gkey").agg(F.max_by("k", F.struct("size", "k")).alias("k"))
     member = F.struct("skey", F.col("skey").alias("label"), "n", "bits").alias("one")
     rows = saved(sets.join(home, "gkey").select("k", member))
@@ -469,11 +482,11 @@ def _around_centers(places: DataFrame, sets: DataFrame) -> DataFrame:
     members = rows.join(bounded(many, n_many), "k", "left").select("k", block.alias("block"), "one")
     members = members.groupBy("k", "block").agg(F.collect_list("one").alias("m"))
     each = centers.select("k", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
-    return members.join(each, ["k", "block"]).select("m", "c")
+    return members.join(each, ["k", "block"]).select("k", "m", "c")
 
 
 def _between_blocks(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """(m, c): pairs of blocks of a bucket. A component of many members has blocks of its own, which are not paired with each other."""
+    """(k, m, c): pairs of blocks of a bucket. A component of many members has blocks of its own, which are not paired with each other."""
     of_label = rows.groupBy("k", "label").agg(F.count("*").alias("alike"))
     small = of_label.where(F.col("alike") <= BLOCK).groupBy("k").agg(F.sum("alike").alias("rest"))
     dealt = of_label.join(small, "k", "left").select("k", "label", "alike", F.when(F.col("alike") > BLOCK, F.col("label")).alias("sole"), F.ceil(F.col("rest") / BLOCK).cast("long").alias("n_rest"))
@@ -486,7 +499,7 @@ def _between_blocks(rows: DataFrame, sets: DataFrame) -> DataFrame:
     pairs = left.join(right, "k").where((F.col("block_a") <= F.col("block_b")) & apart & fits).select("k", "block_a", "block_b")
     packed = saved(_packed(dealt, sets, ["k", "block"], "m"))
     m, c = packed.withColumnRenamed("block", "block_a"), packed.select("k", F.col("block").alias("block_b"), F.col("m").alias("c"))
-    return pairs.join(m, ["k", "block_a"]).join(c, ["k", "block_b"]).select("m", "c")
+    return pairs.join(m, ["k", "block_a"]).join(c, ["k", "block_b"]).select("k", "m", "c")
 
 
 def _result(members: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:

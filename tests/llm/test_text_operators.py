@@ -202,7 +202,7 @@ def test_ngram_join_of_many_copies(spark):
 
 def no_stars(spark):
     one = "struct<skey:long,label:long,n:long,bits:binary>"
-    return spark.createDataFrame([], f"m array<{one}>, c array<{one}>")
+    return spark.createDataFrame([], f"k long, m array<{one}>, c array<{one}>")
 
 
 def test_ngram_join_deals_large_buckets_in_blocks(spark, monkeypatch):
