@@ -158,7 +158,7 @@ def region_holes(spark: SparkSession, d: str) -> DataFrame:
 
 def union_pairs_min_root(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
-    pairs = c.select(F.col("c_custkey").alias("a"), (F.col("c_custkey") * 7 % 1000 + 1).alias("b")).where("a % 3 = 0")
+    pairs = c.select(F.col("c_custkey").alias("a"), (F.col("c_custkey") * 7 % 1000 + 1).alias("b"))
     return graph.union_pairs(pairs)
 
 
@@ -199,7 +199,7 @@ def palette_conflicts(spark: SparkSession, d: str) -> DataFrame:
 def faithful_recolour(spark: SparkSession, d: str) -> DataFrame:
     g = grid(spark, d)
     o = _options(g)
-    return evidence.faithful_paints(o, _edges(g).where("lo % 2 = 0").select("image_id", "lo", "hi", "delta_e", "evidence"), _assigned(o), _paints(spark)).drop("image_id")
+    return evidence.faithful_paints(o, _edges(g).select("image_id", "lo", "hi", "delta_e", "evidence"), _assigned(o), _paints(spark)).drop("image_id")
 
 
 def recolour_benefit(spark: SparkSession, d: str) -> DataFrame:
@@ -275,9 +275,9 @@ SQL = {
     "undo_history": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 10",
     "component_labels": f"{REACH} SELECT region_id, root AS component, count(*) AS area FROM reach JOIN p USING (id) GROUP BY 1, 2",
     "region_component_counts": f"{REACH} SELECT region_id, count(DISTINCT root) AS components FROM reach JOIN p USING (id) GROUP BY 1",
-    "union_pairs_min_root": "WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey * 7 % 1000 + 1 AS b FROM customer WHERE c_custkey % 3 = 0), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT a AS node, a AS other FROM s UNION SELECT reach.node, s.b FROM reach JOIN s ON s.a = reach.other), r AS (SELECT node, min(other) AS root FROM reach GROUP BY node) SELECT node, root, dense_rank() OVER (ORDER BY root) AS label FROM r",
+    "union_pairs_min_root": "WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey * 7 % 1000 + 1 AS b FROM customer), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT a AS node, a AS other FROM s UNION SELECT reach.node, s.b FROM reach JOIN s ON s.a = reach.other), r AS (SELECT node, min(other) AS root FROM reach GROUP BY node) SELECT node, root, dense_rank() OVER (ORDER BY root) AS label FROM r",
     "palette_conflicts": f"WITH {PAINTED} SELECT lo, hi, CASE WHEN x.color_id = y.color_id THEN 'same_paint' ELSE 'artificial' END AS kind FROM {EDGES} e JOIN a x ON x.region_id = lo JOIN a y ON y.region_id = hi JOIN pp ON one = x.color_id AND two = y.color_id WHERE x.color_id = y.color_id OR (delta_e < 2 AND evidence < 0.2 AND paint_de >= 5)",
-    "faithful_recolour": f"""WITH {PAINTED}, b AS (SELECT lo AS region_id, hi AS n, delta_e, evidence FROM {EDGES} WHERE lo % 2 = 0 UNION ALL SELECT hi, lo, delta_e, evidence FROM {EDGES} WHERE lo % 2 = 0),
+    "faithful_recolour": f"""WITH {PAINTED}, b AS (SELECT lo AS region_id, hi AS n, delta_e, evidence FROM {EDGES} UNION ALL SELECT hi, lo, delta_e, evidence FROM {EDGES}),
 near AS (SELECT * FROM o WHERE error <= 8 QUALIFY error <= min(error) OVER (PARTITION BY region_id) + 2),
 spoiled AS (SELECT DISTINCT near.region_id, near.color_id FROM near JOIN b ON b.region_id = near.region_id JOIN a ON a.region_id = b.n JOIN pp ON one = near.color_id AND two = a.color_id WHERE near.color_id = a.color_id OR paint_de > greatest(5, 1.5 * delta_e + 2) OR (delta_e < 2 AND evidence < 0.2 AND paint_de >= 5))
 SELECT region_id, color_id FROM near ANTI JOIN spoiled USING (region_id, color_id) QUALIFY row_number() OVER (PARTITION BY region_id ORDER BY error, color_id) = 1""",

@@ -45,8 +45,8 @@ def list_files_of_project(spark: SparkSession, d: str) -> DataFrame:
 
 
 def project_detail(spark: SparkSession, d: str) -> DataFrame:
-    files = project_files(spark, d).where("project_id < 500").groupBy("project_id").agg(F.array_sort(F.collect_set("file_type")).alias("types"), F.count("*").alias("files"))
-    return projects(spark, d).where("id < 500").join(files.withColumnRenamed("project_id", "id"), "id", "left").select("id", "status", F.array_join(F.coalesce("types", F.array()), ",").alias("types"), F.coalesce("files", F.lit(0).cast("long")).alias("files"))
+    files = project_files(spark, d).groupBy("project_id").agg(F.array_sort(F.collect_set("file_type")).alias("types"), F.count("*").alias("files"))
+    return projects(spark, d).join(files.withColumnRenamed("project_id", "id"), "id", "left").select("id", "status", F.array_join(F.coalesce("types", F.array()), ",").alias("types"), F.coalesce("files", F.lit(0).cast("long")).alias("files"))
 
 
 def unapplied_anti(spark: SparkSession, d: str) -> DataFrame:
@@ -145,7 +145,7 @@ def ordered_ci_distinct_split(spark: SparkSession, d: str) -> DataFrame:
 
 def suggestions_left(spark: SparkSession, d: str) -> DataFrame:
     every = table(spark, d, "documents").select(F.lower(F.trim("source")).alias("item")).distinct()
-    taken = table(spark, d, "documents").where("doc_id < 10").select(F.lower(F.trim("source")).alias("item")).distinct()
+    taken = spark.createDataFrame([("SRC0 ",), ("src3",), ("Src11",)], "item string").select(F.lower(F.trim("item")).alias("item"))
     return every.join(taken, "item", "left_anti")
 
 
@@ -210,7 +210,7 @@ SQL = {
     "get_user_case_insensitive": "SELECT c_custkey AS id, c_name AS username FROM customer WHERE lower(c_name) = lower('cUSTOMER#000000042')",
     "count_active_by_client": f"SELECT client, count(*) AS active FROM {PROJECTS} WHERE deleted_at IS NULL AND status IN ('O', 'F') GROUP BY client",
     "list_files_of_project": f"SELECT line, part, file_type, created_at FROM {FILES} WHERE project_id = 7 ORDER BY created_at, line, part",
-    "project_detail": f"SELECT id, status, coalesce(types, '') AS types, coalesce(n, 0)::BIGINT AS files FROM {PROJECTS} LEFT JOIN (SELECT project_id, string_agg(DISTINCT file_type, ',' ORDER BY file_type) AS types, count(*) AS n FROM {FILES} GROUP BY 1) ON project_id = id WHERE id < 500",
+    "project_detail": f"SELECT id, status, coalesce(types, '') AS types, coalesce(n, 0)::BIGINT AS files FROM {PROJECTS} LEFT JOIN (SELECT project_id, string_agg(DISTINCT file_type, ',' ORDER BY file_type) AS types, count(*) AS n FROM {FILES} GROUP BY 1) ON project_id = id",
     "unapplied_anti": "SELECT o_orderkey AS id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)",
     "null_safe_backfill": f"SELECT id, CASE WHEN nullif(status, 'P') IS DISTINCT FROM 'F' THEN 'F' ELSE nullif(status, 'P') END AS version, nullif(status, 'P') IS DISTINCT FROM 'F' AS changed FROM {PROJECTS}",
     "nullif_coalesce_patch": f"SELECT id, CASE WHEN id % 10 = 3 THEN nullif(CASE WHEN id % 20 = 3 THEN '' ELSE 'X' END, '') ELSE status END AS status, client FROM {PROJECTS}",
@@ -228,7 +228,7 @@ SQL = {
     "json_array_exists": f"SELECT seq, coalesce(try_cast(json_extract_string(props, '$.k') AS INT) % 10, -1) IN (1, 4, 9) AS selectable FROM {EVENTS}",
     "mime_by_suffix": f"SELECT page_id, ending, {MIME_SQL} AS mime FROM (SELECT page_id, lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '(\\.[A-Za-z0-9]+)$', 1)) AS ending FROM pages)",
     "ordered_ci_distinct_split": "SELECT doc_id, arg_min(part, i) AS part, min(i) AS place FROM (SELECT doc_id, trim(p) AS part, i FROM (SELECT doc_id, unnest(string_split(source, 'r')) AS p, unnest(range(len(string_split(source, 'r')))) AS i FROM documents)) WHERE part <> '' GROUP BY doc_id, lower(part)",
-    "suggestions_left": "SELECT DISTINCT lower(trim(source)) AS item FROM documents WHERE lower(trim(source)) NOT IN (SELECT lower(trim(source)) FROM documents WHERE doc_id < 10)",
+    "suggestions_left": "SELECT DISTINCT lower(trim(source)) AS item FROM documents WHERE lower(trim(source)) NOT IN ('src0', 'src3', 'src11')",
     "sha256_cache_key": "SELECT doc_id, sha256('v7|' || doc_id || '|' || text) AS cache_key FROM documents",
     "unit_conversion_bround": "SELECT p_partkey, round_even(p_size::DOUBLE / 25.4::DOUBLE * 300, 0)::BIGINT AS px, round(least(2244::DOUBLE / (p_size + 100), 3272::DOUBLE / (p_size * 2 + 50)) * 25.4::DOUBLE / 300, 6) AS mm_per_px FROM part",
     "cover_crop_box": "SELECT p_partkey, ((w0 - w) // 2)::BIGINT AS x, ((h0 - h) // 2)::BIGINT AS y, w, h FROM (SELECT p_partkey, w0, h0, (CASE WHEN w0 > h0 * 0.75 THEN round_even(h0 * 0.75::DOUBLE, 0) ELSE w0 END)::BIGINT AS w, (CASE WHEN w0 > h0 * 0.75 THEN h0 ELSE round_even(w0 / 0.75::DOUBLE, 0) END)::BIGINT AS h FROM (SELECT p_partkey, p_size * 10 + 7 AS w0, (p_partkey % 90 + 10) * 10 AS h0 FROM part))",
