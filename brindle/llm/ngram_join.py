@@ -13,9 +13,9 @@ passages out of prefixes.
 3. Pairs of groups are expanded to pairs of sets and filtered by parity bitmaps: the bits in which two
    differ are at most the shingles in which the sets differ.
 4. Pairs are verified by their sets, the nearest few of each set at first; a pair within a component needs
-   no more verification. The members of a large bucket are dealt in blocks, and blocks are compared with one
-   member, then with some, then in pairs of blocks, as long as the members are in different components. The
-   result is exact.
+   no more verification. Each member of a large bucket is compared with some centers first; buckets whose
+   members are then in different components are dealt in blocks, and blocks are compared in pairs: each
+   member with its nearest in another component, then all that are left. The result is exact.
 """
 
 from __future__ import annotations
