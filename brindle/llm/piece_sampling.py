@@ -36,6 +36,8 @@ MARK = 0x2581
 UNIT = float(1 << 32)
 #: The same for the probabilities of arcs.
 PARTS = float(1 << 52)
+#: Ids that are decoded at a time.
+DECODED = 200_000
 #: Characters of words whose lattices a worker keeps.
 KNOWN_CHARS = 1_500_000
 ESCAPE = 1 << 24
@@ -455,16 +457,21 @@ def _decode(name: str):
         table, lengths = piece_bytes(name)
         starts = np.cumsum(lengths) - lengths
         for batch in batches:
-            column = batch.column("ids")
-            ids, per_row = unpacked(whole_ids(column), np.uint32)
-            ids = np.minimum(ids, len(lengths) - 1).astype(np.int64)  # the last entry stands for all ids that are none
-            n_bytes = lengths[ids]
-            raw = table[ragged(starts[ids], n_bytes)]
-            ends = np.append(0, np.cumsum(n_bytes))[np.append(0, np.cumsum(per_row))]
-            out = []
-            for null, a, b in zip(column.is_null().to_pylist(), ends.tolist(), ends[1:].tolist(), strict=False):
-                out.append(None if null else raw[a + 1 : b].tobytes().decode("utf-8", "replace"))  # without the leading space
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "text"])
+            sizes = np.diff(text_bytes(batch.column("ids"))[1])
+            part = np.cumsum(sizes) // (4 * DECODED)  # rows of some ids at a time; a longer row comes alone
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                some = batch.slice(lo, hi - lo)
+                column = some.column("ids")
+                ids, per_row = unpacked(whole_ids(column), np.uint32)
+                ids = np.minimum(ids, len(lengths) - 1).astype(np.int64)  # the last entry stands for all ids that are none
+                n_bytes = lengths[ids]
+                raw = table[ragged(starts[ids], n_bytes)]
+                ends = np.append(0, np.cumsum(n_bytes))[np.append(0, np.cumsum(per_row))]
+                out = []
+                for null, a, b in zip(column.is_null().to_pylist(), ends.tolist(), ends[1:].tolist(), strict=False):
+                    out.append(None if null else raw[a + 1 : b].tobytes().decode("utf-8", "replace"))  # without the leading space
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(out, pa.string())], names=[*some.schema.names, "text"])
 
     return run
 
