@@ -28,7 +28,7 @@ VOCABULARY = "piece_bpe_32k.model"
 SAMPLES = 2
 #: Log weight of a piece: minus SHARPNESS times the log of its rank, after Zipf's law.
 SHARPNESS = 1.0
-BATCH_CHARS = 1_500_000
+BATCH_CHARS = 800_000
 #: Draws at a branch before the draw among all other segmentations.
 TRIES = 64
 MARK = 0x2581
@@ -39,7 +39,7 @@ PARTS = float(1 << 52)
 #: Ids that are decoded at a time.
 DECODED = 200_000
 #: Characters of words whose lattices a worker keeps.
-KNOWN_CHARS = 1_500_000
+KNOWN_CHARS = 1_000_000
 ESCAPE = 1 << 24
 
 RESULT = "doc_id long, sample int, ids binary, n_pieces long, log_prob double, perturbed double, log_inclusion double"
