@@ -263,3 +263,10 @@ def test_pipeline(spark, tmp_path):
     assert passage in kept[2][2001].text and passage not in kept[2][2002].text
     assert set(kept[3]) == set(kept[2])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
+
+
+def test_pipeline_keeps_one_row_for_each_id(spark):
+    rows = [(1, "b", "en", "s", 1), (2, "z", "en", "s", 1), (2, "y", "de", "t", 2), (2, None, "de", "t", 2), (None, "x", "en", "s", 1), (3, None, "en", "s", 0), (3, None, "en", "s", 0)]
+    got = corpus_pipeline.one_row_per_id(spark.createDataFrame(rows, DOCS))
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert sorted((r.doc_id, r.text, r.lang) for r in got.collect() if r.text) == [(1, "b", "en"), (2, "y", "de")] and got.count() == 3
