@@ -28,7 +28,7 @@ VOCABULARY = "piece_bpe_32k.model"
 SAMPLES = 2
 #: Log weight of a piece: minus SHARPNESS times the log of its rank, after Zipf's law.
 SHARPNESS = 1.0
-BATCH_CHARS = 800_000
+BATCH_CHARS = 300_000
 #: Draws at a branch before the draw among all other segmentations.
 TRIES = 64
 MARK = 0x2581
@@ -39,7 +39,7 @@ PARTS = float(1 << 52)
 #: Ids that are decoded at a time.
 DECODED = 200_000
 #: Characters of words whose lattices a worker keeps.
-KNOWN_CHARS = 1_000_000
+KNOWN_CHARS = 500_000
 ESCAPE = 1 << 24
 
 RESULT = "doc_id long, sample int, ids binary, n_pieces long, log_prob double, perturbed double, log_inclusion double"
@@ -437,10 +437,16 @@ def _sample(name: str, k: int):
     return run
 
 
-def sample_segmentations(docs: DataFrame, k: int = SAMPLES, vocabulary_name: str = VOCABULARY) -> DataFrame:
+def _sample_and_decode(name: str, k: int):
+    sampled, decoded = _sample(name, k), _decode(name)
+    return lambda batches: decoded(sampled(batches))
+
+
+def sample_segmentations(docs: DataFrame, k: int = SAMPLES, vocabulary_name: str = VOCABULARY, decoded: bool = False) -> DataFrame:
     """k distinct segmentations of each whole text, sampled without replacement, best perturbed value first.
 
-    Returns (doc_id, sample, ids, n_pieces, log_prob, perturbed, log_inclusion); ids are unsigned 32-bit,
+    Returns (doc_id, sample, ids, n_pieces, log_prob, perturbed, log_inclusion), and if ``decoded`` the text
+    that the ids give back, in the same worker as ``decode`` finds it; ids are unsigned 32-bit,
     little-endian; log_inclusion is the log of the probability of being above the threshold, minus infinity
     never, 0 where a text has no further segmentation. A text with fewer segmentations has fewer rows; a
     null or empty text has the empty one. The row key is doc_id, so repeated rows have equal samples; a
@@ -449,6 +455,8 @@ def sample_segmentations(docs: DataFrame, k: int = SAMPLES, vocabulary_name: str
     searched whole, with about 60 bytes of arrays for each character. Other columns are ignored.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("long")).alias("key"))
+    if decoded:
+        return keyed.mapInArrow(_sample_and_decode(vocabulary_name, k), f"{RESULT}, text string")
     return keyed.mapInArrow(_sample(vocabulary_name, k), RESULT)
 
 

@@ -11,7 +11,7 @@ from brindle.llm.embedding_dedup import embedding_dedup
 from brindle.llm import licenses
 from brindle.llm.ngram_join import ngram_join
 from brindle.llm.packing import pack_documents
-from brindle.llm.piece_sampling import decode, sample_segmentations
+from brindle.llm.piece_sampling import sample_segmentations
 from brindle.llm.substring_dedup import substring_dedup
 from brindle.llm.suffix_dedup import suffix_dedup
 from brindle.llm.token_counts import token_counts
@@ -65,8 +65,7 @@ FROM bytes JOIN kept USING (doc_id) LEFT JOIN n ON n.doc_id = bytes.doc_id
 
 def op4_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of every text, and a digest of what their ids decode to."""
-    rows = sample_segmentations(table(spark, sf_dir, "documents"))
-    back = decode(rows, kept=("n_pieces", "log_prob", "perturbed", "log_inclusion"))
+    back = sample_segmentations(table(spark, sf_dir, "documents"), decoded=True)
     return back.select("doc_id", "sample", "n_pieces", F.crc32("ids").alias("ids_crc32"), F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"), "log_prob", "perturbed", "log_inclusion")
 
 

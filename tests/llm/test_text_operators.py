@@ -278,6 +278,7 @@ def test_samples_round_trip_and_differ(spark, rows):
     rows = [(i, t) for i, t in rows if t is None or "<|" not in t]
     samples = sample_segmentations(frame(spark, rows), k=3)
     back = {(r.doc_id, r["sample"]): r.text for r in decode(samples).collect()}
+    assert back == {(r.doc_id, r["sample"]): r.text for r in sample_segmentations(frame(spark, rows), k=3, decoded=True).collect()}
     got = samples.collect()
     texts = dict(rows)
     for r in got:
