@@ -89,10 +89,13 @@ def edge_evidence_boost(spark: SparkSession, d: str) -> DataFrame:
 
 
 def region_protection_score(spark: SparkSession, d: str) -> DataFrame:
-    e = _edges(grid(spark, d))
+    """A region without edges has 0."""
+    g = grid(spark, d)
+    e = _edges(g)
     ends = e.select(F.col("lo").alias("region_id"), "evidence", "shared_len").unionByName(e.select(F.col("hi").alias("region_id"), "evidence", "shared_len"))
     score = F.least(F.lit(1.0), 0.6 * F.max("evidence") + 0.4 * F.sum(F.col("evidence") * F.col("shared_len")) / F.sum("shared_len"))
-    return ends.groupBy("region_id").agg(F.round(score, 6).alias("score"))
+    scores = ends.groupBy("region_id").agg(F.round(score, 6).alias("score"))
+    return g.select("region_id").distinct().join(scores, "region_id", "left").fillna(0.0, ["score"])
 
 
 def label_compaction(spark: SparkSession, d: str) -> DataFrame:
@@ -265,7 +268,7 @@ SQL = {
     "edge_selection_coverage": f"SELECT lo, hi, round(coverage, 6) AS coverage FROM {EDGES}",
     "edge_strongest_anchor": f"SELECT lo, hi, y, x, axis, round(greatest(v, v_r), 6) AS strength FROM {BORDERS} QUALIFY row_number() OVER (PARTITION BY lo, hi ORDER BY greatest(v, v_r) DESC, y, x, axis) = 1",
     "edge_evidence_boost": f"SELECT lo, hi, round(CASE WHEN hit THEN raised ELSE evidence END, 6) AS evidence, hit AND raised >= 0.7 AS hard FROM (SELECT *, coverage > 0 AND (delta_e >= 2 OR evidence >= 0.2) AS hit, least(1, greatest(evidence * (1 + 4.8 * coverage), least(0.7, 1.16 * coverage))) AS raised FROM {EDGES})",
-    "region_protection_score": f"SELECT region_id, round(least(1, 0.6 * max(evidence) + 0.4 * sum(evidence * shared_len) / sum(shared_len)), 6) AS score FROM (SELECT lo AS region_id, evidence, shared_len FROM {EDGES} UNION ALL SELECT hi, evidence, shared_len FROM {EDGES}) GROUP BY region_id",
+    "region_protection_score": f"SELECT region_id, coalesce(score, 0.0) AS score FROM (SELECT DISTINCT region_id FROM {GRID}) LEFT JOIN (SELECT region_id, round(least(1, 0.6 * max(evidence) + 0.4 * sum(evidence * shared_len) / sum(shared_len)), 6) AS score FROM (SELECT lo AS region_id, evidence, shared_len FROM {EDGES} UNION ALL SELECT hi, evidence, shared_len FROM {EDGES}) GROUP BY region_id) USING (region_id)",
     "label_compaction": f"SELECT region_id, dense_rank() OVER (ORDER BY region_id) AS label FROM (SELECT DISTINCT region_id FROM {GRID} WHERE region_id <> 0)",
     "label_overlap_remap": f"SELECT fine, region_id, n, area FROM (SELECT fine, region_id, count(*) AS n, sum(count(*)) OVER (PARTITION BY fine)::BIGINT AS area FROM {FINE} GROUP BY fine, region_id) WHERE n >= 0.8 * area QUALIFY row_number() OVER (PARTITION BY fine ORDER BY n DESC, region_id) = 1",
     "label_first_pixel_remap": f"SELECT fine, arg_min(region_id, y * 1000 + x) AS region_id FROM {FINE} GROUP BY fine",

@@ -30,10 +30,19 @@ def validation_actions(spark: SparkSession, d: str) -> DataFrame:
     return validation.actions(_report(spark, d))
 
 
+#: Region counts of candidates, with steps of just ten percent.
+STEPS = [50, 55, 100, 110, 330, 363, 399]
+
+
 def candidate_triplet_select(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     key = (F.col("p_partkey") / 15).cast("long")
-    c = p.select(key.alias("key"), F.element_at(F.array(*(F.lit(x) for x in search.ORDER)), (F.col("p_partkey") % 3 + 1).cast("int")).alias("difficulty"), (F.floor(F.col("p_partkey") % 15 / 3) + 1).cast("int").alias("attempt"), (F.col("p_size") * 12 + 100).cast("int").alias("regions"), (F.col("p_retailprice") % 7).alias("loss"))
+    steps = F.element_at(F.array(*map(F.lit, STEPS)), (F.col("p_size") % len(STEPS) + 1).cast("int"))
+    regions = F.when(key % 2 == 0, F.col("p_size") * 30 + 100).otherwise(steps)
+    difficulty = F.element_at(F.array(*(F.lit(x) for x in search.ORDER)), (F.col("p_partkey") % 3 + 1).cast("int"))
+    attempt = (F.floor(F.col("p_partkey") % 15 / 3) + 1).cast("int")
+    loss = F.col("p_retailprice").cast("double") % 3
+    c = p.select(key.alias("key"), difficulty.alias("difficulty"), attempt.alias("attempt"), regions.alias("regions"), loss.alias("loss"), (F.col("p_partkey") * 7 % 3 / 10).alias("recall"), (F.col("p_size") * 3 % 4 / 10).alias("retention"))
     return search.select_candidates(c)
 
 
@@ -84,15 +93,17 @@ UNION ALL SELECT 'duplicate_palette_colour', 'paint repeats', NULL
 UNION ALL SELECT 'same_color_adjacency', 'neighbours have one paint', lo FROM b JOIN a x ON x.region_id = lo JOIN a y ON y.region_id = hi WHERE x.color_id = y.color_id
 UNION ALL SELECT 'palette_over_target', 'too many paints', NULL FROM a HAVING count(DISTINCT color_id) > 2
 UNION ALL SELECT 'prefilled_area_exceeded', 'too much is filled', NULL FROM r HAVING sum(area) FILTER (region_id = 10) > 0.03 * sum(area))"""
-CANDIDATES = f"(SELECT p_partkey // 15 AS key, {ORDER_SQL}[(p_partkey % 3 + 1)::INT] AS difficulty, (p_partkey % 15 // 3 + 1)::INT AS attempt, (p_size * 12 + 100)::INT AS regions, p_retailprice % 7 AS loss FROM part)"
-ONE = lambda d: f"(SELECT key, attempt, regions, loss FROM {CANDIDATES} WHERE difficulty = '{d}' UNION ALL SELECT DISTINCT key, NULL, NULL, NULL FROM {CANDIDATES})"
+CANDIDATES = f"(SELECT p_partkey // 15 AS key, {ORDER_SQL}[(p_partkey % 3 + 1)::INT] AS difficulty, (p_partkey % 15 // 3 + 1)::INT AS attempt, CASE WHEN p_partkey // 15 % 2 = 0 THEN p_size * 30 + 100 ELSE {STEPS}[(p_size % {len(STEPS)} + 1)::INT] END::INT AS regions, p_retailprice::DOUBLE % 3 AS loss, p_partkey * 7 % 3 / 10 AS recall, p_size * 3 % 4 / 10 AS retention FROM part)"
+ONE = lambda d: f"(SELECT key, attempt, regions, loss, recall, retention FROM {CANDIDATES} WHERE difficulty = '{d}' UNION ALL SELECT DISTINCT key, NULL, NULL, NULL, NULL, NULL FROM {CANDIDATES})"
+FOLLOWS = lambda a, b, more="": f"({a}.attempt IS NULL OR {b}.attempt IS NULL OR ({b}.regions * 10 >= {a}.regions * 11 AND {b}.loss <= {a}.loss + 0.25::DOUBLE + 1e-9 AND {b}.retention + 1e-9 >= {a}.retention{more}))"
+SCORE = lambda x, budget: f"coalesce(CASE WHEN {x}.regions <= {budget} THEN {x}.regions ELSE {2 * budget} - {x}.regions END, -10000)"
 
 SQL = {
     "validation_issues": ISSUES,
     "validation_actions": f"SELECT ordinal, code, action FROM (VALUES {', '.join(f'({i}, {c!r}, {a!r})' for i, c, a in validation.ACTIONS)}) t(ordinal, code, action) WHERE code IN (SELECT code FROM ({ISSUES}))",
     "candidate_triplet_select": f"""SELECT key, e.attempt AS easy, m.attempt AS medium, h.attempt AS hard FROM {ONE('easy')} e JOIN {ONE('medium')} m USING (key) JOIN {ONE('hard')} h USING (key)
-WHERE (e.attempt IS NULL OR m.attempt IS NULL OR (m.regions >= 1.1 * e.regions AND m.loss <= e.loss)) AND (m.attempt IS NULL OR h.attempt IS NULL OR (h.regions >= 1.1 * m.regions AND h.loss <= m.loss)) AND (m.attempt IS NOT NULL OR e.attempt IS NULL OR h.attempt IS NULL OR (h.regions >= 1.1 * e.regions AND h.loss <= e.loss))
-QUALIFY row_number() OVER (PARTITION BY key ORDER BY (e.attempt IS NULL)::INT + (m.attempt IS NULL)::INT + (h.attempt IS NULL)::INT, coalesce(abs(e.regions - 300), 0) + coalesce(abs(m.regions - 450), 0) + coalesce(abs(h.regions - 650), 0), coalesce(e.attempt, 0) + coalesce(m.attempt, 0) + coalesce(h.attempt, 0), coalesce(e.attempt, 99), coalesce(m.attempt, 99), coalesce(h.attempt, 99)) = 1""",
+WHERE coalesce(e.attempt, m.attempt, h.attempt) IS NOT NULL AND {FOLLOWS('e', 'm')} AND {FOLLOWS('m', 'h', ' AND h.recall + 1e-9 >= m.recall')} AND (m.attempt IS NOT NULL OR {FOLLOWS('e', 'h')})
+QUALIFY row_number() OVER (PARTITION BY key ORDER BY (e.attempt IS NULL)::INT + (m.attempt IS NULL)::INT + (h.attempt IS NULL)::INT, h.attempt IS NULL, m.attempt IS NULL, e.attempt IS NULL, {SCORE('h', 1050)} DESC, {SCORE('m', 750)} DESC, coalesce(abs(e.regions - 300), 10000), coalesce(e.regions, 10000), round_even((coalesce(e.loss, 0) + coalesce(m.loss, 0) + coalesce(h.loss, 0)) * 1e6, 0), coalesce(e.attempt, 0) + coalesce(m.attempt, 0) + coalesce(h.attempt, 0), coalesce(e.attempt, 99), coalesce(m.attempt, 99), coalesce(h.attempt, 99)) = 1""",
     "density_targets": f"SELECT * FROM (VALUES {TARGET_SQL}) t(difficulty, attempt, target)",
     "attempt_summary": f"SELECT project_id, n, CASE WHEN low = high THEN low::VARCHAR ELSE low || '-' || high END AS range, stages, array_to_string(ids[1:12], ',') || CASE WHEN len(ids) > 12 THEN ',...' ELSE '' END AS ids FROM (SELECT project_id, count(*) AS n, min(floor(value)::BIGINT) AS low, max(floor(value)::BIGINT) AS high, string_agg(DISTINCT type, ',' ORDER BY type) AS stages, list_sort(list(DISTINCT seq)) AS ids FROM {EVENTS} GROUP BY project_id)",
     "job_routing": f"SELECT CASE type WHEN 'click' THEN 'image' WHEN 'view' THEN 'options' ELSE 'legacy' END AS handler, count(*) AS n FROM {EVENTS} GROUP BY 1",

@@ -103,11 +103,20 @@ def test_regions_below_the_floor_merge_in_any_case(spark):
     assert len(set(got.values())) == 1 or len(set(got.values())) == 2
 
 
+CANDIDATE = "key string, difficulty string, attempt int, regions int, loss double, recall double, retention double"
+
+
+def chosen(spark, *rows):
+    r = search.select_candidates(spark.createDataFrame([("k", *x) for x in rows], CANDIDATE)).first()
+    return r.easy, r.medium, r.hard
+
+
 def test_candidates(spark):
-    rows = [("k", "easy", 1, 375, 2.0), ("k", "medium", 1, 600, 2.1), ("k", "hard", 1, 900, 1.5)]
-    c = spark.createDataFrame(rows, "key string, difficulty string, attempt int, regions int, loss double")
-    r = search.select_candidates(c).first()
-    assert (r.easy, r.medium, r.hard) == (1, None, 1)
+    easy, medium, hard = ("easy", 1, 300, 2.0, 1.0, 1.0), ("medium", 1, 330, 2.25, 1.0, 1.0), ("hard", 1, 363, 1.5, 1.0, 1.0)
+    assert chosen(spark, easy, medium, hard) == (1, 1, 1)  # steps of just ten percent
+    assert chosen(spark, easy, ("medium", 1, 600, 2.3, 1.0, 1.0), hard) == (1, None, 1)  # too much loss
+    assert chosen(spark, easy, medium, ("hard", 1, 900, 1.5, 0.9, 1.0)) == (1, None, 1)  # less recall than the medium one
+    assert chosen(spark, ("hard", 1, 1060, 1.0, 1.0, 1.0), ("hard", 2, 1045, 1.0, 1.0, 1.0)) == (None, None, 2)  # beyond the budget
 
 
 def test_patch_and_deletion(spark):
