@@ -1,9 +1,10 @@
 """Ranked lexical search by the three-phase uniform threshold over term-partitioned postings (operator 12).
 
-Documents are read once, in slices of bounded size: each slice gives for every term that an item may ask for
-a packed row of its documents, counts and lengths. What an item asks for is known to the tasks by a bitmap
-of fixed size; the join by term is exact. With the corpus counts known, each posting gets its score, and the
-lists are dealt by term and slice, so a term of a third of all documents lies on many tasks.
+Documents are read twice: once for the counts of the corpus and of the terms, once for the postings. These come in
+slices of bounded size: each slice gives for every term that an item may ask for a packed row of its documents, known by
+their place in the slice, and of their scores before the term's weight. What an item asks for is known to the tasks by
+a bitmap of fixed size; the join by term is exact. The lists are dealt by term and slice, so a term of a third of all
+documents lies on many tasks.
 
 1. The heads of all lists are fetched. The best sums of heads are looked up, and the k-th score of an item is its
    first lower bound.
@@ -19,7 +20,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,8 +37,8 @@ BITS = 22
 SLICE, SLICE_DOCS = 500_000, 1 << 15
 #: Terms of a group of items, about.
 GROUP = 1 << 14
-#: Items whose lookups of one term in one slice are packed together.
-TOGETHER = 4096
+#: Items whose lookups of one term in one slice are packed together, and lookups that are broadcast at most.
+TOGETHER, FEW = 4096, 1_000_000
 
 #: Bytes outside terms.
 OUTSIDE = np.zeros(256, bool)
@@ -46,18 +46,21 @@ OUTSIDE[[*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80
 
 TERMS = "item_id long, term string, c long, h long"
 _TERMS = pa.schema([("item_id", pa.int64()), ("term", pa.string()), ("c", pa.int64()), ("h", pa.int64())])
-POSTINGS = "term string, slice long, docs binary, tf binary, n binary, n_docs long, n_terms long"
-_POSTINGS = pa.schema([("term", pa.string()), ("slice", pa.int64()), ("docs", pa.binary()), ("tf", pa.binary()), ("n", pa.binary()), ("n_docs", pa.int64()), ("n_terms", pa.int64())])
-LISTS = "term string, slice long, docs binary, scores binary"
-_LISTS = pa.schema([("term", pa.string()), ("slice", pa.int64()), ("docs", pa.binary()), ("scores", pa.binary())])
-HEADS = "term string, slice long, doc_id long, s long"
-_HEADS = pa.schema([("term", pa.string()), ("slice", pa.int64()), ("doc_id", pa.int64()), ("s", pa.int64())])
-PARTS = "item_id long, doc_id long, s long"
-_PARTS = pa.schema([("item_id", pa.int64()), ("doc_id", pa.int64()), ("s", pa.int64())])
+COUNTS = "term string, n long, n_terms long"
+_COUNTS = pa.schema([("term", pa.string()), ("n", pa.int64()), ("n_terms", pa.int64())])
+#: docs: places in the slice; parts: scores before the weight. The row of the empty term has the slice's doc_ids.
+LISTS = "term string, slice long, docs binary, parts binary"
+_LISTS = pa.schema([("term", pa.string()), ("slice", pa.int64()), ("docs", pa.binary()), ("parts", pa.binary())])
+HEADS = "term string, slice long, place long, s long"
+_HEADS = pa.schema([("term", pa.string()), ("slice", pa.int64()), ("place", pa.int64()), ("s", pa.int64())])
+SCORES = "item_id long, slice long, place long, s long"
+_SCORES = pa.schema([(x, pa.int64()) for x in ("item_id", "slice", "place", "s")])
+NAMED = "item_id long, doc_id long, score long"
+_NAMED = pa.schema([(x, pa.int64()) for x in ("item_id", "doc_id", "score")])
 ASKED = ("item", "c", "cap", "total", "tau")
-FETCHED = "grp long, slice long, docs binary, scores binary, " + ", ".join(f"{x} array<long>" for x in ASKED)
-CANDIDATES = "item_id long, slice long, doc_id long, low long, high long"
-_CANDIDATES = pa.schema([(x, pa.int64()) for x in ("item_id", "slice", "doc_id", "low", "high")])
+FETCHED = "grp long, slice long, w long, docs binary, parts binary, " + ", ".join(f"{x} array<long>" for x in ASKED)
+CANDIDATES = "item_id long, slice long, place long, low long, high long"
+_CANDIDATES = pa.schema([(x, pa.int64()) for x in ("item_id", "slice", "place", "low", "high")])
 
 
 def term_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
@@ -94,73 +97,93 @@ def _bitmap(items: DataFrame) -> np.ndarray:
     return out.view(U64)
 
 
-def _postings(words: np.ndarray):
-    """Rows of postings by slices of documents, and for each slice a row of its counts under the empty term."""
+def _asked_terms(batch: pa.RecordBatch, asked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+    """Rows of some texts, their numbers of terms, and the text, count and number of each term of a text that may be asked for, with the terms by number."""
+    for rows, data, offsets in whole_texts(*text_bytes(batch.column("text"))):
+        data = LOWER[data]
+        start, end, text = word_bounds(data, offsets, OUTSIDE)
+        size = np.bincount(text, minlength=len(rows))
+        on = asked[(term_hashes(data, start, end) >> U64(64 - BITS)).astype(np.int64)] if len(start) else np.zeros(0, bool)
+        code, terms = term_words(data, start[on], end[on])
+        key, tf = np.unique(text[on] << 32 | code, return_counts=True)
+        yield rows, size, key >> 32, tf, key & 0xFFFFFFFF, terms
+
+
+def _counts(words: np.ndarray):
+    """Documents that hold each term; under the empty term documents that hold any, and all their terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = np.unpackbits(words.view(np.uint8), bitorder="little").view(bool)
+        n_docs, n_terms = 0, 0
+        found: dict[bytes, int] = {}
+
+        def counted_() -> pa.RecordBatch:
+            terms = pa.array([b"", *found], pa.binary()).cast(pa.string())
+            return pa.RecordBatch.from_arrays([terms, pa.array([n_docs, *found.values()], pa.int64()), pa.array([n_terms, *[0] * len(found)], pa.int64())], schema=_COUNTS)
+
+        for batch in batches:
+            for _, size, _, _, code, terms in _asked_terms(batch, asked):
+                n_docs, n_terms = n_docs + int((size > 0).sum()), n_terms + int(size.sum())
+                for term, n in zip(terms.to_pylist(), np.bincount(code, minlength=len(terms)).tolist(), strict=True):
+                    found[term] = found.get(term, 0) + n
+                if len(found) >= SLICE:
+                    yield counted_()
+                    n_docs, n_terms = 0, 0
+                    found.clear()
+        yield counted_()
+
+    return run
+
+
+def _postings(words: np.ndarray, n_docs: int, n_terms: int):
+    """Rows of lists by slices of documents, and for each slice the row of its doc_ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = np.unpackbits(words.view(np.uint8), bitorder="little").view(bool)
-        context = TaskContext.get()
-        turn = context.partitionId() << 24
+        turn = TaskContext.get().partitionId() << 24
         known: dict[bytes, int] = {}
         parts: list[tuple[np.ndarray, ...]] = []
-        held, n_docs, n_terms = 0, 0, 0
+        names: list[np.ndarray] = []
+        held, n = 0, 0
 
         def flushed() -> pa.RecordBatch:
-            code, doc, tf, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((doc, code))
-            code, doc, tf, n = code[order], doc[order], tf[order].astype(np.int32), n[order].astype(np.int32)
+            code, place, part = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((place, code))
+            code, place, part = code[order], place[order].astype(np.int32), part[order].astype(np.int32)
             which, counts = np.unique(code, return_counts=True)
-            terms, none = pa.array(list(known), pa.binary()).cast(pa.string()).take(pa.array(which)), np.zeros(len(which), np.int64)
-            rows = [terms, pa.array(none + turn), packed_strings(doc, counts), packed_strings(tf, counts), packed_strings(n, counts), pa.array(none), pa.array(none)]
-            stats = [pa.array([""]), pa.array([turn]), *[pa.array([b""], pa.binary())] * 3, pa.array([n_docs]), pa.array([n_terms])]
-            return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(rows, stats, strict=True)], schema=_POSTINGS)
+            terms = pa.array(list(known), pa.binary()).cast(pa.string()).take(pa.array(which))
+            ids = np.concatenate(names)
+            rows = [terms, packed_strings(place, counts), packed_strings(part, counts)]
+            own = [pa.array([""]), packed_strings(ids, np.array([len(ids)])), pa.array([b""], pa.binary())]
+            term, docs, scores = (pa.concat_arrays(x) for x in zip(rows, own, strict=True))
+            return pa.RecordBatch.from_arrays([term, pa.array(np.full(len(term), turn)), docs, scores], schema=_LISTS)
 
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
-            for rows, data, offsets in whole_texts(*text_bytes(batch.column("text"))):
-                data = LOWER[data]
-                start, end, text = word_bounds(data, offsets, OUTSIDE)
-                size = np.bincount(text, minlength=len(rows))
-                n_docs, n_terms = n_docs + int((size > 0).sum()), n_terms + len(start)
-                on = asked[(term_hashes(data, start, end) >> U64(64 - BITS)).astype(np.int64)] if len(start) else np.zeros(0, bool)
-                code, terms = term_words(data, start[on], end[on])
+            every = batch.column("doc_id").to_numpy()
+            for rows, size, at, tf, code, terms in _asked_terms(batch, asked):
                 code = np.array([known.setdefault(x, len(known)) for x in terms.to_pylist()], np.int64)[code] if len(code) else code
-                key, tf = np.unique(text[on] << 32 | code, return_counts=True)
-                at = key >> 32
-                parts.append((key & 0xFFFFFFFF, ids[rows][at], tf, size[at]))
-                held += len(key)
-                if held >= SLICE or n_docs >= SLICE_DOCS:
+                m = 100 - 25 + (25 * size[at] * n_docs) // n_terms
+                parts.append((code, n + at, (1_000_000_000 * tf) // (1000 * tf + 12 * m)))
+                names.append(every[rows])
+                held, n = held + len(code), n + len(rows)
+                if held >= SLICE or n >= SLICE_DOCS:
                     yield flushed()
-                    turn, held, n_docs, n_terms = turn + 1, 0, 0, 0
-                    known.clear(), parts.clear()
+                    turn, held, n = turn + 1, 0, 0
+                    known.clear(), parts.clear(), names.clear()
         if parts:
             yield flushed()
 
     return run
 
 
-def _scored(n_docs: int, n_terms: int):
-    """The score of each posting, by the counts of the corpus."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tf, counts = unpacked(batch.column("tf"), np.int32)
-            tf, n = tf.astype(np.int64), unpacked(batch.column("n"), np.int32)[0].astype(np.int64)
-            m = 100 - 25 + (25 * n * n_docs) // n_terms
-            s = np.repeat(batch.column("w").to_numpy(), counts) * ((1_000_000_000 * tf) // (1000 * tf + 12 * m))
-            yield pa.RecordBatch.from_arrays([batch.column("term"), batch.column("slice"), batch.column("docs"), packed_strings(s, counts)], schema=_LISTS)
-
-    return run
-
-
 def _heads(k: int):
     """The k highest entries of each term in a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for term, part, docs, scores in zip(*(batch.column(x).to_pylist() for x in ("term", "slice", "docs", "scores")), strict=True):
-                docs, scores = np.frombuffer(docs, np.int64), np.frombuffer(scores, np.int64)
+            for term, part, w, docs, parts in zip(*(batch.column(x).to_pylist() for x in ("term", "slice", "w", "docs", "parts")), strict=True):
+                docs, scores = np.frombuffer(docs, np.int32).astype(np.int64), w * np.frombuffer(parts, np.int32).astype(np.int64)
                 found = (np.full(len(docs), part), docs, scores)
                 if term in best:
                     found = tuple(np.concatenate(x) for x in zip(best[term], found, strict=True))
@@ -180,38 +203,44 @@ def _heads(k: int):
 def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Scores of asked documents in one list: those that have the term."""
     for batch in batches:
-        columns = [batch.column(x).to_pylist() for x in ("docs", "scores", "item", "doc", "c")]
-        items, ids, parts = [], [], []
-        for docs, scores, item, doc, c in zip(*columns, strict=True):
-            docs, scores = np.frombuffer(docs, np.int64), np.frombuffer(scores, np.int64)
-            item, doc, c = (np.array(x, np.int64) for x in (item, doc, c))
-            at = np.minimum(np.searchsorted(docs, doc), len(docs) - 1)
-            on = docs[at] == doc
-            items.append(item[on]), ids.append(doc[on]), parts.append(c[on] * scores[at[on]])
-        if items:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (items, ids, parts)], schema=_PARTS)
+        columns = [batch.column(x).to_pylist() for x in ("slice", "w", "docs", "parts", "item", "place", "c")]
+        found = []
+        for part, w, docs, parts, item, place, c in zip(*columns, strict=True):
+            docs = np.frombuffer(docs, np.int32)
+            item, place, c = (np.array(x, np.int64) for x in (item, place, c))
+            at = np.minimum(np.searchsorted(docs, place.astype(np.int32)), len(docs) - 1)
+            on = docs[at] == place
+            found.append((item[on], np.full(on.sum(), part), place[on], c[on] * w * np.frombuffer(parts, np.int32)[at[on]].astype(np.int64)))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], schema=_SCORES)
 
 
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The entries of each list from its threshold on, with the items that ask for it."""
     for batch in batches:
-        docs, counts = unpacked(batch.column("docs"), np.int64)
-        scores = unpacked(batch.column("scores"), np.int64)[0]
-        on = scores >= np.repeat(batch.column("need").to_numpy(), counts)
-        left = np.add.reduceat(np.append(on, False).astype(np.int64), np.cumsum(counts) - counts) if len(counts) else counts
-        whole = pa.array(left > 0)
-        out = pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("slice"), packed_strings(docs[on], left), packed_strings(scores[on], left), *(batch.column(x) for x in ASKED)], names=["grp", "slice", "docs", "scores", *ASKED])
-        yield out.filter(whole)
+        docs, counts = unpacked(batch.column("docs"), np.int32)
+        parts = unpacked(batch.column("parts"), np.int32)[0]
+        w = batch.column("w").to_numpy()
+        on = np.repeat(w, counts) * parts >= np.repeat(batch.column("need").to_numpy(), counts)
+        left = np.diff(np.append(0, np.cumsum(on))[np.append(0, np.cumsum(counts))])
+        out = pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("slice"), batch.column("w"), packed_strings(docs[on], left), packed_strings(parts[on], left), *(batch.column(x) for x in ASKED)], names=["grp", "slice", "w", "docs", "parts", *ASKED])
+        yield out.filter(pa.array(left > 0))
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_ids of places in slices."""
+    for batch in batches:
+        for ids, item, place, score in zip(*(batch.column(x).to_pylist() for x in ("ids", "item", "place", "score")), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(np.frombuffer(ids, np.int64)[place]), pa.array(score, pa.int64())], schema=_NAMED)
 
 
 def _candidates(k: int):
     """Bounds of a slice's documents for each item of a group; those stay whose upper bound reaches the item's bound or the k-th lower bound of the slice."""
 
     def bounds(part: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        docs = [np.frombuffer(r["docs"], np.int64) for r in rows]
-        ids, at = np.unique(np.concatenate(docs), return_inverse=True)
-        at = np.split(at, np.cumsum([len(x) for x in docs])[:-1])
-        scores = [np.frombuffer(r["scores"], np.int64) for r in rows]
+        at = [np.frombuffer(r["docs"], np.int32) for r in rows]
+        scores = [r["w"] * np.frombuffer(r["parts"], np.int32).astype(np.int64) for r in rows]
+        n = 1 + max(int(x[-1]) for x in at)
         asked: dict[int, list[tuple[int, int, int]]] = {}
         limits: dict[int, tuple[int, int]] = {}
         for i, r in enumerate(rows):
@@ -219,7 +248,7 @@ def _candidates(k: int):
                 asked.setdefault(item, []).append((i, c, cap))
                 limits[item] = total, tau
         for item, lists in asked.items():
-            low, high = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+            low, high = np.zeros(n, np.int64), np.zeros(n, np.int64)
             for i, c, cap in lists:
                 low[at[i]] += c * scores[i]
                 high[at[i]] -= cap
@@ -229,7 +258,7 @@ def _candidates(k: int):
             high += low + total
             on = np.flatnonzero(seen & (high >= bound))
             if len(on):
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.full(len(on), item), np.full(len(on), part), ids[on], low[on], high[on])], schema=_CANDIDATES)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.full(len(on), item), np.full(len(on), part), on, low[on], high[on])], schema=_CANDIDATES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
@@ -246,23 +275,25 @@ def _candidates(k: int):
     return run
 
 
-def best(found: DataFrame, by: str, k: int) -> DataFrame:
-    """The k rows of each item with the highest value, ties to the smaller doc_id, with their rank."""
-    order = Window.partitionBy("item_id").orderBy(F.desc(by), "doc_id")
+def best(found: DataFrame, by: str, k: int, *ties: str) -> DataFrame:
+    """The k rows of each item with the highest value, with their rank."""
+    order = Window.partitionBy("item_id").orderBy(F.desc(by), *ties)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def kth(found: DataFrame, by: str, k: int) -> DataFrame:
     """(item_id, tau): the k-th highest value of each item that has k."""
-    return best(found, by, k).groupBy("item_id").agg(F.min(by).alias("tau"), F.count(F.lit(1)).alias("n")).where(F.col("n") == k).select("item_id", "tau")
+    top = best(found, by, k, "slice", "place")
+    return top.groupBy("item_id").agg(F.min(by).alias("tau"), F.count(F.lit(1)).alias("n")).where(F.col("n") == k).select("item_id", "tau")
 
 
 def looked_up(lists: DataFrame, items: DataFrame, n_items: int, wanted: DataFrame) -> DataFrame:
-    """(item_id, doc_id, score) of wanted(item_id, slice, doc_id), from the lists."""
+    """(item_id, slice, place, score) of wanted(item_id, slice, place), from the lists."""
     salt = F.pmod(F.xxhash64("item_id"), F.lit(max(1, n_items // TOGETHER)))
-    rows = wanted.join(bounded(items, n_items), "item_id").groupBy("term", "slice", salt.alias("salt"))
-    packed = rows.agg(F.collect_list("item_id").alias("item"), F.collect_list("doc_id").alias("doc"), F.collect_list("c").alias("c"))
-    return lists.join(packed, ["term", "slice"]).mapInArrow(_looked_up, PARTS).groupBy("item_id", "doc_id").agg(F.sum("s").alias("score"))
+    rows, n = counted(wanted.join(bounded(items, n_items), "item_id").select("item_id", "slice", "place", "term", "c"))
+    packed = rows.groupBy("term", "slice", salt.alias("salt")).agg(F.collect_list("item_id").alias("item"), F.collect_list("place").alias("place"), F.collect_list("c").alias("c"))
+    packed = F.broadcast(packed) if n <= FEW else packed
+    return lists.join(packed, ["term", "slice"]).mapInArrow(_looked_up, SCORES).groupBy("item_id", "slice", "place").agg(F.sum("s").alias("score"))
 
 
 def ranked_search(items: DataFrame, docs: DataFrame, k: int = RESULTS) -> DataFrame:
@@ -278,19 +309,21 @@ def ranked_search(items: DataFrame, docs: DataFrame, k: int = RESULTS) -> DataFr
     spark = docs.sparkSession
     n = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     items, n_items = counted(keyed(items.select(F.col("item_id").alias("doc_id"), "text")).mapInArrow(_item_terms, TERMS))
-    raw = saved(keyed(docs).sortWithinPartitions("doc_id").mapInArrow(_postings(_bitmap(items)), POSTINGS))
-    corpus = raw.where("term = ''").agg(F.sum("n_docs").alias("docs"), F.sum("n_terms").alias("terms")).first()
-    n_docs, n_terms = corpus.docs or 0, max(1, corpus.terms or 0)
-
-    df = raw.where("term <> ''").groupBy("term").agg(F.sum(F.expr("octet_length(docs) div 8")).alias("df"))
-    weight = F.floor(1000 * F.log((2.0 * n_docs + 2) / (2.0 * F.col("df") + 1))).cast("long")
-    weights, n_weights = counted(items.select("term").distinct().join(df, "term").select("term", weight.alias("w")).where("w > 0"))
-    lists = saved(raw.join(bounded(weights, n_weights), "term").mapInArrow(_scored(n_docs, n_terms), LISTS).repartition(n, "term", "slice"))
-
-    order = Window.partitionBy("term").orderBy(F.desc("s"), "doc_id")
+    words, texts = _bitmap(items), keyed(docs)
+    counts = saved(texts.mapInArrow(_counts(words), COUNTS).groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_terms").alias("n_terms")))
+    corpus = counts.where("term = ''").first()
+    n_docs, n_terms = (corpus.n, max(1, corpus.n_terms)) if corpus else (0, 1)
+    weight = F.floor(1000 * F.log((2.0 * n_docs + 2) / (2.0 * F.col("n") + 1))).cast("long")
+    weights, n_weights = counted(items.select("term").distinct().join(counts, "term").select("term", weight.alias("w")).where("w > 0"))
+
+    # a slice is what one task reads between two flushes, so its places need rows in a fixed order
+    every = saved(texts.sortWithinPartitions("doc_id").mapInArrow(_postings(words, n_docs, n_terms), LISTS).repartition(n, "term", "slice"))
+    lists = every.join(bounded(weights, n_weights), "term")
+
+    order = Window.partitionBy("term").orderBy(F.desc("s"), "slice", "place")
     heads = saved(lists.mapInArrow(_heads(HEAD * k), HEADS).withColumn("at", F.row_number().over(order)).where(F.col("at") <= HEAD * k))
-    sums = heads.join(bounded(items, n_items), "term").groupBy("item_id", "slice", "doc_id").agg(F.sum(F.col("c") * F.col("s")).alias("low"))
-    tau = kth(looked_up(lists, items, n_items, best(sums, "low", LOOKUPS * k)), "score", k)
+    sums = heads.join(bounded(items, n_items), "term").groupBy("item_id", "slice", "place").agg(F.sum(F.col("c") * F.col("s")).alias("low"))
+    tau = kth(looked_up(lists, items, n_items, best(sums, "low", LOOKUPS * k, "slice", "place")), "score", k)
 
     tops = heads.groupBy("term").agg(F.max("s").alias("top"))
     asked = items.join(tops, "term").join(tau, "item_id", "left").fillna(0, ["tau"])
@@ -305,5 +338,7 @@ def ranked_search(items: DataFrame, docs: DataFrame, k: int = RESULTS) -> DataFr
     fetched = lists.join(bounded(asked, n_asked), "term").mapInArrow(_fetched, FETCHED)
     found = saved(fetched.repartition(n, "grp", "slice").sortWithinPartitions("grp", "slice").mapInArrow(_candidates(k), CANDIDATES))
     rest = found.join(kth(found, "low", k), "item_id", "left").where("tau IS NULL OR high >= tau")
-    scores = looked_up(lists, items, n_items, rest.select("item_id", "slice", "doc_id"))
-    return best(scores.where("score > 0"), "score", k).select("item_id", "rank", "doc_id", "score")
+    scores = looked_up(lists, items, n_items, rest.select("item_id", "slice", "place")).where("score > 0")
+    by_slice = scores.groupBy("slice").agg(F.collect_list("item_id").alias("item"), F.collect_list("place").alias("place"), F.collect_list("score").alias("score"))
+    named = every.where("term = ''").select("slice", F.col("docs").alias("ids")).join(by_slice, "slice").mapInArrow(_named, NAMED)
+    return best(named, "score", k, "doc_id").select("item_id", "rank", "doc_id", "score")
