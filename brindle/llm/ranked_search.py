@@ -9,7 +9,7 @@ documents lies on many tasks.
 1. The heads of all lists are fetched. The best sums of heads are looked up, and the k-th score of an item is its
    first lower bound.
 2. A document that reaches the bound has a score of bound / m at least in one of the item's m lists. Every
-   list sends its entries from there on, once for a group of items; with the largest score that a missing entry
+   list sends its entries from an eighth of that on, once for a group of items; with the largest score that a missing entry
    can have, a document has a lower and an upper bound. The k-th lower bound rules out most of the rest.
 3. The others' scores are looked up in the lists.
 """
@@ -37,6 +37,8 @@ BITS = 22
 SLICE, SLICE_DOCS = 500_000, 1 << 15
 #: Terms of a group of items, about.
 GROUP = 1 << 14
+#: A list sends entries from this share of bound / m on, so that missing entries can add little and few documents stay.
+SHARE = 8
 #: Items whose lookups of one term in one slice are packed together, and lookups that are broadcast at most.
 TOGETHER, FEW = 4096, 1_000_000
 
@@ -329,7 +331,7 @@ def ranked_search(items: DataFrame, docs: DataFrame, k: int = RESULTS) -> DataFr
     asked = items.join(tops, "term").join(tau, "item_id", "left").fillna(0, ["tau"])
     grouped = F.pmod(F.xxhash64("item_id"), F.lit(-(-n_items // GROUP) or 1)).alias("grp")
     asked = asked.select("*", grouped, F.count(F.lit(1)).over(Window.partitionBy("item_id")).alias("m"))
-    need = F.greatest(F.lit(1), F.expr("(tau + m * c - 1) div (m * c)"))
+    need = F.greatest(F.lit(1), F.expr(f"(tau + {SHARE} * m * c - 1) div ({SHARE} * m * c)"))
     asked = asked.withColumn("need", F.min(need).over(Window.partitionBy("term", "grp")))
     asked = asked.withColumn("cap", F.col("c") * F.least("top", F.col("need") - 1))
     asked = asked.withColumn("total", F.sum("cap").over(Window.partitionBy("item_id"))).withColumnRenamed("item_id", "item")
