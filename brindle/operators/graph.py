@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.operators import raster
 
+#: Rows of an image whose runs are joined in one task.
+BAND = 256
+
 
 def saved(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the folder of spark.checkpoint.dir; only a session without one gets a folder of its own."""
+    """Cuts lineage through the folder of spark.checkpoint.dir. Where a session names none, only a master on one machine gets one, in the warehouse."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        path = context.getConf().get("spark.checkpoint.dir")
+        if not path:
+            if not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            path = f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+        context.setCheckpointDir(path)
     return df.checkpoint()
 
 
@@ -36,10 +44,25 @@ def smallest_reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = new.select("node", F.col("next").alias("root"))
 
 
+def _smallest_in_band(edges: pd.DataFrame) -> pd.DataFrame:
+    """Each node of a band of rows with the smallest one that it reaches by the band's own edges."""
+    nodes, at = np.unique(edges[["a", "b"]].to_numpy(), return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    low = np.arange(len(nodes))
+    while True:
+        x, y = low[a], low[b]
+        if (x == y).all():
+            return pd.DataFrame({"image_id": edges.image_id.iloc[0], "node": nodes, "low": nodes[low]})
+        np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+        while (low[low] != low).any():
+            low = low[low]
+
+
 def pixel_components(pixels: DataFrame) -> DataFrame:
     """4-connected components of equal region_id: pixels with component, the smallest pixel number (y * width + x) of each.
 
-    Runs of equal pixels in a row are found by windows first, so the rounds work on runs, not pixels.
+    Runs of equal pixels in a row are found by windows. The runs of a band of rows are joined in one task, so
+    the rounds over the whole image only have the contacts between bands.
     """
     from pyspark.sql import Window
 
@@ -48,10 +71,17 @@ def pixel_components(pixels: DataFrame) -> DataFrame:
     width = pixels.agg((F.max("x") + 1).alias("width"))
     rows = saved(pixels.join(F.broadcast(width)).withColumn("run", run).withColumn("node", F.col("y") * F.col("width") + F.col("run")).drop("width"))  # one row
     below = rows.select("image_id", "x", "y", "node", "region_id", F.lead("node").over(raster.along_column()).alias("b"), F.lead("region_id").over(raster.along_column()).alias("other"))
-    edges = below.where("region_id = other").select(F.struct("image_id", "node").alias("a"), F.struct("image_id", F.col("b").alias("node")).alias("b")).distinct()
-    nodes = rows.select(F.struct("image_id", "node").alias("node")).distinct()
-    roots = smallest_reachable(nodes, edges).select("node.*", F.col("root.node").alias("component"))
-    return rows.join(roots, ["image_id", "node"]).drop("node", "run")
+    band = F.expr(f"y div {BAND}")
+    edges = below.where("region_id = other").select("image_id", F.col("node").alias("a"), "b", band.alias("band"), (F.expr(f"(y + 1) div {BAND}") == band).alias("inside")).distinct()
+    edges = saved(edges)
+    local = saved(edges.where("inside").groupBy("image_id", "band").applyInPandas(_smallest_in_band, "image_id string, node long, low long"))
+    low = lambda name: local.select("image_id", F.col("node").alias(name), F.col("low").alias(f"low_{name}"))
+    across = edges.where("NOT inside").join(low("a"), ["image_id", "a"], "left").join(low("b"), ["image_id", "b"], "left")
+    across = across.select(F.struct("image_id", F.coalesce("low_a", "a").alias("node")).alias("a"), F.struct("image_id", F.coalesce("low_b", "b").alias("node")).alias("b")).distinct()
+    ends = across.select(F.col("a").alias("node")).unionByName(across.select(F.col("b").alias("node"))).distinct()
+    roots = smallest_reachable(ends, across).select(F.col("node.image_id").alias("image_id"), F.col("node.node").alias("low"), F.col("root.node").alias("component"))
+    found = rows.join(local, ["image_id", "node"], "left").withColumn("low", F.coalesce("low", "node")).join(roots, ["image_id", "low"], "left")
+    return found.withColumn("component", F.coalesce("component", "low")).drop("node", "run", "low")
 
 
 def holes(pixels: DataFrame) -> DataFrame:
@@ -70,10 +100,18 @@ def holes(pixels: DataFrame) -> DataFrame:
 
 
 def union_pairs(pairs: DataFrame) -> DataFrame:
-    """Transitive closure of merge pairs(a, b): every node with the smallest one of its class, numbered 1, 2, ..."""
-    from pyspark.sql import Window
-
+    """Transitive closure of merge pairs(a, b): every node with the smallest one of its class, numbered 1, 2, ... in order."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     roots = smallest_reachable(nodes, pairs)
-    number = roots.select("root").distinct().withColumn("label", F.row_number().over(Window.orderBy("root")).cast("long"))
-    return roots.join(number, "root").select("node", "root", "label")
+    return roots.join(numbered(roots.select("root").distinct(), "root", "label"), "root").select("node", "root", "label")
+
+
+def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """rows with a number 1, 2, ... by ``order``: ranges on many tasks, each counted on from the sizes of those before it."""
+    from pyspark.sql import Window
+
+    parts = saved(rows.repartitionByRange(order).withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parts.groupBy("part").agg(F.count("*").alias("size")).withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))  # a row for each partition
+    within = F.row_number().over(Window.partitionBy("part").orderBy(order))
+    return parts.join(F.broadcast(sizes), "part").withColumn(name, (F.col("before") + within).cast("long")).drop("part", "size", "before")
