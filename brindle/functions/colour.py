@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,29 +26,44 @@ def lab(r: Column, g: Column, b: Column) -> Column:
     return F.struct((116 * f[1] - 16).alias("l"), (500 * (f[0] - f[1])).alias("a"), (200 * (f[1] - f[2])).alias("b"))
 
 
+def bound(then: Callable[[Column], Column], **values: Column) -> Column:
+    """then(v) with each value as a field of v, computed once however often it is used: without this an expression of
+    expressions grows with every step, and so does the code that is generated for it."""
+    return F.transform(F.array(F.struct(*(x.alias(k) for k, x in values.items()))), then)[0]
+
+
 def difference(l1: Column, a1: Column, b1: Column, l2: Column, a2: Column, b2: Column) -> Column:
     """CIEDE2000 with unit weights."""
-    mean_c = (F.sqrt(a1 * a1 + b1 * b1) + F.sqrt(a2 * a2 + b2 * b2)) / 2
-    g = 0.5 * (1 - F.sqrt(F.pow(mean_c, 7) / (F.pow(mean_c, 7) + float(25**7))))
-    x1, x2 = (1 + g) * a1, (1 + g) * a2
-    c1, c2 = F.sqrt(x1 * x1 + b1 * b1), F.sqrt(x2 * x2 + b2 * b2)
-    hue = lambda x, y: F.when((x == 0) & (y == 0), 0.0).otherwise(F.pmod(F.degrees(F.atan2(y, x)), F.lit(360.0)))
-    h1, h2 = hue(x1, b1), hue(x2, b2)
-    grey = c1 * c2 == 0
-    turn = h2 - h1
-    dh = F.when(grey, 0.0).when(F.abs(turn) <= 180, turn).when(turn > 180, turn - 360).otherwise(turn + 360)
-    dl, dc = l2 - l1, c2 - c1
-    dhue = 2 * F.sqrt(c1 * c2) * F.sin(F.radians(dh / 2))
-    ml, mc = (l1 + l2) / 2, (c1 + c2) / 2
-    total = h1 + h2
-    mh = F.when(grey, total).when(F.abs(turn) <= 180, total / 2).when(total < 360, (total + 360) / 2).otherwise((total - 360) / 2)
+    p7 = float(25**7)
     cos = lambda x: F.cos(F.radians(x))
-    t = 1 - 0.17 * cos(mh - 30) + 0.24 * cos(2 * mh) + 0.32 * cos(3 * mh + 6) - 0.20 * cos(4 * mh - 63)
-    sl = 1 + 0.015 * F.pow(ml - 50, 2) / F.sqrt(20 + F.pow(ml - 50, 2))
-    sc, sh = 1 + 0.045 * mc, 1 + 0.015 * mc * t
-    rc = 2 * F.sqrt(F.pow(mc, 7) / (F.pow(mc, 7) + float(25**7)))
-    rt = -F.sin(F.radians(60 * F.exp(-F.pow((mh - 275) / 25, 2)))) * rc
-    return F.sqrt(F.greatest(F.pow(dl / sl, 2) + F.pow(dc / sc, 2) + F.pow(dhue / sh, 2) + rt * (dc / sc) * (dhue / sh), F.lit(0.0)))
+    hue = lambda x, y: F.when((x == 0) & (y == 0), 0.0).otherwise(F.pmod(F.degrees(F.atan2(y, x)), F.lit(360.0)))
+
+    def stretched(v: Column) -> Column:
+        mean_c = F.pow((F.sqrt(v.a1 * v.a1 + v.b1 * v.b1) + F.sqrt(v.a2 * v.a2 + v.b2 * v.b2)) / 2, 7)
+        return bound(polar, l1=v.l1, b1=v.b1, l2=v.l2, b2=v.b2, a1=v.a1, a2=v.a2, g=1.5 - 0.5 * F.sqrt(mean_c / (mean_c + p7)))
+
+    def polar(v: Column) -> Column:
+        return bound(angles, l1=v.l1, l2=v.l2, b1=v.b1, b2=v.b2, x1=v.g * v.a1, x2=v.g * v.a2)
+
+    def angles(v: Column) -> Column:
+        return bound(turned, l1=v.l1, l2=v.l2, c1=F.sqrt(v.x1 * v.x1 + v.b1 * v.b1), c2=F.sqrt(v.x2 * v.x2 + v.b2 * v.b2), h1=hue(v.x1, v.b1), h2=hue(v.x2, v.b2))
+
+    def turned(v: Column) -> Column:
+        grey, turn, total = v.c1 * v.c2 == 0, v.h2 - v.h1, v.h1 + v.h2
+        dh = F.when(grey, 0.0).when(F.abs(turn) <= 180, turn).when(turn > 180, turn - 360).otherwise(turn + 360)
+        mh = F.when(grey, total).when(F.abs(turn) <= 180, total / 2).when(total < 360, (total + 360) / 2).otherwise((total - 360) / 2)
+        return bound(weighed, dl=v.l2 - v.l1, dc=v.c2 - v.c1, dh=2 * F.sqrt(v.c1 * v.c2) * F.sin(F.radians(dh / 2)), ml=(v.l1 + v.l2) / 2, mc=(v.c1 + v.c2) / 2, mh=mh)
+
+    def weighed(v: Column) -> Column:
+        t = 1 - 0.17 * cos(v.mh - 30) + 0.24 * cos(2 * v.mh) + 0.32 * cos(3 * v.mh + 6) - 0.20 * cos(4 * v.mh - 63)
+        low, c7 = (v.ml - 50) * (v.ml - 50), F.pow(v.mc, 7)
+        twist = -2 * F.sqrt(c7 / (c7 + p7)) * F.sin(F.radians(60 * F.exp(-F.pow((v.mh - 275) / 25, 2))))
+        return bound(summed, l=v.dl / (1 + 0.015 * low / F.sqrt(20 + low)), c=v.dc / (1 + 0.045 * v.mc), h=v.dh / (1 + 0.015 * v.mc * t), twist=twist)
+
+    def summed(v: Column) -> Column:
+        return F.sqrt(F.greatest(v.l * v.l + v.c * v.c + v.h * v.h + v.twist * v.c * v.h, F.lit(0.0)))
+
+    return bound(stretched, l1=l1, a1=a1, b1=b1, l2=l2, a2=a2, b2=b2)
 
 
 def lab_sql(r: str, g: str, b: str) -> list[str]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,16 +16,23 @@ BAND = 256
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the folder of spark.checkpoint.dir. Where a session names none, only a master on one machine gets one, in the warehouse."""
-    context = df.sparkSession.sparkContext
+    """The rows of df, written once below spark.checkpoint.dir and read from there.
+
+    A table that is read again has neither lineage nor constraints of earlier rounds; these a checkpoint keeps, and
+    planning gets slower with each. Where a session names no folder, only a master on one machine gets one, in the
+    warehouse.
+    """
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         path = context.getConf().get("spark.checkpoint.dir")
         if not path:
             if not context.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            path = f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+            path = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
         context.setCheckpointDir(path)
-    return df.checkpoint()
+    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def smallest_reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:

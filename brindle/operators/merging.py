@@ -1,151 +1,34 @@
-"""Ordered, greedy operators: their steps depend on each other within an image, and images are independent.
-
-Spark aggregates pixels to regions and edges and deals them by image; the merge itself is a small step in
-one task for each image.
-"""
+"""Ordered, greedy operators in rounds: budgets, palettes, and places for labels."""
 
 from __future__ import annotations
 
-import heapq
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.functions.colour import difference_of
+from brindle.functions.scalar import label_height_mm
+from brindle.operators import distance, graph
 
 
 def budget_with_skip(rows: DataFrame, key: str, size: str, order: list[Column], budget: float) -> DataFrame:
-    """For each key the items that are kept in order while they fit; an item that does not fit is skipped, not the rest."""
-    items = F.array_sort(F.collect_list(F.struct(*order, F.col(size).cast("double").alias("s"), F.col("item"))))
-    zero = F.struct(F.lit(0.0).alias("used"), F.array().cast("array<long>").alias("kept"))
-    step = lambda acc, x: F.when(acc["used"] + x["s"] <= budget, F.struct((acc["used"] + x["s"]).alias("used"), F.concat(acc["kept"], F.array(x["item"])).alias("kept"))).otherwise(acc)
-    return rows.groupBy(key).agg(F.aggregate(items, zero, step).alias("b")).select(key, F.col("b.used").alias("used"), F.size("b.kept").cast("long").alias("kept"))
-
-
-WEAK_DIFFERENCE = 2.0
-WEAK_EVIDENCE = 0.20
-
-
-class Contraction:
-    """A region graph of one image that shrinks pair by pair; what a region has adds up over its parts.
-
-    Regions are numbered in the order of their ids. The keys of all pairs of a region are computed together,
-    so a region with many neighbours costs a few array operations for each merge.
-    """
+    """(key, used, kept): the items that are kept in order while they fit; an item that does not fit is skipped, not the rest.
 
-    def __init__(self, regions: pd.DataFrame, edges: pd.DataFrame, least_area: float, least_width: float):
-        self.ids = regions.region_id.tolist()
-        at = {x: k for k, x in enumerate(self.ids)}
-        self.sums = regions[["area", "perimeter", "l", "a", "b"]].to_numpy(float)
-        self.sums[:, 2:] *= self.sums[:, :1]
-        self.paint = np.stack(regions.costs.to_list()).astype(float)
-        self.links: list[dict[int, tuple[float, float, bool]]] = [{} for _ in at]
-        for lo, hi, n, e, user in edges[["lo", "hi", "shared_len", "evidence", "user_edge"]].itertuples(index=False):
-            self.links[at[lo]][at[hi]] = self.links[at[hi]][at[lo]] = (n, e, bool(user))
-        self.age, self.into, self.left = [0] * len(at), {}, len(at)
-        self.least_area, self.least_width = least_area, least_width
-
-    def weak_floor(self, sums: np.ndarray) -> np.ndarray:
-        area, perimeter = sums[..., 0], sums[..., 1]
-        return (area < self.least_area) | (2 * area / np.maximum(1.0, perimeter) < self.least_width)
-
-    def measures(self, one: int, others: list[int]) -> tuple[np.ndarray, ...]:
-        """Loss of paint fit, evidence, colour difference, contact, unevenness and selection of pairs of one region."""
-        a, b = self.sums[one], self.sums[others]
-        n, evidence, user = (np.array(x) for x in zip(*(self.links[one][k] for k in others), strict=True))
-        total, paint = a[0] + b[:, 0], self.paint[others]
-        loss = np.maximum(0.0, ((self.paint[one] + paint).min(axis=1) - self.paint[one].min() - paint.min(axis=1)) / np.maximum(1.0, total))
-        difference = difference_of(np.broadcast_to(a[2:] / a[0], (len(others), 3)), b[:, 2:] / b[:, :1])
-        return loss, evidence, difference, n / np.maximum(1.0, np.sqrt(np.minimum(a[0], b[:, 0]))), np.abs(a[0] - b[:, 0]) / np.maximum(1.0, total), user
-
-    def weak_keys(self, one: int, others: list[int]) -> list[tuple | None]:
-        loss, evidence, difference, contact, _, _ = self.measures(one, others)
-        weak = (difference < WEAK_DIFFERENCE) & (evidence < WEAK_EVIDENCE)
-        keys = zip(evidence.tolist(), loss.tolist(), difference.tolist(), (-contact).tolist(), strict=True)
-        return [k if w else None for k, w in zip(keys, weak.tolist(), strict=True)]
-
-    def cost_keys(self, one: int, others: list[int]) -> list[tuple]:
-        loss, evidence, difference, contact, uneven, user = self.measures(one, others)
-        cost = loss + evidence * difference * np.where(user, 2, 1)
-        strong = ~(self.weak_floor(self.sums[one]) | self.weak_floor(self.sums[others]))
-        return list(zip(*(x.tolist() for x in (strong.astype(int), cost, evidence, loss, difference, uneven, -contact)), strict=True))
-
-    def join(self, lo: int, hi: int) -> None:
-        """The smaller id takes the larger in; evidence of a common neighbour is averaged by contact."""
-        n, _, _ = self.links[lo].pop(hi)
-        self.sums[lo] += self.sums[hi]
-        self.sums[lo][1] -= 2 * n
-        self.paint[lo] += self.paint[hi]
-        gone, self.links[hi] = self.links[hi], {}
-        del gone[lo]
-        for k, (n, e, user) in gone.items():
-            m, f, other = self.links[lo].get(k, (0.0, 0.0, False))
-            self.links[lo][k] = self.links[k][lo] = (n + m, (n * e + m * f) / (n + m), user or other)
-            del self.links[k][hi]
-        self.into[hi] = lo
-        self.age[lo] += 1
-        self.left -= 1
-
-    def shrink(self, keys, stop, skip=lambda first, user: False) -> None:
-        """Joins the pair with the smallest key until stop(first of key) holds; a key of None is no candidate."""
-        heap: list[tuple] = []
-
-        def offer(x: int, others: list[int]) -> None:
-            for y, k in zip(others, keys(x, others) if others else [], strict=True):
-                if k is not None:
-                    lo, hi = min(x, y), max(x, y)
-                    heapq.heappush(heap, (k, lo, hi, self.age[lo], self.age[hi]))
-
-        for lo, around in enumerate(self.links):
-            offer(lo, [hi for hi in around if lo < hi])
-        while heap:
-            k, lo, hi, *ages = heapq.heappop(heap)
-            if lo in self.into or hi in self.into or ages != [self.age[lo], self.age[hi]]:
-                continue
-            if stop(k[0]):
-                return
-            if not skip(k[0], self.links[lo][hi][2]):
-                self.join(lo, hi)
-                offer(lo, list(self.links[lo]))
-
-    def roots(self) -> dict[int, int]:
-        out = {}
-        for i, name in enumerate(self.ids):
-            while i in self.into:
-                i = self.into[i]
-            out[name] = self.ids[i]
-        return out
-
-
-def contract(regions: pd.DataFrame, edges: pd.DataFrame, target: int, most: int, least_area: float, least_width: float) -> dict[int, int]:
-    """First pairs without source support; then by cost down to the target, selected pairs only above ``most``, regions
-    below the printable floor in any case; then, above ``most``, whatever costs least."""
-    if not len(regions):
-        return {}
-    g = Contraction(regions, edges, least_area, least_width)
-    g.shrink(g.weak_keys, lambda first: False)
-    g.shrink(g.cost_keys, lambda first: g.left <= target and first != 0, lambda first, user: user and g.left <= most and first != 0)
-    g.shrink(g.cost_keys, lambda first: g.left <= most)
-    return g.roots()
-
-
-def merge_hierarchically(regions: DataFrame, edges: DataFrame, target: int, most: int, least_area: float = 0.0, least_width: float = 0.0) -> DataFrame:
-    """(image_id, region_id, merged_id): greedy merging of the neighbours of each image.
-
-    regions(image_id, region_id, area, perimeter, l, a, b, costs): mean Lab colour and the cost of each paint;
-    edges(image_id, lo, hi, shared_len, evidence, user_edge). Regions, edges and costs come from Spark
-    aggregations over pixels; the order of merges is a property of one image, so an image is one group.
-    An image that can't be brought to ``most`` regions keeps more of them.
+    Each round keeps, by running sums over what could still fit, all items up to the first that does not; then what is
+    larger than the rest of the budget leaves, and the next round goes on behind. Sums stream over a key's rows,
+    none of which are gathered.
     """
-
-    def run(key: tuple, r: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        found = contract(r.sort_values("region_id"), e.sort_values(["lo", "hi"]), target, most, least_area, least_width)
-        return pd.DataFrame({"image_id": key[0], "region_id": list(found), "merged_id": list(found.values())})
-
-    pairs = edges.select(F.col("image_id").alias("image"), "lo", "hi", "shared_len", "evidence", "user_edge")
-    return regions.groupBy("image_id").cogroup(pairs.groupBy("image")).applyInPandas(run, "image_id string, region_id long, merged_id long")
+    left = graph.saved(rows.select(key, F.col(size).cast("double").alias("s"), F.struct(*order, F.col("item")).alias("o")))
+    used = graph.saved(left.select(key).distinct().select(key, F.lit(0.0).alias("used"), F.lit(0).cast("long").alias("kept")))
+    while True:
+        sums = F.sum("s").over(Window.partitionBy(key).orderBy("o").rowsBetween(Window.unboundedPreceding, 0))
+        open_ = left.join(used, key).where(F.col("s") <= budget - F.col("used")).withColumn("total", F.col("used") + sums)
+        open_ = graph.saved(open_)
+        stop = open_.where(F.col("total") > budget).groupBy(key).agg(F.min("o").alias("stop"))
+        ahead = open_.join(stop, key, "left")
+        more = graph.saved(ahead.where("stop IS NULL OR o < stop").groupBy(key).agg(F.max("total").alias("now"), F.count("*").alias("n")))
+        if more.isEmpty():
+            return used
+        left = graph.saved(ahead.where("o > stop").select(key, "s", "o"))
+        used = graph.saved(used.join(more, key, "left").select(key, F.coalesce("now", "used").alias("used"), (F.col("kept") + F.coalesce("n", F.lit(0))).alias("kept")))
 
 
 def lloyd(points: DataFrame, columns: list[str], weight: str, k: int, rounds: int = 12) -> DataFrame:
@@ -185,37 +68,49 @@ def _distances(columns: list[str], centres: list[tuple]) -> list[Column]:
     return out
 
 
-def squared_distances(mask: np.ndarray) -> np.ndarray:
-    """Exact squared distance of each pixel to the nearest one outside the mask, as lower envelopes of parabolas along both axes."""
-    far = float(sum(mask.shape)) ** 2 + 1
-    out = np.where(mask, far, 0.0)
-    for axis in (0, 1):
-        lines = np.moveaxis(out, axis, -1)
-        n = lines.shape[-1]
-        q = np.arange(n)
-        gaps = (q[:, None] - q[None, :]) ** 2
-        out = np.moveaxis(np.stack([(gaps + line[None, :]).min(axis=1) for line in lines.reshape(-1, n)]).reshape(lines.shape), -1, axis)
-    return out
-
-
-def label_places(pixels: DataFrame, spacing: float, most: int) -> DataFrame:
+def label_places(pixels: DataFrame, spacing: float, most: int | Column, least_room: float = 0.0) -> DataFrame:
     """(image_id, region_id, ordinal, y, x, room): places for labels, deepest inside first, at least ``spacing`` apart, ``most`` at most.
 
-    Each region is one group; room is the distance to the nearest pixel outside it.
+    room is the distance to the nearest pixel outside the region. Only places of ``least_room`` count; a region without
+    any has its deepest one. ``most`` may depend on left, top, right, bottom of the region. A round picks the deepest
+    place that is left in each region (ties to the smaller y, then x) and drops what is too near to it.
     """
-
-    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        y0, x0 = p.y.min() - 1, p.x.min() - 1
-        mask = np.zeros((p.y.max() - y0 + 2, p.x.max() - x0 + 2), bool)
-        mask[p.y - y0, p.x - x0] = True
-        room = np.sqrt(squared_distances(mask))[p.y - y0, p.x - x0]
-        order = np.lexsort((p.x, p.y, -room))
-        kept: list[int] = []
-        for i in order:
-            if len(kept) == most:
-                break
-            if all((p.y.iloc[i] - p.y.iloc[j]) ** 2 + (p.x.iloc[i] - p.x.iloc[j]) ** 2 >= spacing**2 for j in kept):
-                kept.append(i)
-        return pd.DataFrame({"image_id": key[0], "region_id": key[1], "ordinal": range(1, len(kept) + 1), "y": p.y.iloc[kept].to_numpy(), "x": p.x.iloc[kept].to_numpy(), "room": room[kept]})
-
-    return pixels.where("region_id <> 0").select("image_id", "region_id", "y", "x").groupBy("image_id", "region_id").applyInPandas(run, "image_id string, region_id long, ordinal int, y long, x long, room double")
+    room = graph.saved(distance.squared_room(pixels.where("region_id <> 0")).withColumn("room", F.sqrt("room")))
+    boxes = room.groupBy("image_id", "region_id").agg(F.min("x").alias("left"), F.min("y").alias("top"), (F.max("x") + 1).alias("right"), (F.max("y") + 1).alias("bottom"), F.max("room").alias("deepest"))
+    boxes = graph.saved(boxes.select("image_id", "region_id", (most if isinstance(most, Column) else F.lit(most)).cast("int").alias("most"), F.least("deepest", F.lit(float(least_room))).alias("floor")))
+    left = graph.saved(room.join(boxes, ["image_id", "region_id"]).where("room >= floor").drop("floor"))
+    found, turn = None, 1
+    while True:
+        place = F.struct((-F.col("room")).alias("r"), "y", "x")
+        picks = graph.saved(left.where(F.col("most") >= turn).groupBy("image_id", "region_id").agg(F.min(place).alias("p")).select("image_id", "region_id", F.lit(turn).alias("ordinal"), "p.y", "p.x", (-F.col("p.r")).alias("room")))
+        if picks.isEmpty():
+            return found if found is not None else picks
+        found = picks if found is None else found.unionByName(picks)
+        near = picks.select("image_id", "region_id", F.col("y").alias("py"), F.col("x").alias("px"))
+        apart = (F.col("y") - F.col("py")) * (F.col("y") - F.col("py")) + (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) >= spacing * spacing
+        left = graph.saved(left.where(F.col("most") > turn).join(near, ["image_id", "region_id"]).where(apart).drop("py", "px"))
+        turn += 1
+
+
+#: Labels repeat at this distance, so many in a region at most.
+REPEAT_MM, MOST_LABELS = 35.0, 12
+
+
+def label_plan(pixels: DataFrame, mm_per_pixel: float) -> DataFrame:
+    """(image_id, region_id, ordinal, y, x, pocket_mm, height_mm): labels of regions, repeated along large ones; a region without a place that fits one has a row of nulls."""
+    length = F.greatest(F.col("right") - F.col("left"), F.col("bottom") - F.col("top")) * mm_per_pixel
+    most = F.greatest(F.lit(1), F.least(F.lit(MOST_LABELS), F.floor(length / REPEAT_MM) + 1))
+    places = label_places(pixels, REPEAT_MM / mm_per_pixel, most, 0.5)
+    pocket = 2 * F.col("room") * mm_per_pixel
+    fits = places.withColumns({"pocket_mm": pocket, "height_mm": label_height_mm(pocket)}).where("height_mm IS NOT NULL").drop("room")
+    every = pixels.where("region_id <> 0").select("image_id", F.col("region_id").cast("long").alias("region_id")).distinct()
+    return every.join(fits, ["image_id", "region_id"], "left")
+
+
+def numbering(plan: DataFrame) -> DataFrame:
+    """For each image: labels, those that repeat a region's, regions without one, regions with a label below 4 mm, and the least pocket and height (0 without labels)."""
+    by_region = plan.groupBy("image_id", "region_id").agg(F.count("ordinal").alias("n"), F.min("pocket_mm").alias("pocket"), F.min("height_mm").alias("height"))
+    return by_region.groupBy("image_id").agg(
+        F.sum("n").alias("placed"), F.sum(F.greatest(F.col("n") - 1, F.lit(0))).alias("repeated"), F.count_if(F.col("n") == 0).alias("unnumbered"), F.count_if(F.col("height") < 4).alias("adaptive"),
+        F.coalesce(F.min("pocket"), F.lit(0.0)).alias("least_pocket_mm"), F.coalesce(F.min("height"), F.lit(0)).alias("least_height_mm"),
+    )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.operators import evidence, graph, merging, raster
+from brindle.operators import contraction, evidence, graph, merging, raster
 from brindle.sources.tables import table
 
 SCALE = 8
@@ -21,12 +21,6 @@ def grid(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.lit("e").alias("image_id"), "y", F.col("x").cast("long").alias("x"), F.col("v").cast("double").alias("v"), (F.floor(F.col("v") * SCALE) + 10).cast("long").alias("region_id"))
 
 
-def bands(spark: SparkSession, d: str, height: int = 16) -> DataFrame:
-    """The same pixels as one image for each band of rows; operators whose steps follow each other work image by image."""
-    band = F.floor(F.col("y") / height)
-    return grid(spark, d).withColumn("image_id", F.concat(F.lit("e"), band.cast("string"))).withColumn("y", F.col("y") - band * height)
-
-
 GRID = f"(SELECT 'e' AS image_id, y, x, v, floor(v * {SCALE})::BIGINT + 10 AS region_id FROM (SELECT vec_id AS y, unnest(range(len(embedding))) AS x, unnest(embedding)::DOUBLE AS v FROM embeddings))"
 CONTACTS = f"(SELECT y, x, region_id AS l, lead(region_id) OVER (PARTITION BY y ORDER BY x) AS r, v, lead(v) OVER (PARTITION BY y ORDER BY x) AS v_r, 'right' AS axis FROM {GRID} UNION ALL SELECT y, x, region_id, lead(region_id) OVER (PARTITION BY x ORDER BY y), v, lead(v) OVER (PARTITION BY x ORDER BY y), 'down' FROM {GRID})"
 BORDERS = f"(SELECT *, least(l, r) AS lo, greatest(l, r) AS hi FROM {CONTACTS} WHERE r IS NOT NULL AND l <> r)"
@@ -170,14 +164,19 @@ def running_budget_skip(spark: SparkSession, d: str) -> DataFrame:
     return merging.budget_with_skip(p, "p_brand", "size", [(-F.col("size")).alias("k1"), F.col("item").alias("k2")], 100.0)
 
 
-def hierarchical_merge_summary(spark: SparkSession, d: str) -> DataFrame:
-    g = graph.saved(graph.pixel_components(bands(spark, d))).withColumn("region_id", F.col("component"))
+def _region_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Regions and edges of the whole raster's components."""
+    g = graph.saved(graph.pixel_components(grid(spark, d)).withColumn("region_id", F.col("component")))
     costs = F.array(*(F.sum(F.abs(F.col("v") - x) * 100) for x in (-0.2, 0.0, 0.2)))
     colours = g.groupBy("image_id", "region_id").agg((F.avg("v") * 100 + 50).alias("l"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), costs.alias("costs"))
-    regions = raster.region_stats(g, "v").select("image_id", "region_id", F.col("area").cast("double").alias("area"), F.col("perimeter").cast("double").alias("perimeter")).join(colours, ["image_id", "region_id"])
-    edges = raster.shared_boundary(g).select("image_id", "lo", "hi", F.col("shared_len").cast("double").alias("shared_len"), F.least(F.lit(1.0), F.col("shared_len") / 20.0).alias("evidence"), (F.col("lo") % 97 == 0).alias("user_edge"))
-    merged = merging.merge_hierarchically(regions, edges, 40, 44, 6.0, 1.0)
-    return merged.groupBy("image_id", "merged_id").agg(F.count("*").alias("parts"))
+    regions = raster.region_stats(g, "v").select("image_id", "region_id", "area", "perimeter").join(colours, ["image_id", "region_id"])
+    edges = raster.shared_boundary(g).withColumns({"evidence": F.least(F.lit(1.0), F.col("shared_len") / 20.0), "user_edge": F.col("lo") % 97 == 0})
+    return regions, edges
+
+
+def hierarchical_merge_summary(spark: SparkSession, d: str) -> DataFrame:
+    joined, _ = contraction.merge_hierarchically(*_region_graph(spark, d), 400, 440, 3, 6.0, 1.0)
+    return joined.groupBy("image_id", "merged_id").agg(F.count("*").alias("parts"))
 
 
 def _options(g: DataFrame) -> DataFrame:
@@ -217,9 +216,9 @@ def boundary_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def absorbed_regions(spark: SparkSession, d: str) -> DataFrame:
-    g = graph.pixel_components(bands(spark, d)).select("image_id", "y", "x", "v", F.col("component").alias("region_id"))
-    out = evidence.absorb_small(g, lambda p: _edges(p).select("image_id", "lo", "hi", "delta_e", "evidence"), 12.0, 0.5)
-    return out.groupBy("image_id", "region_id").agg(F.count("*").alias("area"))
+    regions, edges = _region_graph(spark, d)
+    to = contraction.absorbed(regions, edges, 12.0, 0.5, 2.0, 0.2)
+    return regions.join(to, ["image_id", "region_id"]).groupBy("image_id", F.col("to").alias("region_id")).agg(F.sum("area").alias("area"))
 
 
 def boundary_junctions(spark: SparkSession, d: str) -> DataFrame:

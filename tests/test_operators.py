@@ -60,49 +60,11 @@ def test_budget_skips_what_does_not_fit(spark):
     assert (r.used, r.kept) == (100.0, 2)
 
 
-def test_distance_transform():
-    rng = np.random.default_rng(1)
-    mask = rng.random((12, 9)) < 0.8
-    out = [(y, x) for y in range(12) for x in range(9) if not mask[y, x]]
-    want = [[min((y - a) ** 2 + (x - b) ** 2 for a, b in out) for x in range(9)] for y in range(12)]
-    assert (merging.squared_distances(mask) == np.array(want)).all()
-
-
 def test_ciede2000_inside_tasks():
     a, b, want = (np.array([p[i] for p in PAIRS]) for i in range(3))
     assert np.abs(colour.difference_of(a, b) - want).max() < 1e-4
 
 
-REGIONS = "image_id string, region_id long, area double, perimeter double, l double, a double, b double, costs array<double>"
-EDGES = "image_id string, lo long, hi long, shared_len double, evidence double, user_edge boolean"
-
-
-def merged(spark, colours, edges, target, most, area=400.0, **floor):
-    regions = spark.createDataFrame([("i", k, area, 80.0, float(c), 0.0, 0.0, [0.0]) for k, c in enumerate(colours)], REGIONS)
-    rows = spark.createDataFrame([("i", lo, hi, 20.0, e, u) for lo, hi, e, u in edges], EDGES)
-    return {r.region_id: r.merged_id for r in merging.merge_hierarchically(regions, rows, target, most, **floor).collect()}
-
-
-def test_merging_keeps_strong_boundaries(spark):
-    edges = [(0, 1, 0.1, False), (1, 2, 0.9, False), (2, 3, 0.1, False)]
-    assert merged(spark, (20, 21, 70, 71), edges, 2, 3) == {0: 0, 1: 0, 2: 2, 3: 2}
-
-
-def test_weak_pairs_merge_below_the_target(spark):
-    assert merged(spark, (50.0, 50.5, 90.0), [(0, 1, 0.0, False), (1, 2, 0.9, False)], 5, 6) == {0: 0, 1: 0, 2: 2}
-
-
-def test_selected_pairs_give_way_only_above_the_maximum(spark):
-    stripes = [10 + 60 * (k % 2) + k for k in range(14)]
-    got = merged(spark, stripes, [(k, k + 1, 0.9, True) for k in range(13)], 10, 11)
-    assert len(set(got.values())) == 11
-
-
-def test_regions_below_the_floor_merge_in_any_case(spark):
-    got = merged(spark, (10, 60, 90), [(0, 1, 0.9, False), (1, 2, 0.9, False)], 3, 3, area=5.0, least_area=10.0)
-    assert len(set(got.values())) == 1 or len(set(got.values())) == 2
-
-
 CANDIDATE = "key string, difficulty string, attempt int, regions int, loss double, recall double, retention double"
 
 
@@ -143,19 +105,6 @@ def test_stream_routes_and_folds(spark, tmp_path):
     assert sorted(r.handler for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["image", "legacy"]
 
 
-def test_specks_join_their_neighbour(spark):
-    values = [[0.0] * 4 + [0.5] * 4 for _ in range(6)]
-    values[2][1] = 0.1
-    rows = [("i", y, x, v, 1 + y * 8 + x if v == 0.1 else 1 if v == 0.0 else 5) for y, line in enumerate(values) for x, v in enumerate(line)]
-    pixels = spark.createDataFrame(rows, "image_id string, y long, x long, v double, region_id long")
-
-    def edges(p):
-        return raster.shared_boundary(p).select("image_id", "lo", "hi", F.lit(1.0).alias("delta_e"), F.lit(0.0).alias("evidence"))
-
-    out = evidence.absorb_small(pixels, edges, 4.0, 0.0)
-    assert {(r.region_id, r["count"]) for r in out.groupBy("region_id").count().collect()} == {(1, 24), (5, 24)}
-
-
 def test_further_rules_of_validation(spark):
     """A sound input breaks no rule; each change breaks just its own."""
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "region_id long")
