@@ -57,7 +57,11 @@ def recoloured(options: DataFrame, edges: DataFrame, assigned: DataFrame, pairs:
 
     An edge waits for earlier ones that touch its regions or their neighbours: these are all that it reads.
     """
-    real = saved(edges.where(f"NOT (delta_e < {WEAK_DIFFERENCE} AND evidence < {WEAK_EVIDENCE})"))
+    best = options.groupBy("image_id", "region_id").agg(F.min("error").alias("best"))
+    near = options.join(best, ["image_id", "region_id"]).where("error <= 8 AND error <= best + 2").groupBy("image_id", "region_id").agg(F.count("*").alias("ways"))
+    ways = best.join(near, ["image_id", "region_id"], "left").fillna(0, ["ways"])
+    # where neither end has a second paint near enough, there is nothing to try
+    real = saved(rules.sided(edges.where(f"NOT (delta_e < {WEAK_DIFFERENCE} AND evidence < {WEAK_EVIDENCE})"), ways, "ways").where("ways_lo > 1 OR ways_hi > 1").select("image_id", "lo", "hi"))
     around = saved(_ends(edges, F.lit(0)).select("image_id", "region_id", "other"))
     tried, changes = None, 0
     while True:
@@ -139,7 +143,7 @@ def resolve_paints(regions: DataFrame, edges: DataFrame, paints: list[tuple[int,
     regions = saved(regions.select("image_id", "region_id", F.col("area").cast("double").alias("area"), *LAB, F.coalesce("protection", F.lit(0.0)).alias("protection")))
     edges = saved(edges.select("image_id", "lo", "hi", "evidence", "user_edge"))
     joined = saved(regions.select("image_id", "region_id", F.col("region_id").alias("to")))
-    counts = {"merges": 0, "recoloured": 0, "selected": 0, "forced": 0}
+    counts, done = {"merges": 0, "recoloured": 0, "selected": 0, "forced": 0}, None
     while True:
         options = saved(paint_options(regions, paints))
         nearest = options.groupBy("image_id", "region_id").agg(F.min_by("color_id", F.struct("error", "color_id")).alias("color_id"))
@@ -147,8 +151,13 @@ def resolve_paints(regions: DataFrame, edges: DataFrame, paints: list[tuple[int,
         assigned, n = recoloured(options, facts, saved(nearest), pairs)
         counts["recoloured"] += n
         broken = saved(violations(facts, assigned, pairs))
-        if broken.isEmpty():
-            return assigned, joined.where("region_id <> to"), counts
+        images = saved(broken.select("image_id").distinct())
+        settled = assigned.join(images, "image_id", "left_anti").select("image_id", "region_id", "color_id")
+        done = saved(settled if done is None else done.unionByName(settled))
+        if images.isEmpty():
+            return done, joined.where("region_id <> to"), counts
+        regions, edges = (saved(x.join(images, "image_id", "left_semi")) for x in (regions, edges))
+        options, assigned = (x.join(images, "image_id", "left_semi") for x in (options, assigned))
         allowed = broken.where(f"drawn < {HARD_EVIDENCE} OR user_edge")
         taken = disjoint_pairs(allowed, F.struct("evidence", "delta_e", "paint_de", "lo", "hi"))
         stuck = broken.join(taken.select("image_id").distinct(), "image_id", "left_anti")

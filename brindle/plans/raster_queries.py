@@ -274,6 +274,9 @@ SQL = {
     "lut_gather": f"SELECT coalesce(paint, 255) AS paint, count(*) AS n FROM {GRID} LEFT JOIN (SELECT region_id, dense_rank() OVER (ORDER BY region_id) * 10 AS paint FROM (SELECT DISTINCT region_id FROM {GRID} WHERE region_id <> 0) QUALIFY dense_rank() OVER (ORDER BY region_id) % 3 <> 0) USING (region_id) GROUP BY 1",
     "nearest_palette_assign": f"SELECT vec_id, (list_position([{NEAREST}], least({NEAREST})))::INT AS color_id, round(sqrt(least({NEAREST})), 6) AS distance FROM (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings)",
     "pixel_paint_costs": f"SELECT region_id, p.i AS color_id, round(sum(n * abs(value - p.x)), 6) AS cost FROM (SELECT region_id, round(v, 2) AS value, count(*) AS n FROM {GRID} GROUP BY 1, 2), (VALUES {', '.join(f'({i}, {x}::DOUBLE)' for i, x, _, _ in PALETTE)}) p(i, x) GROUP BY region_id, p.i",
+    "running_budget_skip": """WITH RECURSIVE r AS (SELECT p_brand, p_size::DOUBLE AS s, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS n FROM part),
+f AS (SELECT DISTINCT p_brand, 0::BIGINT AS n, 0::DOUBLE AS used, 0::BIGINT AS kept FROM part UNION ALL SELECT f.p_brand, r.n, CASE WHEN used + s <= 100 THEN used + s ELSE used END, kept + (used + s <= 100)::BIGINT FROM f JOIN r ON r.p_brand = f.p_brand AND r.n = f.n + 1)
+SELECT p_brand, used, kept FROM f QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY n DESC) = 1""",
     "undo_history": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 10",
     "component_labels": f"{REACH} SELECT region_id, root AS component, count(*) AS area FROM reach JOIN p USING (id) GROUP BY 1, 2",
     "region_component_counts": f"{REACH} SELECT region_id, count(DISTINCT root) AS components FROM reach JOIN p USING (id) GROUP BY 1",
@@ -288,5 +291,5 @@ SELECT region_id, color_id FROM near ANTI JOIN spoiled USING (region_id, color_i
     "raster_equality": f"SELECT count(*) AS differing FROM {GRID} WHERE region_id <> floor(v * {SCALE} + 0.001)::BIGINT + 10",
 }
 
-ROWS_ONLY = ("raster_gaussian_blur", "lasso_coverage", "region_holes", "running_budget_skip", "hierarchical_merge_summary", "boundary_evidence", "absorbed_regions", "lloyd_palette", "label_positions")
+ROWS_ONLY = ("raster_gaussian_blur", "lasso_coverage", "region_holes", "hierarchical_merge_summary", "boundary_evidence", "absorbed_regions", "lloyd_palette", "label_positions")
 QUERIES = {name: globals()[name] for name in (*SQL, *ROWS_ONLY)}
