@@ -11,7 +11,7 @@ from brindle.plans.state_queries import FILES, PROJECTS
 from brindle.sources.tables import project_files, projects, table
 
 # The statuses that end a project, and the words shown for some.
-DONE = ["ai_completed", "ai_failed", "pbn_failed", "pbn_selection_failed", "failed"]
+DONE = ["ai_completed", "ai_failed", "paint_failed", "paint_selection_failed", "failed"]
 STATUS = {"O": "uploaded", "F": "ai_completed"}
 LABELS = {"ai_completed": "Completed", "uploaded": "Uploaded"}
 BINS = [4.0, 3.0, 2.0, 1.0]

@@ -56,7 +56,7 @@ def attempt_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def job_routing(spark: SparkSession, d: str) -> DataFrame:
-    e = project_events(spark, d).select(F.when(F.col("type") == "click", "ai_image").when(F.col("type") == "view", "pbn_options").otherwise(F.col("type")).alias("type"))
+    e = project_events(spark, d).select(F.when(F.col("type") == "click", "ai_image").when(F.col("type") == "view", "paint_options").otherwise(F.col("type")).alias("type"))
     return jobs.route(e).groupBy("handler").agg(F.count("*").alias("n"))
 
 

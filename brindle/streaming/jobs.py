@@ -16,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 JOB = "type string, project_id string, settings string, retry_count int, max_retries int, created_at string"
 # Handlers by type of job.
-HANDLERS = {"ai_image": "image", "ai_image_regenerate": "image", "pbn_options": "options", "pbn_selection": "selection", "upload_preview": "preview"}
+HANDLERS = {"ai_image": "image", "ai_image_regenerate": "image", "paint_options": "options", "paint_selection": "selection", "upload_preview": "preview"}
 TERMINAL = ("completed", "failed", "deleted")
 
 
