@@ -1,6 +1,7 @@
 """Vectors, licences, toxicity and the pipeline against brute force on small tables."""
 
 import math
+import os
 import random
 import re
 import zlib
@@ -186,7 +187,8 @@ def plain_licences(rows):
         norm = math.sqrt(sum(x * x for x in v.values()))
         return {w: x / norm for w, x in v.items()}
 
-    models = [(name, vector(t)) for name, texts in licenses.TEMPLATES.items() for t in texts]
+    shows = lambda t: {n for n in licenses.SIGNS if re.search(licenses.sign(n), " ".join(words(t)))}
+    models = [(name, vector(t), set(licenses.NEEDS.get(name, [])), {"negated", *licenses.BARS.get(name, [])} - shows(t)) for name, texts in licenses.TEMPLATES.items() for t in texts]
     out = {}
     for i, path, text in rows:
         block, parts = [], list((text or "").split("\n"))
@@ -198,12 +200,76 @@ def plain_licences(rows):
                 block = []
         if path.split("/")[-1].startswith(("LICENSE", "COPYING")):
             parts.append(text)
-        best = [(round(sum(x * m.get(w, 0) for w, x in v.items()), 6), name) for v in [vector(p) for p in parts if words(p)] for name, m in models]
+        units = [(vector(p), shows(p)) for p in parts if words(p)]
+        best = [(round(sum(x * m.get(w, 0) for w, x in v.items()), 6), name) for v, signs in units for name, m, needs, bars in models if needs <= signs and not bars & signs]
         best = [(-s, name) for s, name in best if s >= licenses.THRESHOLD]
+        held = {name for _, name in best}
+        best = [(s, name) for s, name in best if not any(part == name and whole in held for part, whole in licenses.PART_OF)]
         out[i] = min(best)[1] if best else None
     return out
 
 
+def test_each_template_shows_its_signs():
+    for (name, k), (needs, _) in licenses.rules().items():
+        text = " ".join(licenses.words_in(licenses.TEMPLATES[name][k]))
+        assert all(re.search(licenses.sign(s), text) for i, s in enumerate(licenses.SIGNS) if needs >> i & 1), (name, k)
+
+
+GNU_NOTICE = """This {} is free software; you can redistribute it and/or modify it under the
+terms of the GNU {} General Public License as published by the Free Software
+Foundation; either version {} of the License, or (at your option) any later
+version.
+"""
+PERMISSION = """Permission is hereby granted, free of charge, to any person obtaining a copy of
+this software and associated documentation files (the "Software"), to deal in
+the Software without restriction, including without limitation the rights to
+use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of
+the Software, and to permit persons to whom the Software is furnished to do so"""
+
+
+def test_licences_with_much_the_same_words(spark):
+    """Expected names are written by hand."""
+    cases = [
+        (GNU_NOTICE.format("program", "", 2), "gpl-2.0"), (GNU_NOTICE.format("program", "", 3), "gpl-3.0"),
+        (GNU_NOTICE.format("library", "Lesser", 2.1), "lgpl-2.1"), (GNU_NOTICE.format("library", "Lesser", 3), "lgpl-3.0"),
+        (GNU_NOTICE.format("library", "Library", 2), "lgpl-2.0"), (GNU_NOTICE.format("program", "Affero", 3), "agpl-3.0"),
+        ("This program is licensed under the GNU General Public License, version 2.", "gpl-2.0"),
+        ("This library is licensed under the GNU Lesser General Public License, version 3.", "lgpl-3.0"),
+        ("This work is licensed under the GNU General Public License, version 4.", None),
+        ("Licensed under the Apache License, Version 1.1", None), ("Licensed under the Apache License, Version 2.0", "apache-2.0"),
+        ("Not released under the MIT License.", None), ("This is no longer released under the MIT License.", None),
+        ("This work isn't licensed under the GNU General Public License, version 3.", None), ("Released under the MIT License", "mit"),
+        (PERMISSION + ".", "mit-0"), (PERMISSION + ", subject to the following conditions:", "mit"), ("Released under the MIT-0 License", "mit-0"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "0bsd"),
+        ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "isc"),
+        ("3. All advertising materials mentioning features or use of this software must display the following acknowledgement:\n\n4. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "bsd-4-clause"),
+        ("Licensed under CC BY-NC-SA 4.0", "cc-by-nc-sa-4.0"), ("Licensed under CC BY 4.0", "cc-by-4.0"), ("Licensed under CC BY 3.0", None),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1", None),
+        ("", None), (None, None),
+    ]
+    rows = [(i, f"p{i}/x.c", text) for i, (text, _) in enumerate(cases)] + [(1000 + i, f"n/{i}", f"plain words of file {i}") for i in range(30)]
+    rows.append((99, "both/x.c", "Licensed under the Apache License, Version 2.0\nReleased under the MIT License"))
+    got = {r.file_id: r for r in license_scan(spark.createDataFrame(rows, "file_id long, path string, text string")).collect()}
+    assert [(text, got[i].own_license) for i, (text, _) in enumerate(cases)] == cases
+    assert (got[99].own_license, got[99].other_licenses) == ("apache-2.0", "mit")
+
+
+COMMON = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.isdir(COMMON), reason="no whole licences")
+def test_whole_long_licences(spark):
+    """Whole texts of long licences, given as templates, are known without their heads."""
+    files = {"apache-2.0": "Apache-2.0", "gpl-2.0": "GPL-2", "gpl-3.0": "GPL-3", "lgpl-2.1": "LGPL-2.1", "mpl-2.0": "MPL-2.0"}
+    texts = {}
+    for name, file in files.items():
+        with open(f"{COMMON}/{file}") as f:
+            texts[name] = f.read()
+    rows = [(i, f"p{i}/LICENSE", "\n".join(t.split("\n")[8:-40])) for i, t in enumerate(texts.values())] + [(9, "q/LICENSE", "some other words")]
+    got = {r.file_id: r.own_license for r in license_scan(spark.createDataFrame(rows, "file_id long, path string, text string"), texts={n: [t] for n, t in texts.items()}).collect()}
+    assert got == {**dict(enumerate(texts)), 9: None}
+
+
 def labelled(n=400):
     rng = random.Random(8)
     words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
