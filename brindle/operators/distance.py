@@ -33,8 +33,9 @@ def envelope(heights: np.ndarray, places: np.ndarray, asked: np.ndarray) -> np.n
     return (asked - np.array(places)[low]) ** 2 + np.array(heights)[low]
 
 
-def _lines(group: bool):
-    """Columns of an image in order; ``group``: a line is cut where region_id changes, and what lies beyond counts as outside."""
+def _lines(group: bool, rim: bool = True):
+    """Columns of an image in order; ``group``: a line is cut where region_id changes, and what lies beyond counts as outside, beyond the raster only with ``rim``."""
+    beyond = 0.0 if rim else np.inf
 
     def one(p: pd.DataFrame) -> pd.DataFrame:
         y, h = p.y.to_numpy(np.float64), p.across.to_numpy(np.float64) ** 2
@@ -42,7 +43,7 @@ def _lines(group: bool):
             return p.assign(square=envelope(h, y, y))
         cuts = np.flatnonzero(np.diff(p.region_id.to_numpy())) + 1
         parts = zip([0, *cuts.tolist()], [*cuts.tolist(), len(y)], strict=True)
-        return p.assign(square=np.concatenate([envelope(np.concatenate([[0.0], h[a:b], [0.0]]), np.concatenate([[y[a] - 1], y[a:b], [y[b - 1] + 1]]), y[a:b]) for a, b in parts]))
+        return p.assign(square=np.concatenate([envelope(np.concatenate([[0.0 if a else beyond], h[a:b], [0.0 if b < len(y) else beyond]]), np.concatenate([[y[a] - 1], y[a:b], [y[b - 1] + 1]]), y[a:b]) for a, b in parts]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -59,9 +60,9 @@ def _lines(group: bool):
     return run
 
 
-def _down_columns(rows: DataFrame, group: bool, name: str) -> DataFrame:
+def _down_columns(rows: DataFrame, group: bool, name: str, rim: bool = True) -> DataFrame:
     lines = rows.repartition("image_id", "x").sortWithinPartitions("image_id", "x", "y")
-    return lines.mapInPandas(_lines(group), f"image_id string, y long, x long, {'region_id long, ' if group else ''}across double, square double").drop("across").withColumnRenamed("square", name)
+    return lines.mapInPandas(_lines(group, rim), f"image_id string, y long, x long, {'region_id long, ' if group else ''}across double, square double").drop("across").withColumnRenamed("square", name)
 
 
 def squared_to(pixels: DataFrame, seed: Column, name: str) -> DataFrame:
@@ -74,14 +75,14 @@ def squared_to(pixels: DataFrame, seed: Column, name: str) -> DataFrame:
     return _down_columns(pixels.select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), across.alias("across")), False, name)
 
 
-def squared_room(pixels: DataFrame, name: str = "room") -> DataFrame:
-    """(image_id, y, x, region_id, name): the squared distance of each pixel to the nearest one outside its region; the raster's outside is outside."""
+def squared_room(pixels: DataFrame, name: str = "room", rim: bool = True) -> DataFrame:
+    """(image_id, y, x, region_id, name): the squared distance of each pixel to the nearest one outside its region; the raster's outside is outside only with ``rim``, else a region that fills its image has infinite room."""
     row = raster.along_row()
-    differs = lambda f: F.coalesce(f("region_id").over(row) != F.col("region_id"), F.lit(True))
+    differs = lambda f: F.coalesce(f("region_id").over(row) != F.col("region_id"), F.lit(rim))
     start = F.max(F.when(differs(F.lag), F.col("x"))).over(row.rowsBetween(Window.unboundedPreceding, 0))
     end = F.min(F.when(differs(F.lead), F.col("x"))).over(row.rowsBetween(0, Window.unboundedFollowing))
-    across = F.least(F.col("x") - start, end - F.col("x")).cast("double") + 1
-    return _down_columns(pixels.select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("region_id").cast("long").alias("region_id"), across.alias("across")), True, name)
+    across = F.coalesce(F.least(F.col("x") - start, end - F.col("x")).cast("double") + 1, F.lit(float("inf")))
+    return _down_columns(pixels.select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("region_id").cast("long").alias("region_id"), across.alias("across")), True, name, rim)
 
 
 def feathered(pixels: DataFrame, mask: str, transition: float) -> DataFrame:

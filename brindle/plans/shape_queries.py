@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.operators import alignment, distance, graph, merging, paints, raster, segmentation
+from brindle.operators import alignment, distance, graph, merging, paints, quality, raster, segmentation
 from brindle.plans.raster_queries import GRID, _edges, grid
 from brindle.sources.tables import table
 
@@ -77,9 +77,32 @@ def consolidated_paints(spark: SparkSession, d: str) -> DataFrame:
     return paints.consolidated(p).select("image_id", "cluster_id", "color_id")
 
 
+def _coloured(spark: SparkSession, d: str) -> DataFrame:
+    return grid(spark, d).select("image_id", "y", "x", (50 + 60 * F.col("v")).alias("l"), (20 * F.col("v")).alias("a"), (-10 * F.col("v")).alias("b"))
+
+
+def superpixel_assignment(spark: SparkSession, d: str) -> DataFrame:
+    """One round: pixels that go to the centre of each cell."""
+    placed = quality.cells(_coloured(spark, d), 225)
+    own = quality.assigned(placed, quality.first_centres(placed))
+    return own.groupBy(F.col("home.cy").alias("cell_y"), F.col("home.cx").alias("cell_x")).agg(F.count("*").alias("pixels"), F.round(F.avg("l"), 6).alias("light"), F.round(F.max("colour"), 4).alias("met"))
+
+
+def source_report(spark: SparkSession, d: str) -> DataFrame:
+    """The raster's fitness for painting with 12 colours, a pixel as one millimetre."""
+    q = quality.source_quality(_coloured(spark, d), 12, 1.0, 225, 4)
+    return q.select("status", "codes", F.round("mean_loss", 4).alias("mean_loss"), F.round("p90_loss", 4).alias("p90_loss"), "regions", F.round("micro_percent", 4).alias("micro_percent"))
+
+
 SQL: dict[str, str] = {
+    "superpixel_assignment": f"""WITH g AS (SELECT y, x, 50 + 60 * v AS l, 20 * v AS a, -10 * v AS b FROM {GRID}), s AS (SELECT greatest(sqrt((max(y) + 1) * (max(x) + 1) / 225.0::DOUBLE), 1) AS step FROM g),
+ p AS (SELECT g.*, step, floor(y / step)::BIGINT AS cy, floor(x / step)::BIGINT AS cx FROM g, s), c AS (SELECT cy, cx, avg(l) AS l, avg(a) AS a, avg(b) AS b, avg(y) AS y, avg(x) AS x FROM p GROUP BY cy, cx),
+ o AS (SELECT cy + i AS ny, cx + j AS nx, c.* FROM c, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)),
+ f AS (SELECT p.y, p.x, p.l, o.cy, o.cx, pow(p.l - o.l, 2) + pow(p.a - o.a, 2) + pow(p.b - o.b, 2) AS colour, (pow(p.y - o.y, 2) + pow(p.x - o.x, 2)) / (step * step) AS place FROM p JOIN o ON ny = p.cy AND nx = p.cx),
+ n AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY y, x ORDER BY colour / 100 + place, cy, cx) = 1)
+ SELECT cy AS cell_y, cx AS cell_x, count(*) AS pixels, round(avg(l), 6) AS light, round(max(colour), 4) AS met FROM n GROUP BY cy, cx""",
     "distance_to_high": f"WITH g AS (SELECT * FROM {GRID}), s AS (SELECT y AS sy, x AS sx FROM g WHERE v > 0.4) SELECT y, x, min((y - sy) * (y - sy) + (x - sx) * (x - sx))::BIGINT AS square FROM g, s GROUP BY y, x",
     "feathered_mask": f"WITH g AS (SELECT * FROM {GRID}), s AS (SELECT y AS sy, x AS sx FROM g WHERE v > 0.4), w AS (SELECT y, x, min((y - sy) * (y - sy) + (x - sx) * (x - sx)) AS d FROM g LEFT JOIN s ON abs(y - sy) <= 4 AND abs(x - sx) <= 4 GROUP BY y, x), f AS (SELECT y, greatest(0, 1 - sqrt(coalesce(d, 1000)) / 4) AS w FROM w) SELECT y, round(sum(w), 6) AS weight, count(*) FILTER (w > 0) AS covered FROM f GROUP BY y",
 }
-ROWS_ONLY = ("source_segments", "flooded_markers", "aligned_boundaries", "label_pockets", "label_numbering", "resolved_paints", "consolidated_paints")
+ROWS_ONLY = ("source_segments", "flooded_markers", "aligned_boundaries", "label_pockets", "label_numbering", "resolved_paints", "consolidated_paints", "source_report")
 QUERIES = {name: globals()[name] for name in (*SQL, *ROWS_ONLY)}
