@@ -6,7 +6,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.operators import raster
@@ -15,14 +15,9 @@ from brindle.operators import raster
 BAND = 256
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The rows of df, written once below spark.checkpoint.dir and read from there.
-
-    A table that is read again has neither lineage nor constraints of earlier rounds; these a checkpoint keeps, and
-    planning gets slower with each. Where a session names no folder, only a master on one machine gets one, in the
-    warehouse.
-    """
-    spark, context = df.sparkSession, df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where a session names none, only a master on one machine gets one, in the warehouse."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         path = context.getConf().get("spark.checkpoint.dir")
         if not path:
@@ -30,7 +25,17 @@ def saved(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             path = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
         context.setCheckpointDir(path)
-    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    return context.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The rows of df, written once below spark.checkpoint.dir and read from there.
+
+    A table that is read again has neither lineage nor constraints of earlier rounds; these a checkpoint keeps, and
+    planning gets slower with each.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -5,11 +5,14 @@ They read the table embeddings as one raster, as raster_queries does.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.operators import alignment, distance, graph, merging, paints, quality, raster, segmentation
 from brindle.plans.raster_queries import GRID, _edges, grid
+from brindle.sources.arrays import read_arrays, write_arrays
 from brindle.sources.tables import table
 
 
@@ -94,7 +97,16 @@ def source_report(spark: SparkSession, d: str) -> DataFrame:
     return q.select("status", "codes", F.round("mean_loss", 4).alias("mean_loss"), F.round("p90_loss", 4).alias("p90_loss"), "regions", F.round("micro_percent", 4).alias("micro_percent"))
 
 
+def array_files(spark: SparkSession, d: str) -> DataFrame:
+    """Regions of the raster after it was written to array files and read again."""
+    path = f"{graph.shared_folder(spark)}/arrays-{uuid.uuid4().hex}"
+    write_arrays(grid(spark, d), path, "region_id")
+    back = read_arrays(spark, path)
+    return back.groupBy(F.col("value").alias("region_id")).agg(F.count("*").alias("pixels"), F.sum("y").alias("sum_y"), F.sum("x").alias("sum_x"))
+
+
 SQL: dict[str, str] = {
+    "array_files": f"SELECT region_id, count(*) AS pixels, sum(y)::BIGINT AS sum_y, sum(x)::BIGINT AS sum_x FROM {GRID} GROUP BY region_id",
     "superpixel_assignment": f"""WITH g AS (SELECT y, x, 50 + 60 * v AS l, 20 * v AS a, -10 * v AS b FROM {GRID}), s AS (SELECT greatest(sqrt((max(y) + 1) * (max(x) + 1) / 225.0::DOUBLE), 1) AS step FROM g),
  p AS (SELECT g.*, step, floor(y / step)::BIGINT AS cy, floor(x / step)::BIGINT AS cx FROM g, s), c AS (SELECT cy, cx, avg(l) AS l, avg(a) AS a, avg(b) AS b, avg(y) AS y, avg(x) AS x FROM p GROUP BY cy, cx),
  o AS (SELECT cy + i AS ny, cx + j AS nx, c.* FROM c, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)),
