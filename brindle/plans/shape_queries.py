@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.operators import alignment, distance, graph, merging, paints, quality, raster, segmentation
+from brindle.operators import alignment, distance, graph, lines, merging, paints, quality, raster, segmentation
 from brindle.plans.raster_queries import GRID, _edges, grid
 from brindle.sources.arrays import read_arrays, write_arrays
 from brindle.sources.tables import table
@@ -105,7 +105,34 @@ def array_files(spark: SparkSession, d: str) -> DataFrame:
     return back.groupBy(F.col("value").alias("region_id")).agg(F.count("*").alias("pixels"), F.sum("y").alias("sum_y"), F.sum("x").alias("sum_x"))
 
 
+def _outlines(spark: SparkSession, d: str) -> DataFrame:
+    return lines.boundary_lines(grid(spark, d).withColumn("region_id", (F.col("v") > 0.2).cast("long")))
+
+
+def boundary_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines around the places of high value: first two corners, vertices, and a sum that depends on their order."""
+    corner = lambda i: F.min_by(F.when(F.col("at") == i, F.struct("y", "x")), F.when(F.col("at") == i, 0))
+    n = _outlines(spark, d).groupBy("line", "closed").agg(corner(0).alias("s"), corner(1).alias("n"), F.count("*").alias("vertices"), F.sum((F.col("at") + 1) * (31 * F.col("y") + F.col("x"))).alias("mark"))
+    return n.select("closed", F.col("s.y").alias("start_y"), F.col("s.x").alias("start_x"), F.col("n.y").alias("next_y"), F.col("n.x").alias("next_x"), "vertices", "mark")
+
+
+def simplified_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The same lines within a tolerance of 0.8 pixels."""
+    kept = lines.simplified(_outlines(spark, d), 0.8)
+    return kept.groupBy("line", "closed").agg(F.count("*").alias("vertices"), F.sum((F.col("at") + 1) * (31 * F.col("y") + F.col("x"))).alias("mark"))
+
+
 SQL: dict[str, str] = {
+    "boundary_lines": f"""WITH RECURSIVE g AS MATERIALIZED (SELECT y, x, v > 0.2 AS k, lead(v > 0.2) OVER (PARTITION BY y ORDER BY x) AS k_right, lead(v > 0.2) OVER (PARTITION BY x ORDER BY y) AS k_down FROM {GRID}),
+ s AS MATERIALIZED (SELECT y, x + 1 AS x, y + 1 AS b, x + 1 AS a FROM g WHERE k <> k_right UNION ALL SELECT y + 1, x, y + 1, x + 1 FROM g WHERE k <> k_down),
+ d AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY y, x) AS n FROM (FROM s UNION ALL SELECT b, a, y, x FROM s)),
+ e AS MATERIALIZED (SELECT DISTINCT d.*, t.n AS m FROM d JOIN d t ON t.y = d.b AND t.x = d.a),
+ w AS (SELECT y AS sy, x AS sx, b AS ny, a AS nx, y AS py, x AS px, b AS y, a AS x, m, 1 AS k, 31 * y + x AS mark, n = 2 AS ring FROM e WHERE n <> 2 OR (b = y AND a > x AND EXISTS (FROM e f WHERE f.y = e.y AND f.x = e.x AND f.b > e.y))
+  UNION ALL SELECT sy, sx, ny, nx, w.y, w.x, e.b, e.a, e.m, k + 1, mark + (k + 1) * (31 * w.y + w.x), ring FROM w JOIN e ON e.y = w.y AND e.x = w.x AND (e.b <> w.py OR e.a <> w.px)
+  WHERE w.m = 2 AND (w.y <> sy OR w.x <> sx) AND (NOT ring OR (w.y, w.x) > (sy, sx))),
+ f AS (SELECT *, y = sy AND x = sx AS closed FROM w WHERE CASE WHEN ring THEN y = sy AND x = sx ELSE m <> 2 OR (y = sy AND x = sx) END)
+ SELECT closed, sy AS start_y, sx AS start_x, ny AS next_y, nx AS next_x, CASE WHEN closed THEN k ELSE k + 1 END AS vertices, (CASE WHEN closed THEN mark ELSE mark + (k + 1) * (31 * y + x) END)::BIGINT AS mark FROM f
+ WHERE ring OR (sy, sx, ny, nx) < (y, x, py, px)""",
     "array_files": f"SELECT region_id, count(*) AS pixels, sum(y)::BIGINT AS sum_y, sum(x)::BIGINT AS sum_x FROM {GRID} GROUP BY region_id",
     "superpixel_assignment": f"""WITH g AS (SELECT y, x, 50 + 60 * v AS l, 20 * v AS a, -10 * v AS b FROM {GRID}), s AS (SELECT greatest(sqrt((max(y) + 1) * (max(x) + 1) / 225.0::DOUBLE), 1) AS step FROM g),
  p AS (SELECT g.*, step, floor(y / step)::BIGINT AS cy, floor(x / step)::BIGINT AS cx FROM g, s), c AS (SELECT cy, cx, avg(l) AS l, avg(a) AS a, avg(b) AS b, avg(y) AS y, avg(x) AS x FROM p GROUP BY cy, cx),
@@ -116,5 +143,5 @@ SQL: dict[str, str] = {
     "distance_to_high": f"WITH g AS (SELECT * FROM {GRID}), s AS (SELECT y AS sy, x AS sx FROM g WHERE v > 0.4) SELECT y, x, min((y - sy) * (y - sy) + (x - sx) * (x - sx))::BIGINT AS square FROM g, s GROUP BY y, x",
     "feathered_mask": f"WITH g AS (SELECT * FROM {GRID}), s AS (SELECT y AS sy, x AS sx FROM g WHERE v > 0.4), w AS (SELECT y, x, min((y - sy) * (y - sy) + (x - sx) * (x - sx)) AS d FROM g LEFT JOIN s ON abs(y - sy) <= 4 AND abs(x - sx) <= 4 GROUP BY y, x), f AS (SELECT y, greatest(0, 1 - sqrt(coalesce(d, 1000)) / 4) AS w FROM w) SELECT y, round(sum(w), 6) AS weight, count(*) FILTER (w > 0) AS covered FROM f GROUP BY y",
 }
-ROWS_ONLY = ("source_segments", "flooded_markers", "aligned_boundaries", "label_pockets", "label_numbering", "resolved_paints", "consolidated_paints", "source_report")
+ROWS_ONLY = ("simplified_lines", "source_segments", "flooded_markers", "aligned_boundaries", "label_pockets", "label_numbering", "resolved_paints", "consolidated_paints", "source_report")
 QUERIES = {name: globals()[name] for name in (*SQL, *ROWS_ONLY)}
