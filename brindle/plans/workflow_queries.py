@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.operators import raster, search, validation
+from brindle.operators import graph, raster, search, validation
 from brindle.plans.raster_queries import BORDERS, GRID, grid
 from brindle.plans.state_queries import EVENTS
 from brindle.sources.tables import project_events, table
-from brindle.streaming import jobs
+from brindle.streaming import jobs, machine
 
 
 def _report(spark: SparkSession, d: str) -> DataFrame:
@@ -78,6 +80,23 @@ def stream_latest_state(spark: SparkSession, d: str) -> DataFrame:
     return jobs.latest_state(project_events(spark, d))
 
 
+# What the kinds of events stand for as signs of a job.
+SIGNS = {"signup": "submitted", "view": "started", "click": "progress", "purchase": "succeeded", "error": "failed"}
+
+
+def job_steps(spark: SparkSession, d: str) -> DataFrame:
+    """The table of events as a stream through the job machine: a worker that is silent for six hours is lost, a job is tried twice."""
+    own = machine.stateful_session(spark)
+    own.conf.set("spark.sql.session.timeZone", "UTC")  # for times without a zone
+    e = own.readStream.schema(table(own, d, "events").schema).parquet(f"{d}/events.parque[t]")  # a pattern, since the table may be one file
+    kind = F.coalesce(*(F.when(F.col("event_type") == k, F.lit(v)) for k, v in SIGNS.items()))
+    signs = e.select(F.col("user_id").alias("project_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("type"), "value", F.lit("broken").alias("message"))
+    folder = f"{graph.shared_folder(spark)}/steps-{uuid.uuid4().hex}"
+    run = machine.written(machine.job_steps(signs, deadline=21600, keep=86400, max_retries=1), f"{folder}/rows", f"{folder}/progress")
+    run.awaitTermination()
+    return spark.read.schema("project_id long, seq long, at timestamp, status string, attempts int, progress int, error string").parquet(f"{folder}/rows").withColumn("at", F.unix_micros("at"))
+
+
 ORDER_SQL = "['easy', 'medium', 'hard']"
 TARGET_SQL = ", ".join(f"('{k}', {i + 1}, {n})" for k, v in search.TARGETS.items() for i, n in enumerate(v))
 REGIONS = f"(SELECT region_id, count(*) AS area, 2 * count(*) / greatest(4 * count(*) - 2 * coalesce(any_value(n), 0), 1) AS thickness, region_id % 4 + 1 AS components FROM {GRID} LEFT JOIN (SELECT l AS region_id, count(*) AS n FROM (SELECT region_id AS l, lead(region_id) OVER (PARTITION BY y ORDER BY x) AS r FROM {GRID} UNION ALL SELECT region_id, lead(region_id) OVER (PARTITION BY x ORDER BY y) FROM {GRID}) WHERE l = r GROUP BY 1) USING (region_id) GROUP BY region_id)"
@@ -98,7 +117,22 @@ ONE = lambda d: f"(SELECT key, attempt, regions, loss, recall, retention FROM {C
 FOLLOWS = lambda a, b, more="": f"({a}.attempt IS NULL OR {b}.attempt IS NULL OR ({b}.regions * 10 >= {a}.regions * 11 AND {b}.loss <= {a}.loss + 0.25::DOUBLE + 1e-9 AND {b}.retention + 1e-9 >= {a}.retention{more}))"
 SCORE = lambda x, budget: f"coalesce(CASE WHEN {x}.regions <= {budget} THEN {x}.regions ELSE {2 * budget} - {x}.regions END, -10000)"
 
+STEPS_SQL = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id AS p, event_id AS seq, epoch_us(ts) AS t, CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SIGNS.items())} END AS kind, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE user_id IS NOT NULL AND event_id IS NOT NULL AND ts IS NOT NULL),
+ s AS (SELECT DISTINCT p, 0::BIGINT AS k, -1::BIGINT AS seq, 0::BIGINT AS t, 'none' AS status, 0 AS attempts, 0 AS progress, NULL::VARCHAR AS error, FALSE AS new, FALSE AS lost, -1::BIGINT AS seq0, 0::BIGINT AS t0, 'none' AS status0, 0 AS attempts0 FROM e
+  UNION ALL SELECT p, k, seq, t, CASE act WHEN 'submitted' THEN 'waiting' WHEN 'started' THEN 'running' WHEN 'succeeded' THEN 'ready' WHEN 'failed' THEN if(attempts0 < 1, 'waiting', 'failed') ELSE status0 END,
+  CASE act WHEN 'submitted' THEN 0 WHEN 'failed' THEN least(attempts0 + 1, 1) ELSE attempts0 END, CASE act WHEN 'progress' THEN coalesce(greatest(0, least(100, trunc(value)::INT)), progress) WHEN 'succeeded' THEN 100 WHEN 'none' THEN if(lost, 0, progress) ELSE 0 END,
+  CASE act WHEN 'failed' THEN 'broken' WHEN 'none' THEN if(lost, '{machine.LOST}', error) END, act <> 'none', lost, seq0, t0, status0, attempts0
+  FROM (SELECT *, CASE WHEN kind = 'submitted' OR (kind = 'started' AND status0 = 'waiting') OR (kind IN ('progress', 'succeeded', 'failed') AND status0 = 'running') THEN kind ELSE 'none' END AS act
+   FROM (SELECT e.*, s.progress, s.error, s.seq AS seq0, s.t AS t0, s.status = 'running' AND e.t > s.t + 21600000000 AS lost,
+    CASE WHEN s.status = 'running' AND e.t > s.t + 21600000000 THEN if(s.attempts < 1, 'waiting', 'failed') ELSE s.status END AS status0, CASE WHEN s.status = 'running' AND e.t > s.t + 21600000000 THEN least(s.attempts + 1, 1) ELSE s.attempts END AS attempts0
+    FROM s JOIN e ON e.p = s.p AND e.k = s.k + 1))),
+ z AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY p ORDER BY k DESC) = 1)
+ SELECT p AS project_id, seq, t AS at, status, attempts, progress, error FROM s WHERE new
+ UNION ALL SELECT p, seq0, t0 + 21600000000, status0, attempts0, 0, '{machine.LOST}' FROM s WHERE lost
+ UNION ALL SELECT p, seq, t + 21600000000, if(attempts < 1, 'waiting', 'failed'), least(attempts + 1, 1), 0, '{machine.LOST}' FROM z WHERE status = 'running' AND t + 21600001000 <= (SELECT max(t) FROM e) - 600000000"""
+
 SQL = {
+    "job_steps": STEPS_SQL,
     "validation_issues": ISSUES,
     "validation_actions": f"SELECT ordinal, code, action FROM (VALUES {', '.join(f'({i}, {c!r}, {a!r})' for i, c, a in validation.ACTIONS)}) t(ordinal, code, action) WHERE code IN (SELECT code FROM ({ISSUES}))",
     "candidate_triplet_select": f"""SELECT key, e.attempt AS easy, m.attempt AS medium, h.attempt AS hard FROM {ONE('easy')} e JOIN {ONE('medium')} m USING (key) JOIN {ONE('hard')} h USING (key)
