@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,9 @@ ACTIONS = [
 ]
 
 
+Measure = float | int | DataFrame
+
+
 def issue(rows: DataFrame, code: str, message: str, region: Column | None = None) -> DataFrame:
     return rows.select(F.lit(code).alias("code"), F.lit("error").alias("severity"), F.lit(message).alias("message"), (F.lit(None) if region is None else region).cast("long").alias("region_id"))
 
@@ -67,21 +71,23 @@ LOSS, PROTECTED_RECALL, PROTECTED_MEAN, PROTECTED_P90 = 6.0, 0.9, 8.0, 15.0
 
 def further_rules(
     regions: DataFrame, assigned: DataFrame, palette: DataFrame, exempt: DataFrame, *, protected: DataFrame | None = None, prefilled: DataFrame | None = None, same_ids: bool = False, region_budget: int | None = None,
-    least_regions: int | None = None, placements: DataFrame | None = None, artificial: int | None = None, loss: float | None = None, protected_recall: float | None = None, protected_mean: float | None = None,
-    protected_p90: float | None = None, painted: tuple[DataFrame, DataFrame] | None = None, page_sizes: tuple[tuple[int, int], tuple[int, int]] | None = None,
+    least_regions: int | None = None, placements: DataFrame | None = None, artificial: Measure | None = None, loss: Measure | None = None, protected_recall: Measure | None = None, protected_mean: Measure | None = None,
+    protected_p90: Measure | None = None, painted: tuple[DataFrame, DataFrame] | None = None, page_sizes: tuple[tuple[int, int], tuple[int, int]] | None = None,
 ) -> list[DataFrame]:
     """Broken rules of the inputs that are given.
 
     protected(region_id), prefilled(region_id; exempt if not given), same_ids: the map and the paints have
     the same regions, placements(font_pt, height_mm), artificial: weak boundaries with exaggerated contrast,
     loss, protected_mean and protected_p90: CIEDE2000, painted: labels(y, x, region_id) and pixels(y, x, r, g, b),
-    page_sizes: of the template and of the page. Areas and widths of details are in mm.
+    page_sizes: of the template and of the page. Areas and widths of details are in mm. A measure is a number or
+    a table of one row and one column, as an aggregate gives it; null breaks no rule.
     """
     spark, id_, rules = regions.sparkSession, F.col("region_id"), []
     filled = exempt if prefilled is None else prefilled
 
-    def scalar(broken: bool, code: str, message: str) -> None:
-        rules.append(issue(spark.range(int(broken)), code, message))
+    def measured(value: Measure, broken: Callable[[Column], Column], code: str, message: str) -> None:
+        one = value if isinstance(value, DataFrame) else spark.range(1).select(F.lit(value).alias("value"))
+        rules.append(issue(one.toDF("value").where(broken(F.col("value"))), code, message))
 
     if protected is not None:
         rules.append(issue(filled.join(protected, "region_id", "left_anti").agg(F.count("*").alias("n")).where("n > 0"), "ordinary_region_prefilled", "a region that is not protected is filled"))
@@ -104,15 +110,15 @@ def further_rules(
         rules.append(issue(least.where((F.col("height") > 0) & (F.col("height") < LABEL_HEIGHT_MM - 1e-6)), "label_height_too_small", "a label is too low"))
         rules.append(issue(least.where((F.col("font") > 0) & (F.col("font") < LABEL_FONT_PT - 1e-6)), "label_font_too_small", "a label's font is too small"))
     if artificial is not None:
-        scalar(artificial > 0, "artificial_boundary", "a weak boundary has exaggerated contrast")
+        measured(artificial, lambda v: v > 0, "artificial_boundary", "a weak boundary has exaggerated contrast")
     if loss is not None:
-        scalar(loss > LOSS + 1e-6, "global_reconstruction_loss", "the picture has lost too much")
+        measured(loss, lambda v: v > LOSS + 1e-6, "global_reconstruction_loss", "the picture has lost too much")
     if protected_recall is not None:
-        scalar(protected_recall < PROTECTED_RECALL - 1e-6, "protected_boundary_loss", "protected boundaries are lost")
+        measured(protected_recall, lambda v: v < PROTECTED_RECALL - 1e-6, "protected_boundary_loss", "protected boundaries are lost")
     if protected_mean is not None:
-        scalar(protected_mean > PROTECTED_MEAN + 1e-6, "protected_colour_mean_loss", "protected colours are off in the mean")
+        measured(protected_mean, lambda v: v > PROTECTED_MEAN + 1e-6, "protected_colour_mean_loss", "protected colours are off in the mean")
     if protected_p90 is not None:
-        scalar(protected_p90 > PROTECTED_P90 + 1e-6, "protected_colour_p90_loss", "protected colours are off at the 90th percentile")
+        measured(protected_p90, lambda v: v > PROTECTED_P90 + 1e-6, "protected_colour_p90_loss", "protected colours are off at the 90th percentile")
     if painted is not None:
         labels, pixels = painted
         colours = assigned.join(palette, "color_id").select("region_id", *(F.col(c).alias(f"want_{c}") for c in "rgb"))
@@ -121,7 +127,7 @@ def further_rules(
         differing = want.join(pixels, ["y", "x"], "full").where(~same).agg(F.count("*").alias("n"))
         rules.append(issue(differing.where("n > 0"), "painted_reference_mismatch", "the painted picture differs from map and palette"))
     if page_sizes is not None:
-        scalar(tuple(page_sizes[0]) != tuple(page_sizes[1]), "page_size_mismatch", "the template has another size than the page")
+        measured(int(tuple(page_sizes[0]) != tuple(page_sizes[1])), lambda v: v > 0, "page_size_mismatch", "the template has another size than the page")
     return rules
 
 

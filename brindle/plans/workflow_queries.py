@@ -32,6 +32,26 @@ def validation_actions(spark: SparkSession, d: str) -> DataFrame:
     return validation.actions(_report(spark, d))
 
 
+def validation_further(spark: SparkSession, d: str) -> DataFrame:
+    """Rules with inputs of their own: details, budgets, labels, losses and the painted picture, all measured on the raster; paint 1 is painted once wrongly."""
+    g = grid(spark, d)
+    regions = raster.region_stats(g, "v").select("region_id", F.col("area") / 2000, F.col("thickness") * 0.8, F.lit(1).alias("components")).toDF("region_id", "area", "thickness", "components")
+    assigned = regions.select("region_id", (F.col("region_id") % 3).alias("color_id")).unionByName(regions.agg((F.max("region_id") + 1).alias("region_id")).withColumn("color_id", F.lit(1).cast("long")))
+    palette = spark.createDataFrame([(0, 10, 10, 10), (1, 40, 10, 10), (2, 7, 8, 9)], "color_id long, r int, g int, b int")
+    some = lambda rule: regions.where(rule).select("region_id")
+    edges = raster.borders(g, "v").groupBy("lo", "hi").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("v") - F.col("v_r"))).alias("contrast"))
+    off = g.withColumn("off", 120 * F.abs(F.col("v") - (F.col("region_id") - 9.5) / 8)).withColumn("guarded", F.col("region_id") % 3 == 0)
+    shown = F.when((F.col("region_id") % 3 == 1) & ~((F.col("y") == 0) & (F.col("x") == 0)), 40).when(F.col("region_id") % 3 == 2, 7).otherwise(10)
+    pixels = g.select("y", "x", shown.cast("int").alias("r"), F.when(F.col("region_id") % 3 == 2, 8).otherwise(10).alias("g"), F.when(F.col("region_id") % 3 == 2, 9).otherwise(10).alias("b"))
+    further = {
+        "protected": some("region_id % 3 = 0"), "prefilled": some("region_id % 4 < 2"), "same_ids": True, "region_budget": 5, "least_regions": 1000, "placements": regions.select((F.col("area") / 2).alias("height_mm"), F.col("area").alias("font_pt")),
+        "artificial": edges.agg(F.count_if((F.col("n") < 50) & (F.col("contrast") > 0.2))), "loss": off.agg(F.avg("off") + 3), "protected_recall": off.agg(F.avg((F.col("guarded") & (F.abs("v") > 0.1)).cast("int"))),
+        "protected_mean": off.where("guarded").agg(F.avg("off") + 6), "protected_p90": off.where("guarded").agg(F.percentile("off", F.lit(0.9)) + 10), "painted": (g, pixels), "page_sizes": ((64, 64), (64, 65)),
+    }
+    rows = validation.validate(regions, edges.select("lo", "hi"), assigned, palette, some("region_id = 10"), some("region_id < 0"), 0.0, 0.0, 9, 1.0, further)
+    return rows.where("code <> 'same_color_adjacency'")
+
+
 #: Region counts of candidates, with steps of just ten percent.
 STEPS = [50, 55, 100, 110, 330, 363, 399]
 
@@ -131,7 +151,31 @@ STEPS_SQL = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id AS p, event_id
  UNION ALL SELECT p, seq0, t0 + 21600000000, status0, attempts0, 0, '{machine.LOST}' FROM s WHERE lost
  UNION ALL SELECT p, seq, t + 21600000000, if(attempts < 1, 'waiting', 'failed'), least(attempts + 1, 1), 0, '{machine.LOST}' FROM z WHERE status = 'running' AND t + 21600001000 <= (SELECT max(t) FROM e) - 600000000"""
 
+FURTHER_SQL = f"""WITH g AS MATERIALIZED (SELECT * FROM {GRID}), r AS MATERIALIZED (SELECT region_id, area / 2000 AS area, thickness * 0.8 AS thickness FROM {REGIONS}),
+ o AS (SELECT v, region_id % 3 = 0 AS guarded, 120 * abs(v - (region_id - 9.5::DOUBLE) / 8) AS off FROM g), f AS (SELECT region_id % 3 = 0 AS protected, region_id % 4 < 2 AS prefilled, * FROM r),
+ b AS (SELECT count(*) AS n, avg(abs(v - v_r)) AS contrast FROM {BORDERS} GROUP BY lo, hi), m AS (SELECT avg(off) AS loss, avg((guarded AND abs(v) > 0.1)::INT) AS recall, avg(off) FILTER (guarded) AS mean, quantile_cont(off, 0.9) FILTER (guarded) AS p90 FROM o)
+ SELECT code, 'error' AS severity, message, region_id::BIGINT AS region_id FROM (
+ SELECT 'missing_region_record' AS code, 'paint of an unknown region' AS message, max(region_id) + 1 AS region_id FROM r
+ UNION ALL SELECT 'ordinary_region_prefilled', 'a region that is not protected is filled', NULL FROM f HAVING bool_or(prefilled AND NOT protected)
+ UNION ALL SELECT 'protected_detail_too_small', 'protected detail is too small', region_id FROM f WHERE protected AND area < 0.5 - 1e-6
+ UNION ALL SELECT 'protected_detail_too_thin', 'protected detail is too thin', region_id FROM f WHERE protected AND thickness < 0.5 - 1e-6
+ UNION ALL SELECT 'prefilled_detail_too_small', 'prefilled detail is too small', region_id FROM f WHERE prefilled AND area < 0.5 - 1e-6
+ UNION ALL SELECT 'prefilled_detail_too_thin', 'prefilled detail is too thin', region_id FROM f WHERE prefilled AND thickness < 0.5 - 1e-6
+ UNION ALL SELECT 'region_mapping_mismatch', 'map and paints have different regions', NULL
+ UNION ALL SELECT 'protected_budget_exceeded', 'too many regions', NULL FROM r HAVING count(*) > 6
+ UNION ALL SELECT 'region_count_below_difficulty', 'too few regions', NULL FROM r HAVING count(*) < 1000
+ UNION ALL SELECT 'label_height_too_small', 'a label is too low', NULL FROM f HAVING min(area / 2) < 1 - 1e-6 AND bool_or(NOT prefilled)
+ UNION ALL SELECT 'label_font_too_small', 'a label''s font is too small', NULL FROM f HAVING min(area) < 72 / 25.4::DOUBLE - 1e-6 AND bool_or(NOT prefilled)
+ UNION ALL SELECT 'artificial_boundary', 'a weak boundary has exaggerated contrast', NULL FROM b HAVING bool_or(n < 50 AND contrast > 0.2)
+ UNION ALL SELECT 'global_reconstruction_loss', 'the picture has lost too much', NULL FROM m WHERE loss + 3 > 6 + 1e-6
+ UNION ALL SELECT 'protected_boundary_loss', 'protected boundaries are lost', NULL FROM m WHERE recall < 0.9 - 1e-6
+ UNION ALL SELECT 'protected_colour_mean_loss', 'protected colours are off in the mean', NULL FROM m WHERE mean + 6 > 8 + 1e-6
+ UNION ALL SELECT 'protected_colour_p90_loss', 'protected colours are off at the 90th percentile', NULL FROM m WHERE p90 + 10 > 15 + 1e-6
+ UNION ALL SELECT 'painted_reference_mismatch', 'the painted picture differs from map and palette', NULL FROM g HAVING bool_or(y = 0 AND x = 0 AND region_id % 3 = 1)
+ UNION ALL SELECT 'page_size_mismatch', 'the template has another size than the page', NULL)"""
+
 SQL = {
+    "validation_further": FURTHER_SQL,
     "job_steps": STEPS_SQL,
     "validation_issues": ISSUES,
     "validation_actions": f"SELECT ordinal, code, action FROM (VALUES {', '.join(f'({i}, {c!r}, {a!r})' for i, c, a in validation.ACTIONS)}) t(ordinal, code, action) WHERE code IN (SELECT code FROM ({ISSUES}))",
