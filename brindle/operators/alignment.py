@@ -12,17 +12,20 @@ from brindle.functions.colour import difference
 from brindle.operators import distance, graph, raster, tiles
 from brindle.operators.tiles import SIDE, Tile, each_tile
 
+#: From this share of pixels below the lowest marker on, their components are looked for first.
+WIDE = 0.25
 FOUR = ((-1, 0), (0, -1), (0, 1), (1, 0))
 AROUND = ((-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1))
 
 
 def _flooded(tile: Tile) -> dict[str, np.ndarray]:
-    """Floods a tile from its markers and from what its rim has reached so far."""
-    v, marker, label = tile.grid("v", np.inf, float), tile.grid("marker", 0, np.int64), tile.grid("label", 0, np.int64)
+    """Floods a tile from what is held and from what its rim has reached so far. changed: the pixel is new and lies beside another tile's pixel that is not held."""
+    v, held, label = tile.grid("v", np.inf, float), tile.grid("held", True, bool), tile.grid("label", 0, np.int64)
     level, steps = tile.grid("level", np.inf, float), tile.grid("steps", 0, np.int64)
     before = (label.copy(), level.copy(), steps.copy())
-    free = tile.own & (marker == 0)
-    heap = [(level[p], int(steps[p]), int(label[p]), *p) for p in zip(*(x.tolist() for x in np.nonzero((label != 0) & ~free)), strict=True)]
+    beside = lambda mask: np.logical_or.reduce([np.roll(mask, d, (0, 1)) for d in FOUR])
+    free = tile.own & ~held
+    heap = [(level[p], int(steps[p]), int(label[p]), *p) for p in zip(*(x.tolist() for x in np.nonzero((label != 0) & ~free & beside(free))), strict=True)]
     label[free], level[free], steps[free] = 0, np.inf, 0
     open_ = free.copy()
     heapq.heapify(heap)
@@ -38,7 +41,24 @@ def _flooded(tile: Tile) -> dict[str, np.ndarray]:
             if 0 <= p[0] < tile.shape[0] and 0 <= p[1] < tile.shape[1] and open_[p]:
                 heapq.heappush(heap, (v[p], 0, name, *p) if v[p] > c else (c, h + 1, name, *p))
     changed = (label != before[0]) | (level != before[1]) | (steps != before[2])
-    return {"label": label, "level": level, "steps": steps, "changed": changed}
+    return {"label": label, "level": level, "steps": steps, "changed": changed & beside(tile.here & ~tile.own & ~held)}
+
+
+def _lowest_level(pixels: DataFrame) -> DataFrame:
+    """pixels with label and level where the lowest level of an image's markers gives them: (..., name, lowest).
+
+    Pixels up to that level that are connected with a marker at it are taken at it, and by that marker if it is the only
+    one there. This takes any distance in one step; else name is null.
+    """
+    low = graph.saved(pixels.groupBy("image_id").agg(F.min(F.when(F.col("marker") != 0, F.col("v"))).alias("lowest")))
+    under = pixels.join(F.broadcast(low), "image_id").withColumn("under", F.coalesce(F.col("v") <= F.col("lowest"), F.lit(False)))  # a row for each image
+    share = under.agg(F.avg(F.col("under").cast("int")).alias("s")).first().s
+    if not share or share < WIDE:
+        return pixels.withColumns({"name": F.lit(None).cast("long"), "lowest": F.lit(None).cast("double")})
+    parts = graph.saved(graph.pixel_components(under.withColumn("region_id", F.col("under").cast("long"))))
+    marked = parts.where("under AND marker <> 0").groupBy("image_id", "component").agg(F.min("marker").alias("name"), F.max("marker").alias("most"))
+    one = graph.saved(marked.where("name = most").select("image_id", "component", "name", F.lit(1).cast("long").alias("region_id")))
+    return parts.join(one, ["image_id", "component", "region_id"], "left").select(*pixels.columns, "name", "lowest")
 
 
 def flooded(pixels: DataFrame, side: int = SIDE) -> DataFrame:
@@ -46,17 +66,23 @@ def flooded(pixels: DataFrame, side: int = SIDE) -> DataFrame:
 
     Water rises from all markers (marker 0: none) at once. A pixel is taken at the lowest level that reaches it, the
     largest v on the way; at one level after the fewest steps since that level was reached, then by the smaller
-    marker. Labels spread over the four neighbours. Tiles flood by themselves, and again while their rims
-    change; the result is that of one flood over the whole image. Pixels that no marker reaches have label 0.
+    marker. Labels spread over the four neighbours. What the lowest level of an image's markers takes is known from
+    components, where that is much of the raster. Tiles flood the rest by themselves, and those again whose rims have
+    changed; the result is that of one flood over the whole image. Pixels that no marker reaches have label 0.
     """
-    schema = "image_id string, y long, x long, v double, marker long, label long, level double, steps long, changed boolean"
+    schema = "image_id string, y long, x long, v double, marker long, held boolean, label long, level double, steps long, changed boolean"
     first = pixels.select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("v").cast("double").alias("v"), F.col("marker").cast("long").alias("marker"))
     taken = F.col("marker") != 0
-    state = first.select("*", F.col("marker").alias("label"), F.when(taken, F.col("v")).otherwise(F.lit(float("inf"))).alias("level"), F.lit(0).cast("long").alias("steps"))
+    level = F.when(taken, F.col("v")).otherwise(F.coalesce("lowest", F.lit(float("inf"))))
+    known = _lowest_level(first).select(*first.columns, (taken | F.col("name").isNotNull()).alias("held"), F.when(taken, F.col("marker")).otherwise(F.coalesce("name", F.lit(0))).alias("label"), F.when(taken | F.col("name").isNotNull(), level).otherwise(F.lit(float("inf"))).alias("level"), F.lit(0).cast("long").alias("steps"))
+    base = graph.saved(each_tile(known, side, schema, _flooded))
+    later, new = None, base
     while True:
-        state = graph.saved(each_tile(state, side, schema, _flooded))
-        if state.where("changed").isEmpty():
-            return state.select("image_id", "y", "x", "v", "marker", "label")
+        only = graph.saved(tiles.dealt(new.where("changed"), side).where("NOT own").select("image_id", "ty", "tx").distinct())
+        if only.isEmpty():
+            return tiles.overlaid(base, later, side).select("image_id", "y", "x", "v", "marker", "label")
+        new = graph.saved(each_tile(tiles.overlaid(base, later, side), side, schema, _flooded, only=only))
+        later = new if later is None else graph.saved(tiles.overlaid(later, new, side))
 
 
 def _parts(cells: list[tuple[int, int]], diagonal: bool) -> list[set[tuple[int, int]]]:

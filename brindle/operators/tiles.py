@@ -23,6 +23,14 @@ def dealt(pixels: DataFrame, side: int) -> DataFrame:
     return rows.withColumn("own", (F.floor(F.col("y") / side) == F.col("ty")) & (F.floor(F.col("x") / side) == F.col("tx")))
 
 
+def overlaid(base: DataFrame, later: DataFrame | None, side: int) -> DataFrame:
+    """base with the tiles that ``later`` has in place of its own."""
+    if later is None:
+        return base
+    again = placed(later, side).select("image_id", "ty", "tx").distinct()
+    return placed(base, side).join(again, ["image_id", "ty", "tx"], "left_anti").select(*base.columns).unionByName(later)
+
+
 class Tile:
     """The pixels of a tile on a grid with one more pixel on all sides; ``here`` marks pixels, ``own`` those of the tile."""
 
@@ -41,10 +49,21 @@ class Tile:
         return out
 
 
-def each_tile(pixels: DataFrame, side: int, schema: str, run: Callable[[Tile], dict[str, np.ndarray]], others: DataFrame | None = None) -> DataFrame:
+def placed(pixels: DataFrame, side: int) -> DataFrame:
+    """pixels with the tile (ty, tx) where they lie."""
+    return pixels.withColumns({"ty": F.floor(F.col("y") / side), "tx": F.floor(F.col("x") / side)})
+
+
+def _around(some: DataFrame) -> DataFrame:
+    """These tiles (image_id, ty, tx) and the eight around each."""
+    rows = some.select("image_id", F.explode(F.expr("array(ty - 1, ty, ty + 1)")).alias("ty"), "tx")
+    return rows.select("image_id", "ty", F.explode(F.expr("array(tx - 1, tx, tx + 1)")).alias("tx")).distinct()
+
+
+def each_tile(pixels: DataFrame, side: int, schema: str, run: Callable[[Tile], dict[str, np.ndarray]], others: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
     """run(tile) gives grids by column name; the rows of a tile's own pixels are returned with them.
 
-    others: rows by (image_id, ty, tx) that go to the tile as ``tile.others``.
+    others: rows by (image_id, ty, tx) that go to the tile as ``tile.others``. only: the tiles (image_id, ty, tx) that run, if not all.
     """
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -58,7 +77,10 @@ def each_tile(pixels: DataFrame, side: int, schema: str, run: Callable[[Tile], d
         at = tuple(x[mine] for x in tile.at)
         return pd.DataFrame({x: found[x][at] if x in found else key[0] if x == "image_id" else rows[x].to_numpy()[mine] for x in names})
 
-    grouped = dealt(pixels, side).groupBy("image_id", "ty", "tx")
+    if only is not None:
+        pixels = placed(pixels, side).join(_around(only), ["image_id", "ty", "tx"], "left_semi").drop("ty", "tx")
+    rows = dealt(pixels, side)
+    grouped = (rows if only is None else rows.join(only, ["image_id", "ty", "tx"], "left_semi")).groupBy("image_id", "ty", "tx")
     if others is None:
         return grouped.applyInPandas(lambda key, rows: work(key, rows), schema)
     apart = others.select(*(F.col(c).alias(c) for c in others.columns))  # both may come from the same rows

@@ -170,6 +170,22 @@ def test_flood(spark, side):
     assert not got["i3"].any()
 
 
+def test_long_flood_takes_few_rounds(spark, monkeypatch):
+    """A marker below all else reaches the end of a long strip, past walls and other markers, without a round for each tile on the way."""
+    rng = np.random.default_rng(3)
+    v = {"a": np.where(rng.random((120, 9)) < 0.1, rng.integers(3, 6, (120, 9)), 1).astype(float), "b": np.where(rng.random((120, 7)) < 0.2, 4.0, 1.0)}
+    marker = {n: np.where((a > 3) & (rng.random(a.shape) < 0.2), rng.integers(5, 9, a.shape), 0) for n, a in v.items()}
+    v["a"][0, 0], marker["a"][0, 0] = 2.0, 3
+    v["b"][0, 0], marker["b"][0, 0], v["b"][119, 0], marker["b"][119, 0] = 4.0, 4, 4.0, 2
+    images, calls, plain = {n: np.ones(a.shape, int) for n, a in v.items()}, [], alignment.each_tile
+    monkeypatch.setattr(alignment, "each_tile", lambda *a, **k: calls.append(a) or plain(*a, **k))
+    one = {n: images[n] for n in "a"}
+    got = back(alignment.flooded(image_rows(spark, one, v=v, marker=marker), 5), one, "label")
+    assert (got["a"] == flood(v["a"], marker["a"])).all() and len(calls) <= 6
+    got = back(alignment.flooded(image_rows(spark, images, v=v, marker=marker), 30), images, "label")
+    assert all((got[n] == flood(v[n], marker[n])).all() for n in images)
+
+
 def holes_and_parts(labels):
     out = {}
     for r in np.unique(labels):
