@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 
 from brindle.functions.colour import difference_of
@@ -149,3 +150,16 @@ def test_consolidated(spark, spread):
                     known[rgb] = len(kept)
             assert got[image, i] == known[rgb]
         assert 1 < len(kept) < 25
+
+
+def test_consolidated_meets_kept_paints_only(spark, monkeypatch):
+    """Many paints close together: a number for each, and no join of paints with paints."""
+    rng = random.Random(8)
+    rows = [("a", i, 50 + rng.uniform(0, 1.5), rng.uniform(0, 1), rng.uniform(0, 1), i, 0, 0) for i in range(3000)] + [("b", 0, 4.0, 0.0, 0.0, 1, 1, None), ("b", 1, 96.0, 0.0, 0.0, 2, 2, 2)]
+    met, plain = [], P.difference_of
+    monkeypatch.setattr(P, "difference_of", lambda kept, here: met.append(len(kept)) or plain(kept, here))
+    frames = [pd.DataFrame(sorted(rows, key=lambda x: (x[0], *x[2:5], x[1])), columns="image_id cluster_id l a b r g bl".split())]
+    numbers = pd.concat(P._kept_in_order(2.0)(iter(frames)))
+    assert len(numbers) == len(rows) and sum(met) < 4 * len(rows)
+    got = P.consolidated(spark.createDataFrame(rows, "image_id string, cluster_id int, l double, a double, b double, r int, g int, bl int")).collect()
+    assert len(got) == len(rows) and {(r.cluster_id, r.color_id) for r in got if r.image_id == "b"} == {(0, 1), (1, 2)}
