@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.operators import graph, raster, search, validation
+from brindle.operators import graph, quantiles, raster, search, validation
 from brindle.plans.raster_queries import BORDERS, GRID, grid
 from brindle.plans.state_queries import EVENTS
 from brindle.sources.tables import project_events, table
@@ -46,7 +46,7 @@ def validation_further(spark: SparkSession, d: str) -> DataFrame:
     further = {
         "protected": some("region_id % 3 = 0"), "prefilled": some("region_id % 4 < 2"), "same_ids": True, "region_budget": 5, "least_regions": 1000, "placements": regions.select((F.col("area") / 2).alias("height_mm"), F.col("area").alias("font_pt")),
         "artificial": edges.agg(F.count_if((F.col("n") < 50) & (F.col("contrast") > 0.2))), "loss": off.agg(F.avg("off") + 3), "protected_recall": off.agg(F.avg((F.col("guarded") & (F.abs("v") > 0.1)).cast("int"))),
-        "protected_mean": off.where("guarded").agg(F.avg("off") + 6), "protected_p90": off.where("guarded").agg(F.percentile("off", F.lit(0.9)) + 10), "painted": (g, pixels), "page_sizes": ((64, 64), (64, 65)),
+        "protected_mean": off.where("guarded").agg(F.avg("off") + 6), "protected_p90": quantiles.percentiles(off.where("guarded"), [], "off", p90=0.9).select(F.col("p90") + 10), "painted": (g, pixels), "page_sizes": ((64, 64), (64, 65)),
     }
     rows = validation.validate(regions, edges.select("lo", "hi"), assigned, palette, some("region_id = 10"), some("region_id < 0"), 0.0, 0.0, 9, 1.0, further)
     return rows.where("code <> 'same_color_adjacency'")
