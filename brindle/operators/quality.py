@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.colour import difference
-from brindle.operators import distance, graph, raster
+from brindle.operators import distance, graph, quantiles, raster
 
 # What the report warns of, and the least area and width of a part that can be painted and labelled.
 MEAN_LOSS, P90_LOSS, MICRO_PERCENT, REGIONS = 6.0, 12.0, 3.0, 1155
@@ -141,6 +141,13 @@ def nearest_entry():
     return F.array_min(F.transform("centres", far))["i"]
 
 
+def medians(pixels: DataFrame) -> DataFrame:
+    """(image_id, region_id, l, a, b): the median of each channel of a region, which may be as large as its image."""
+    each = pixels.select("image_id", "region_id", F.explode(F.array(*(F.struct(F.lit(c).alias("channel"), F.col(c).alias("value")) for c in "lab"))).alias("e")).select("image_id", "region_id", "e.*")
+    found = quantiles.percentiles(each, ["image_id", "region_id", "channel"], "value", median=0.5)
+    return found.groupBy("image_id", "region_id").agg(*(F.max(F.when(F.col("channel") == c, F.col("median"))).alias(c) for c in "lab"))
+
+
 def source_quality(pixels: DataFrame, palette_size: int, mm_per_pixel: float, wanted: int = 1225, rounds: int = 10) -> DataFrame:
     """A row for each image: status (warn or pass), codes, mean_loss and p90_loss (CIEDE2000), regions, micro_percent.
 
@@ -149,12 +156,12 @@ def source_quality(pixels: DataFrame, palette_size: int, mm_per_pixel: float, wa
     gives no rows; colours must not be null.
     """
     fine = graph.saved(superpixels(pixels.select("image_id", "y", "x", "l", "a", "b"), wanted, rounds))
-    regions = graph.saved(fine.groupBy("image_id", "region_id").agg(*(F.median(c).alias(c) for c in "lab"), F.count("*").alias("area")))
+    regions = graph.saved(medians(fine).join(fine.groupBy("image_id", "region_id").agg(F.count("*").alias("area")), ["image_id", "region_id"]))
     centres = palettes(regions, palette_size)
     paint = regions.join(centres, "image_id").withColumn("i", nearest_entry()).select("image_id", "region_id", F.col("i").alias("paint"), *(F.get("centres", F.col("i"))[c].alias(f"p{c}") for c in "lab"))
     painted = graph.saved(fine.join(paint, ["image_id", "region_id"]))
-    loss = painted.select("image_id", difference(*(F.col(c) for c in ("l", "a", "b", "pl", "pa", "pb"))).alias("loss"))
-    loss = loss.groupBy("image_id").agg(F.avg("loss").alias("mean_loss"), F.percentile("loss", F.lit(0.9)).alias("p90_loss"))
+    loss = graph.saved(painted.select("image_id", difference(*(F.col(c) for c in ("l", "a", "b", "pl", "pa", "pb"))).alias("loss")))
+    loss = loss.groupBy("image_id").agg(F.avg("loss").alias("mean_loss")).join(quantiles.percentiles(loss, ["image_id"], "loss", p90_loss=0.9), "image_id")
     colours = pixels.select("image_id", "l", "a", "b").distinct().groupBy("image_id").agg(F.count("*").alias("colours"))
     parts = complexity(painted.select("image_id", "y", "x", F.col("paint").cast("long").alias("region_id")), mm_per_pixel)
     counts = regions.groupBy("image_id").agg(F.count("*").alias("superpixels"))
