@@ -20,6 +20,7 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulP
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LOST = "no sign of life"
 STEP = "project_id long, seq long, at long, status string, attempts int, progress int, error string"
+STEPS = [c.split()[0] for c in STEP.split(", ")]
 TURN = "queue string, job_id long, at long, outcome string"
 
 
@@ -53,8 +54,9 @@ class _Timed(StatefulProcessor):
         self.handle = handle
         self.prepare(handle)
 
-    def wake_at(self, micros: int | None, now: TimerValues) -> None:
-        for old in list(self.handle.listTimers()):
+    def wake_at(self, micros: int | None, now: TimerValues, new: bool = False) -> None:
+        """new: the key had no state, and so no timer."""
+        for old in [] if new else list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
         if micros is not None:
             self.handle.registerTimer(max(micros // 1000 + 1, now.getCurrentWatermarkInMs() + 1))
@@ -76,38 +78,43 @@ class JobMachine(_Timed):
         new = applied(now, event, self.max_retries)
         return (now, []) if new is None else (new, [(key[0], seq, at, *new)])
 
-    def _put(self, seq: int, at: int, now: tuple, timers: TimerValues) -> None:
+    def _put(self, seq: int, at: int, now: tuple, timers: TimerValues, new: bool = False) -> None:
         self.job.update((seq, at, *now))
         due = {"running": at + self.deadline, "waiting": None}
-        self.wake_at(due.get(now[0], at + self.keep), timers)
+        self.wake_at(due.get(now[0], at + self.keep), timers, new)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        seq, at, *rest = self.job.get() if self.job.exists() else (-1, 0, "none", 0, 0, None)
+        # keys are many and have few rows each: plain lists cost less than a table for each key
+        known = self.job.get()
+        seq, at, *rest = (-1, 0, "none", 0, 0, None) if known is None else known
         now, out = tuple(rest), []
-        for r in pd.concat(list(rows)).sort_values("seq").itertuples(index=False):
-            if r.seq <= seq:
+        signs = [r for p in rows for r in zip(*(p[c].tolist() for c in ("seq", "at", "type", "value", "message")), strict=True)]
+        for new_seq, new_at, kind, value, message in sorted(signs, key=lambda r: r[0]):
+            if new_seq <= seq:
                 continue
-            if now[0] == "running" and r.at > at + self.deadline:
+            if now[0] == "running" and new_at > at + self.deadline:
                 now, steps = self._step(key, now, seq, at + self.deadline, ("failed", None, LOST))
                 out += steps
-            seq, at = int(r.seq), int(r.at)
-            now, steps = self._step(key, now, seq, at, (r.type, None if pd.isna(r.value) else r.value, r.message if isinstance(r.message, str) else None))
+            seq, at = int(new_seq), int(new_at)
+            now, steps = self._step(key, now, seq, at, (kind, None if pd.isna(value) else value, message if isinstance(message, str) else None))
             out += steps
         if seq >= 0:
-            self._put(seq, at, now, timerValues)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in STEP.split(", ")])
+            self._put(seq, at, now, timerValues, known is None)
+        if out:
+            yield pd.DataFrame(out, columns=STEPS)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        out = []
-        if self.job.exists():
-            seq, at, *rest = self.job.get()
+        out, known = [], self.job.get()
+        if known is not None:
+            seq, at, *rest = known
             if rest[0] == "running":
                 lost = at + self.deadline
                 now, out = self._step(key, tuple(rest), seq, lost, ("failed", None, LOST))
                 self._put(seq, lost, now, timerValues)
             else:
                 self.job.clear()
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in STEP.split(", ")])
+        if out:
+            yield pd.DataFrame(out, columns=STEPS)
 
 
 class Admission(_Timed):

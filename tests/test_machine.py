@@ -72,3 +72,24 @@ def test_queue_is_bounded(spark, tmp_path):
 
 def test_no_events(jobs):
     assert jobs.run([]) == []
+
+
+def test_new_job_takes_three_calls():
+    """Calls of the state store cost more than all else for a job; one without a change gives no table."""
+    import pandas as pd
+
+    calls = []
+
+    class Noted:
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name) or (Noted() if name == "getValueState" else None)
+
+        getCurrentWatermarkInMs = staticmethod(lambda: 0)  # noqa: N815
+
+    job = machine.JobMachine()
+    job.init(Noted())
+    calls.clear()
+    rows = lambda *kinds: iter([pd.DataFrame({"seq": [i], "at": [i], "type": [k], "value": [None], "message": [None]}) for i, k in enumerate(kinds)])
+    steps = pd.concat(job.handleInputRows((7,), rows("submitted", "started", "other"), Noted()))
+    assert calls == ["get", "update", "registerTimer"] and steps.status.tolist() == ["waiting", "running"]
+    assert not list(job.handleInputRows((8,), rows("other"), Noted()))
