@@ -92,3 +92,48 @@ def test_label_plan(spark):
     for x in plan.collect():
         labels.setdefault(x.region_id, []).append(x.ordinal)
     assert len(labels[1]) == 4 and labels[2] == [1] and (n.placed, n.repeated, n.unnumbered, n.least_height_mm) == (7, 3, 0, 2)
+
+
+def strips(n, seed):
+    """A grid of large regions, few of which have small or similar ones on their borders, some in chains."""
+    rng = random.Random(seed)
+    regions = [(i, 100 + i % 7, 40, (i * 37) % 101, 0.0) for i in range(n)]
+    edges = [(i, i + d, 5 + i % 3, 0.3 + 0.3 * rng.random(), False) for i in range(n) for d in (1, 12) if i + d < n]
+    for k in range(n, n + n // 15):
+        at = rng.randrange(n)
+        regions.append((k, 1 + k % 4, 8, regions[at][3] + rng.random() * 3 - 1, 0.0))
+        edges += [(at, k, 2, rng.random() * 0.6, False)] + ([(k - 1, k, 1, rng.random() * 0.3, False)] if k > n and k % 2 else [])
+    return regions, edges
+
+
+def test_narrowed_rounds_give_the_same(spark, monkeypatch):
+    """Rounds over the few regions that can merge write little, and give what rounds over the whole graph give."""
+    regions, edges = strips(240, 3)
+    written, real = [], contraction.saved
+    monkeypatch.setattr(contraction, "saved", lambda df: (written.append(real(df)), written[-1])[1])
+    found = {}
+    for how, narrow in (("narrow", 4), ("whole", 10**6)):
+        monkeypatch.setattr(contraction, "NARROW", narrow, raising=False)
+        written.clear()
+        to = {r.region_id: r.to for r in contraction.absorbed(*tables(spark, regions, edges), 12.0, 0.0).collect()}
+        rows = sum(x.count() for x in written)
+        joined, over = contraction.merge_hierarchically(*tables(spark, regions, edges), 235, 238, 2)
+        found[how] = (to, {r.region_id: r.merged_id for r in joined.collect()}, over.collect())
+        if how == "narrow":
+            assert rows < 3 * (len(regions) + len(edges))
+    assert found["narrow"] == found["whole"]
+    assert len(set(found["whole"][0].values())) < len(regions) and len(set(found["whole"][1].values())) <= 238
+
+
+def test_quota_over_ranges_of_keys(spark):
+    """Of leaves that are too many go those of the smallest keys in each image."""
+    rows = [(i, k, k * 7 % 31 / 2, k % 5 == 0, k % 3 == 0) for i in ("a", "b", "c") for k in range(31)]
+    leaves = spark.createDataFrame(rows, "image_id string, region_id long, key double, must boolean, user boolean")
+    quota = spark.createDataFrame([("a", 4, 2), ("b", 31, 31), ("c", -1, -3)], "image_id string, left int, left_user int")
+    got = {(r.image_id, r.region_id) for r in contraction._within(leaves.repartition(5), quota).collect()}
+    want = set()
+    for name, left, user in (("a", 4, 2), ("b", 31, 31), ("c", -1, -3)):
+        for rank, r in enumerate(sorted((x for x in rows if x[0] == name), key=lambda x: (x[2], x[1])), 1):
+            if r[3] or rank <= (user if r[4] else left):
+                want.add(r[:2])
+    assert got == want
