@@ -132,7 +132,8 @@ def _moved(backwards: bool):
                 if simple[sum((n == here) << i for i, n in enumerate(near))] and simple[sum((n == to) << i for i, n in enumerate(near))]:
                     label[y, x] = to
                     moves[y, x] = True
-        return {"region_id": label, "open": waits, "moves": moves}
+        near = np.logical_or.reduce([waits, *(np.roll(waits, d, (0, 1)) for d in AROUND)])
+        return {"region_id": label, "open": waits, "moves": moves, "near": near}
 
     return run
 
@@ -143,27 +144,34 @@ def safe_moves(pixels: DataFrame, pairs: DataFrame, passes: int = 8, side: int =
     pixels(image_id, y, x, region_id, target, benefit), target null or equal to region_id where nothing is to
     move; pairs(image_id, lo, hi): regions that may touch. Moves are tried in the order of -benefit, y, x, and in
     the opposite order every second pass, until a pass moves nothing. Within a pass a pixel depends on its eight
-    neighbours only: a tile settles its pixels in order, those next to a pixel that waits wait for the next round. The
-    result is that of one pass after another over the whole image.
+    neighbours only: a tile settles its pixels in order, those next to a pixel that waits wait for the next round, which
+    has only what waits and the pixels around it (near). The result is that of one pass after another over the whole image.
     """
-    schema = "image_id string, y long, x long, region_id long, target long, benefit double, open boolean, moves boolean"
+    schema = "image_id string, y long, x long, region_id long, target long, benefit double, open boolean, moves boolean, near boolean"
     state = pixels.select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("region_id").cast("long").alias("region_id"), F.coalesce("target", "region_id").cast("long").alias("target"), F.coalesce("benefit", F.lit(0.0)).cast("double").alias("benefit"))
     known = graph.saved(pairs.select("image_id", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi")))
-    present = tiles.dealt(state, side).select("image_id", "ty", "tx", F.explode(F.array("region_id", "target")).alias("r")).distinct()
-    ends = lambda s: present.withColumnRenamed("r", s)
-    by_tile = graph.saved(known.join(ends("lo"), ["image_id", "lo"]).join(ends("hi"), ["image_id", "ty", "tx", "hi"]))
+
+    def met(some: DataFrame) -> DataFrame:
+        """The pairs whose regions both occur in a tile of these pixels."""
+        present = tiles.dealt(some, side).select("image_id", "ty", "tx", F.explode(F.array("region_id", "target")).alias("r")).distinct()
+        ends = lambda s: present.withColumnRenamed("r", s)
+        return graph.saved(known.join(ends("lo"), ["image_id", "lo"]).join(ends("hi"), ["image_id", "ty", "tx", "hi"]))
+
+    by_tile = met(state)
     allowed = known.select("image_id", F.col("lo").alias("one"), F.col("hi").alias("two"), F.lit(True).alias("may"))
     for turn in range(passes):
         can = state.withColumns({"one": F.least("region_id", "target"), "two": F.greatest("region_id", "target")}).join(allowed, ["image_id", "one", "two"], "left")
         can = can.select("image_id", "y", "x", "region_id", "target", "benefit", F.col("may").isNotNull().alias("open"))
-        done, any_moves = can, False
+        rest, pairs_met, settled, any_moves = can, by_tile, None, False
         while True:
-            done = graph.saved(each_tile(done, side, schema, _moved(turn % 2 == 1), by_tile))
+            done = graph.saved(each_tile(rest, side, schema, _moved(turn % 2 == 1), pairs_met))
             left = done.agg(F.max("open").alias("open"), F.max("moves").alias("moves")).first()
             any_moves |= bool(left.moves)
             if not left.open:
                 break
-        state = done.select("image_id", "y", "x", "region_id", "target", "benefit")
+            rest, kept = done.where("near"), done.where("NOT near")
+            settled, pairs_met = (kept, met(rest)) if settled is None else (settled.unionByName(kept), pairs_met)
+        state = (done if settled is None else settled.unionByName(done)).select("image_id", "y", "x", "region_id", "target", "benefit")
         if not any_moves:
             break
     return state

@@ -19,7 +19,8 @@ SIDE = 256
 def dealt(pixels: DataFrame, side: int) -> DataFrame:
     """Each pixel once for its own tile and once for every tile that touches it."""
     near = [F.struct(F.floor((F.col("y") + dy) / side).alias("ty"), F.floor((F.col("x") + dx) / side).alias("tx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-    rows = pixels.withColumn("t", F.explode(F.array_distinct(F.array(*near)))).select("*", "t.ty", "t.tx").drop("t")
+    inner = F.expr(f"pmod(y, {side}) BETWEEN 1 AND {side} - 2 AND pmod(x, {side}) BETWEEN 1 AND {side} - 2")
+    rows = pixels.withColumn("t", F.explode(F.when(inner, F.array(near[4])).otherwise(F.array_distinct(F.array(*near))))).select("*", "t.ty", "t.tx").drop("t")
     return rows.withColumn("own", (F.floor(F.col("y") / side) == F.col("ty")) & (F.floor(F.col("x") / side) == F.col("tx")))
 
 

@@ -321,3 +321,18 @@ def test_numbered(spark):
     rows = graph.union_pairs(spark.createDataFrame(pairs, "a long, b long")).collect()
     roots = sorted({r.root for r in rows})
     assert all(r.label == roots.index(r.root) + 1 for r in rows) and len(roots) > 2
+
+
+def test_later_rounds_of_moves_have_only_what_waits(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    a = np.ones((48, 12), int)
+    a[:, 5:] = 2
+    target = np.where(rng.random(a.shape) < 0.6, rng.integers(1, 3, a.shape), a)
+    benefit = rng.random(a.shape)
+    rows, plain = [], alignment.each_tile
+    monkeypatch.setattr(alignment, "each_tile", lambda p, *x, **k: rows.append(p.count()) or plain(p, *x, **k))
+    pairs = spark.createDataFrame([("a", 1, 2)], "image_id string, lo long, hi long")
+    images = {"a": a}
+    got = back(alignment.safe_moves(image_rows(spark, images, target={"a": target}, benefit={"a": benefit}), pairs, passes=1, side=16), images, "region_id")
+    assert (got["a"] == moved_one_by_one(a, target, benefit, {(1, 2)}, 1)).all() and (got["a"] != a).any()
+    assert len(rows) > 1 and rows[0] == a.size and max(rows[1:]) < a.size // 2
