@@ -336,3 +336,14 @@ def test_later_rounds_of_moves_have_only_what_waits(spark, monkeypatch):
     got = back(alignment.safe_moves(image_rows(spark, images, target={"a": target}, benefit={"a": benefit}), pairs, passes=1, side=16), images, "region_id")
     assert (got["a"] == moved_one_by_one(a, target, benefit, {(1, 2)}, 1)).all() and (got["a"] != a).any()
     assert len(rows) > 1 and rows[0] == a.size and max(rows[1:]) < a.size // 2
+
+
+def test_labels_by_ranges(spark):
+    """Labels ascend within each image, and no window holds all ids of one."""
+    from brindle.operators import raster
+
+    images = {n: np.random.default_rng(k).integers(0, 60, (9, 11)) * 3 for k, n in enumerate("abc")}
+    labels = raster.compact_labels(image_rows(spark, images))
+    got = {(r.image_id, r.region_id): r.label for r in labels.collect()}
+    assert got == {(n, int(v)): k for n, a in images.items() for k, v in enumerate((x for x in np.unique(a) if x), 1)}
+    assert "dense_rank" not in labels._jdf.queryExecution().optimizedPlan().toString()
