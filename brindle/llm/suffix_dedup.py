@@ -1,12 +1,15 @@
 """Exact removal of repeated 100-byte strings with a hash-compared suffix sort (operator 3).
 
 1. Every 100-byte window picks the smallest hash among its 32-byte strings (leftmost on ties) as owner.
-   Equal windows have equal owners at the same place, so a window can only repeat if its owner's hash
-   does; the exchange finds those hashes. Consecutive windows with one owner form a segment.
-2. The texts of segments with repeated owners meet in the bucket of the owner's hash. Of segments with
+   Equal windows have equal owners at the same place. Consecutive windows with one owner form a segment, in
+   two parts by the owner's place: all windows of a part have at least 66 bytes around the owner in common,
+   its anchor. A window can only repeat if its anchor's hash does; the exchange finds those hashes. A phrase
+   shorter than that brings no segments together, however many texts have it.
+2. The texts of segments with repeated anchors meet in the bucket of the owner's hash. Of segments with
    the same bytes the first (doc_id, start) stays and the others are wholly repeated; a task does this
-   before it sends anything, so copies cost one segment.
-3. What is left under one owner is sorted as suffixes: a bottom-up mergesort of all owners at once, where
+   before it sends anything, so copies cost one segment. What is left under one owner is cut again, by
+   anchors of 89 bytes and more, and equal parts are settled in the same way.
+3. What is left under one of these anchors is sorted as suffixes: a bottom-up mergesort of all at once, where
    two suffixes are compared by the length of their common extension, found by binary search over prefix
    polynomial hashes. Neighbours that agree on 100 bytes are compared byte by byte before they count as
    equal; in each class of equal windows all but the first are repeats.
@@ -28,7 +31,10 @@ from brindle.llm.blocks import BYTE_BASE, U64, Piece, mix, packed_strings, piece
 LENGTH = 100
 GRAM = 32
 SPREAD = LENGTH - GRAM + 1
-PIECE = 1_000_000
+#: Places of the owner in a window that share an anchor: of the exchange, and in a bucket.
+PLACES, CLOSE = 35, 12
+#: The arrays of a piece stay in a core's cache.
+PIECE = 1 << 16
 INDEX = U64((1 << 23) - 1)
 SEGMENT_FLUSH = 16_000_000
 
@@ -38,14 +44,26 @@ SEGMENTS = "bucket int, settled boolean, h binary, content binary, doc binary, p
 _SEGMENTS = pa.schema([("bucket", pa.int32()), ("settled", pa.bool_()), *((k, pa.binary()) for k in ("h", "content", "doc", "pos", "n", "owner", "body"))])
 
 
+def anchored(prefix: np.ndarray, start: np.ndarray, count: np.ndarray, owner: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments cut where the bytes before the owner reach a multiple of ``places``: index of the segment, start,
+    number of windows, and the hash of what all windows of such a part have in common if none is missing."""
+    top, low = (owner - start) // places, (owner - start - count + 1) // places
+    of = np.repeat(np.arange(len(start)), top - low + 1)
+    kind = top[of] - ragged(np.zeros(len(start), np.int64), top - low + 1)
+    first = np.maximum(start[of], owner[of] - (kind + 1) * places + 1)
+    n = np.minimum(start[of] + count[of], owner[of] - kind * places + 1) - first
+    a, b = owner[of] - kind * places, owner[of] - np.minimum((kind + 1) * places, SPREAD) + 1 + LENGTH
+    return of, first, n, mix(((prefix[b] - prefix[a]) * powers(BYTE_BASE, len(prefix))[1][a]) ^ mix(kind.astype(U64)))
+
+
 class Runs:
-    """The segments of a piece: text index, start, number of windows, owner's place and hash."""
+    """The segments of a piece, cut by anchors: text index, start, number of windows, owner's place and hash, anchor's hash."""
 
     def __init__(self, piece: Piece):
         data, offsets = piece.data, piece.offsets
         n = len(data)
         self.start = self.count = self.owner = self.text = np.empty(0, np.int64)
-        self.h = np.empty(0, U64)
+        self.h = self.owner_h = np.empty(0, U64)
         self.prefix = np.zeros(1, U64)
         if n < LENGTH:
             return
@@ -66,12 +84,13 @@ class Runs:
         valid = np.cumsum(edge)[: len(owner)] > 0
         first = valid.copy()
         first[1:] &= ~valid[:-1] | (owner[1:] != owner[:-1])
-        self.start = np.flatnonzero(first)
+        start = np.flatnonzero(first)
         stop = valid.copy()
         stop[:-1] &= ~valid[1:] | first[1:]
-        self.count = np.flatnonzero(stop) - self.start + 1
-        self.owner = owner[self.start]
-        self.h = mix(grams[self.owner] ^ U64(0x5851F42D4C957F2D))
+        end, owner = np.flatnonzero(stop), owner[start]
+        of, self.start, self.count, self.h = anchored(self.prefix, start, end - start + 1, owner, PLACES)
+        self.owner = owner[of]
+        self.owner_h = mix(grams[self.owner] ^ U64(0x5851F42D4C957F2D))
         self.text = np.searchsorted(offsets, self.start, side="right") - 1
 
 
@@ -98,10 +117,15 @@ def _segments(n_buckets: int):
                 runs = Runs(p)
                 wanted = np.zeros(len(p.data) + 1, bool)
                 for k, row in enumerate(p.rows):
-                    at = found[row] + (p.offsets[k] - p.base)
-                    wanted[at[(at >= p.offsets[k]) & (at < p.offsets[k + 1])]] = True
+                    lo, hi = np.searchsorted(found[row], (p.base, p.base + p.offsets[k + 1] - p.offsets[k]))
+                    wanted[found[row][lo:hi] + (p.offsets[k] - p.base)] = True
                 on = wanted[runs.start]
-                start, count, owner, h, text = (x[on] for x in (runs.start, runs.count, runs.owner, runs.h, runs.text))
+                start, count, owner, h, text = (x[on] for x in (runs.start, runs.count, runs.owner, runs.owner_h, runs.text))
+                if len(start):  # both parts of a segment go as one
+                    head = np.ones(len(start), bool)
+                    head[1:] = (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + count[:-1])
+                    count = np.add.reduceat(count, np.flatnonzero(head))
+                    start, owner, h, text = (x[head] for x in (start, owner, h, text))
                 end = start + count + LENGTH - 1
                 content = mix((runs.prefix[end] - runs.prefix[start]) * powers(BYTE_BASE, len(runs.prefix))[1][start])
                 body = p.data[ragged(start, end - start)]
@@ -176,15 +200,8 @@ def _repeats(n_buckets: int):
             offset = np.cumsum(size) - size
             for lo, hi in _blocks(group, n, rival):
                 take = np.flatnonzero(rival[lo:hi]) + lo
-                count = n[take].astype(np.int64)
-                begin = offset[take]
-                first, last = int(begin[0]), int(begin[-1] + size[take[-1]])
-                starts = ragged(begin, count) - first
-                place = ragged(np.zeros(len(take), np.int64), count)
-                family = np.repeat(group[take], count) * 256 + (np.repeat(owner[take].astype(np.int64), count) - place)
-                where = np.repeat(pos[take].astype(np.int64), count) + place
-                late = later_windows(body[first:last], starts, family, np.repeat(doc[take], count), where)
-                ready.append(np.stack([np.repeat(doc[take], count)[late], span(where[late], np.ones(int(late.sum()), np.int64))]))
+                first, last = int(offset[take[0]]), int(offset[take[-1]] + size[take[-1]])
+                ready += _late(body[first:last], offset[take] - first, n[take].astype(np.int64), owner[take].astype(np.int64), doc[take], pos[take].astype(np.int64))
         if ready:
             both = np.concatenate(ready, axis=1)
             yield from exchange.by_doc(both[0], both[1], n_buckets)
@@ -192,8 +209,34 @@ def _repeats(n_buckets: int):
     return run
 
 
-def _blocks(group: np.ndarray, n: np.ndarray, rival: np.ndarray, windows: int = 1_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of whole groups that hold rivals, about ``windows`` suffixes each."""
+def _late(data: np.ndarray, at: np.ndarray, n: np.ndarray, owner: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> Iterator[np.ndarray]:
+    """(doc, packed span) of the windows of segments that start earlier in another: place in data, windows, bytes before the owner, document, start."""
+    prefix = prefix_hash(data, BYTE_BASE)
+    of, start, n, anchor = anchored(prefix, at, n, at + owner, CLOSE)
+    end = start + n + LENGTH - 1
+    content = (prefix[end] - prefix[start]) * powers(BYTE_BASE, len(prefix))[1][start]
+    left, doc, pos = at[of] + owner[of] - start, doc[of], pos[of] + start - at[of]
+    order = np.lexsort((pos, doc, content, anchor))
+    start, n, anchor, content, left, doc, pos = (x[order] for x in (start, n, anchor, content, left, doc, pos))
+    new = np.ones(len(order), bool)
+    new[1:] = anchor[1:] != anchor[:-1]
+    first = new.copy()
+    first[1:] |= (content[1:] != content[:-1]) | (n[1:] != n[:-1])
+    yield np.stack([doc[~first], span(pos[~first], n[~first])])
+    group = (np.cumsum(new) - 1)[first]
+    start, n, left, doc, pos = (x[first] for x in (start, n, left, doc, pos))
+    rival = np.bincount(group)[group] > 1
+    if rival.any():
+        group, start, n, left, doc, pos = (x[rival] for x in (group, start, n, left, doc, pos))
+        place = ragged(np.zeros(len(n), np.int64), n)
+        family = np.repeat(group * 256 + left, n) - place
+        doc, where = np.repeat(doc, n), np.repeat(pos, n) + place
+        late = later_windows(data, ragged(start, n), family, doc, where, prefix)
+        yield np.stack([doc[late], span(where[late], np.ones(int(late.sum()), np.int64))])
+
+
+def _blocks(group: np.ndarray, n: np.ndarray, rival: np.ndarray, windows: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Ranges of whole groups that hold rivals, about ``windows`` each."""
     if not rival.any():
         return
     total = np.cumsum(np.where(rival, n, 0))
@@ -259,12 +302,12 @@ def suffix_order(data: np.ndarray, prefix: np.ndarray, starts: np.ndarray, famil
     return order
 
 
-def later_windows(data: np.ndarray, starts: np.ndarray, family: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+def later_windows(data: np.ndarray, starts: np.ndarray, family: np.ndarray, doc: np.ndarray, pos: np.ndarray, prefix: np.ndarray | None = None) -> np.ndarray:
     """Which windows have the bytes of a window with smaller (doc, pos)."""
     late = np.zeros(len(starts), bool)
     if len(starts) < 2:
         return late
-    prefix = prefix_hash(data, BYTE_BASE)
+    prefix = prefix_hash(data, BYTE_BASE) if prefix is None else prefix
     order = suffix_order(data, prefix, starts, family)
     a, b = starts[order[:-1]], starts[order[1:]]
     same = family[order[:-1]] == family[order[1:]]
@@ -287,7 +330,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = exchange.positions(batch.column("found"), np.int64)
         n_bytes, n_removed, n_spans, digest, kept = [], [], [], [], []
-        for rows, data, offsets in whole_texts(*text_bytes(batch.column("text"))):
+        for rows, data, offsets in whole_texts(*text_bytes(batch.column("text")), limit=PIECE):
             cover = np.zeros(len(data) + 1, np.int32)
             for k, row in enumerate(rows):
                 if found[row] is not None:

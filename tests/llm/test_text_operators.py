@@ -101,6 +101,17 @@ def test_suffix_dedup_of_cut_texts(spark, rows, monkeypatch):
     assert counts.sum() == len(data) - 99 and len(np.unique(starts)) == len(starts) and whole
 
 
+def test_short_phrases_bring_no_segments_together():
+    """A phrase below an anchor's length, with other surroundings in each text, shares no probe; 100 common bytes do."""
+    rng = np.random.default_rng(1)
+    probes = lambda common: [set(suffix_dedup.Runs(suffix_dedup.Piece(np.arange(1), d, np.array([0, len(d)]))).h.tolist()) for d in (np.concatenate([rng.integers(97, 123, 150), common, rng.integers(97, 123, 150)]).astype(np.uint8) for _ in range(2))]
+    for _ in range(30):
+        a, b = probes(rng.integers(97, 123, 60))
+        assert not a & b
+        a, b = probes(rng.integers(97, 123, 100))
+        assert a & b
+
+
 def test_suffix_order_is_the_order_of_bytes():
     rng = np.random.default_rng(0)
     data = rng.integers(97, 99, 3000).astype(np.uint8)
