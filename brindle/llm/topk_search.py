@@ -1,18 +1,21 @@
 """Exact top-k by inner product: the three-phase uniform threshold over column blocks (operator 13).
 
-Vectors are turned to whole numbers and cut into column blocks. A column block of a row block is a node: it
-has, for each query, a list of local scores, the products over its own columns, counted from the smallest
-local score of that query and column block, so that all are at least 0.
+Vectors are turned to whole numbers and dealt in shares of rows; a column block of a share is a node: it has, for
+each query, a list of local scores, the products over its own columns, counted from the smallest local score of
+that query and column block, so that all are at least 0.
 
 1. Each node gives its k highest local scores and its smallest one. Sums over the column blocks, those that are
    missing counted as 0, give a first lower bound for a query's k-th score.
 2. A row that reaches the bound has bound / b at least in one of the b column blocks. This cutoff goes to
-   all nodes; each sends its entries from there on. With the cutoff for those that are missing a row has a
+   all nodes; each gives its entries from there on. With the cutoff for those that are missing a row has a
    lower and an upper bound, and the k-th lower bound rules out most of the rest.
 3. Nodes give the local scores of the others, whose sums are exact.
 
+The nodes of a share are one task's work, so entries and candidates don't leave it: a share sends k rows for a query
+in either pass. Rows are shuffled once a pass, and each query once for a share; no pair of blocks is shipped.
+
 Products are taken in doubles where every sum is below 2**53, so they are exact. Vectors with larger components
-lie in blocks of their own and are compared in Python's whole numbers.
+lie in shares of their own and are compared in Python's whole numbers.
 """
 
 from __future__ import annotations
@@ -21,174 +24,243 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.blocks import packed_strings
+from brindle.llm.blocks import packed_strings, unpacked
 from brindle.llm.saved import bounded, counted, saved
 from brindle.llm.vectors import matrix
 
 NEIGHBOURS = 5
 EVERY = 50
 SCALE = 256
-#: Columns of a node, rows of a row block, queries that are compared with it at once.
-COLUMNS, ROWS, QUERIES = 16, 8192, 256
-#: Sums of products stay below this.
-EXACT = 2**53
+#: Columns of a node, rows of a share that are compared at once, queries in one row of the exchange.
+COLUMNS, ROWS, QUERIES = 16, 4096, 128
+#: Rows of a share, about.
+SHARE = 16_384
+#: Sums of products stay below this; below the other one, single precision is exact too.
+EXACT, EXACT_SINGLE = 2**53, 2**24
 LONGEST = 2**63 - 1
 
-BLOCKS = "block long, dim int, wide boolean, col int, ids binary, data binary"
-_BLOCKS = pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("wide", pa.bool_()), ("col", pa.int32()), ("ids", pa.binary()), ("data", pa.binary())])
-LOCAL = "query_id long, col int, lowest long, vec_id long, s long"
-_LOCAL = pa.schema([("query_id", pa.int64()), ("col", pa.int32()), ("lowest", pa.int64()), ("vec_id", pa.int64()), ("s", pa.int64())])
-ENTRIES = "asked long, block long, n_cols int, qids binary, cutoffs binary, bounds binary, q binary, ids binary, s binary"
-_ENTRIES = pa.schema([("asked", pa.int64()), ("block", pa.int64()), ("n_cols", pa.int32()), ("qids", pa.binary()), ("cutoffs", pa.binary()), ("bounds", pa.binary()), ("q", pa.binary()), ("ids", pa.binary()), ("s", pa.binary())])
-CANDIDATES = "asked long, block long, query_id long, vec_id long, low long, high long"
-_CANDIDATES = pa.schema([(x, pa.int64()) for x in ("asked", "block", "query_id", "vec_id", "low", "high")])
-SCORES = "query_id long, vec_id long, s long"
-_SCORES = pa.schema([(x, pa.int64()) for x in ("query_id", "vec_id", "s")])
-
-
-def _blocks(rows: int):
-    """Packs consecutive rows of one length and kind into blocks, a row for each column block."""
+KEY = ("dim", "wide", "part")
+#: Rows of a share (is_query false), then queries that ask it; lowest and tau are known in the second pass.
+PACKED = "dim int, wide boolean, part int, is_query boolean, size int, ids binary, data binary, lowest binary, tau binary"
+_PACKED = pa.schema([("dim", pa.int32()), ("wide", pa.bool_()), ("part", pa.int32()), ("is_query", pa.bool_()), ("size", pa.int32()), *((x, pa.binary()) for x in ("ids", "data", "lowest", "tau"))])
+HEADS = "query_id long, lowest binary, ids binary, s binary"
+_HEADS = pa.schema([("query_id", pa.int64()), *((x, pa.binary()) for x in ("lowest", "ids", "s"))])
+BOUND = "query_id long, lowest binary, tau long"
+_BOUND = pa.schema([("query_id", pa.int64()), ("lowest", pa.binary()), ("tau", pa.int64())])
+FOUND = "query_id long, ids binary, s binary"
+_FOUND = pa.schema([("query_id", pa.int64()), ("ids", pa.binary()), ("s", pa.binary())])
+#: Packed queries have part 0 until they are dealt to the shares of their length.
+RESULT = "query_id long, rank int, vec_id long, score long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            dims, wide = batch.column("dim").to_numpy(), batch.column("wide").to_numpy(zero_copy_only=False)
-            edges = np.flatnonzero(np.append(True, (dims[1:] != dims[:-1]) | (wide[1:] != wide[:-1]))).tolist() + [len(dims)]
-            for a, b in zip(edges, edges[1:], strict=False):
-                for lo in range(a, b, rows):
-                    part = batch.slice(lo, min(b, lo + rows) - lo)
-                    d, n = int(dims[lo]), np.array([part.num_rows])
-                    x = matrix(part.column("v"))
-                    for col, at in enumerate(range(0, max(1, d), COLUMNS)):
-                        some = np.ascontiguousarray(x[:, at : at + COLUMNS])
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([number]), pa.array([d], pa.int32()), pa.array([bool(wide[lo])]), pa.array([col], pa.int32()), packed_strings(part.column("vec_id").to_numpy(), n), packed_strings(some.ravel(), np.array([some.size]))], schema=_BLOCKS
-                        )
-                    number += 1
 
-    return run
+def narrow(x: np.ndarray) -> np.ndarray:
+    """The same whole numbers in the fewest bytes."""
+    low, high = (int(x.min()), int(x.max())) if x.size else (0, 0)
+    return x.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
 
 
 def numbers(row: dict, name: str, kind=np.int64) -> np.ndarray:
     return np.frombuffer(row[name], kind)
 
 
-def products(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Queries, rows, and the local score of each pair of one node."""
-    qids, ids = numbers(row, "qids"), numbers(row, "ids")
-    q, x = numbers(row, "qdata").reshape(len(qids), -1), numbers(row, "data").reshape(len(ids), -1)
-    return qids, ids, (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64)
+def vectors_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    ids = numbers(row, "ids")
+    return ids, numbers(row, "data", f"i{row['size']}").reshape(len(ids), row["dim"])
 
 
-def _local(k: int):
-    """Phase 1: of each node and query the smallest local score and the k highest."""
+def _pack(queries: bool):
+    """Packs consecutive rows of one share: queries with what is known of them, or rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [batch.column(k).to_numpy(zero_copy_only=False) for k in KEY]
+            edges = np.flatnonzero(np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))).tolist() + [batch.num_rows] if batch.num_rows else [0]
+            for a, b in zip(edges, edges[1:], strict=False):
+                for lo in range(a, b, QUERIES if queries else ROWS):
+                    some = batch.slice(lo, min(b, lo + (QUERIES if queries else ROWS)) - lo)
+                    x = narrow(matrix(some.column("v")))
+                    lowest, tau = b"", b""
+                    if queries and "tau" in batch.schema.names:
+                        lowest, tau = b"".join(some.column("lowest").to_pylist()), some.column("tau").to_numpy().tobytes()
+                    head = (pa.array([keys[i][lo].item()], kind) for i, kind in enumerate((pa.int32(), pa.bool_(), pa.int32())))
+                    yield pa.RecordBatch.from_arrays([*head, pa.array([queries]), pa.array([x.itemsize], pa.int32()), *(pa.array([y], pa.binary()) for y in (some.column("vec_id").to_numpy().tobytes(), x.tobytes(), lowest, tau))], schema=_PACKED)
+
+    return run
+
+
+def _each(work, schema: pa.Schema):
+    """work(queries, q, blocks, row) for each packed row of queries, which come after the rows of their share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, blocks = None, []
         for batch in batches:
             for row in batch.to_pylist():
-                qids, ids, s = products(row)
-                lowest = s.min(axis=1)
-                s[qids[:, None] == ids[None, :]] = np.iinfo(np.int64).min
-                some = np.argpartition(s, len(ids) - k, axis=1)[:, len(ids) - k :] if len(ids) > k else np.broadcast_to(np.arange(len(ids)), s.shape)
-                best = np.take_along_axis(s, some, axis=1).ravel()
-                q, on = np.repeat(qids, some.shape[1]), best > np.iinfo(np.int64).min
-                known = [q, np.full(len(q), row["col"], np.int32), np.repeat(lowest, some.shape[1]), ids[some].ravel(), best]
-                yield pa.RecordBatch.from_arrays([pa.array(x[on]) for x in known], schema=_LOCAL)
+                if tuple(row[k] for k in KEY) != key:
+                    key, blocks = tuple(row[k] for k in KEY), []
+                if not row["is_query"]:
+                    blocks.append(vectors_of(row))
+                elif blocks:
+                    ids, q = vectors_of(row)
+                    found = work(ids, q, blocks, row)
+                    if len(found[0]):
+                        yield pa.RecordBatch.from_arrays(found, schema=schema)
 
     return run
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Phase 2: the entries of a node from the cutoff on, counted from the smallest local score."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            qids, ids, s = products(row)
-            s -= numbers(row, "lowest")[:, None]
-            cutoffs = numbers(row, "cutoffs")
-            i, j = np.nonzero((s >= cutoffs[:, None]) & (qids[:, None] != ids[None, :]))
-            known = [row["qids"], row["cutoffs"], row["bounds"], i.astype(np.int32).tobytes(), ids[j].tobytes(), s[i, j].tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([row["asked"]]), pa.array([row["block"]]), pa.array([row["n_cols"]], pa.int32()), *(pa.array([x], pa.binary()) for x in known)], schema=_ENTRIES)
-
-
-def _bounds(k: int):
-    """Lower and upper bounds of the rows of a block that any of its nodes has sent; those stay that can be among a query's k highest."""
-
-    def settled(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        first = rows[0]
-        qids, cutoffs, bounds = (numbers(first, x).copy() for x in ("qids", "cutoffs", "bounds"))
-        q, ids, s = (np.concatenate([numbers(r, x, kind) for r in rows]) for x, kind in (("q", np.int32), ("ids", np.int64), ("s", np.int64)))
-        order = np.lexsort((ids, q))
-        q, ids, s = q[order], ids[order], s[order]
-        if not len(q):
-            return
-        new = np.ones(len(q), bool)
-        new[1:] = (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])
-        at = np.flatnonzero(new)
-        low, seen = np.add.reduceat(s, at), np.diff(np.append(at, len(q)))
-        q, ids = q[at], ids[at]
-        high = low + (first["n_cols"] - seen) * np.maximum(cutoffs[q] - 1, 0)
-        edges = np.searchsorted(q, np.arange(len(qids) + 1)).tolist()
-        for n, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-            if b - a >= k:
-                bounds[n] = max(bounds[n], int(np.partition(low[a:b], b - a - k)[b - a - k]))
-        on = high >= bounds[q]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(on.sum(), first["asked"])), pa.array(np.full(on.sum(), first["block"])), *(pa.array(x[on]) for x in (qids[q], ids, low, high))], schema=_CANDIDATES)
+def columns(dim: int) -> range:
+    return range(0, max(1, dim), COLUMNS)
+
+
+def products(q: np.ndarray, x: np.ndarray, others: float = 0.0) -> Iterator[np.ndarray]:
+    """For each column block the local score of each pair, in a type that is exact for them, their differences, and numbers up to ``others``."""
+    most = lambda v: float(np.abs(v.astype(np.float64)).max(initial=0.0))
+    largest = 2 * most(q) * most(x) * q.shape[1] + others
+    kind = np.float32 if largest < EXACT_SINGLE else np.float64
+    for at in columns(q.shape[1]):
+        s = q[:, at : at + COLUMNS].astype(kind) @ x[:, at : at + COLUMNS].astype(kind).T
+        yield s if largest < EXACT else s.astype(np.int64)
+
+
+def highest(s: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k highest of each row."""
+    return np.argpartition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k :] if s.shape[1] > k else np.broadcast_to(np.arange(s.shape[1]), s.shape)
+
+
+def _heads(k: int):
+    """Pass 1: of each node and query the smallest local score and the k highest, by column block."""
+
+    def work(ids: np.ndarray, q: np.ndarray, blocks: list, row: dict) -> list[pa.Array]:
+        m = len(columns(row["dim"]))
+        lowest, names, scores = np.full((len(ids), m), LONGEST), [[] for _ in range(m)], [[] for _ in range(m)]
+        for known, x in blocks:
+            same = np.nonzero(ids[:, None] == known[None, :])
+            for col, s in enumerate(products(q, x)):
+                lowest[:, col] = np.minimum(lowest[:, col], s.min(axis=1).astype(np.int64))
+                s = s.astype(np.promote_types(s.dtype, np.float32))
+                s[same] = -np.inf
+                some = highest(s, k)
+                names[col].append(known[some]), scores[col].append(np.take_along_axis(s, some, axis=1))
+        ids_out, s_out = [], []
+        for col in range(m):
+            name, s = np.concatenate(names[col], axis=1), np.concatenate(scores[col], axis=1)
+            some = highest(s, k)
+            ids_out.append(np.take_along_axis(name, some, axis=1)), s_out.append(np.take_along_axis(s, some, axis=1))
+        width = np.full(len(ids), m * ids_out[0].shape[1])
+        s = np.concatenate(s_out, axis=1).astype(np.float64)
+        return [pa.array(ids), packed_strings(lowest.ravel(), np.full(len(ids), m)), packed_strings(np.concatenate(ids_out, axis=1).ravel(), width), packed_strings(s.ravel(), width)]
+
+    return _each(work, _HEADS)
+
+
+def _bound(k: int):
+    """The smallest local score of each column block over all shares, and the first lower bound of a query's k-th score; 0 where k rows are not met."""
+
+    def settled(rows: list[dict]) -> tuple[np.ndarray, int]:
+        lowest = np.min([numbers(r, "lowest") for r in rows], axis=0)
+        m = len(lowest)
+        ids, s = (np.concatenate([numbers(r, x, kind).reshape(m, -1) for r in rows], axis=1) for x, kind in (("ids", np.int64), ("s", np.float64)))
+        some = highest(s, k)
+        ids, s = np.take_along_axis(ids, some, axis=1), np.take_along_axis(s, some, axis=1)
+        real = s > -np.inf
+        name, at = np.unique(ids[real], return_inverse=True)
+        sums = np.zeros(len(name), np.int64)
+        np.add.at(sums, at, (np.where(real, s, 0).astype(np.int64) - lowest[:, None])[real])
+        return lowest, int(np.partition(sums, len(sums) - k)[len(sums) - k]) if len(sums) >= k else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
+        def out(rows: list[dict]) -> pa.RecordBatch:
+            lowest, tau = settled(rows)
+            return pa.RecordBatch.from_arrays([pa.array([rows[0]["query_id"]]), pa.array([lowest.tobytes()], pa.binary()), pa.array([tau])], schema=_BOUND)
+
+        rows: list[dict] = []
         for batch in batches:
             for row in batch.to_pylist():
-                if (row["asked"], row["block"]) != key:
-                    if rows:
-                        yield from settled(rows)
-                    key, rows = (row["asked"], row["block"]), []
+                if rows and rows[0]["query_id"] != row["query_id"]:
+                    yield out(rows)
+                    rows = []
                 rows.append(row)
         if rows:
-            yield from settled(rows)
+            yield out(rows)
 
     return run
 
 
-def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Phase 3: the local scores of candidates."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            qids, ids = numbers(row, "qids"), numbers(row, "ids")
-            q, x = numbers(row, "qdata").reshape(len(qids), -1), numbers(row, "data").reshape(len(ids), -1)
-            i, j = (np.searchsorted(known, np.array(row[name], np.int64)) for known, name in ((qids, "query_id"), (ids, "vec_id")))
-            yield pa.RecordBatch.from_arrays([pa.array(qids[i]), pa.array(ids[j]), pa.array(np.einsum("ij,ij->i", q[i], x[j]))], schema=_SCORES)
+def _candidates(k: int):
+    """Pass 2: entries of the nodes from the cutoff on, bounds of the rows that have any, and the exact scores of those that the bounds leave; the k best of a share."""
+
+    def work(ids: np.ndarray, q: np.ndarray, blocks: list, row: dict) -> list[pa.Array]:
+        m = len(columns(row["dim"]))
+        lowest, tau = numbers(row, "lowest").reshape(len(ids), m), numbers(row, "tau").copy()
+        cutoff = -(-tau // m)
+        others = float(np.abs(lowest.astype(np.float64)).sum(axis=1).max() + 2.0 * tau.max() + m)
+        names, scores = [], []
+        for known, x in blocks:
+            low = seen = None
+            for col, s in enumerate(products(q, x, others)):
+                s -= lowest[:, col, None].astype(s.dtype)
+                entry = s >= cutoff[:, None].astype(s.dtype)
+                s *= entry
+                low, seen = (s, entry.astype(s.dtype)) if low is None else (low + s, seen + entry)
+            gone = (seen == 0) | (ids[:, None] == known[None, :])
+            low[gone] = -1
+            if len(known) >= k:  # the k-th lower bound of these rows; none if they are too few
+                tau = np.maximum(tau, np.partition(low, len(known) - k, axis=1)[:, len(known) - k].astype(np.int64))
+            high = low + (m - seen) * np.maximum(cutoff - 1, 0)[:, None].astype(low.dtype)
+            i, j = np.nonzero((high >= tau[:, None].astype(low.dtype)) & ~gone)
+            names.append((i, known[j])), scores.append(np.einsum("ij,ij->i", q[i].astype(np.int64), x[j].astype(np.int64)))
+        i, name, s = np.concatenate([x[0] for x in names]), np.concatenate([x[1] for x in names]), np.concatenate(scores)
+        return _best_of(ids, i, name, s, k)
+
+    return _each(work, _FOUND)
+
+
+def _best_of(ids: np.ndarray, i: np.ndarray, name: np.ndarray, s: np.ndarray, k: int) -> list[pa.Array]:
+    """The k best (name, s) of each query that has any; i: place of the query."""
+    order = np.lexsort((name, ~s, i))
+    i, name, s = i[order], name[order], s[order]
+    on = np.arange(len(i)) - np.searchsorted(i, i) < k
+    which, counts = np.unique(i[on], return_counts=True)
+    return [pa.array(ids[which]), packed_strings(name[on], counts), packed_strings(s[on], counts)]
 
 
 def _wide(k: int):
     """The k best pairs of whole vectors in Python's numbers; a score beyond 64 bits counts as the nearest of 64 bits."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                qids, ids = numbers(row, "qids"), numbers(row, "ids")
-                q, x = (np.concatenate([np.frombuffer(part, np.int64).reshape(len(known), -1) for part in row[name]], axis=1).astype(object) for known, name in ((qids, "qdata"), (ids, "data")))
-                for n, one in enumerate(q):
-                    s = np.array([min(LONGEST, max(-LONGEST - 1, int(y))) for y in (x @ one if x.shape[1] else [0] * len(ids))], np.int64)
-                    other = np.flatnonzero(ids != qids[n])
-                    some = other[np.lexsort((ids[other], ~s[other]))[:k]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), qids[n])), pa.array(ids[some]), pa.array(s[some])], schema=_SCORES)
+    def work(ids: np.ndarray, q: np.ndarray, blocks: list, row: dict) -> list[pa.Array]:
+        found = []
+        for known, x in blocks:
+            x = x.astype(object)
+            for n, one in enumerate(q.astype(object)):
+                s = np.array([min(LONGEST, max(-LONGEST - 1, int(y))) for y in (x @ one if row["dim"] else [0] * len(known))], np.int64)
+                other = np.flatnonzero(known != ids[n])
+                some = other[np.lexsort((known[other], ~s[other]))[:k]]
+                found.append((np.full(len(some), n), known[some], s[some]))
+        return _best_of(ids, *(np.concatenate(x) for x in zip(*found, strict=True)), k)
 
-    return run
+    return _each(work, _FOUND)
 
 
-def best(found: DataFrame, by: str, k: int) -> DataFrame:
-    """The k rows of each query with the highest value, ties to the smaller vec_id, with their rank."""
-    order = Window.partitionBy("query_id").orderBy(F.desc(by), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def _merged(k: int):
+    """The k best of what all shares found for a query."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for batch in batches:
+            ids, n = unpacked(batch.column("ids"), np.int64)
+            parts.append((np.repeat(batch.column("query_id").to_numpy(), n), ids, unpacked(batch.column("s"), np.int64)[0]))
+        if parts:
+            q, ids, s = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((ids, ~s, q))
+            q, ids, s = q[order], ids[order], s[order]
+            rank = np.arange(len(q)) - np.searchsorted(q, q) + 1
+            on = rank <= k
+            yield pa.RecordBatch.from_pydict({"query_id": q[on], "rank": rank[on].astype(np.int32), "vec_id": ids[on], "score": s[on]})
 
-def kth(found: DataFrame, by: str, k: int) -> DataFrame:
-    """(query_id, tau): the k-th highest value of each query that has k."""
-    return best(found, by, k).groupBy("query_id").agg(F.min(by).alias("tau"), F.count(F.lit(1)).alias("n")).where(F.col("n") == k).select("query_id", "tau")
+    return run
 
 
 def whole_vectors(table: DataFrame) -> DataFrame:
@@ -212,63 +284,25 @@ def topk_search(table: DataFrame, every: int = EVERY, k: int = NEIGHBOURS) -> Da
     meet only those of their own length, empty ones with score 0. Rows without vec_id are left out; of rows that
     repeat one the smallest vector counts. Other columns are ignored.
     """
-    spark = table.sparkSession
-    n = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = 2 * int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = saved(whole_vectors(table))
-    packed = lambda some, size: saved(some.repartitionByRange(n, "dim", "wide", "vec_id").sortWithinPartitions("dim", "wide", "vec_id").mapInArrow(_blocks(size), BLOCKS))
-    blocks = packed(rows, ROWS)
-    queries = packed(rows.where(F.col("vec_id") % every == 0), QUERIES).withColumnsRenamed({"block": "asked", "ids": "qids", "data": "qdata"})
-    known, n_known = counted(queries.where("col = 0").select("asked", "dim", F.col("wide").alias("wide_q")))
-    pairs = saved(blocks.where("col = 0").select("block", "dim", F.col("wide").alias("wide_b")).join(bounded(known, n_known), "dim"))
-    plain = pairs.where("NOT wide_q AND NOT wide_b").select("asked", "block")
-    data = blocks.select("block", "col", "ids", "data")
-
-    # 1: the best local scores of each column block, and a lower bound
-    asked = queries.select("asked", "dim", "col", "qids", "qdata", F.floor((F.greatest("dim", F.lit(1)) + COLUMNS - 1) / COLUMNS).cast("int").alias("n_cols"))
-    nodes = asked.join(plain, "asked").join(data, ["block", "col"])
-    local = saved(nodes.mapInArrow(_local(k), LOCAL))
-    lowest = local.groupBy("query_id", "col").agg(F.min("lowest").alias("lowest"))
-    top = Window.partitionBy("query_id", "col").orderBy(F.desc("s"), "vec_id")
-    heads = local.withColumn("at", F.row_number().over(top)).where(F.col("at") <= k).drop("lowest").join(lowest, ["query_id", "col"])
-    sums = heads.groupBy("query_id", "vec_id").agg(F.sum(F.col("s") - F.col("lowest")).alias("low"))
-    tau = kth(sums, "low", k)
-
-    # 2: the cutoff at every node, and bounds for what is sent
-    cut = lowest.join(tau, "query_id", "left").fillna(0, ["tau"])
-    bounds = saved(_packed_bounds(asked, cut))
-    sent = bounds.join(plain, "asked").join(data, ["block", "col"]).mapInArrow(_entries, ENTRIES)
-    found = saved(sent.repartition(n, "asked", "block").sortWithinPartitions("asked", "block").mapInArrow(_bounds(k), CANDIDATES))
-    rest = found.join(kth(found, "low", k), "query_id", "left").where("tau IS NULL OR high >= tau")
-
-    # 3: exact scores of the rest, and of vectors with large components
-    each = rest.groupBy("asked", "block").agg(F.collect_list("query_id").alias("query_id"), F.collect_list("vec_id").alias("vec_id"))
-    resolved = asked.join(each, "asked").join(data, ["block", "col"]).mapInArrow(_resolved, SCORES).groupBy("query_id", "vec_id").agg(F.sum("s").alias("score"))
-    whole = lambda some, key, ids, x: some.groupBy(key).agg(F.first(ids).alias(ids), F.transform(F.array_sort(F.collect_list(F.struct("col", x))), lambda c: c.getField(x)).alias(x))
-    odd = pairs.where("wide_q OR wide_b").select("asked", "block")
-    large = odd.join(whole(queries, "asked", "qids", "qdata"), "asked").join(whole(blocks, "block", "ids", "data"), "block").mapInArrow(_wide(k), SCORES)
-    scores = resolved.unionByName(large.withColumnRenamed("s", "score"))
-    return best(scores, "score", k).select("query_id", "rank", "vec_id", "score")
-
-
-def _packed_bounds(asked: DataFrame, cut: DataFrame) -> DataFrame:
-    """The rows of asked with each query's smallest local score, cutoff and lower bound, packed in the order of its queries."""
-    by = cut.select("query_id", "col", "lowest", "tau")
-    ids = asked.select("asked", "col", "n_cols", "qids").mapInArrow(_query_ids, "asked long, col int, n_cols int, query_id long, at int")
-    cutoff = F.expr("(tau + n_cols - 1) div n_cols").alias("cutoff")
-    each = ids.join(by, ["query_id", "col"], "left").fillna(0, ["lowest", "tau"]).select("asked", "col", F.struct("at", "lowest", cutoff, "tau").alias("x"))
-    lists = each.groupBy("asked", "col").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    numbers_ = lists.select("asked", "col", *(F.col(f"x.{name}").alias(name) for name in ("lowest", "cutoff", "tau")))
-    return asked.join(numbers_.mapInArrow(_as_binary, "asked long, col int, lowest binary, cutoffs binary, bounds binary"), ["asked", "col"])
-
-
-def _query_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            ids = numbers(row, "qids")
-            yield pa.RecordBatch.from_pydict({"asked": np.full(len(ids), row["asked"]), "col": np.full(len(ids), row["col"], np.int32), "n_cols": np.full(len(ids), row["n_cols"], np.int32), "query_id": ids, "at": np.arange(len(ids), dtype=np.int32)})
-
-
-def _as_binary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        pack = lambda name: pa.array([np.array(x, np.int64).tobytes() for x in batch.column(name).to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("asked"), batch.column("col"), pack("lowest"), pack("cutoff"), pack("tau")], names=["asked", "col", "lowest", "cutoffs", "bounds"])
+    shares, n_shares = counted(rows.groupBy("dim", "wide").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares")))
+    placed = rows.join(bounded(shares, n_shares), ["dim", "wide"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), "shares").cast("int")).select(*KEY, "vec_id", "v")
+    blocks = saved(placed.repartition(n, *KEY).sortWithinPartitions(*KEY, "vec_id").mapInArrow(_pack(False), PACKED))
+    queries, n_queries = counted(rows.where(F.col("vec_id") % every == 0).select("dim", "wide", F.lit(0).alias("part"), "vec_id", "v"))
+    goals = bounded(shares.select("dim", F.col("wide").alias("to"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("at")), n_shares)
+
+    def passed(some: DataFrame, which: str, to: DataFrame, run, schema: str) -> DataFrame:
+        """Each share's rows, then the queries that ask it, through one task."""
+        packed = some.sortWithinPartitions("dim", "wide").mapInArrow(_pack(True), PACKED)
+        spread = packed.join(goals, "dim").where(which).withColumns({"wide": F.col("to"), "part": F.col("at")}).select(*to.columns)
+        return to.unionByName(spread).repartition(n, *KEY).sortWithinPartitions(*KEY, "is_query").mapInArrow(run, schema)
+
+    plain = "NOT wide AND NOT to"
+    heads = passed(queries, plain, blocks.where("NOT wide"), _heads(k), HEADS)
+    bounds = heads.repartition(n, "query_id").sortWithinPartitions("query_id").mapInArrow(_bound(k), BOUND)
+    known = queries.join(bounds.withColumnRenamed("query_id", "vec_id"), "vec_id").select(*KEY, "vec_id", "v", "lowest", "tau")
+    found = passed(known.repartition(max(1, -(-n_queries // (8 * QUERIES)))), plain, blocks.where("NOT wide"), _candidates(k), FOUND)
+    if not shares.where("wide").isEmpty():
+        found = found.unionByName(passed(queries, "wide OR to", blocks, _wide(k), FOUND))
+    return found.repartition(n, "query_id").mapInArrow(_merged(k), RESULT)

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -210,3 +211,17 @@ def test_topk_search_repeated_keys_and_empty_table(spark):
     assert got == [(50, 1, 3, 65536)]
     assert topk_search(vector_table(spark, [])).count() == 0
     assert topk_search(vector_table(spark, [(7, [1.0])])).count() == 0
+
+
+def test_topk_search_over_shares(spark, monkeypatch):
+    """Shares send k rows for a query, so less is shuffled than there are pairs."""
+    monkeypatch.setattr(topk, "SHARE", 900, raising=False)
+    x = np.random.default_rng(8).standard_normal((4000, 17))
+    table = {i: v.tolist() for i, v in enumerate(x)}
+    df = vector_table(spark, list(table.items()))
+    sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = sent()
+    got = sorted(tuple(r) for r in topk_search(df).collect())
+    time.sleep(1)
+    assert got == products(table, 50, 5)
+    assert sent() - before < 8 * 80 * 4000 / 2
