@@ -36,8 +36,8 @@ EVERY = 50
 SCALE = 256
 #: Columns of a node, rows of a share that are compared at once, queries in one row of the exchange.
 COLUMNS, ROWS, QUERIES = 16, 4096, 128
-#: Rows of a share, about.
-SHARE = 16_384
+#: Rows of a share, about; numbers in one, and in a row of the exchange.
+SHARE, SHARE_VALUES, ROW_VALUES = 16_384, 1 << 22, 1 << 20
 #: Sums of products stay below this; below the other one, single precision is exact too.
 EXACT, EXACT_SINGLE = 2**53, 2**24
 LONGEST = 2**63 - 1
@@ -79,8 +79,9 @@ def _pack(queries: bool):
             keys = [batch.column(k).to_numpy(zero_copy_only=False) for k in KEY]
             edges = np.flatnonzero(np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))).tolist() + [batch.num_rows] if batch.num_rows else [0]
             for a, b in zip(edges, edges[1:], strict=False):
-                for lo in range(a, b, QUERIES if queries else ROWS):
-                    some = batch.slice(lo, min(b, lo + (QUERIES if queries else ROWS)) - lo)
+                step = max(1, min(QUERIES if queries else ROWS, ROW_VALUES // max(1, int(keys[0][a]))))
+                for lo in range(a, b, step):
+                    some = batch.slice(lo, min(b, lo + step) - lo)
                     x = narrow(matrix(some.column("v")))
                     lowest, tau = b"", b""
                     if queries and "tau" in batch.schema.names:
@@ -286,7 +287,8 @@ def topk_search(table: DataFrame, every: int = EVERY, k: int = NEIGHBOURS) -> Da
     """
     n = 2 * int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = saved(whole_vectors(table))
-    shares, n_shares = counted(rows.groupBy("dim", "wide").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares")))
+    shares, n_shares = counted(rows.groupBy("dim", "wide").agg(F.count(F.lit(1)).alias("n")).select("dim", "wide", F.ceil(F.col("n") / F.greatest(F.lit(1), F.least(F.lit(SHARE), F.expr(f"{SHARE_VALUES} div greatest(1, dim)")))).cast("int").alias("shares")))
+    parts = max(n, 4 * (shares.agg(F.sum("shares")).first()[0] or 0))  # few shares meet in one partition
     placed = rows.join(bounded(shares, n_shares), ["dim", "wide"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), "shares").cast("int")).select(*KEY, "vec_id", "v")
     blocks = saved(placed.repartition(n, *KEY).sortWithinPartitions(*KEY, "vec_id").mapInArrow(_pack(False), PACKED))
     queries, n_queries = counted(rows.where(F.col("vec_id") % every == 0).select("dim", "wide", F.lit(0).alias("part"), "vec_id", "v"))
@@ -296,7 +298,7 @@ def topk_search(table: DataFrame, every: int = EVERY, k: int = NEIGHBOURS) -> Da
         """Each share's rows, then the queries that ask it, through one task."""
         packed = some.sortWithinPartitions("dim", "wide").mapInArrow(_pack(True), PACKED)
         spread = packed.join(goals, "dim").where(which).withColumns({"wide": F.col("to"), "part": F.col("at")}).select(*to.columns)
-        return to.unionByName(spread).repartition(n, *KEY).sortWithinPartitions(*KEY, "is_query").mapInArrow(run, schema)
+        return to.unionByName(spread).repartition(parts, *KEY).sortWithinPartitions(*KEY, "is_query").mapInArrow(run, schema)
 
     plain = "NOT wide AND NOT to"
     heads = passed(queries, plain, blocks.where("NOT wide"), _heads(k), HEADS)

@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by an adaptive dimension scan of probed lists (operator 5).
 
-Rows are dealt to lists around centroids fitted on a bounded sample; every row is in a list, and lists are
-cut into blocks, so a crowded list is many rows of a join. A query probes the lists with the best
+Rows are dealt to lists around centroids fitted on a bounded sample; every row is in a list. Lists are gathered in
+shares of bounded size, and a crowded list is dealt over several. A share's rows are one task's; each query comes once
+to every share that has a list that it probes, so no pair of queries and rows is shipped. A query probes the lists with the best
 centroids; how many is measured on the sample, for ``TARGET`` of the true neighbours. In a block, vectors
 rotated by a random orthogonal matrix are read a few dimensions at a time. The partial squared distance,
 scaled up, is an estimate of the whole one, and a candidate is abandoned when a test on it says that it
-cannot reach the query's bound: the k-th best of a few seed rows.
+cannot reach the query's bound: the k-th best of a few seed rows, then of what the share has found.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.blocks import packed_strings, unpacked
-from brindle.llm.saved import saved
+from brindle.llm.blocks import packed_strings, ragged, unpacked
+from brindle.llm.saved import bounded, counted, saved
 from brindle.llm.vectors import matrix, scaled, usable, vectors
 
 NEIGHBOURS = 20
@@ -35,16 +36,17 @@ WILD = 2.0**250
 WIDEST = 2048
 BLOCK = 1024
 QUERIES = 256
+#: Rows of a share, about; numbers in one, and in a row of the exchange.
+SHARE, SHARE_VALUES, ROW_VALUES = 4096, 1 << 22, 1 << 20
 STEP = 16
 #: Strictness of the test; a candidate is abandoned when its estimate exceeds the bound by 1 + STRICT / sqrt(dimensions read).
 STRICT = 2.1
 TARGET = 0.97
 TRIAL_QUERIES = 256
 
-BLOCKS = "list int, ids binary, data binary"
-_BLOCKS = pa.schema([("list", pa.int32()), ("ids", pa.binary()), ("data", pa.binary())])
-ASKED = "list int, qids binary, qdata binary, bounds binary"
-_ASKED = pa.schema([("list", pa.int32()), ("qids", pa.binary()), ("qdata", pa.binary()), ("bounds", pa.binary())])
+#: Blocks of a share's rows by list, then queries with their first bounds and the (query, list) that they probe there.
+PACKED = "share int, is_query boolean, list int, dim int, size int, ids binary, data binary, bounds binary, who binary, lists binary"
+_PACKED = pa.schema([("share", pa.int32()), ("is_query", pa.bool_()), ("list", pa.int32()), ("dim", pa.int32()), ("size", pa.int32()), *((x, pa.binary()) for x in ("ids", "data", "bounds", "who", "lists"))])
 HITS = "query_id long, ids binary, scores binary"
 _HITS = pa.schema([("query_id", pa.int64()), ("ids", pa.binary()), ("scores", pa.binary())])
 RESULT = "query_id long, rank int, vec_id long, score double"
@@ -124,21 +126,42 @@ def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(score), -np.inf, score)
 
 
-def _blocks(lists: dict[int, Lists]):
-    """Packs range-sorted rows of a list into blocks."""
+def rows_of(limit: int, values: int, dim: int) -> int:
+    """How many vectors of this length go together."""
+    return max(1, min(limit, values // max(1, dim)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column("list").to_numpy()
-            edges = np.flatnonzero(np.append(True, at[1:] != at[:-1])).tolist() + [len(at)]
-            for a, b in zip(edges, edges[1:], strict=False):
-                for lo in range(a, b, BLOCK):
-                    part = batch.slice(lo, min(b, lo + BLOCK) - lo)
-                    n = np.array([part.num_rows])
-                    x = matrix(part.column("embedding"))
-                    yield pa.RecordBatch.from_arrays([pa.array([int(at[lo])], pa.int32()), packed_strings(part.column("vec_id").to_numpy(), n), packed_strings(x.ravel(), n * x.shape[1])], schema=_BLOCKS)
 
-    return run
+def _row(share: int, is_query: bool, number: int, x: np.ndarray, ids: np.ndarray, *others: np.ndarray) -> pa.RecordBatch:
+    with np.errstate(over="ignore"):
+        single = x.astype(np.float32)
+    x = single if (single == x).all() else x
+    packed = [np.ascontiguousarray(y).tobytes() for y in (ids, x, *others)] + [b""] * (3 - len(others))
+    return pa.RecordBatch.from_arrays([pa.array([share], pa.int32()), pa.array([is_query]), pa.array([number], pa.int32()), pa.array([x.shape[1]], pa.int32()), pa.array([x.itemsize], pa.int32()), *(pa.array([y], pa.binary()) for y in packed)], schema=_PACKED)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packs sorted rows of a list in a share into blocks."""
+    for batch in batches:
+        share, at = batch.column("share").to_numpy(), batch.column("list").to_numpy()
+        edges = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (share[1:] != share[:-1]))).tolist() + [len(at)] if len(at) else [0]
+        for a, b in zip(edges, edges[1:], strict=False):
+            x, ids = matrix(batch.column("embedding").slice(a, b - a)), batch.column("vec_id").to_numpy()[a:b]
+            step = rows_of(BLOCK, ROW_VALUES, x.shape[1])
+            for lo in range(0, b - a, step):
+                yield _row(int(share[a]), False, int(at[a]), x[lo : lo + step], ids[lo : lo + step])
+
+
+def dealt(counts: dict[int, int], limits: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """For each list its first share, and over how many shares it is dealt; limits: rows of a share by list."""
+    out, share, held = {}, 0, 0.0
+    for number, n in sorted(counts.items()):
+        part = n / limits[number]
+        if held and held + part > 1:
+            share, held = share + 1, 0.0
+        k = max(1, -(-n // limits[number]))
+        out[number] = (share, k)
+        share, held = (share + k, 0.0) if k > 1 else (share, held + part)
+    return out
 
 
 def _number(lists: dict[int, Lists]):
@@ -157,8 +180,8 @@ def _number(lists: dict[int, Lists]):
     return run
 
 
-def _ask(lists: dict[int, Lists]):
-    """Queries grouped by the lists that they probe, with their first bound."""
+def _ask(lists: dict[int, Lists], goals: dict[int, tuple[int, int]]):
+    """Queries by share, with their first bound and the lists that they probe there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,28 +196,47 @@ def _ask(lists: dict[int, Lists]):
                 if first.shape[1] >= known.k:
                     bounds = np.partition(first, first.shape[1] - known.k, axis=1)[:, first.shape[1] - known.k]
                 bounds[wild(q)] = -np.inf
+                # the share of each list, and its others where a crowded list has several
+                shares = np.full((MOST_LISTS + 1, 2), 0, np.int64)
+                for number in range(MOST_LISTS + 1):
+                    shares[number] = goals.get(number + d * (MOST_LISTS + 1), (0, 0))
                 wanted = known.asked(q)
                 query, which = np.repeat(np.arange(len(ids)), wanted.shape[1]), wanted.ravel()
-                order = np.argsort(which, kind="stable")
-                query, which = query[order], which[order]
-                edges = np.flatnonzero(np.append(True, which[1:] != which[:-1])).tolist() + [len(which)]
+                times = shares[which, 1]
+                query, which, share = np.repeat(query, times), np.repeat(which, times), ragged(shares[which, 0], times)
+                order = np.lexsort((query, share))
+                query, which, share = query[order], which[order], share[order]
+                edges = np.flatnonzero(np.append(True, share[1:] != share[:-1])).tolist() + [len(share)] if len(share) else [0]
                 for a, b in zip(edges, edges[1:], strict=False):
-                    for lo in range(a, b, QUERIES):
-                        some = query[lo : min(b, lo + QUERIES)]
-                        n = np.array([len(some)])
-                        yield pa.RecordBatch.from_arrays([pa.array([int(which[a]) + d * (MOST_LISTS + 1)], pa.int32()), packed_strings(ids[some], n), packed_strings(q[some].ravel(), n * d), packed_strings(bounds[some], n)], schema=_ASKED)
+                    asks, at = np.unique(query[a:b], return_inverse=True)
+                    step = rows_of(QUERIES, ROW_VALUES, d)
+                    for lo in range(0, len(asks), step):
+                        some, pair = asks[lo : lo + step], slice(*np.searchsorted(at, (lo, lo + step)))
+                        yield _row(int(share[a]), True, 0, q[some], ids[some], bounds[some], (at[pair] - lo).astype(np.int16), (which[a:b][pair] + d * (MOST_LISTS + 1)).astype(np.int32))
 
     return run
 
 
-def scan(qids: np.ndarray, q: np.ndarray, bounds: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query_id, ids, scores) of the best of one block that reach each query's bound."""
-    dim = x.shape[1]
-    turn, free = rotation(dim), wild(q)[:, None] | wild(x)[None, :]
-    u, v = (np.where(wild(y)[:, None], 0, y) for y in (q, x))
-    norms = (u * u).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None, :]
-    if turn is not None:
-        u, v = u @ turn, v @ turn
+class Turned:
+    """Vectors with what a scan needs of them: norms, coordinates after the rotation, which are wild."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        self.ids, self.x, self.wild = ids, x, wild(x)
+        y = np.where(self.wild[:, None], 0, x)
+        turn = rotation(x.shape[1])
+        self.norms, self.y = (y * y).sum(axis=1), y if turn is None else y @ turn
+
+    def some(self, on: np.ndarray) -> Turned:
+        out = object.__new__(Turned)
+        out.ids, out.x, out.wild, out.norms, out.y = (z[on] for z in (self.ids, self.x, self.wild, self.norms, self.y))
+        return out
+
+
+def scan(queries: Turned, bounds: np.ndarray, rows: Turned, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place of the query, ids, scores) of the best of one block that reach each query's bound."""
+    qids, q, ids, x, u, v = queries.ids, queries.x, rows.ids, rows.x, queries.y, rows.y
+    dim, free = x.shape[1], queries.wild[:, None] | rows.wild[None, :]
+    norms = queries.norms[:, None] + rows.norms[None, :]
     limit = norms - 2 * (bounds[:, None] - 1e-9)  # squared distance at which the bound is reached
     steps = [*range(STEP, dim, STEP), dim]
     d = steps[0]
@@ -221,7 +263,7 @@ def scan(qids: np.ndarray, q: np.ndarray, bounds: np.ndarray, ids: np.ndarray, x
         if b > a:
             score = products(x[j[a:b]], q[n])
             best = top(score, ids[j[a:b]], k)
-            yield int(qids[n]), ids[j[a:b]][best], score[best]
+            yield n, ids[j[a:b]][best], score[best]
 
 
 def _hits(found: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -230,13 +272,39 @@ def _hits(found: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 
 
 def _scan(k: int):
+    """Queries past the blocks of their share: the k best found there."""
+
+    def unpack(row: dict) -> Turned:
+        return Turned(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["data"], f"f{row['size']}").astype(np.float64).reshape(-1, row["dim"]))
+
+    def found(row: dict, blocks: dict[int, list[Turned]]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        queries, bounds, out = unpack(row), np.frombuffer(row["bounds"], np.float64).copy(), {}
+        who, which = np.frombuffer(row["who"], np.int16), np.frombuffer(row["lists"], np.int32)
+        for number in np.unique(which).tolist():
+            on = who[which == number]
+            some = queries.some(on) if number in blocks else None
+            for rows in blocks.get(number, ()):
+                for n, ids, score in scan(some, bounds[on], rows, k):
+                    n = on[n]
+                    if n in out:
+                        ids, score = np.append(out[n][0], ids), np.append(out[n][1], score)
+                        best = top(score, ids, k)
+                        ids, score = ids[best], score[best]
+                    out[n] = (ids, score)
+                    if len(ids) == k and not queries.wild[n]:
+                        bounds[n] = max(bounds[n], score[-1])
+        return [(int(queries.ids[n]), *x) for n, x in out.items()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share, blocks = None, {}
         for batch in batches:
             for row in batch.to_pylist():
-                d = row["list"] // (MOST_LISTS + 1)
-                found = list(scan(np.frombuffer(row["qids"], np.int64), np.frombuffer(row["qdata"], np.float64).reshape(-1, d), np.frombuffer(row["bounds"], np.float64), np.frombuffer(row["ids"], np.int64), np.frombuffer(row["data"], np.float64).reshape(-1, d), k))
-                if found:
-                    yield _hits(found)
+                if row["share"] != share:
+                    share, blocks = row["share"], {}
+                if not row["is_query"]:
+                    blocks.setdefault(row["list"], []).append(unpack(row))
+                elif hits := found(row, blocks):
+                    yield _hits(hits)
 
     return run
 
@@ -304,9 +372,14 @@ def vector_search(table: DataFrame, every: int = EVERY, k: int = NEIGHBOURS) ->
         some = rows.where((F.col("dim") == d) & ~F.exists("embedding", lambda x: F.abs(x) > WILD)).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec_id", "embedding").toArrow()
         lists[d] = Lists(some.column("vec_id").to_numpy(), matrix(some.column("embedding")) if some.num_rows else np.empty((0, d)), size, k)
     numbered = saved(rows.mapInArrow(_number(lists), "vec_id long, embedding array<double>, list int"))
-    blocks = numbered.repartitionByRange(n, "list", "vec_id").sortWithinPartitions("list", "vec_id").mapInArrow(_blocks(lists), BLOCKS)
-    queries = rows.where(F.col("vec_id") % every == 0)
-    asked = queries.repartition(n, "vec_id").mapInArrow(_ask(lists), ASKED)
-    hits = asked.join(blocks, "list").repartition(n).mapInArrow(_scan(k), HITS)
+    counts = {r.list: r.n for r in numbered.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    goals = dealt(counts, {x: rows_of(SHARE, SHARE_VALUES, x // (MOST_LISTS + 1)) for x in counts})
+    deal = spark.createDataFrame([(number, *goal) for number, goal in goals.items()], "list int, first int, times int")
+    placed = numbered.join(bounded(deal, len(goals)), "list").withColumn("share", (F.col("first") + F.pmod(F.xxhash64("vec_id"), "times")).cast("int"))
+    blocks = placed.select("share", "list", "vec_id", "embedding").repartition(n, "share").sortWithinPartitions("share", "list", "vec_id").mapInArrow(_blocks, PACKED)
+    queries, _ = counted(rows.where(F.col("vec_id") % every == 0))
+    asked = queries.mapInArrow(_ask(lists, goals), PACKED)
+    parts = max(n, 4 * sum(max(goals.values(), default=(0, 0))))  # few shares meet in one partition
+    hits = blocks.unionByName(asked).repartition(parts, "share").sortWithinPartitions("share", "is_query").mapInArrow(_scan(k), HITS)
     hits = hits.unionByName(queries.mapInArrow(_sample_hits(lists, k), HITS))
     return hits.repartition(n, "query_id").mapInArrow(_merge(k), RESULT)

@@ -4,6 +4,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -336,3 +337,27 @@ def test_pipeline_keeps_one_row_for_each_id(spark):
     got = corpus_pipeline.one_row_per_id(spark.createDataFrame(rows, DOCS))
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sorted((r.doc_id, r.text, r.lang) for r in got.collect() if r.text) == [(1, "b", "en"), (2, "y", "de")] and got.count() == 3
+
+
+def test_vector_search_ships_no_pairs(spark, monkeypatch):
+    """A crowded list lies in several shares; queries come once to a share, blocks never to a query."""
+    monkeypatch.setattr(vector_search, "SHARE", 300, raising=False)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((4000, 32)) / 6
+    x[:1000] = x[0] + 0.001 * rng.standard_normal((1000, 32))
+    df = spark.createDataFrame([(i, v.tolist(), 0, "e") for i, v in enumerate(x)], SCHEMA)
+    sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    time.sleep(1)  # the figures come late
+    before, got = sent(), {}
+    for r in search(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    time.sleep(1)
+    shipped = sent() - before
+    best = {q: set(np.lexsort((np.arange(4000), -np.where(np.arange(4000) == q, -np.inf, x @ x[q])))[:20].tolist()) for q in range(0, 4000, 20)}
+    assert sum(len(best[q] & got[q]) for q in best) >= 0.9 * 20 * len(best) and all(len(y) == 20 for y in got.values())
+    assert shipped < 6 * x.nbytes, shipped
+
+
+def test_dealt():
+    goals = vector_search.dealt({1: 50, 2: 60, 3: 250, 4: 30, 5: 70, 6: 1}, dict.fromkeys(range(1, 7), 100))
+    assert goals == {1: (0, 1), 2: (1, 1), 3: (2, 3), 4: (5, 1), 5: (5, 1), 6: (6, 1)}

@@ -220,6 +220,7 @@ def test_topk_search_over_shares(spark, monkeypatch):
     table = {i: v.tolist() for i, v in enumerate(x)}
     df = vector_table(spark, list(table.items()))
     sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    time.sleep(1)  # the figures come late
     before = sent()
     got = sorted(tuple(r) for r in topk_search(df).collect())
     time.sleep(1)
