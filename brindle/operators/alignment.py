@@ -14,6 +14,7 @@ from brindle.operators.tiles import SIDE, Tile, each_tile
 
 #: From this share of pixels below the lowest marker on, their components are looked for first.
 WIDE = 0.25
+LAB = ("l", "a", "b")
 FOUR = ((-1, 0), (0, -1), (0, 1), (1, 0))
 AROUND = ((-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1))
 
@@ -132,22 +133,25 @@ def _moved(backwards: bool):
                 if simple[sum((n == here) << i for i, n in enumerate(near))] and simple[sum((n == to) << i for i, n in enumerate(near))]:
                     label[y, x] = to
                     moves[y, x] = True
-        near = np.logical_or.reduce([waits, *(np.roll(waits, d, (0, 1)) for d in AROUND)])
-        return {"region_id": label, "open": waits, "moves": moves, "near": near}
+        wide = lambda mask: np.logical_or.reduce([mask, *(np.roll(mask, d, (0, 1)) for d in AROUND)])
+        again = tile.grid("again", False, bool) | wide(open_ & (label != target))
+        return {"region_id": label, "open": waits, "moves": moves, "near": wide(waits), "again": again}
 
     return run
 
 
-def safe_moves(pixels: DataFrame, pairs: DataFrame, passes: int = 8, side: int = SIDE) -> DataFrame:
+def safe_moves(pixels: DataFrame, pairs: DataFrame, passes: int = 8, side: int = SIDE, frozen: DataFrame | None = None) -> DataFrame:
     """Gives pixels their target region one by one where that keeps every region's parts and holes and makes no new neighbours.
 
     pixels(image_id, y, x, region_id, target, benefit), target null or equal to region_id where nothing is to
-    move; pairs(image_id, lo, hi): regions that may touch. Moves are tried in the order of -benefit, y, x, and in
+    move; pairs(image_id, lo, hi): regions that may touch; frozen(image_id, region_id): regions that neither lose nor
+    get pixels, beside which others still move. Moves are tried in the order of -benefit, y, x, and in
     the opposite order every second pass, until a pass moves nothing. Within a pass a pixel depends on its eight
     neighbours only: a tile settles its pixels in order, those next to a pixel that waits wait for the next round, which
-    has only what waits and the pixels around it (near). The result is that of one pass after another over the whole image.
+    has only what waits and the pixels around it (near). Later passes have only the pixels that have not moved yet and
+    those around them (again). The result is that of one pass after another over the whole image.
     """
-    schema = "image_id string, y long, x long, region_id long, target long, benefit double, open boolean, moves boolean, near boolean"
+    schema = "image_id string, y long, x long, region_id long, target long, benefit double, open boolean, moves boolean, near boolean, again boolean"
     state = pixels.select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("region_id").cast("long").alias("region_id"), F.coalesce("target", "region_id").cast("long").alias("target"), F.coalesce("benefit", F.lit(0.0)).cast("double").alias("benefit"))
     known = graph.saved(pairs.select("image_id", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi")))
 
@@ -158,11 +162,16 @@ def safe_moves(pixels: DataFrame, pairs: DataFrame, passes: int = 8, side: int =
         return graph.saved(known.join(ends("lo"), ["image_id", "lo"]).join(ends("hi"), ["image_id", "ty", "tx", "hi"]))
 
     by_tile = met(state)
-    allowed = known.select("image_id", F.col("lo").alias("one"), F.col("hi").alias("two"), F.lit(True).alias("may"))
+    allowed = known
+    if frozen is not None:
+        for end in ("lo", "hi"):
+            allowed = allowed.join(frozen.select("image_id", F.col("region_id").alias(end)).distinct(), ["image_id", end], "left_anti")
+    allowed = graph.saved(allowed).select("image_id", F.col("lo").alias("one"), F.col("hi").alias("two"), F.lit(True).alias("may"))
+    columns, over, rest = state.columns, None, state
     for turn in range(passes):
-        can = state.withColumns({"one": F.least("region_id", "target"), "two": F.greatest("region_id", "target")}).join(allowed, ["image_id", "one", "two"], "left")
-        can = can.select("image_id", "y", "x", "region_id", "target", "benefit", F.col("may").isNotNull().alias("open"))
-        rest, pairs_met, settled, any_moves = can, by_tile, None, False
+        can = rest.withColumns({"one": F.least("region_id", "target"), "two": F.greatest("region_id", "target")}).join(allowed, ["image_id", "one", "two"], "left")
+        rest = can.select(*columns, F.col("may").isNotNull().alias("open"), F.lit(False).alias("again"))
+        pairs_met, settled, any_moves = by_tile, None, False
         while True:
             done = graph.saved(each_tile(rest, side, schema, _moved(turn % 2 == 1), pairs_met))
             left = done.agg(F.max("open").alias("open"), F.max("moves").alias("moves")).first()
@@ -171,10 +180,31 @@ def safe_moves(pixels: DataFrame, pairs: DataFrame, passes: int = 8, side: int =
                 break
             rest, kept = done.where("near"), done.where("NOT near")
             settled, pairs_met = (kept, met(rest)) if settled is None else (settled.unionByName(kept), pairs_met)
-        state = (done if settled is None else settled.unionByName(done)).select("image_id", "y", "x", "region_id", "target", "benefit")
-        if not any_moves:
+        state = done if settled is None else settled.unionByName(done)
+        if not any_moves or turn == passes - 1:
             break
-    return state
+        kept, rest = state.where("NOT again").select(*columns), graph.saved(state.where("again").select(*columns))
+        over, by_tile = kept if over is None else over.unionByName(kept), met(rest)
+    state = state.select(*columns)
+    return state if over is None else over.unionByName(state)
+
+
+def projected(pixels: DataFrame, pairs: DataFrame, centres: DataFrame, frozen: DataFrame | None = None, side: int = SIDE) -> DataFrame:
+    """(image_id, y, x, region_id, target) after the safe moves of a proposal: pixels(..., region_id, target, l, a, b).
+
+    A pixel's benefit is how much nearer (CIEDE2000) its colour is to the target's centre than to that of its own region;
+    centres(image_id, region_id, l_m, a_m, b_m).
+    """
+    to = centres.select("image_id", F.col("region_id").alias("target"), *(F.col(f"{c}_m").alias(f"{c}_t") for c in LAB))
+    wanted = pixels.where("target <> region_id").join(centres, ["image_id", "region_id"]).join(to, ["image_id", "target"])
+    gain = difference(*(F.col(c) for c in LAB), *(F.col(f"{c}_m") for c in LAB)) - difference(*(F.col(c) for c in LAB), *(F.col(f"{c}_t") for c in LAB))
+    benefits = wanted.select("image_id", "y", "x", gain.alias("benefit"))
+    return safe_moves(pixels.join(benefits, ["image_id", "y", "x"], "left"), pairs, side=side, frozen=frozen).select("image_id", "y", "x", "region_id", "target")
+
+
+def medians_of(pixels: DataFrame) -> DataFrame:
+    """(image_id, region_id, l_m, a_m, b_m): the colours that regions are painted with."""
+    return pixels.groupBy("image_id", "region_id").agg(*(F.median(c).alias(f"{c}_m") for c in LAB))
 
 
 def proposal(pixels: DataFrame, strength: str, radius: float, frozen: DataFrame | None = None, side: int = SIDE) -> DataFrame:
@@ -201,9 +231,6 @@ def proposal(pixels: DataFrame, strength: str, radius: float, frozen: DataFrame
     return pixels.join(found.select("image_id", "y", "x", F.col("label").alias("target")), ["image_id", "y", "x"])
 
 
-LAB = ("l", "a", "b")
-
-
 def _shape(pixels: DataFrame, strength: str, centres: DataFrame) -> dict[str, float]:
     """Measures of a region map: mean edge strength on boundaries, mean difference to the regions' colours."""
     p = raster.boundary_mask(pixels).join(centres, ["image_id", "region_id"])
@@ -236,21 +263,13 @@ def aligned(pixels: DataFrame, strength: str, most: int, frozen: DataFrame | Non
     """
     pixels = graph.saved(pixels)
     pairs = graph.saved(raster.shared_boundary(pixels).select("image_id", "lo", "hi"))
-    if frozen is not None:
-        for s in ("lo", "hi"):
-            pairs = pairs.join(frozen.select("image_id", F.col("region_id").alias(s)).distinct(), ["image_id", s], "left_anti")
-        pairs = graph.saved(pairs)
-    centres = graph.saved(pixels.groupBy("image_id", "region_id").agg(*(F.median(c).alias(f"{c}_m") for c in LAB)))
+    centres = graph.saved(medians_of(pixels))
     base = _shape(pixels, strength, centres)
     log, accepted = [], []
     rest = [c for c in pixels.columns if c != "region_id"]
     for radius in range(most, 0, -1):
         p = graph.saved(proposal(pixels, strength, radius, frozen, side))
-        to = centres.select("image_id", F.col("region_id").alias("target"), *(F.col(f"{c}_m").alias(f"{c}_t") for c in LAB))
-        wanted = p.where("target <> region_id").join(centres, ["image_id", "region_id"]).join(to, ["image_id", "target"])
-        gain = difference(*(F.col(c) for c in LAB), *(F.col(f"{c}_m") for c in LAB)) - difference(*(F.col(c) for c in LAB), *(F.col(f"{c}_t") for c in LAB))
-        benefits = wanted.select("image_id", "y", "x", gain.alias("benefit"))
-        moved = safe_moves(p.join(benefits, ["image_id", "y", "x"], "left"), pairs, side=side).select("image_id", "y", "x", F.col("region_id").alias("to"))
+        moved = projected(p, pairs, centres, frozen, side).select("image_id", "y", "x", F.col("region_id").alias("to"))
         candidate = graph.saved(p.join(moved, ["image_id", "y", "x"]).withColumn("from", F.col("region_id")).withColumn("region_id", F.col("to")).drop("to"))
         counts = candidate.agg(F.count(F.when(F.col("region_id") != F.col("from"), 1)).alias("moved"), F.count(F.when(F.col("target") != F.col("from"), 1)).alias("asked")).first()
         shape, reasons = _shape(candidate, strength, centres), []

@@ -347,3 +347,43 @@ def test_labels_by_ranges(spark):
     got = {(r.image_id, r.region_id): r.label for r in labels.collect()}
     assert got == {(n, int(v)): k for n, a in images.items() for k, v in enumerate((x for x in np.unique(a) if x), 1)}
     assert "dense_rank" not in labels._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_moves_beside_frozen_regions_and_by_colour(spark):
+    """A frozen region keeps its pixels while others move beside it; benefits are differences of colours; passes go on until nothing moves."""
+    rng = np.random.default_rng(11)
+    a = np.ones((20, 18), int)
+    a[:, 7:] = 2
+    a[12:, :] = 3
+    target = np.where(rng.random(a.shape) < 0.7, rng.integers(1, 4, a.shape), a)
+    lab = {c: rng.normal(50, 20, a.shape).round(2) for c in "lab"}
+    centre = {1: (30.0, 5.0, 2.0), 2: (50.0, -8.0, 4.0), 3: (70.0, 0.0, -9.0)}
+    pairs = {(1, 2), (1, 3), (2, 3)}
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    p = image_rows(spark, {"a": a}, target={"a": target}, **{c: {"a": x} for c, x in lab.items()})
+    pair_rows, centres = frame([("a", *x) for x in pairs], "image_id string, lo long, hi long"), frame([("a", r, *c) for r, c in centre.items()], "image_id string, region_id long, l_m double, a_m double, b_m double")
+    ends = [*(F.col(c) for c in "lab"), *(F.col(f"m{c}") for c in "lab")]
+    each = [(y, x, r, *(float(lab[c][y, x]) for c in "lab"), *centre[r]) for y in range(20) for x in range(18) for r in {int(a[y, x]), int(target[y, x])}]
+    far = {(r.y, r.x, r.r): r.e for r in frame(each, "y long, x long, r long, l double, a double, b double, ml double, ma double, mb double").select("y", "x", "r", alignment.difference(*ends).alias("e")).collect()}
+    benefit = np.array([[far[y, x, int(a[y, x])] - far[y, x, int(target[y, x])] for x in range(18)] for y in range(20)])
+    for frozen in (None, 3):
+        held = target.copy()
+        if frozen:
+            held[(a == frozen) | (target == frozen)] = a[(a == frozen) | (target == frozen)]
+        want = moved_one_by_one(a, held, benefit, pairs)
+        rows = frame([("a", frozen)], "image_id string, region_id long") if frozen else None
+        got = back(alignment.projected(p, pair_rows, centres, rows, side=8), {"a": a}, "region_id")["a"]
+        assert (got == want).all() and (want != a).any()
+        if frozen:
+            assert ((want == 3) == (a == 3)).all() and (want[10:12] != a[10:12]).any()
+
+
+def test_aligned_boundaries_leaves_no_move(spark, monkeypatch):
+    """The query hands over benefits by colour and goes on until a pass moves nothing, not for a fixed two."""
+    from brindle.plans import shape_queries
+
+    seen = {}
+    monkeypatch.setattr(alignment, "safe_moves", lambda p, pairs, *x, **k: seen.update(p=p, more=x, k=k) or p)
+    shape_queries.aligned_boundaries(spark, "/root/testdata/sf0.001")
+    assert not seen["more"] and seen["k"].get("passes", 8) >= 8
+    assert seen["p"].where("target <> region_id AND benefit <> abs(v)").count() > 0
