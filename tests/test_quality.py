@@ -76,3 +76,13 @@ def test_palettes_of_few_colours_are_exact(spark):
     got = {r.image_id: [tuple(c) for c in r.centres] for r in quality.palettes(spark.createDataFrame(rows, "image_id string, l double, a double, b double, area long"), 5).collect()}
     assert got["q"] == [(5.0, 5.0, 5.0)]
     assert [c[0] for c in got["p"]] == pytest.approx([0, 10, 20])
+
+
+def test_source_report_has_all_superpixels_and_rounds(spark, monkeypatch):
+    from brindle.plans import shape_queries
+
+    seen = {}
+    monkeypatch.setattr(quality, "superpixels", lambda p, wanted, rounds: seen.update(wanted=wanted, rounds=rounds) or p.withColumn("region_id", F.col("y")))
+    monkeypatch.setattr(quality, "complexity", lambda p, mm: p.groupBy("image_id").agg(F.count("*").alias("parts"), F.lit(0.0).alias("micro_percent")))
+    shape_queries.source_report(spark, "/root/testdata/sf0.001")
+    assert seen == {"wanted": 1225, "rounds": 10}
