@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,6 +76,20 @@ def squared_to(pixels: DataFrame, seed: Column, name: str) -> DataFrame:
     return _down_columns(pixels.select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), across.alias("across")), False, name)
 
 
+def squared_within(pixels: DataFrame, seed: Column, name: str, reach: float) -> DataFrame:
+    """pixels with the squared distance to the nearest one where seed holds, infinite beyond ``reach``: windows only, along rows, then ``reach`` pixels up and down."""
+    row, column, most = raster.along_row(), raster.along_column(), math.floor(reach)
+    place = F.when(seed, F.col("x"))
+    before = F.last(place, ignorenulls=True).over(row.rowsBetween(-most, 0))
+    after = F.first(place, ignorenulls=True).over(row.rowsBetween(0, most))
+    across = F.coalesce(F.least(F.col("x") - before, after - F.col("x")).cast("double"), F.lit(float("inf")))
+    rows = pixels.withColumns({"across": across, "at": F.col("y").cast("double")})
+    square = F.col("across") * F.col("across")
+    for step in (f(c, k).over(column) for k in range(1, most + 1) for f in (F.lag, F.lead) for c in (F.struct("at", "across"),)):
+        square = F.least(square, (step["at"] - F.col("at")) * (step["at"] - F.col("at")) + step["across"] * step["across"])  # null beyond the rim counts for nothing
+    return rows.withColumn(name, F.when(square <= reach * reach, square).otherwise(float("inf"))).drop("across", "at")
+
+
 def squared_room(pixels: DataFrame, name: str = "room", rim: bool = True) -> DataFrame:
     """(image_id, y, x, region_id, name): the squared distance of each pixel to the nearest one outside its region; the raster's outside is outside only with ``rim``, else a region that fills its image has infinite room."""
     row = raster.along_row()

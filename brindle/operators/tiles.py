@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 SIDE = 256
 
 
-def dealt(pixels: DataFrame, side: int) -> DataFrame:
-    """Each pixel once for its own tile and once for every tile that touches it."""
-    near = [F.struct(F.floor((F.col("y") + dy) / side).alias("ty"), F.floor((F.col("x") + dx) / side).alias("tx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-    inner = F.expr(f"pmod(y, {side}) BETWEEN 1 AND {side} - 2 AND pmod(x, {side}) BETWEEN 1 AND {side} - 2")
+def dealt(pixels: DataFrame, side: int, rim: int = 1) -> DataFrame:
+    """Each pixel once for its own tile and once for every tile that it is at most ``rim`` pixels away from; rim is at most side."""
+    near = [F.struct(F.floor((F.col("y") + dy) / side).alias("ty"), F.floor((F.col("x") + dx) / side).alias("tx")) for dy in (-rim, 0, rim) for dx in (-rim, 0, rim)]
+    inner = F.expr(f"pmod(y, {side}) BETWEEN {rim} AND {side - 1 - rim} AND pmod(x, {side}) BETWEEN {rim} AND {side - 1 - rim}")
     rows = pixels.withColumn("t", F.explode(F.when(inner, F.array(near[4])).otherwise(F.array_distinct(F.array(*near))))).select("*", "t.ty", "t.tx").drop("t")
     return rows.withColumn("own", (F.floor(F.col("y") / side) == F.col("ty")) & (F.floor(F.col("x") / side) == F.col("tx")))
 
@@ -55,16 +55,16 @@ def placed(pixels: DataFrame, side: int) -> DataFrame:
     return pixels.withColumns({"ty": F.floor(F.col("y") / side), "tx": F.floor(F.col("x") / side)})
 
 
-def _around(some: DataFrame) -> DataFrame:
+def around(some: DataFrame) -> DataFrame:
     """These tiles (image_id, ty, tx) and the eight around each."""
     rows = some.select("image_id", F.explode(F.expr("array(ty - 1, ty, ty + 1)")).alias("ty"), "tx")
     return rows.select("image_id", "ty", F.explode(F.expr("array(tx - 1, tx, tx + 1)")).alias("tx")).distinct()
 
 
-def each_tile(pixels: DataFrame, side: int, schema: str, run: Callable[[Tile], dict[str, np.ndarray]], others: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+def each_tile(pixels: DataFrame, side: int, schema: str, run: Callable[[Tile], dict[str, np.ndarray]], others: DataFrame | None = None, only: DataFrame | None = None, rim: int = 1) -> DataFrame:
     """run(tile) gives grids by column name; the rows of a tile's own pixels are returned with them.
 
-    others: rows by (image_id, ty, tx) that go to the tile as ``tile.others``. only: the tiles (image_id, ty, tx) that run, if not all.
+    others: rows by (image_id, ty, tx) that go to the tile as ``tile.others``. only: the tiles (image_id, ty, tx) that run, if not all. rim: how far a tile sees beyond its sides.
     """
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -72,15 +72,15 @@ def each_tile(pixels: DataFrame, side: int, schema: str, run: Callable[[Tile], d
         if not len(rows) or not rows.own.any():
             return rows.iloc[:0].reindex(columns=names)
         tile = Tile(rows)
-        tile.others = more
+        tile.others, tile.place = more, (int(key[1]), int(key[2]))
         found = run(tile)
         mine = rows.own.to_numpy()
         at = tuple(x[mine] for x in tile.at)
         return pd.DataFrame({x: found[x][at] if x in found else key[0] if x == "image_id" else rows[x].to_numpy()[mine] for x in names})
 
     if only is not None:
-        pixels = placed(pixels, side).join(_around(only), ["image_id", "ty", "tx"], "left_semi").drop("ty", "tx")
-    rows = dealt(pixels, side)
+        pixels = placed(pixels, side).join(around(only), ["image_id", "ty", "tx"], "left_semi").drop("ty", "tx")
+    rows = dealt(pixels, side, rim)
     grouped = (rows if only is None else rows.join(only, ["image_id", "ty", "tx"], "left_semi")).groupBy("image_id", "ty", "tx")
     if others is None:
         return grouped.applyInPandas(lambda key, rows: work(key, rows), schema)

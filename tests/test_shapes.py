@@ -387,3 +387,45 @@ def test_aligned_boundaries_leaves_no_move(spark, monkeypatch):
     shape_queries.aligned_boundaries(spark, "/root/testdata/sf0.001")
     assert not seen["more"] and seen["k"].get("passes", 8) >= 8
     assert seen["p"].where("target <> region_id AND benefit <> abs(v)").count() > 0
+
+
+def test_wide_rims_settle_floods_and_all_passes(spark, monkeypatch):
+    """Tiles that see far enough need one run for a flood or for all passes; what depends on more is found and settled otherwise."""
+    rng = np.random.default_rng(5)
+    a = np.ones((70, 13), int)
+    a[:, 6:] = 2
+    a[30:] += 2
+    images = {"a": a, "b": a[::-1].copy()}
+    v = {n: rng.integers(0, 4, x.shape).astype(float) for n, x in images.items()}
+    dense, sparse = ({n: np.where(rng.random(x.shape) < share, rng.integers(1, 9, x.shape), 0) for n, x in images.items()} for share in (0.5, 0.02))
+    target = {n: np.where(rng.random(x.shape) < 0.7, rng.integers(1, 5, x.shape), x) for n, x in images.items()}
+    benefit = {n: rng.random(x.shape) for n, x in images.items()}
+    benefit["b"] = np.add.outer(np.arange(70.0), np.arange(13) / 20)  # a chain down the whole image
+    pairs = {(1, 2), (1, 3), (2, 3), (2, 4), (3, 4)}
+    rows = spark.createDataFrame([(n, *p) for n in images for p in pairs], "image_id string, lo long, hi long")
+    calls, plain = [], alignment.each_tile
+    monkeypatch.setattr(alignment, "each_tile", lambda *x, **k: calls.append(k.get("rim", 1)) or plain(*x, **k))
+    for marker, side, rim in ((dense, 24, 12), (sparse, 16, 2)):
+        calls.clear()
+        got = back(alignment.flooded(image_rows(spark, images, v=v, marker=marker), side, rim), images, "label")
+        assert all((got[n] == flood(v[n], marker[n])).all() for n in images)
+        assert calls == [12] if rim == 12 else len(calls) > 1
+    for names, side, rim, runs in (("a", 32, 24, [24]), ("ab", 16, 4, [4, 16, 1])):
+        calls.clear()
+        some = {n: images[n] for n in names}
+        got = back(alignment.safe_moves(image_rows(spark, some, target=target, benefit=benefit), rows, side=side, rim=rim), some, "region_id")
+        for n in some:
+            want = moved_one_by_one(images[n], target[n], benefit[n], pairs)
+            assert (got[n] == want).all() and (want != images[n]).any(), n
+        assert calls[: len(runs)] == runs and (names != "a" or len(calls) == 1)
+
+
+@pytest.mark.parametrize("reach", [1.0, 2.5])
+def test_distance_within_a_reach(spark, reach):
+    rng = np.random.default_rng(8)
+    images = {n: np.ones(shape, int) for n, shape in (("a", (15, 21)), ("b", (1, 9)))}
+    seed = {n: rng.random(x.shape) < 0.06 for n, x in images.items()}
+    got = back(distance.squared_within(image_rows(spark, images, seed=seed), F.col("seed"), "far", reach), images, "far")
+    for n, x in images.items():
+        far = np.min([np.add.outer((np.arange(x.shape[0]) - i) ** 2.0, (np.arange(x.shape[1]) - j) ** 2.0) for i, j in np.argwhere(seed[n])] + [np.full(x.shape, np.inf)], 0)
+        assert (got[n] == np.where(far <= reach * reach, far, np.inf)).all()
