@@ -6,6 +6,10 @@ of palette entries are gathered into arrays, nine and at most the size of the pa
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +22,8 @@ LEAST_MM2, LEAST_WIDTH_MM, LEAST_POCKET_MM = 12.0, 1.5, 4.0
 COMPACTNESS = 10.0
 PLACE = ("image_id", "cy", "cx")
 FEATURES = ("l", "a", "b", "y", "x")
+#: Side of the largest block of a cell's pixels: one row of a table.
+BLOCK = 64
 
 
 def cells(pixels: DataFrame, wanted: int) -> DataFrame:
@@ -32,24 +38,68 @@ def first_centres(placed: DataFrame) -> DataFrame:
     return placed.groupBy(*PLACE).agg(*(F.avg(c).alias(c) for c in FEATURES), F.lit(COMPACTNESS**2).alias("spread"))
 
 
-def assigned(placed: DataFrame, centres: DataFrame) -> DataFrame:
-    """Pixels with their nearest centre among those of the 3 x 3 cells around (home: struct cy, cx) and its squared colour distance; ties to the smaller cell.
+def blocks(placed: DataFrame) -> DataFrame:
+    """placed in blocks of one cell, BLOCK x BLOCK pixels at most: (image_id, cy, cx, step, block), block with the structs y, x, l, a, b in order."""
+    pixel = F.struct(*(F.col(c).cast("long").alias(c) for c in "yx"), *(F.col(c).cast("double").alias(c) for c in "lab"))
+    part = [F.floor(F.col(c) / BLOCK).alias(f"part_{c}") for c in "yx"]
+    return placed.groupBy(*PLACE, "step", *part).agg(F.sort_array(F.collect_list(pixel)).alias("block")).drop("part_y", "part_x")
+
+
+def _with_near(packed: DataFrame, centres: DataFrame) -> DataFrame:
+    """Blocks with near: the centres of the 3 x 3 cells around, nine at most, in the order of their cells, eight numbers for each."""
+    row = F.array(*(F.col(c).cast("double") for c in ("cy", "cx", "y", "x", "l", "a", "b", "spread")))
+    moved = centres.select("image_id", row.alias("row"), F.explode(F.expr("array(cy - 1, cy, cy + 1)")).alias("cy"), "cx")
+    moved = moved.select("image_id", "row", "cy", F.explode(F.expr("array(cx - 1, cx, cx + 1)")).alias("cx"))
+    return packed.join(moved.groupBy(*PLACE).agg(F.flatten(F.sort_array(F.collect_list("row"))).alias("near")), list(PLACE))
+
+
+def _nearest(batch: pa.RecordBatch) -> Iterator[tuple[int, dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
+    """For each block: its row, its pixels, the centres near it, and each pixel's nearest one (ties to the smaller cell) with its squared colour distance."""
+    block, near, step = batch.column("block"), batch.column("near"), batch.column("step").to_numpy()
+    values = block.values.flatten()
+    pixels = {f.name: v.to_numpy() for f, v in zip(block.type.value_type, values, strict=True)}
+    start, other = block.offsets.to_numpy(), near.offsets.to_numpy()
+    numbers = near.values.to_numpy()
+    for i in range(batch.num_rows):
+        p = {k: v[start[i] : start[i + 1]] for k, v in pixels.items()}
+        c = numbers[other[i] : other[i + 1]].reshape(-1, 8)
+        square = lambda k, j: (p[k][:, None] - c[None, :, j]) ** 2  # noqa: B023, E731
+        colour = square("l", 4) + square("a", 5) + square("b", 6)
+        far = colour / c[:, 7] + (square("y", 2) + square("x", 3)) / (step[i] * step[i])
+        best = np.argmin(np.where(np.isnan(far), np.inf, far), 1)
+        yield i, p, c, best, colour[np.arange(len(best)), best]
+
+
+def _homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each pixel."""
+    for batch in batches:
+        for i, p, c, best, colour in _nearest(batch):
+            keys = {k: pa.repeat(batch.column(k)[i], len(best)) for k in (*PLACE, "step")}
+            home = pa.StructArray.from_arrays([pa.array(c[best, j].astype(np.int64)) for j in (0, 1)], ["cy", "cx"])
+            yield pa.RecordBatch.from_pydict({**{k: pa.array(v) for k, v in p.items()}, **keys, "home": home, "colour": pa.array(colour)})
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each block and centre that has pixels of it: their number, sums and largest squared colour distance."""
+    for batch in batches:
+        for i, p, c, best, colour in _nearest(batch):
+            n = np.bincount(best, minlength=len(c))
+            some, met = n > 0, np.full(len(c), -np.inf)
+            np.maximum.at(met, best, colour)
+            cells = {k: pa.array(c[some, j].astype(np.int64)) for j, k in enumerate(("cy", "cx"))}
+            sums = {k: pa.array(np.bincount(best, p[k], len(c))[some]) for k in FEATURES}
+            yield pa.RecordBatch.from_pydict({"image_id": pa.repeat(batch.column("image_id")[i], int(some.sum())), **cells, "n": pa.array(n[some]), **sums, "met": pa.array(met[some])})
 
-    Each cell's nine centres are one row, so a pixel meets them by one equality join on cells.
-    """
-    row = F.struct(*(F.col(c).alias(f"c{c}") for c in ("y", "x")), *FEATURES, "spread")
-    moved = centres.select("image_id", row.alias("centre"), F.struct("cy", "cx").alias("home"), F.explode(F.expr("array(-1, 0, 1)")).alias("dy"), "cy", "cx")
-    moved = moved.select("image_id", "centre", "home", (F.col("cy") + F.col("dy")).alias("cy"), F.explode(F.expr("array(cx - 1, cx, cx + 1)")).alias("cx"))
-    near = moved.groupBy(*PLACE).agg(F.collect_list(F.struct("home", "centre")).alias("near"))  # nine at most
 
-    def far(n):
-        c = n["centre"]
-        colour = sum(((F.col(k) - c[k]) * (F.col(k) - c[k]) for k in "lab"), F.lit(0.0))
-        place = sum(((F.col(k) - c[k]) * (F.col(k) - c[k]) for k in "yx"), F.lit(0.0)) / (F.col("step") * F.col("step"))
-        return F.struct((colour / c["spread"] + place).alias("far"), n["home"].alias("home"), colour.alias("colour"))
+def assigned(placed: DataFrame, centres: DataFrame) -> DataFrame:
+    """Pixels (image_id, y, x, l, a, b, step, cy, cx) with their nearest centre among those of the 3 x 3 cells around (home: struct cy, cx) and its squared colour distance; ties to the smaller cell."""
+    return _assigned(blocks(placed), centres)
+
 
-    best = F.array_min(F.transform("near", far))
-    return placed.join(near, list(PLACE)).withColumn("best", best).select(*placed.columns, F.col("best.home").alias("home"), F.col("best.colour").alias("colour"))
+def _assigned(packed: DataFrame, centres: DataFrame) -> DataFrame:
+    schema = "y long, x long, l double, a double, b double, image_id string, cy long, cx long, step double, home struct<cy: long, cx: long>, colour double"
+    rows = _with_near(packed, centres).mapInArrow(_homes, schema)
+    return rows.select("image_id", *"yxlab", "step", "cy", "cx", "home", "colour")
 
 
 def superpixels(pixels: DataFrame, wanted: int, rounds: int = 10) -> DataFrame:
@@ -57,17 +107,19 @@ def superpixels(pixels: DataFrame, wanted: int, rounds: int = 10) -> DataFrame:
 
     k-means in colour and place; a centre's colour distances are divided by the largest that it met, so flat and
     structured parts get even shapes. A centre stays with the cell where it began: pixels meet the centres of the
-    nine cells around, wherever these have moved. Parts that are too small join the largest neighbour, on the graph
-    of parts. region_id is the smallest pixel number of the part that the others joined.
+    nine cells around, wherever these have moved. Pixels are shuffled once, into blocks; a round sends a block's sums.
+    Parts that are too small join the largest neighbour, on the graph of parts. region_id is the smallest pixel number
+    of the part that the others joined.
     """
-    placed = graph.saved(cells(pixels, wanted))
-    centres = graph.saved(first_centres(placed))
+    placed = cells(pixels, wanted)
+    packed = graph.saved(blocks(placed))
+    centres = graph.saved(first_centres(packed.select(*PLACE, F.inline("block"))))
     for _ in range(rounds):
-        own = assigned(placed, centres).withColumn("home_y", F.col("home.cy")).withColumn("home_x", F.col("home.cx"))
-        means = own.groupBy("image_id", F.col("home_y").alias("cy"), F.col("home_x").alias("cx")).agg(*(F.avg(c).alias(c) for c in FEATURES), F.max("colour").alias("met"))
+        found = _with_near(packed, centres).mapInArrow(_sums, "image_id string, cy long, cx long, n long, l double, a double, b double, y double, x double, met double")
+        means = found.groupBy(*PLACE).agg(*((F.sum(c) / F.sum("n")).alias(c) for c in FEATURES), F.max("met").alias("met"))
         spread = centres.select(*PLACE, "spread")
         centres = graph.saved(means.join(spread, list(PLACE)).select(*PLACE, *FEATURES, F.greatest("spread", "met").alias("spread")))
-    last = assigned(placed, centres).withColumn("region_id", F.col("home.cy") * (1 << 31) + F.col("home.cx"))
+    last = _assigned(packed, centres).withColumn("region_id", F.col("home.cy") * (1 << 31) + F.col("home.cx"))
     parts = graph.saved(graph.pixel_components(last.select("image_id", "y", "x", "l", "a", "b", "step", "region_id")))
     roots = joined_parts(parts)
     return parts.join(roots, ["image_id", "component"]).select("image_id", "y", "x", "l", "a", "b", F.col("root").alias("region_id"))

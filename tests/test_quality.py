@@ -86,3 +86,30 @@ def test_source_report_has_all_superpixels_and_rounds(spark, monkeypatch):
     monkeypatch.setattr(quality, "complexity", lambda p, mm: p.groupBy("image_id").agg(F.count("*").alias("parts"), F.lit(0.0).alias("micro_percent")))
     shape_queries.source_report(spark, "/root/testdata/sf0.001")
     assert seen == {"wanted": 1225, "rounds": 10}
+
+
+def test_pixels_meet_centres_in_blocks(spark, monkeypatch):
+    """Nearest centres are found for a block of pixels at a time, with the plain rule's result, and rounds of superpixels keep only sums of blocks."""
+    monkeypatch.setattr(quality, "BLOCK", 4)
+    p = coloured(spark, sources())
+    placed = quality.cells(p, 30).persist()
+    centres = quality.first_centres(placed).withColumn("y", F.col("y") + 2.5)
+    own = quality.assigned(placed, centres)
+    plan = own._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "transform(" not in plan
+    known = {}
+    for c in centres.collect():
+        known[c.image_id, c.cy, c.cx] = c
+    seen = 0
+    for r in own.where("y % 7 = 0").collect():
+        far = []
+        for dy in (-1, 0, 1):
+            for dx in (-1, 0, 1):
+                if c := known.get((r.image_id, r.cy + dy, r.cx + dx)):
+                    colour = (r.l - c.l) ** 2 + (r.a - c.a) ** 2 + (r.b - c.b) ** 2
+                    far.append((colour / c.spread + ((r.y - c.y) ** 2 + (r.x - c.x) ** 2) / r.step**2, c.cy, c.cx, colour))
+        best = min(far)
+        assert (r.home.cy, r.home.cx) == best[1:3] and r.colour == pytest.approx(best[3])
+        seen += 1
+    assert seen == 2 * 10 * 64 and own.count() == 2 * 64 * 64
+    placed.unpersist()
